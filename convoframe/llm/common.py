@@ -62,3 +62,25 @@ def let(value: Column, body) -> Column:
 def cut_into(key: Column, n: int) -> Column:
     """An even bucket 0..n-1 from a 64-bit hash, in the order of the hash read as unsigned from its top bits."""
     return F.shiftrightunsigned(key, 40) * F.lit(n) / F.lit(1 << 24)
+
+
+def arrow_texts(column):
+    """(offsets, bytes) of an Arrow string column as numpy arrays; null texts are empty."""
+    import numpy as np
+    import pyarrow as pa
+
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    if column.null_count:
+        column = column.fill_null("")
+    wide = pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type)
+    _, offsets, data = column.buffers()
+    at = np.frombuffer(offsets, dtype=np.int64 if wide else np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64) if len(column) else np.zeros(1, np.int64)
+    return at, np.frombuffer(data, dtype=np.uint8) if data is not None else np.zeros(0, np.uint8)
+
+
+def arrow_ints(column):
+    """Numpy values of an Arrow integer column that has no nulls."""
+    import numpy as np
+
+    return np.asarray(column.to_numpy(zero_copy_only=False))

@@ -92,7 +92,7 @@ def mix_to_targets(
         ),
         "mix-slim",
     )
-    n_pieces = max(16, min(MAX_PIECES, slim.count() // PIECE_ROWS))
+    n_pieces = max(64, min(MAX_PIECES, slim.count() // PIECE_ROWS))
     slim = slim.withColumn("_piece", cut_into(F.col("_key"), n_pieces).cast("int"))
     pieces = slim.groupBy("_source", "_piece").agg(F.sum("size").alias("_size"))
     pieces = write_table(pieces, "mix-pieces")

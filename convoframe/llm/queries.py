@@ -8,17 +8,47 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from convoframe.llm.common import read_table
+from convoframe.llm.fingerprints import compare_with_edits
+from convoframe.llm.langid import identify
+from convoframe.llm.langid import train as train_languages
 from convoframe.llm.mixing import mix_to_targets
+from convoframe.llm.packing import pack
 from convoframe.llm.quality import judge_quality
+from convoframe.llm.secrets import BASE_RULES, joined, scan_secrets
 from convoframe.llm.sharding import shard_by_size
 from convoframe.llm.urlfilter import judge_urls
 
 
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(read_table(spark, sf_dir, "documents").select("doc_id", "text"), with_ids=False)
+
+
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan_secrets(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = [r.kind for r in BASE_RULES]
+    return found.select("doc_id", *[_count(k) for k in base], F.sha2(joined(F.filter("spans", lambda s: s["kind"].isin(base))), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+
+
+def _count(kind: str):
+    return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+
+def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 3 == 1
+    model = train_languages(documents.filter(~F.coalesce(held_out, F.lit(False))))
+    return identify(documents, model).withColumn("held_out", F.coalesce(held_out, F.lit(False)))
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = shard_by_size(read_table(spark, sf_dir, "documents").select("doc_id", "text"), 8)
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compare_with_edits(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_to_targets(read_table(spark, sf_dir, "documents").select("doc_id", "text", "source"), weights=(5, 2, 1), share=1.5, cap=2.0)
 
@@ -32,7 +62,11 @@ def op9_urlfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_packing": op1_packing,
+    "op2_secrets": op2_secrets,
+    "op4_langid": op4_langid,
     "op5_sharding": op5_sharding,
+    "op6_fingerprints": op6_fingerprints,
     "op7_mixing": op7_mixing,
     "op8_quality": op8_quality,
     "op9_urlfilter": op9_urlfilter,
