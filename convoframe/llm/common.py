@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,8 +47,23 @@ def write_table(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _ship_package(spark: SparkSession) -> None:
+    """Sends this package to the Python workers, once for each context."""
+    context = spark.sparkContext
+    if getattr(context, "_convoframe_shipped", False):
+        return
+    root = Path(__file__).resolve().parents[1]
+    archive = Path(tempfile.mkdtemp(prefix="convoframe-")) / "convoframe.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for path in sorted(root.rglob("*.py")):
+            out.write(path, path.relative_to(root.parent))
+    context.addPyFile(str(archive))
+    context._convoframe_shipped = True
+
+
 def arrow_batches(spark: SparkSession) -> None:
-    """Short Arrow batches for operators that send whole texts to Python."""
+    """Prepares a session for operators that send whole texts to Python: short batches, and this package on the workers."""
+    _ship_package(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
 
 

@@ -111,7 +111,7 @@ class Fingerprinter:
             np.add.at(out, at + part[mine], self.mix(mixed[mine]))
             at += used
         if not len(terms):  # nothing in the band: all its terms stand for it
-            out[0] = self.mix(every).sum() | np.uint64(1)
+            out[0] = self.mix(every).sum() | np.uint64(1)  # a sum of no terms is 0
         filled = out != 0
         values = (self.mix(out) >> np.uint64(48)).astype("<u2")
         return np.where(filled, np.maximum(values, 1), 0).astype("<u2").tobytes()

@@ -12,6 +12,7 @@ from convoframe.llm.fingerprints import compare_with_edits
 from convoframe.llm.langid import identify
 from convoframe.llm.langid import train as train_languages
 from convoframe.llm.mixing import mix_to_targets
+from convoframe.llm.neardup import near_duplicates
 from convoframe.llm.packing import pack
 from convoframe.llm.quality import judge_quality
 from convoframe.llm.secrets import BASE_RULES, joined, scan_secrets
@@ -33,6 +34,10 @@ def _count(kind: str):
     return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
 
 
+def op3_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(read_table(spark, sf_dir, "documents").select("doc_id", "text"), width=4, percent=80)
+
+
 def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held_out = F.crc32(F.col("doc_id").cast("string")) % 3 == 1
@@ -64,6 +69,7 @@ def op9_urlfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_secrets": op2_secrets,
+    "op3_neardup": op3_neardup,
     "op4_langid": op4_langid,
     "op5_sharding": op5_sharding,
     "op6_fingerprints": op6_fingerprints,

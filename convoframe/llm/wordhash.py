@@ -32,7 +32,8 @@ def mix64(x: np.ndarray) -> np.ndarray:
 def _powers(n: int, base: int) -> np.ndarray:
     out = np.full(n, base & _MASK, dtype=np.uint64)
     out[0] = 1
-    return np.multiply.accumulate(out)
+    with np.errstate(over="ignore"):
+        return np.multiply.accumulate(out)
 
 
 class WordHasher:
