@@ -17,6 +17,7 @@ from convoframe.llm.packing import pack
 from convoframe.llm.quality import judge_quality
 from convoframe.llm.secrets import BASE_RULES, joined, scan_secrets
 from convoframe.llm.sharding import shard_by_size
+from convoframe.llm.substrings import remove_repeats
 from convoframe.llm.urlfilter import judge_urls
 
 
@@ -66,6 +67,10 @@ def op9_urlfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(read_table(spark, sf_dir, "pages").select("page_id", "url"))
 
 
+def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_secrets": op2_secrets,
@@ -76,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_mixing": op7_mixing,
     "op8_quality": op8_quality,
     "op9_urlfilter": op9_urlfilter,
+    "op10_repeats": op10_repeats,
 }
 
 #: DuckDB SQL by query, where SQL can express it.
