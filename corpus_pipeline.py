@@ -1,8 +1,83 @@
-"""The corpus pipeline (stages follow as their operators land)."""
+"""The corpus pipeline: from raw documents to packed training sequences.
 
-STAGES = []
+Five stages, each one of the operators of ``convoframe.llm``: language ID,
+near-duplicate removal, secret redaction, mixing to source targets, packing.
+Every stage gets what its predecessor kept, written as Parquet and read again.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from convoframe.llm.common import read_table, write_table
+from convoframe.llm.langid import keep_identified
+from convoframe.llm.langid import train as train_languages
+from convoframe.llm.mixing import mix_to_targets
+from convoframe.llm.neardup import near_duplicates
+from convoframe.llm.packing import pack
+from convoframe.llm.secrets import redact_secrets
+
+#: Up to so many rows (a few numbers each) are sent to the scan of the texts; more are joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
+
+
+def _keyed(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` and a column that names a row: ``doc_id``, or the row's place in the files where ids repeat or are null."""
+    most, nulls = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).agg(F.coalesce(F.max("n"), F.lit(0)), F.max(F.col("doc_id").isNull().cast("int"))).first()
+    if most <= 1 and not nulls:
+        return docs, "doc_id"
+    return docs.withColumn("_row", F.monotonically_increasing_id()), "_row"
+
+
+def _sized(small: DataFrame) -> DataFrame:
+    return F.broadcast(small) if small.count() <= BROADCAST_ROWS else small
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the documents whose language is found; learns from labelled rows outside the held-out third."""
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
+    return keep_identified(docs, train_languages(docs.filter(~held_out)))
+
+
+def neardup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate group stays: the one with the least id (the first read where ids repeat)."""
+    keyed, key = _keyed(docs)
+    kept = write_table(near_duplicates(keyed, id_col=key, width=5, percent=80).filter("kept").select(F.col(key).alias("_kept")), "kept")
+    return keyed.join(_sized(kept), F.col(key) == F.col("_kept"), "left_semi").select(*docs.columns)
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents stay; secrets in their texts are replaced."""
+    return redact_secrets(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it; where it takes a part, that copy has its first words, joined by spaces."""
+    keyed, key = _keyed(docs)
+    mixed = mix_to_targets(keyed, weights=(5, 2, 1), share=1.5, cap=2.0, id_col=key)
+    part = F.col("taken") - F.col("copies") * F.col("size")
+    taken = write_table(mixed.filter("taken > 0").select(F.col(key).alias("_taken"), F.col("copies").cast("int").alias("_copies"), part.cast("int").alias("_part")), "taken")
+    rows = keyed.join(_sized(taken), F.col(key) == F.col("_taken"))
+    rows = rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies") + F.when(F.col("_part") > 0, 1).otherwise(0))))
+    words = F.array_join(F.slice(F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != ""), F.lit(1), F.col("_part")), " ")
+    text = F.when(F.col("_copy") <= F.col("_copies"), F.col("text")).otherwise(words)
+    return rows.withColumn("text", text).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents with their places in sequences of 2048 ids."""
+    return pack(docs, with_ids=False)
+
+
+STAGES = [("language", language), ("neardup", neardup), ("secrets", secrets), ("mixing", mixing), ("packing", packing)]
+
+#: The stages' models and token ids are beyond SQL; the tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = write_table(stage(spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
