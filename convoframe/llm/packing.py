@@ -21,8 +21,8 @@ from convoframe.llm.common import arrow_batches, cut_into, write_table
 SEQUENCE = 2048
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 1
-#: Distinct white-space-free strings whose ids a worker remembers.
-CACHE = 600_000
+#: Distinct white-space-free strings whose ids a worker remembers, in each of two generations.
+CACHE = 700_000
 PIECE_ROWS = 20_000
 
 
@@ -36,23 +36,41 @@ class _Ids:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
-        self.known: dict[bytes, bytes] = {}
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
 
     def text(self, text: str) -> bytes:
         # The vocabulary drops white space before it splits, so no token spans ASCII white space
         # and a text's ids are those of its words, joined.
         words = text.encode("utf-8").split()
-        new = set(words).difference(self.known)
+        new = set(words).difference(self.young)
         if new:
-            if len(self.known) + len(new) > CACHE:
-                self.known.clear()
+            if len(self.young) + len(new) > CACHE:  # what was not met since the last turn is forgotten
+                self.old, self.young = self.young, {}
                 new = set(words)
-            todo = list(new)
-            for at in range(0, len(todo), 20_000):
-                part = todo[at : at + 20_000]
+            unknown = []
+            for w in new:
+                ids = self.old.get(w)
+                if ids is None:
+                    unknown.append(w)
+                else:
+                    self.young[w] = ids
+            for at in range(0, len(unknown), 20_000):
+                part = unknown[at : at + 20_000]
                 for w, e in zip(part, self.tokenizer.encode_batch_fast([w.decode("utf-8") for w in part], add_special_tokens=False), strict=True):
-                    self.known[w] = np.array(e.ids, dtype="<u4").tobytes()
-        return b"".join(map(self.known.__getitem__, words))
+                    self.young[w] = np.array(e.ids, dtype="<u4").tobytes()
+        return b"".join(map(self.young.__getitem__, words))
+
+
+_WORKER: dict[str, _Ids] = {}
+
+
+def worker_ids(vocabulary: str) -> _Ids:
+    """The tokenizer of this worker process; its cache serves all tasks the process runs."""
+    if vocabulary not in _WORKER:
+        _WORKER.clear()
+        _WORKER[vocabulary] = _Ids(vocabulary)
+    return _WORKER[vocabulary]
 
 
 def default_vocabulary() -> str:
@@ -76,7 +94,7 @@ def tokenize_pieces(
     def cut(batches):
         import pyarrow as pa
 
-        ids = _Ids(vocabulary)
+        ids = worker_ids(vocabulary)
         for batch in batches:
             rows, out, kept = [], [], []
             for i, text in enumerate(batch.column(1).to_pylist()):
