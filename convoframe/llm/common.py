@@ -101,3 +101,16 @@ def arrow_ints(column):
     import numpy as np
 
     return np.asarray(column.to_numpy(zero_copy_only=False))
+
+
+def count_at_most(key, bounds: list):
+    """How many of the sorted ``bounds`` are <= key, by two short scans of literal arrays (null key: null)."""
+    if not bounds:
+        return F.when(key.isNotNull(), F.lit(0))
+    step = max(1, int(len(bounds) ** 0.5))
+    blocks = [bounds[i : i + step] for i in range(0, len(bounds), step)]
+    heads = F.array(*[F.lit(b[0]) for b in blocks])
+    table = F.array(*[F.array(*[F.lit(x) for x in b]) for b in blocks])
+    block = F.size(F.filter(heads, lambda b: b <= key))
+    inside = F.size(F.filter(F.element_at(table, block), lambda b: b <= key))
+    return F.when(key.isNotNull(), F.when(block == 0, 0).otherwise((block - 1) * step + inside).cast("int"))

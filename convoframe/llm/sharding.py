@@ -8,10 +8,10 @@ ever put in one place; every record moves once, as a slim row.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from convoframe.llm.common import write_table
+from convoframe.llm.common import count_at_most, write_table
 
 #: Sampled keys for each range boundary.
 OVERSAMPLE = 8
@@ -22,19 +22,6 @@ MAX_RANGES = 4_096
 WHOLE_GROUP = 0.01
 
 
-def _bucket(key: Column, bounds: list[int]) -> Column:
-    """How many of the sorted ``bounds`` are <= key, by two short scans of literal arrays."""
-    if not bounds:
-        return F.lit(0)
-    step = max(1, int(len(bounds) ** 0.5))
-    blocks = [bounds[i : i + step] for i in range(0, len(bounds), step)]
-    heads = F.array(*[F.lit(b[0]).cast("long") for b in blocks])
-    table = F.array(*[F.array(*[F.lit(x).cast("long") for x in b]) for b in blocks])
-    block = F.size(F.filter(heads, lambda b: b <= key))
-    inside = F.size(F.filter(F.element_at(table, block), lambda b: b <= key))
-    return F.when(block == 0, 0).otherwise((block - 1) * step + inside).cast("int")
-
-
 def shard_by_size(records: DataFrame, shards: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Deals every record into ``shards`` shards whose sizes are near equal.
 
@@ -65,7 +52,7 @@ def shard_by_size(records: DataFrame, shards: int, id_col: str = "doc_id", text_
     drawn = slim.select("_key", (-F.log(uniform) / F.col("_size")).alias("_p")).orderBy("_p", "_key").limit(OVERSAMPLE * n_ranges).collect()
     keys = sorted(r["_key"] for r in drawn)
     bounds = sorted({keys[i * len(keys) // n_ranges] for i in range(1, n_ranges)}) if keys else []
-    ranged = slim.withColumn("_range", _bucket(F.col("_key"), bounds))
+    ranged = slim.withColumn("_range", count_at_most(F.col("_key"), bounds))
 
     # Ranges found overfull (a hot key, or sampling error) are subdivided by a hash of the row.
     found = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("n"), F.sum("_size").alias("s")).collect()  # at most MAX_RANGES rows
