@@ -16,10 +16,10 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from convoframe.llm.common import arrow_batches, arrow_texts, write_table
+from convoframe.llm.common import arrow_batches, arrow_texts, count_at_most
 
 TERM_SLOTS = 1 << 18
 #: The idf band, as document frequencies: at least so many documents, at most this share of all.
@@ -31,8 +31,9 @@ _SIGNATURES = sum(n for _, n in RESOLUTIONS)
 #: A resolution counts if the two fingerprints fill so many of its signatures.
 MIN_FILLED = 6
 _CHUNK = 1 << 13
-#: Neighbouring ids are found inside ranges of about so many ids.
+#: Ids are cut into ranges of about so many rows; beyond the most ranges made, ranges grow.
 RANGE_ROWS = 50_000
+MAX_RANGES = 4_096
 
 
 def _terms(hasher, data: np.ndarray) -> np.ndarray:
@@ -157,49 +158,35 @@ def fingerprint(records: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return records.select(id_col, F.col(text_col).cast("string").alias("_text")).mapInArrow(run, f"`{id_col}` {id_type}, fingerprint string")
 
 
-def next_ids(ids: DataFrame) -> DataFrame:
-    """(``_id``, ``_next``) for distinct ids in descending order, the last followed by the first; null ids come last.
-
-    Ids are cut into ranges at approximate quantiles; the order inside a range is
-    a window of its own, and the ranges' first ids link the ranges.
-    """
-    distinct = write_table(ids.select("_id").distinct(), "ids")
-    n, first = distinct.agg(F.count(F.lit(1)), F.max("_id")).first()
-    k = max(1, min(10_000, n // RANGE_ROWS))
-    bounds = distinct.agg(F.percentile_approx("_id", [i / k for i in range(1, k)], 10 * k)).first()[0] if k > 1 and first is not None else []
-    bounds = sorted(set(bounds or []))
-    at = F.coalesce(F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b <= F.col("_id"))), F.lit(-1)) if bounds else F.lit(0)
-    at = F.when(F.col("_id").isNull(), F.lit(-1)).otherwise(at)
-    ranged = distinct.withColumn("_range", at)
-    heads = ranged.groupBy("_range").agg(F.max("_id").alias("_head"))  # one row a range
-    linked = heads.select("_range", F.lead("_head").over(Window.orderBy(F.desc("_range"))).alias("_after"), F.lead("_range").over(Window.orderBy(F.desc("_range"))).alias("_has"))
-    inside = Window.partitionBy("_range").orderBy(F.desc_nulls_last("_id"))
-    ranged = ranged.withColumn("_next", F.lead("_id").over(inside)).withColumn("_tail", F.lead(F.lit(1)).over(inside).isNull())
-    ranged = ranged.join(F.broadcast(linked), "_range", "left")  # at most 10,001 rows
-    wrap = F.when(F.col("_has").isNotNull(), F.col("_after")).otherwise(F.lit(first).cast(ids.schema["_id"].dataType))
-    return ranged.select("_id", F.when(F.col("_tail"), wrap).otherwise(F.col("_next")).alias("_next"))
-
-
 def compare_with_edits(records: DataFrame, id_col: str = "doc_id", text_col: str = "text", level: int = 1) -> DataFrame:
     """Fingerprints of every text and of its edited text, with their likenesses.
 
     The edited text has its last ``floor(n / 3)`` code points replaced by as many
-    from the start of the next document in descending id (or all it has).  Texts
-    move once, compressed, to where their id hashes; from there a document's
-    start and fingerprint go to the document before it.
+    from the start of the next document in descending id (or all it has; after
+    the last: the first).  Texts move once, compressed: ids are cut into ranges at
+    approximate quantiles, each range is read in ascending order, and a range also
+    gets a copy of the one document below it.  So a document's next is always the
+    one read before it.
 
-    Rows that share an id each stand; the document after them is the next lower
+    Rows that share an id each stand; the document next to them is the next lower
     id's row with the least text hash.  Null texts are empty, null ids come last.
+    An empty table gives an empty result; further columns are ignored.
     """
     spark = records.sparkSession
     arrow_batches(spark)
     marks = lexicon(records, text_col)
     id_type = records.schema[id_col].dataType.simpleString()
     typed = records.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"))
-    order = next_ids(typed)
-    needs = typed.groupBy("_id").agg(F.max(F.floor(F.length("_text") / 3)).alias("_need"))
-    order = order.join(needs, order["_id"].eqNullSafe(needs["_id"])).select(order["_id"].alias("_to"), "_next", "_need")
-    order = write_table(order, "next-ids")
+    ids = typed.select("_id")
+    n = ids.count()
+    k = max(1, min(MAX_RANGES, max(n // RANGE_ROWS, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))))
+    bounds = ids.agg(F.percentile_approx("_id", [i / k for i in range(1, k)], 10 * k)).first()[0] if k > 1 and n else []
+    at = F.coalesce(count_at_most(F.col("_id"), sorted(set(bounds or []))), F.lit(-1))
+    heads = sorted(((r["_range"], r["_head"]) for r in ids.groupBy(at.alias("_range")).agg(F.max("_id").alias("_head")).collect()), key=lambda x: x[0])  # at most MAX_RANGES + 1 rows
+    below = spark.createDataFrame([(heads[i][0], heads[i - 1][1]) for i in range(len(heads))], f"_range int, _head {id_type}")  # the lowest range: the first document
+    hashed = typed.withColumn("_h", F.xxhash64("_text"))
+    guests = hashed.join(F.broadcast(below), F.col("_id").eqNullSafe(F.col("_head"))).groupBy("_range").agg(F.min_by(F.struct("_id", "_text", "_h"), "_h").alias("g"))
+    rows = guests.select("_range", F.lit(0).alias("_own"), "g.*").select("_range", "_own", "_id", "_h", "_text").union(hashed.select(at.alias("_range"), F.lit(1), "_id", "_h", "_text"))
 
     def shrink(batches):
         import pyarrow as pa
@@ -207,46 +194,35 @@ def compare_with_edits(records: DataFrame, id_col: str = "doc_id", text_col: str
 
         f, pressed = Fingerprinter(marks), zstandard.ZstdCompressor(level=level)
         for batch in batches:
-            offsets, data = arrow_texts(batch.column(1))
+            offsets, data = arrow_texts(batch.column(4))
             texts = [data[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([pressed.compress(x.tobytes()) for x in texts], pa.binary()), pa.array([f.of(x) for x in texts], pa.binary()), batch.column(2)], names=["_id", "_z", "_f", "_h"]
-            )
-
-    small = typed.select("_id", "_text", F.xxhash64("_text").alias("_h")).mapInArrow(shrink, f"_id {id_type}, _z binary, _f binary, _h long")
-    small = small.withColumn("_k", F.xxhash64("_id")).repartition("_k")
-    chosen = small.join(order.withColumn("_k", F.xxhash64("_next")), ["_k"]).filter(F.col("_id").eqNullSafe(F.col("_next")))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array([pressed.compress(x.tobytes()) for x in texts], pa.binary()), pa.array([f.of(x) for x in texts], pa.binary())], names=["_range", "_own", "_id", "_h", "_z", "_f"])
 
-    def start(batches):
-        import pyarrow as pa
-        import zstandard
-
-        plain, pressed = zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(level=level)
-        for batch in batches:
-            heads = [pressed.compress(plain.decompress(z).decode("utf-8")[:n].encode("utf-8")) for z, n in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(heads, pa.binary()), batch.column(3), batch.column(4)], names=["_to", "_head", "_nf", "_nh"])
-
-    heads = chosen.select("_to", "_z", "_need", "_f", "_h").mapInArrow(start, f"_to {id_type}, _head binary, _nf binary, _nh long")
-    heads = heads.groupBy(F.col("_to")).agg(F.min_by(F.struct("_head", "_nf"), "_nh").alias("_n")).withColumn("_k", F.xxhash64("_to"))
-    both = small.join(heads, ["_k"]).filter(F.col("_id").eqNullSafe(F.col("_to")))
+    small = rows.mapInArrow(shrink, f"_range int, _own int, _id {id_type}, _h long, _z binary, _f binary")
+    dealt = small.repartition("_range").sortWithinPartitions("_range", "_own", F.asc_nulls_first("_id"), "_h")
 
     def finish(batches):
         import pyarrow as pa
         import zstandard
 
         f, plain = Fingerprinter(marks), zstandard.ZstdDecompressor()
+        here, now, first, before = None, None, None, None  # the range, the id, its first row, the first row of the id before
         for batch in batches:
-            rows = []
-            for z, own, head, after in zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True):
+            kept, rows = [], []
+            for i, (place, own, key, z, mine) in enumerate(zip(*(batch.column(c).to_pylist() for c in (0, 1, 2, 4, 5)), strict=True)):
                 text = plain.decompress(z).decode("utf-8")
+                if place != here or not own:
+                    here, now, first = place, None, (text, mine)
+                    if not own:
+                        continue
+                if now is None or key != now[0]:
+                    before, now, first = first, (key,), (text, mine)
                 n = len(text)
-                edited = (text[: n - n // 3] + plain.decompress(head).decode("utf-8")[: n // 3]).encode("utf-8")
+                edited = (text[: n - n // 3] + before[0][: n // 3]).encode("utf-8")
                 other = f.of(np.frombuffer(edited, np.uint8))
-                rows.append((n, hashlib.sha256(edited).hexdigest(), own.hex(), other.hex(), likeness(own, other), likeness(own, after)))
+                kept.append(i)
+                rows.append((n, hashlib.sha256(edited).hexdigest(), mine.hex(), other.hex(), likeness(mine, other), likeness(mine, before[1])))
             kinds = (pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64())
-            yield pa.RecordBatch.from_arrays([batch.column(0)] + [pa.array([r[i] for r in rows], kinds[i]) for i in range(6)], names=[id_col, "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
-
-    return both.select("_id", "_z", "_f", F.col("_n._head"), F.col("_n._nf")).mapInArrow(
-        finish, f"`{id_col}` {id_type}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    )
+            yield pa.RecordBatch.from_arrays([batch.column(2).take(pa.array(kept, pa.int64()))] + [pa.array([r[i] for r in rows], kinds[i]) for i in range(6)], names=[id_col, "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
 
+    return dealt.mapInArrow(finish, f"`{id_col}` {id_type}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
