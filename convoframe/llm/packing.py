@@ -36,11 +36,39 @@ class _Ids:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
+        self.by_words = os.path.basename(vocabulary) == VOCABULARY
+        self.byte_names = {i: c for i, c in enumerate(_byte_names())}
+        self.tails: dict[str, bytes] = {"": b""}
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
 
+    def _whole(self, word: str) -> bytes:
+        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+    def _word(self, word: str) -> bytes:
+        """Ids of a string without white space.
+
+        Latin letters with closing punctuation split in these two, so the merges
+        apply to each as it is; all else takes the tokenizer's whole path.
+        """
+        core = word.rstrip(".,;:!?")
+        low = core.lower()
+        if not low.isalpha() or max(low) >= "\u0130":
+            return self._whole(word)
+        named = low if low.isascii() else low.encode("utf-8").decode("latin-1").translate(self.byte_names)
+        ids = np.array([t.id for t in self.tokenizer.model.tokenize(named)], dtype="<u4").tobytes()
+        tail = word[len(core) :]
+        found = self.tails.get(tail)
+        if found is None:
+            found = self._whole(tail)
+            if len(tail) <= 4:
+                self.tails[tail] = found
+        return ids + found
+
     def text(self, text: str) -> bytes:
-        # The vocabulary drops white space before it splits, so no token spans ASCII white space
+        if not self.by_words:
+            return self._whole(text)
+        # This vocabulary drops white space before it splits, so no token spans ASCII white space
         # and a text's ids are those of its words, joined.
         words = text.encode("utf-8").split()
         new = set(words).difference(self.young)
@@ -55,13 +83,18 @@ class _Ids:
                     unknown.append(w)
                 else:
                     self.young[w] = ids
-            for at in range(0, len(unknown), 20_000):
-                part = unknown[at : at + 20_000]
-                for w, e in zip(part, self.tokenizer.encode_batch_fast([w.decode("utf-8") for w in part], add_special_tokens=False), strict=True):
-                    self.young[w] = np.array(e.ids, dtype="<u4").tobytes()
+            for w in unknown:
+                self.young[w] = self._word(w.decode("utf-8"))
         return b"".join(map(self.young.__getitem__, words))
 
 
+def _byte_names() -> list[str]:
+    """The characters by which byte-level vocabularies name bytes: printable Latin-1 by itself, the rest from U+0100 on."""
+    shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b]
+    hidden = iter(range(256, 512))
+    return [chr(b) if b in set(shown) else chr(next(hidden)) for b in range(256)]
+
+
 _WORKER: dict[str, _Ids] = {}
 
 
