@@ -21,10 +21,10 @@ def summary_name(remark: Column, nickname: Column, contact_id: Column) -> Column
     return F.coalesce(F.nullif(remark, F.lit("")), F.nullif(nickname, F.lit("")), short_id(contact_id))
 
 
-def my_name(users: DataFrame, my_id: str, default: str = "我") -> Column:
-    """The user's own display name as a one-row DataFrame column source; ``default`` where the id is unknown."""
+def my_name_of(users: DataFrame, my_id: str, default: str = "我") -> str:
+    """The user's own display name; ``default`` where the id is unknown."""
     found = users.filter(F.col("contact_id") == my_id).select(display_name(F.col("remark"), F.col("nickname"), F.col("contact_id")).alias("n")).first()
-    return F.lit(found["n"] if found and found["n"] else default)
+    return found["n"] if found and found["n"] else default
 
 
 def message_stats(messages: DataFrame) -> DataFrame:
