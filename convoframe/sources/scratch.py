@@ -7,6 +7,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: No table is written in more files than this for each core: a file costs its executor more than its rows.
+FILES_PER_CORE = 4
+
 
 def checkpoint_root(spark: SparkSession) -> str:
     """``spark.checkpoint.dir``, or a folder of our own where it is unset (tests)."""
@@ -22,5 +25,6 @@ def checkpoint_root(spark: SparkSession) -> str:
 def materialised(df: DataFrame, tag: str) -> DataFrame:
     """``df`` written to the shared folder and read back: its plan starts at files, and it is computed once."""
     path = f"{checkpoint_root(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    files = FILES_PER_CORE * df.sparkSession.sparkContext.defaultParallelism
+    df.coalesce(files).write.parquet(path)  # merges partitions without a shuffle, if there are more
     return df.sparkSession.read.schema(df.schema).parquet(path)
