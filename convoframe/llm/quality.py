@@ -77,7 +77,7 @@ def js_distance(counts: Column, reference: Column) -> Column:
 
     shares = lambda a: let(F.nullif(total(a), F.lit(0.0)), lambda n: F.transform(a, lambda x: x / n))
     divergence = total(F.zip_with(shares(counts), shares(reference), term))
-    return F.sqrt(F.greatest(F.lit(0.0), F.least(F.lit(1.0), divergence)))
+    return let(divergence, lambda d: F.when(d.isNotNull(), F.sqrt(F.greatest(F.lit(0.0), F.least(F.lit(1.0), d)))))
 
 
 def features(records: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
