@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import tempfile
-import uuid
 import zipfile
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from convoframe.sources.scratch import materialised as write_table  # noqa: F401  the operators' name for it
+
 #: The separators of the word definition used by all operators here.
 SEPARATOR_CLASS = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -22,31 +23,6 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpoint_root(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or one of our own where it is unset (tests)."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        jvm_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if jvm_dir.isDefined():
-            return jvm_dir.get()
-        root = "file://" + tempfile.mkdtemp(prefix="convoframe-")
-        spark.sparkContext.setCheckpointDir(root)
-        return spark.sparkContext._jsc.sc().getCheckpointDir().get()
-    return root
-
-
-def write_table(df: DataFrame, tag: str) -> DataFrame:
-    """Writes ``df`` to the shared folder and reads it back.
-
-    The plan behind it then starts at files that outlive any executor, and what
-    follows more than once reads a slim table in place of the corpus.
-    """
-    spark = df.sparkSession
-    path = f"{checkpoint_root(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def _ship_package(spark: SparkSession) -> None:
     """Sends this package to the Python workers, once for each context."""
     context = spark.sparkContext
@@ -67,6 +43,28 @@ def arrow_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
 
 
+def lean(batches_to_batches):
+    """Wraps a function over Arrow batches: when a task ends, memory its worker keeps free goes back to the system.
+
+    Workers are reused from task to task, so what one operator needed at its peak
+    would otherwise stay with the executor.
+    """
+
+    def run(batches):
+        yield from batches_to_batches(batches)
+        import ctypes
+
+        import pyarrow as pa
+
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):  # another C library
+            pass
+
+    return run
+
+
 def lower_ascii(c: Column) -> Column:
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 

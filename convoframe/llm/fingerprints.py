@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from convoframe.llm.common import arrow_batches, arrow_texts, count_at_most
+from convoframe.llm.common import arrow_batches, arrow_texts, count_at_most, lean
 
 TERM_SLOTS = 1 << 18
 #: The idf band, as document frequencies: at least so many documents, at most this share of all.
@@ -77,7 +77,7 @@ def document_frequencies(records: DataFrame, text_col: str = "text") -> tuple[np
         n = sum(table.column("n").to_pylist())
         return pa.table({"chunk": pa.array([key[0].as_py()], pa.int64()), "counts": pa.array([total.tobytes()], pa.binary()), "n": pa.array([n], pa.int64())})
 
-    counted = records.select(F.col(text_col).cast("string").alias("_text")).mapInArrow(count, "chunk long, counts binary, n long")
+    counted = records.select(F.col(text_col).cast("string").alias("_text")).mapInArrow(lean(count), "chunk long, counts binary, n long")
     out, n = np.zeros(TERM_SLOTS, dtype=np.int64), 0
     for r in counted.groupBy("chunk").applyInArrow(add, "chunk long, counts binary, n long").collect():  # TERM_SLOTS / _CHUNK rows
         out[r["chunk"] * _CHUNK : (r["chunk"] + 1) * _CHUNK] = np.frombuffer(r["counts"], dtype=np.int64)
@@ -155,7 +155,7 @@ def fingerprint(records: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             prints = [f.of(data[a:b]).hex() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints, pa.string())], names=[id_col, "fingerprint"])
 
-    return records.select(id_col, F.col(text_col).cast("string").alias("_text")).mapInArrow(run, f"`{id_col}` {id_type}, fingerprint string")
+    return records.select(id_col, F.col(text_col).cast("string").alias("_text")).mapInArrow(lean(run), f"`{id_col}` {id_type}, fingerprint string")
 
 
 def compare_with_edits(records: DataFrame, id_col: str = "doc_id", text_col: str = "text", level: int = 1) -> DataFrame:
@@ -198,7 +198,7 @@ def compare_with_edits(records: DataFrame, id_col: str = "doc_id", text_col: str
             texts = [data[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array([pressed.compress(x.tobytes()) for x in texts], pa.binary()), pa.array([f.of(x) for x in texts], pa.binary())], names=["_range", "_own", "_id", "_h", "_z", "_f"])
 
-    small = rows.mapInArrow(shrink, f"_range int, _own int, _id {id_type}, _h long, _z binary, _f binary")
+    small = rows.mapInArrow(lean(shrink), f"_range int, _own int, _id {id_type}, _h long, _z binary, _f binary")
     dealt = small.repartition("_range").sortWithinPartitions("_range", "_own", F.asc_nulls_first("_id"), "_h")
 
     def finish(batches):
@@ -225,4 +225,4 @@ def compare_with_edits(records: DataFrame, id_col: str = "doc_id", text_col: str
             kinds = (pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64())
             yield pa.RecordBatch.from_arrays([batch.column(2).take(pa.array(kept, pa.int64()))] + [pa.array([r[i] for r in rows], kinds[i]) for i in range(6)], names=[id_col, "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
 
-    return dealt.mapInArrow(finish, f"`{id_col}` {id_type}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return dealt.mapInArrow(lean(finish), f"`{id_col}` {id_type}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")

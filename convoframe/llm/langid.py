@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from convoframe.llm.common import arrow_batches
+from convoframe.llm.common import arrow_batches, lean
 
 UNKNOWN = "und"
 BUCKETS = 4096
@@ -147,7 +147,7 @@ def train(records: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
             data = [x.tobytes() if x is not None else None for x in found]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(data, type=pa.binary())], names=["_lang", "_key", "_x"])
 
-    got = near.mapInArrow(featured, "_lang string, _key long, _x binary").filter(F.col("_x").isNotNull()).collect()
+    got = near.mapInArrow(lean(featured), "_lang string, _key long, _x binary").filter(F.col("_x").isNotNull()).collect()
     sample, seen = [], {}
     for r in sorted(got, key=lambda r: (r["_lang"], r["_key"])):
         if seen.setdefault(r["_lang"], 0) < each:
@@ -177,7 +177,7 @@ def identify(records: DataFrame, model: Model | None, id_col: str = "doc_id", te
             langs, scores, flags = zip(*out, strict=True) if out else ((), (), ())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(flags, pa.bool_())], names=[id_col, "lang_pred", "score", "ambiguous"])
 
-    return records.select(id_col, F.col(text_col).cast("string").alias("_text")).mapInArrow(predict, f"`{id_col}` {id_type}, lang_pred string, score double, ambiguous boolean")
+    return records.select(id_col, F.col(text_col).cast("string").alias("_text")).mapInArrow(lean(predict), f"`{id_col}` {id_type}, lang_pred string, score double, ambiguous boolean")
 
 
 def keep_identified(records: DataFrame, model: Model | None, text_col: str = "text", min_score: float = 0.5) -> DataFrame:
@@ -195,4 +195,4 @@ def keep_identified(records: DataFrame, model: Model | None, text_col: str = "te
                 marks.append(x is not None and not (ambiguous and score < min_score))
             yield batch.filter(pa.array(marks, pa.bool_()))
 
-    return records.mapInArrow(keep, records.schema)
+    return records.mapInArrow(lean(keep), records.schema)

@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from convoframe.llm.common import arrow_batches, arrow_texts, write_table
+from convoframe.llm.common import arrow_batches, arrow_texts, lean, write_table
 from convoframe.llm.components import components
 
 #: At similarity 0.8 exactly, a pair misses all bands with a chance of 3e-7; above that, less.
@@ -136,7 +136,7 @@ def signature_table(records: DataFrame, id_col: str, text_col: str, width: int)
                 [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(_signed(hashes), pa.int64(), mask=empty), bands], names=["_id", "_n", "_set", "_bands"]
             )
 
-    return records.select(id_col, F.col(text_col).cast("string").alias("_text")).mapInArrow(sign, f"_id {id_type}, _n long, _set long, _bands array<long>")
+    return records.select(id_col, F.col(text_col).cast("string").alias("_text")).mapInArrow(lean(sign), f"_id {id_type}, _n long, _set long, _bands array<long>")
 
 
 def _leader_pairs(signed: DataFrame) -> DataFrame:
@@ -173,7 +173,7 @@ def _texts_of_sets(records: DataFrame, signed: DataFrame, wanted: DataFrame, id_
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["_set", "_z"]).filter(pa.array(marks, pa.bool_()))
 
     typed = records.select(F.col(id_col).alias("_one"), F.col(text_col).cast("string").alias("_text"))
-    found = typed.join(chosen, typed["_one"].eqNullSafe(chosen["_one"])).select("_set", "_text").mapInArrow(shrink, "_set long, _z binary")
+    found = typed.join(chosen, typed["_one"].eqNullSafe(chosen["_one"])).select("_set", "_text").mapInArrow(lean(shrink), "_set long, _z binary")
     return write_table(found, "wanted-texts").dropDuplicates(["_set"])
 
 
@@ -214,7 +214,7 @@ def _compare(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
                 [pa.array([r[k] for r in rows], pa.int64()) for k in range(5)] + [pa.array([r[k] for r in rows], kind) for k in (5, 6)], names=["leader", "x", "leader_n", "x_n", "shared", "less", "more"]
             )
 
-    return dealt.mapInArrow(run, "leader long, x long, leader_n long, x_n long, shared long, less array<long>, more array<long>")
+    return dealt.mapInArrow(lean(run), "leader long, x long, leader_n long, x_n long, shared long, less array<long>, more array<long>")
 
 
 def _inside_groups(compared: DataFrame, labels: DataFrame, percent: int) -> DataFrame:

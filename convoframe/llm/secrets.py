@@ -18,7 +18,7 @@ from re import _parser as parser
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from convoframe.llm.common import arrow_batches, arrow_texts
+from convoframe.llm.common import arrow_batches, arrow_texts, lean
 
 #: Most alternative strings kept while a query is derived.
 MAX_STRINGS = 64
@@ -228,7 +228,7 @@ def scan_secrets(records: DataFrame, id_col: str = "doc_id", text_col: str = "te
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, type=kind)], names=[id_col, "spans"])
 
     return records.select(id_col, F.col(text_col).cast("string").alias("_text")).mapInArrow(
-        scan, f"`{id_col}` {id_type}, spans array<struct<kind:string,start:bigint,end:bigint>>"
+        lean(scan), f"`{id_col}` {id_type}, spans array<struct<kind:string,start:bigint,end:bigint>>"
     )
 
 
@@ -259,4 +259,4 @@ def redact_secrets(records: DataFrame, text_col: str = "text", rules=RULES, repl
                 out.append("".join([*parts, text[end:]]) if there else None)
             yield pa.RecordBatch.from_arrays([pa.array(out, type=pa.string()) if i == at else c for i, c in enumerate(batch.columns)], schema=batch.schema)
 
-    return records.mapInArrow(clean, records.schema)
+    return records.mapInArrow(lean(clean), records.schema)

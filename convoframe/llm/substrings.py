@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from convoframe.llm.common import arrow_batches, arrow_texts, write_table
+from convoframe.llm.common import arrow_batches, arrow_texts, lean, write_table
 
 LENGTH = 100
 GRAM = 24
@@ -33,7 +33,9 @@ GRAM = 24
 OFFSETS = LENGTH - GRAM + 1
 #: Bytes of text handled by one numpy pass, and anchors gathered before a task sends them.
 PIECE = 1 << 17
-FLUSH = 1_500_000
+FLUSH = 400_000
+#: Bytes of contexts sorted at a time.
+SLICE = 1 << 19
 #: An anchor with more contexts is dealt on by its single strings.
 HOT_CONTEXTS = 20_000
 #: Up to so many ids (16 bytes each) are sent to the scan of the texts; more are joined by a shuffle.
@@ -285,7 +287,7 @@ def _contexts(batches, buckets: int):
                 take = np.repeat(begin - np.r_[0, np.cumsum(size)[:-1]], size) + np.arange(int(size.sum()))
                 held.append((key, np.full(len(place), doc, np.int64), place, lo, size, data[take].tobytes()))
                 total += int(size.sum())
-            if total >= 64 * PIECE:
+            if total >= 32 * PIECE:
                 yield flush(held)
                 held, total = [], 0
     if held:
@@ -295,16 +297,18 @@ def _contexts(batches, buckets: int):
 def repeated_strings(data: np.ndarray, group: np.ndarray, start: np.ndarray, left: np.ndarray, size: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
     """(context, offset) of every string that an earlier context of its group has at the same offset.
 
-    Contexts are stretches of ``data`` around an anchor, ``left`` bytes before it,
-    listed by group and then by precedence.
+    Contexts are adjoining stretches of ``data`` around an anchor, ``left`` bytes
+    before it, listed by group and then by precedence.
     """
     from convoframe.llm.suffixsort import Prefix, sort_suffixes
 
     n = len(group)
     right = size - left - GRAM
     # Forwards: what follows from the anchor on.  Backwards: what precedes it, read leftwards.
-    f_order, f_ext = sort_suffixes(Prefix(data), start + left, GRAM + right, group)
-    b_order, b_ext = sort_suffixes(Prefix(data[::-1].copy()), len(data) - start - left, left, group)
+    phase = (np.arange(len(data)) - np.repeat(start, size)).astype(np.uint8)
+    f_order, f_ext = sort_suffixes(Prefix(data, phase), start + left, GRAM + right, group)
+    phase = (np.repeat(size, size) - 1 - phase)[::-1].astype(np.uint8)
+    b_order, b_ext = sort_suffixes(Prefix(data[::-1].copy(), phase), len(data) - start - left, left, group)
     out = []
     for back in range(OFFSETS):
         ahead = LENGTH - back  # bytes needed from the anchor on
@@ -320,7 +324,7 @@ def repeated_strings(data: np.ndarray, group: np.ndarray, start: np.ndarray, lef
         again = np.r_[False, key[order][1:] == key[order][:-1]]
         hit = i[order[again]]
         if len(hit):
-            out.append((hit, np.full(len(hit), back)))
+            out.append((hit.astype(np.int32), np.full(len(hit), back, np.uint8)))
     return out
 
 
@@ -341,12 +345,20 @@ def _sort_contexts(batches):
         start = np.r_[0, np.cumsum(size)[:-1]]
         order = np.lexsort((place, doc, key))
         key, doc, place, left, size, start = (x[order] for x in (key, doc, place, left, size, start))
-        group = np.cumsum(np.r_[True, key[1:] != key[:-1]])
-        found = repeated_strings(data, group, start, left, size)
+        # Whole groups at a time, up to about ``SLICE`` bytes, bound the sort's memory.
+        heads = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        before = np.r_[0, np.cumsum(size)]
+        part = before[heads] // SLICE
+        cuts = np.r_[heads[np.r_[True, part[1:] != part[:-1]]], len(key)]
+        found = []
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            take = np.repeat(start[a:b] - (before[a:b] - before[a]), size[a:b]) + np.arange(before[b] - before[a])
+            group = np.cumsum(np.r_[True, key[a + 1 : b] != key[a : b - 1]])
+            found += [(hit + a, back) for hit, back in repeated_strings(data[take], group, before[a:b] - before[a], left[a:b], size[a:b])]
         if not found:
             continue
         hit, back = np.concatenate([x[0] for x in found]), np.concatenate([x[1] for x in found])
-        begin = place[hit] - back
+        begin = place[hit] - back.astype(np.int64)
         order = np.lexsort((begin, doc[hit]))
         d, s = doc[hit][order], begin[order]
         # Runs of neighbouring strings, as (start, length) in one number.
@@ -412,8 +424,8 @@ def remove_repeats(records: DataFrame, id_col: str = "doc_id", text_col: str = "
         docs = write_table(docs, "numbered-texts")
     buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
 
-    blobs = docs.mapInArrow(lambda x: _gather(x, buckets), "bucket int, blob binary")
-    settled = blobs.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(lambda x: _settle(x, hot_contexts), "_d long, codes array<long>")
+    blobs = docs.mapInArrow(lean(lambda x: _gather(x, buckets)), "bucket int, blob binary")
+    settled = blobs.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(lean(lambda x: _settle(x, hot_contexts)), "_d long, codes array<long>")
     settled = write_table(settled, "settled")
     ids = write_table(settled.select("_d").distinct(), "touched")
     few = ids.count() <= BROADCAST_IDS
@@ -428,12 +440,12 @@ def remove_repeats(records: DataFrame, id_col: str = "doc_id", text_col: str = "
             offsets, data = arrow_texts(batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([pressed.compress(data[a:b].tobytes()) for a, b in zip(offsets[:-1], offsets[1:], strict=True)], pa.binary())], names=["_d", "_z"])
 
-    texts = docs.join(touched, "_d", "left_semi").mapInArrow(shrink, "_d long, _z binary")
+    texts = docs.join(touched, "_d", "left_semi").mapInArrow(lean(shrink), "_d long, _z binary")
     lists = settled.groupBy("_d").agg(F.collect_list("codes").alias("lists"))
     found = write_table(texts.join(lists, "_d"), "touched-texts")
     some_open = F.exists("lists", lambda x: F.exists(x, lambda c: c % 4 != SETTLED))
-    contexts = found.filter(some_open).select("_d", "_z", "lists").mapInArrow(lambda x: _contexts(x, buckets), "bucket int, blob binary")
-    runs = contexts.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_sort_contexts, "_d long, runs array<long>")
+    contexts = found.filter(some_open).select("_d", "_z", "lists").mapInArrow(lean(lambda x: _contexts(x, buckets)), "bucket int, blob binary")
+    runs = contexts.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(lean(_sort_contexts), "_d long, runs array<long>")
     runs = write_table(runs, "runs").groupBy("_d").agg(F.collect_list("runs").alias("runs"))
 
     def finish(batches):
@@ -452,7 +464,7 @@ def remove_repeats(records: DataFrame, id_col: str = "doc_id", text_col: str = "
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0)] + [pa.array([r[k] for r in rows], kinds[k]) for k in range(5)], names=["_d", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
-    changed = found.join(runs, "_d", "left").select("_d", "_z", "lists", "runs").mapInArrow(finish, "_d long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    changed = found.join(runs, "_d", "left").select("_d", "_z", "lists", "runs").mapInArrow(lean(finish), "_d long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
     bytes_of = F.col("_text").cast("binary")
     same = docs.join(touched, "_d", "left_anti").select("_d", F.octet_length("_text").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.sha2(bytes_of, 256).alias("kept_sha256"), (bytes_of if with_text else F.lit(None).cast("binary")).alias("kept"))
     out = changed.unionByName(same)

@@ -18,25 +18,33 @@ _TABLE = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xE7037ED1A0B428DB
 
 
 class Prefix:
-    """Prefix hashes of a byte buffer; ``of(start, length)`` is independent of the place."""
+    """Prefix hashes of a byte buffer; ``of(start, length)`` is independent of the place.
+
+    Where stretches never leave short pieces of the buffer, ``phase`` (each byte's
+    place in its piece) keeps the powers to as many as a piece has bytes.
+    """
 
     _pow = _powers(1 << 12, _BASE)
     _inv = _powers(1 << 12, pow(_BASE, -1, 1 << 64))
 
-    def __init__(self, data: np.ndarray):
+    def __init__(self, data: np.ndarray, phase: np.ndarray | None = None):
         n = len(data)
-        if len(Prefix._pow) <= n:
-            size = 1 << (n + 1).bit_length()
+        most = n if phase is None else int(phase.max(initial=0)) + 1
+        if len(Prefix._pow) <= most:
+            size = 1 << (most + 1).bit_length()
             Prefix._pow, Prefix._inv = _powers(size, _BASE), _powers(size, pow(_BASE, -1, 1 << 64))
-        self.data = data
+        self.data, self.phase = data, phase
         self.sums = np.zeros(n + 1, dtype=np.uint64)
-        np.cumsum(_TABLE[data] * Prefix._pow[:n], out=self.sums[1:])
+        terms = _TABLE[data]
+        terms *= Prefix._pow[:n] if phase is None else Prefix._pow[phase]
+        np.cumsum(terms, out=self.sums[1:])
 
     def of(self, start, length):
-        return (self.sums[start + length] - self.sums[start]) * Prefix._inv[start]
+        at = start if self.phase is None else self.phase[np.minimum(start, len(self.phase) - 1)]
+        return (self.sums[start + length] - self.sums[start]) * Prefix._inv[at]
 
     def grams(self, k: int) -> np.ndarray:
-        """Hashes of all stretches of length ``k``."""
+        """Hashes of all stretches of length ``k`` (of a buffer without phases)."""
         n = len(self.data)
         return mix64((self.sums[k:] - self.sums[: n - k + 1]) * Prefix._inv[: n - k + 1]) if n >= k else np.zeros(0, np.uint64)
 
@@ -124,11 +132,12 @@ def sort_suffixes(p: Prefix, start: np.ndarray, length: np.ndarray, group: np.nd
 
 def _unverified(p: Prefix, start, length, a, b, ext) -> np.ndarray:
     """Which neighbours differ inside their extension, agree beyond it, or stand in the wrong order."""
-    at = np.repeat(np.r_[0, np.cumsum(ext)[:-1]], ext)
-    step = np.arange(int(ext.sum())) - at
-    x, y = p.data[np.repeat(start[a], ext) + step], p.data[np.repeat(start[b], ext) + step]
     bad = np.zeros(len(a), dtype=bool)
-    bad[np.repeat(np.arange(len(a)), ext)[x != y]] = True
+    for lo in range(0, len(a), 2048):
+        i, e = slice(lo, lo + 2048), ext[lo : lo + 2048]
+        step = np.arange(int(e.sum())) - np.repeat(np.r_[0, np.cumsum(e)[:-1]], e)
+        x, y = p.data[np.repeat(start[a[i]], e) + step], p.data[np.repeat(start[b[i]], e) + step]
+        bad[lo + np.repeat(np.arange(len(e)), e)[x != y]] = True
     most = np.minimum(length[a], length[b])
     inner = ext < most
     size = len(p.data)
