@@ -16,13 +16,13 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from convoframe.llm.common import arrow_batches, cut_into, write_table
+from convoframe.llm.common import arrow_batches, cut_into, lean, write_table
 
 SEQUENCE = 2048
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 1
 #: Distinct white-space-free strings whose ids a worker remembers, in each of two generations.
-CACHE = 700_000
+CACHE = 250_000
 PIECE_ROWS = 20_000
 
 
@@ -147,7 +147,7 @@ def tokenize_pieces(
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
     schema = f"`{id_col}` {id_type}, start long, length long, ids_crc32 long, doc_tokens long" + (", ids array<int>" if with_ids else "")
-    return records.select(id_col, F.col(text_col).cast("string").alias("_text")).mapInArrow(cut, schema)
+    return records.select(id_col, F.col(text_col).cast("string").alias("_text")).mapInArrow(lean(cut), schema)
 
 
 def pack_histogram(counts: dict[int, int], size: int) -> list[tuple[tuple[int, ...], int]]:
