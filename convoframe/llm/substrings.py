@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from convoframe.llm.common import arrow_batches, arrow_texts, lean, write_table
+from convoframe.llm.common import arrow_batches, arrow_texts, count_at_most, lean, write_table
 
 LENGTH = 100
 GRAM = 24
@@ -41,6 +41,10 @@ HOT_CONTEXTS = 20_000
 #: Up to so many ids (16 bytes each) are sent to the scan of the texts; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 
+#: Where ids must be numbered first: ids a range is meant to hold, and the most ranges made.
+RANGE_ROWS = 50_000
+MAX_RANGES = 4_096
+
 SETTLED, OPEN, HOT = 0, 1, 2
 
 
@@ -398,8 +402,17 @@ def _numbered(records: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame
     if records.schema[id_col].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint") and counts[0] <= 1 and not counts[1]:
         return typed.select(F.col("_id").cast("long").alias("_d"), "_text"), None
     hashed = typed.withColumn("_h", F.xxhash64("_text", F.lit(0)))
-    distinct = hashed.groupBy("_id", "_h").agg(F.count(F.lit(1)).alias("_n"))
-    numbers = write_table(distinct.withColumn("_d", F.row_number().over(Window.orderBy(F.asc_nulls_first("_id"), "_h")).cast("long")), "numbers")
+    distinct = write_table(hashed.groupBy("_id", "_h").agg(F.count(F.lit(1)).alias("_n")), "distinct")
+    # Ranges of ids at the quantiles of a hash sample; a number is the rows of the ranges before, and the place inside.
+    k = max(1, min(MAX_RANGES, distinct.count() // RANGE_ROWS))
+    drawn = sorted(r["_id"] for r in distinct.filter("_id is not null").orderBy(F.xxhash64("_id", "_h")).limit(8 * k).collect())
+    bounds = sorted({drawn[i * len(drawn) // k] for i in range(1, k)}) if drawn else []
+    ranged = distinct.withColumn("_range", F.coalesce(count_at_most(F.col("_id"), bounds), F.lit(-1)))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # over one row a range
+    starts = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("c")).select("_range", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("_first"))
+    inside = Window.partitionBy("_range").orderBy(F.asc_nulls_first("_id"), "_h")
+    numbered = ranged.withColumn("_rn", F.row_number().over(inside)).join(F.broadcast(starts), "_range")  # at most MAX_RANGES + 1 rows
+    numbers = write_table(numbered.select("_id", "_h", "_n", (F.col("_first") + F.col("_rn")).cast("long").alias("_d")), "numbers")
     texts = hashed.dropDuplicates(["_id", "_h"]).alias("t").join(numbers.alias("m"), F.col("t._id").eqNullSafe(F.col("m._id")) & (F.col("t._h") == F.col("m._h")))
     return texts.select("_d", "_text"), numbers
 
