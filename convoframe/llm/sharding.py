@@ -27,8 +27,8 @@ def shard_by_size(records: DataFrame, shards: int, id_col: str = "doc_id", text_
 
     Size is the text's UTF-8 bytes plus one (null text: one).  Equal texts are
     neighbours in the order, and share a shard unless their group is larger than
-    ``WHOLE_GROUP`` of one; so a shard misses the mean by about that share or by
-    one record.  Returns ``id_col, size, text_crc32, shard, slot``; slots are
+    ``WHOLE_GROUP`` of one; so a shard misses the mean by half of that share, or
+    of one record, at either end.  Returns ``id_col, size, text_crc32, shard, slot``; slots are
     gapless from 0 in each shard.
 
     Null ids sort first; repeated rows are dealt like any others; an empty table
@@ -79,8 +79,9 @@ def shard_by_size(records: DataFrame, shards: int, id_col: str = "doc_id", text_
         .join(F.broadcast(starts), ["_range", "_part"])  # one row a range: bounded by MAX_RANGES and their parts
     )
     whole = F.col("_gs") * F.lit(shards) <= F.lit(WHOLE_GROUP * total)
-    at = F.col("_s0") + F.when(whole, F.col("_g0")).otherwise(F.col("_in"))
-    placed = placed.withColumn("shard", F.least(F.lit(shards - 1), F.floor(at * F.lit(shards) / F.lit(max(1, total)))).cast("int")).withColumn("_rank", F.col("_n0") + F.col("_rn"))
+    # Twice the middle of the record, or of its group: what straddles a boundary goes where more of it lies.
+    middle = 2 * F.col("_s0") + F.when(whole, 2 * F.col("_g0") + F.col("_gs")).otherwise(2 * F.col("_in") + F.col("_size"))
+    placed = placed.withColumn("shard", F.least(F.lit(shards - 1), F.floor(middle * F.lit(shards) / F.lit(max(1, 2 * total)))).cast("int")).withColumn("_rank", F.col("_n0") + F.col("_rn"))
     placed = write_table(placed.select("_id", "_size", "_crc", "shard", "_rank"), "shard-placed")
     first = placed.groupBy("shard").agg(F.min("_rank").alias("_first"))  # one row a shard
     return placed.join(F.broadcast(first), "shard").select(

@@ -90,3 +90,14 @@ def test_queries_return_every_row(spark, name):
     assert out.select(key).distinct().count() == expected
     if "packing" not in name:
         assert out.count() == expected
+
+
+@pytest.mark.parametrize("name", ["op5_sharding", "op7_mixing", "op8_quality", "op9_urlfilter"])
+def test_native_queries_run_no_python(spark, name):
+    plan = Q.QUERIES[name](spark, SF)._jdf.queryExecution().toString()
+    assert not re.search("Python|Pandas|Arrow|NestedLoop|Cartesian", plan)
+
+
+def test_scans_read_only_what_they_use(spark):
+    plan = Q.op9_urlfilter(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "html" not in plan.split("ReadSchema")[-1]
