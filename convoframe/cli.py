@@ -40,7 +40,7 @@ def parser() -> argparse.ArgumentParser:
     return p
 
 
-def main(argv: list[str] | None = None, complete=None, analyser=None) -> int:
+def main(argv: list[str] | None = None, complete=None) -> int:
     p = parser()
     args = p.parse_args(argv)
     if args.verb == "help":
@@ -77,9 +77,10 @@ def main(argv: list[str] | None = None, complete=None, analyser=None) -> int:
         if args.list:
             print("\n".join(csv_source.folders(spark, o.data_dir)))
             return 0
-        done = stages.analyse(spark, o, analyser or (lambda contact, body: f"{contact}: {len(body)} characters"), args.contact)
+        done = stages.analyse(spark, o, complete or (lambda prompt: prompt.split("\n")[0]), args.contact)
         export.export_json_lines(done["level2"], f"{o.output_dir}/analysis_report_{args.contact or 'all'}.json")
-        done["final"].show()
+        done["final"].select("total_contacts", "total_messages", "analysis").show(1, False)
+        print(stages.analysis_cache_stats(spark, o))
     return 0
 
 

@@ -66,6 +66,9 @@ class Options:
     threads: int = 3
     chunk: int = 1000
     prompt: str = "{instruction}\n{input}\n{output}\n"
+    first_prompt: str = "{contact_name} ({relationship}), {conversation_count} messages:\n{conversations}"
+    second_prompt: str = "{contact_name} ({relationship}), {total_messages} messages in {analysis_count} parts:\n{analyses}"
+    final_prompt: str = "{contact_count} contacts, {total_messages} messages:\n{contact_analyses}"
 
     @classmethod
     def of(cls, s: Settings) -> Options:
@@ -84,4 +87,7 @@ class Options:
             threads=s.get("llm_evaluation.max_workers", d.threads),
             chunk=s.get("pattern_analysis.chunk_size", d.chunk),
             prompt=s.get("llm_evaluation.evaluation_prompt", d.prompt),
+            first_prompt=s.get("pattern_analysis.first_level_prompt", d.first_prompt),
+            second_prompt=s.get("pattern_analysis.second_level_prompt", d.second_prompt),
+            final_prompt=s.get("pattern_analysis.final_level_prompt", d.final_prompt),
         )

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -67,32 +65,21 @@ def chunk_key(contact: Column, relationship: Column, body: Column) -> Column:
     return F.md5(F.to_json(F.struct(contact.alias("contact"), relationship.alias("relationship"), body.alias("messages"))))
 
 
-def analyse_chunks(chunks: DataFrame, analyse: Callable[[str, str], str], me: str = "我") -> DataFrame:
-    """Level 1: ``contact, chunk, message_count, analysis`` of every chunk; a failed analysis drops its chunk.
-
-    A chunk is bounded by its size, so it is put together in one row; the analyser
-    runs in Arrow batches on the executors.
-    """
-    rows = chunks.groupBy("contact", "chunk").agg(F.count(F.lit(1)).alias("message_count"), conversation_json(chunks, me).alias("body"))
-
-    def run(batches):
-        for pdf in batches:
-            texts = []
-            for contact, body in zip(pdf["contact"], pdf["body"], strict=True):
-                try:
-                    texts.append(analyse(contact, body))
-                except Exception:  # noqa: BLE001  the analyser is the user's
-                    texts.append(None)
-            pdf = pdf.assign(analysis=texts).drop(columns="body")
-            yield pdf[pdf["analysis"].notna()]
-
-    return rows.mapInPandas(run, "contact string, chunk long, message_count long, analysis string")
+def chunk_bodies(chunks: DataFrame, me: str = "我") -> DataFrame:
+    """``contact, chunk, message_count, body``: every chunk as JSON (a chunk is bounded by its size)."""
+    return chunks.groupBy("contact", "chunk").agg(F.count(F.lit(1)).alias("message_count"), conversation_json(chunks, me).alias("body"))
 
 
 def merge_by_contact(level1: DataFrame) -> DataFrame:
-    """Level 2 input: a contact's analyses in order with their number and messages."""
+    """A contact's analyses in order, as a JSON array, with their number and messages."""
     parts = F.array_sort(F.collect_list(F.struct("chunk", "analysis")))
-    return level1.groupBy("contact").agg(F.count(F.lit(1)).alias("analysis_count"), F.sum("message_count").alias("total_messages"), F.array_join(F.transform(parts, lambda x: x["analysis"]), "\n\n").alias("analyses"))
+    return level1.groupBy("contact").agg(F.count(F.lit(1)).alias("analysis_count"), F.sum("message_count").alias("total_messages"), F.to_json(F.transform(parts, lambda x: x["analysis"])).alias("analyses"))
+
+
+def merge_all(level2: DataFrame) -> DataFrame:
+    """One row: all contacts' merged analyses in the order of the contacts, as JSON, with totals."""
+    parts = F.array_sort(F.collect_list(F.struct("contact", "analysis")))
+    return level2.agg(F.count(F.lit(1)).alias("total_contacts"), F.coalesce(F.sum("total_messages"), F.lit(0)).alias("total_messages"), F.to_json(parts).alias("contact_analyses"))
 
 
 def final_summary(level2: DataFrame) -> DataFrame:

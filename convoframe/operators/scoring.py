@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,38 +25,6 @@ def cache_misses(samples: DataFrame, cache: DataFrame) -> DataFrame:
     return samples.join(cache, "key", "left_anti").dropDuplicates(["key"])
 
 
-def score_with(samples: DataFrame, complete: Callable[[str], str], prompt: Callable[[dict], str], attempts: int = 3, wait: float = 1.0, threads: int = 3) -> DataFrame:
-    """``key, response, error`` of every sample from an injected completion.
-
-    Calls run in a few threads for each partition.  A call that fails is tried
-    again; after the last attempt the error is kept and nothing is cached.
-    """
-
-    def run(batches):
-        import time
-        from concurrent.futures import ThreadPoolExecutor
-
-        import pandas as pd
-
-        def one(row: dict) -> tuple[str | None, str | None]:
-            error = None
-            for attempt in range(attempts):
-                if attempt:
-                    time.sleep(wait)
-                try:
-                    return complete(prompt(row)), None
-                except Exception as e:  # noqa: BLE001  the completion is the user's
-                    error = str(e)
-            return None, error
-
-        with ThreadPoolExecutor(threads) as pool:
-            for pdf in batches:
-                replies = list(pool.map(one, pdf.to_dict("records")))
-                yield pd.DataFrame({"key": pdf["key"], "response": [r[0] for r in replies], "error": [r[1] for r in replies]})
-
-    return samples.select("key", "instruction", "input", "output").mapInPandas(run, "key string, response string, error string")
-
-
 def scored(replies: DataFrame) -> DataFrame:
     """Adds the parsed score; a failed call scores 0."""
     return replies.withColumn("score", F.when(F.col("error").isNull(), parse_score(F.col("response"))).otherwise(F.lit(0.0)))

@@ -10,7 +10,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from convoframe.functions.text import SECOND, micros, parse_score
+from convoframe.functions.text import SECOND, micros, parse_score, render
+from convoframe.operators import completions as P
 from convoframe.operators import contacts as C
 from convoframe.operators import context as X
 from convoframe.operators import conversations as V
@@ -358,20 +359,21 @@ def q_conversation_chunks(spark, sf_dir):
     return _chunks(spark, sf_dir).groupBy("contact", "chunk").agg(F.count(F.lit(1)).alias("message_count"), F.min("ix").alias("first_ix"), F.max("ix").alias("last_ix"))
 
 
-def _offline(contact: str, body: str) -> str:
-    """The tests' analyser: how many messages a chunk has."""
-    import json
-
-    return f"{contact}: {len(json.loads(body))}"
+def _offline(prompt: str) -> str:
+    """The offline completion of the fixtures: the prompt's first line."""
+    return prompt.split("\n")[0]
 
 
 _LEVEL1 = "level1 as (select contact, chunk, count(*) as message_count, contact || ': ' || count(*) as analysis from placed group by contact, chunk)"
-_LEVEL2 = "level2 as (select contact, count(*) as analysis_count, cast(sum(message_count) as bigint) as total_messages, string_agg(analysis, chr(10) || chr(10) order by chunk) as analyses from level1 group by contact)"
+_LEVEL2 = "level2 as (select contact, count(*) as analysis_count, cast(sum(message_count) as bigint) as total_messages, '[' || string_agg('"' || analysis || '"', ',' order by chunk) || ']' as analyses from level1 group by contact)"
 
 
 @query(_sql("select * from level1", _RELATED, _CHUNKS, _LEVEL1))
 def q_level1(spark, sf_dir):
-    return V.analyse_chunks(_chunks(spark, sf_dir), _offline)
+    bodies = V.chunk_bodies(_chunks(spark, sf_dir)).withColumn("key", V.chunk_key(F.col("contact"), F.lit(""), F.concat_ws(":", "chunk", "body")))
+    prompts = bodies.withColumn("prompt", render("{contact}: {n}\n{body}", contact=F.col("contact"), n=F.col("message_count"), body=F.col("body")))
+    replies = P.complete(prompts, _offline).filter("error is null")
+    return prompts.join(replies, "key").select("contact", "chunk", "message_count", F.col("response").alias("analysis"))
 
 
 @query(_sql("select * from level2", _RELATED, _CHUNKS, _LEVEL1, _LEVEL2))

@@ -8,11 +8,12 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from convoframe.config import Options
 from convoframe.functions.text import micros, render
+from convoframe.operators import completions as P
 from convoframe.operators import contacts as C
 from convoframe.operators import conversations as V
 from convoframe.operators import lexicon as L
@@ -80,15 +81,9 @@ def stage2(spark: SparkSession, o: Options, complete: Callable[[str], str] | Non
     keyed = E.keyed(samples)
     cache = export.load_table(spark, o.output_dir, "eval_cache")
     cache = cache if cache is not None else spark.createDataFrame([], CACHE)
-    template = o.prompt
-
-    def prompt(row: dict) -> str:
-        import re
-
-        return re.sub(r"\{(instruction|input|output)\}", lambda m: row[m[1]] or "", template)
-
-    misses = E.cache_misses(keyed, cache)
-    replies = export.save_table(E.scored(E.score_with(misses, complete, prompt, o.attempts, threads=o.threads)), o.output_dir, "last_replies")
+    prompt = render(o.prompt, instruction=F.col("instruction"), input=F.col("input"), output=F.col("output"))
+    misses = E.cache_misses(keyed, cache).withColumn("prompt", prompt)
+    replies = export.save_table(E.scored(P.complete(misses, complete, o.attempts, threads=o.threads)), o.output_dir, "last_replies")
     good = replies.filter("error is null").join(misses, "key").select("key", "score", "response", "instruction", "input", "output", F.current_timestamp().alias("cached_at"))
     export.save_table(good, o.output_dir, "eval_cache", mode="append")
     scores = keyed.join(cache.select("key", "score", "response").unionByName(replies.select("key", "score", "response")), "key")
@@ -116,8 +111,23 @@ def clear_cache(spark: SparkSession, o: Options) -> None:
     export.save_table(spark.createDataFrame([], CACHE), o.output_dir, "eval_cache")
 
 
-def analyse(spark: SparkSession, o: Options, analyser: Callable[[str, str], str], folder: str | None = None) -> dict[str, DataFrame]:
-    """Conversations of one folder or all, analysed by chunk, merged by contact, and summed up."""
+def _cached(spark: SparkSession, o: Options, rows: DataFrame, kind: str, call: Callable[[str], str]) -> DataFrame:
+    """Adds ``analysis`` to rows with ``key`` and ``prompt``: cached, or called for, cached and logged; failed rows are left out."""
+    rows = export.save_table(rows, o.output_dir, f"analysis_{kind}_prompts")
+    cache = export.load_table(spark, o.output_dir, "analysis_cache")
+    cache = cache if cache is not None else spark.createDataFrame([], P.CACHE)
+    todo = P.missing(rows, cache)
+    replies = export.save_table(P.complete(todo, call, o.attempts, threads=o.threads), o.output_dir, f"analysis_{kind}_replies")
+    export.save_table(P.log_rows(todo, replies, kind), o.output_dir, "api_log", mode="append")
+    fresh = replies.filter("error is null").select("key", "response")
+    known = cache.select("key", "response").join(rows.select("key").distinct(), "key", "left_semi").unionByName(fresh)
+    done = export.save_table(rows.join(known.withColumnRenamed("response", "analysis"), "key"), o.output_dir, f"analysis_{kind}")
+    export.save_table(fresh.withColumn("cached_at", F.current_timestamp()), o.output_dir, "analysis_cache", mode="append")
+    return done
+
+
+def analyse(spark: SparkSession, o: Options, call: Callable[[str], str], folder: str | None = None) -> dict[str, DataFrame]:
+    """Conversations of one folder or all, analysed by chunk, merged by contact, and summed up; what the cache has is not asked again."""
     if folder is not None and folder not in csv_source.folders(spark, o.data_dir):
         raise ValueError(f"there is no folder {folder!r} with messages")
     rows = csv_source.analysis_messages(spark, o.data_dir, folder, o.epoch_unit)
@@ -125,15 +135,28 @@ def analyse(spark: SparkSession, o: Options, analyser: Callable[[str, str], str]
     found = C.infer_me(rows).first()
     if found is None:
         raise ValueError("there are no messages to analyse")
-    chunks = V.chunked(V.conversations(rows, found["talker"]), o.chunk)
-    level1 = export.save_table(V.analyse_chunks(chunks, analyser, o.my_name), o.output_dir, "analysis_level1")
-    level2 = export.save_table(V.merge_by_contact(level1), o.output_dir, "analysis_level2")
-    return {"level1": level1, "level2": level2, "final": V.final_summary(level2)}
-
+    contacts = export.load_table(spark, o.output_dir, "contacts")
+    contacts = contacts if contacts is not None else spark.createDataFrame([], CONTACTS)
 
-def chunk_prompt(template: str, contact: Column, relationship: Column, count: Column, body: Column) -> Column:
-    """A level-1 prompt; message texts are not scanned for places."""
-    return render(template, contact_name=contact, relationship=relationship, conversation_count=count, conversations=body)
+    def named(df: DataFrame) -> DataFrame:
+        return C.with_contact(df, contacts, "contact").withColumn("contact_name", C.display_name(F.col("remark"), F.col("nickname"), F.col("contact"))).drop("nickname", "remark", "relationship_detail", "first_contact_date")
+
+    who = {"contact_name": F.col("contact_name"), "relationship": F.col("relationship")}
+    bodies = named(V.chunk_bodies(V.chunked(V.conversations(rows, found["talker"]), o.chunk), o.my_name))
+    first = bodies.select("contact", "chunk", "message_count", V.chunk_key(F.col("contact"), F.col("relationship"), F.regexp_replace("body", r',"create_time":"[^"]*"', "")).alias("key"), render(o.first_prompt, **who, conversation_count=F.col("message_count"), conversations=F.col("body")).alias("prompt"))
+    level1 = _cached(spark, o, first, "level1", call)
+    merged = named(V.merge_by_contact(level1))
+    second = merged.select("contact", "analysis_count", "total_messages", V.chunk_key(F.col("contact"), F.col("relationship"), F.col("analyses")).alias("key"), render(o.second_prompt, **who, total_messages=F.col("total_messages"), analysis_count=F.col("analysis_count"), analyses=F.col("analyses")).alias("prompt"))
+    level2 = _cached(spark, o, second, "level2", call)
+    last = V.merge_all(level2).select("total_contacts", "total_messages", F.md5("contact_analyses").alias("key"), render(o.final_prompt, contact_count=F.col("total_contacts"), total_messages=F.col("total_messages"), contact_analyses=F.col("contact_analyses")).alias("prompt"))
+    final = _cached(spark, o, last, "final", call)
+    return {"level1": level1, "level2": level2, "final": final}
+
+
+def analysis_cache_stats(spark: SparkSession, o: Options) -> dict[str, int]:
+    """Entries of the analysis cache and of the log."""
+    tables = {name: export.load_table(spark, o.output_dir, name) for name in ("analysis_cache", "api_log")}
+    return {name: df.count() if df is not None else 0 for name, df in tables.items()}
 
 
 def span(timeline: DataFrame) -> DataFrame:

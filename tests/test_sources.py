@@ -74,10 +74,24 @@ def test_stage2_scores_once(spark, data):
 
 def test_analyse(spark, data):
     assert csv_source.folders(spark, str(data / "data")) == ["ann", "bob"]
-    done = stages.analyse(spark, options(data), lambda contact, body: str(len(json.loads(body))), "bob")
-    assert [tuple(r) for r in done["level2"].collect()] == [("wxid_bob", 1, 30, "30")] or done["level2"].first()["total_messages"] == 30
+    calls = spark.sparkContext.accumulator(0)
+
+    def call(prompt):
+        calls.add(1)
+        return prompt.split("\n")[0]
+
+    o = options(data)
+    done = stages.analyse(spark, o, call, "bob")
+    row = done["level2"].first()
+    assert (row["contact"], row["analysis_count"], row["total_messages"]) == ("wxid_me", 1, 30)  # a tie: who wrote first counts as me
+    assert row["analysis"] == "wxid_me (朋友), 30 messages in 1 parts:"
+    final = done["final"].first()
+    assert final["total_contacts"] == 1 and calls.value == 3
+    assert stages.analysis_cache_stats(spark, o) == {"analysis_cache": 3, "api_log": 3}
+    again = stages.analyse(spark, o, call, "bob")
+    assert calls.value == 3 and again["final"].first()["analysis"] == final["analysis"]
     with pytest.raises(ValueError):
-        stages.analyse(spark, options(data), lambda c, b: "", "nobody")
+        stages.analyse(spark, o, call, "nobody")
 
 
 def test_contact_files(spark, data):
