@@ -7,10 +7,6 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: No table is written in more files than this for each core: a file costs its executor more than its rows.
-FILES_PER_CORE = 4
-
-
 def checkpoint_root(spark: SparkSession) -> str:
     """``spark.checkpoint.dir``, or a folder of our own where it is unset (tests)."""
     root = spark.conf.get("spark.checkpoint.dir", None)
@@ -22,9 +18,16 @@ def checkpoint_root(spark: SparkSession) -> str:
     return context._jsc.sc().getCheckpointDir().get()
 
 
-def materialised(df: DataFrame, tag: str) -> DataFrame:
-    """``df`` written to the shared folder and read back: its plan starts at files, and it is computed once."""
-    path = f"{checkpoint_root(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
-    files = FILES_PER_CORE * df.sparkSession.sparkContext.defaultParallelism
-    df.coalesce(files).write.parquet(path)  # merges partitions without a shuffle, if there are more
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def materialised(df: DataFrame, tag: str, files_per_core: int = 1) -> DataFrame:
+    """``df`` written to the shared folder and read back: its plan starts at files, and it is computed once.
+
+    Partitions are merged, without a shuffle, to ``files_per_core`` for each core of
+    the cluster if there are more: a file costs its executor more than a few rows
+    do.  Where executors come and go, the cores are not known and nothing is merged.
+    """
+    spark = df.sparkSession
+    path = f"{checkpoint_root(spark)}/{tag}-{uuid.uuid4().hex}"
+    if spark.conf.get("spark.dynamicAllocation.enabled", "false") != "true":
+        df = df.coalesce(files_per_core * spark.sparkContext.defaultParallelism)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
