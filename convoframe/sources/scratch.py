@@ -6,6 +6,9 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+#: The scratch tables this process has written and not dropped.
+WRITTEN: list[str] = []
+
 
 def checkpoint_root(spark: SparkSession) -> str:
     """``spark.checkpoint.dir``, or a folder of our own where it is unset (tests)."""
@@ -30,4 +33,15 @@ def materialised(df: DataFrame, tag: str, files_per_core: int = 1) -> DataFrame:
     if spark.conf.get("spark.dynamicAllocation.enabled", "false") != "true":
         df = df.coalesce(files_per_core * spark.sparkContext.defaultParallelism)
     df.write.parquet(path)
+    WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def drop(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes scratch tables; results that still read them must be written before."""
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for path in paths:
+        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        hadoop.getFileSystem(conf).delete(hadoop, True)
+        if path in WRITTEN:
+            WRITTEN.remove(path)
