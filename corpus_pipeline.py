@@ -10,13 +10,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from convoframe.llm.common import read_table, write_table
+from convoframe.llm.common import HEAVY, read_table, write_table
 from convoframe.llm.langid import keep_identified
 from convoframe.llm.langid import train as train_languages
 from convoframe.llm.mixing import mix_to_targets
 from convoframe.llm.neardup import near_duplicates
 from convoframe.llm.packing import pack
 from convoframe.llm.secrets import redact_secrets
+from convoframe.sources import scratch
 
 #: Up to so many rows (a few numbers each) are sent to the scan of the texts; more are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
@@ -77,7 +78,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents")
+    """The packed pieces of ``documents``; what a stage left in the shared folder goes when its result is written."""
+    docs, before = read_table(spark, sf_dir, "documents"), list(scratch.WRITTEN)
     for name, stage in STAGES[:-1]:
-        docs = write_table(stage(spark, docs, sf_dir), f"stage-{name}")
+        docs = write_table(stage(spark, docs, sf_dir), f"stage-{name}", files_per_core=HEAVY)
+        scratch.drop(spark, [p for p in scratch.WRITTEN[:-1] if p not in before])
     return STAGES[-1][1](spark, docs, sf_dir)
