@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from convoframe.llm.common import arrow_batches, arrow_texts, lean, write_table
+from convoframe.llm.common import HEAVY, arrow_batches, arrow_texts, lean, write_table
 from convoframe.llm.components import components
 
 #: At similarity 0.8 exactly, a pair misses all bands with a chance of 3e-7; above that, less.
@@ -174,7 +174,7 @@ def _texts_of_sets(records: DataFrame, signed: DataFrame, wanted: DataFrame, id_
 
     typed = records.select(F.col(id_col).alias("_one"), F.col(text_col).cast("string").alias("_text"))
     found = typed.join(chosen, typed["_one"].eqNullSafe(chosen["_one"])).select("_set", "_text").mapInArrow(lean(shrink), "_set long, _z binary")
-    return write_table(found, "wanted-texts").dropDuplicates(["_set"])
+    return write_table(found, "wanted-texts", files_per_core=HEAVY).dropDuplicates(["_set"])
 
 
 def _compare(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
@@ -258,12 +258,12 @@ def near_duplicates(records: DataFrame, id_col: str = "doc_id", text_col: str =
     through.  Rows that share an id keep or lose it together.  An empty table
     gives an empty result; further columns are ignored.
     """
-    signed = write_table(signature_table(records, id_col, text_col, width), "signatures")
+    signed = write_table(signature_table(records, id_col, text_col, width), "signatures", files_per_core=HEAVY)
     slim = signed.select("_id", "_n", "_set")
     pairs = write_table(_leader_pairs(signed), "leader-pairs")
     wanted = pairs.select(F.col("leader").alias("_set")).union(pairs.select("x")).distinct()
     texts = _texts_of_sets(records, slim.filter("_set is not null"), wanted, id_col, text_col, width)
-    compared = write_table(_compare(pairs, texts, width), "compared")
+    compared = write_table(_compare(pairs, texts, width), "compared", files_per_core=HEAVY)
     edges = compared.filter(F.col("shared") * (100 + percent) >= (F.col("leader_n") + F.col("x_n")) * percent).select(F.col("leader").alias("a"), F.col("x").alias("b"))
     labels = components(edges)
     more = write_table(_inside_groups(compared, labels, percent), "inside-edges")
@@ -273,6 +273,7 @@ def near_duplicates(records: DataFrame, id_col: str = "doc_id", text_col: str =
         labels = every.join(merged, "root", "left").select("v", F.coalesce("top", "root").alias("root")).distinct()
     placed = slim.join(labels.select(F.col("v").alias("_set"), F.col("root").alias("_root")), "_set", "left").withColumn("_root", F.coalesce("_root", "_set"))
     placed = write_table(placed, "placed")
-    least = placed.filter("_root is not null").groupBy("_root").agg(F.min("_id").alias("_least"))
+    # Written, so that a large component's rows can be split in the join.
+    least = write_table(placed.filter("_root is not null").groupBy("_root").agg(F.min("_id").alias("_least")), "least-ids")
     out = placed.join(least, "_root", "left").withColumn("component_id", F.when(F.col("_root").isNull(), F.col("_id")).otherwise(F.col("_least")))
     return out.select(F.col("_id").alias(id_col), F.col("_n").alias("n_shingles"), "component_id", F.col("_id").eqNullSafe(F.col("component_id")).alias("kept"))
