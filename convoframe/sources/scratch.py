@@ -25,13 +25,14 @@ def materialised(df: DataFrame, tag: str, files_per_core: int = 1) -> DataFrame:
     """``df`` written to the shared folder and read back: its plan starts at files, and it is computed once.
 
     Partitions are merged, without a shuffle, to ``files_per_core`` for each core of
-    the cluster if there are more: a file costs its executor more than a few rows
-    do.  Where executors come and go, the cores are not known and nothing is merged.
+    the cluster, or for each eighth shuffle partition if those are more: a file
+    costs its executor more than a few rows do, and tasks must not grow with the
+    data.  Where executors come and go, the cores are not known and nothing is merged.
     """
     spark = df.sparkSession
     path = f"{checkpoint_root(spark)}/{tag}-{uuid.uuid4().hex}"
     if spark.conf.get("spark.dynamicAllocation.enabled", "false") != "true":
-        df = df.coalesce(files_per_core * spark.sparkContext.defaultParallelism)
+        df = df.coalesce(files_per_core * max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")) // 8))
     df.write.parquet(path)
     WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
