@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from convoframe.llm.common import arrow_batches, arrow_texts, count_at_most, lean, write_table
+from convoframe.llm.common import HEAVY, arrow_batches, arrow_texts, count_at_most, lean, write_table
 
 LENGTH = 100
 GRAM = 24
@@ -434,12 +434,12 @@ def remove_repeats(records: DataFrame, id_col: str = "doc_id", text_col: str = "
     id_type = records.schema[id_col].dataType.simpleString()
     docs, numbers = _numbered(records, id_col, text_col)
     if numbers is not None:
-        docs = write_table(docs, "numbered-texts")
+        docs = write_table(docs, "numbered-texts", files_per_core=HEAVY)
     buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     blobs = docs.mapInArrow(lean(lambda x: _gather(x, buckets)), "bucket int, blob binary")
     settled = blobs.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(lean(lambda x: _settle(x, hot_contexts)), "_d long, codes array<long>")
-    settled = write_table(settled, "settled")
+    settled = write_table(settled, "settled", files_per_core=HEAVY)
     ids = write_table(settled.select("_d").distinct(), "touched")
     few = ids.count() <= BROADCAST_IDS
     touched = F.broadcast(ids) if few else ids
@@ -455,11 +455,11 @@ def remove_repeats(records: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     texts = docs.join(touched, "_d", "left_semi").mapInArrow(lean(shrink), "_d long, _z binary")
     lists = settled.groupBy("_d").agg(F.collect_list("codes").alias("lists"))
-    found = write_table(texts.join(lists, "_d"), "touched-texts")
+    found = write_table(texts.join(lists, "_d"), "touched-texts", files_per_core=HEAVY)
     some_open = F.exists("lists", lambda x: F.exists(x, lambda c: c % 4 != SETTLED))
     contexts = found.filter(some_open).select("_d", "_z", "lists").mapInArrow(lean(lambda x: _contexts(x, buckets)), "bucket int, blob binary")
     runs = contexts.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(lean(_sort_contexts), "_d long, runs array<long>")
-    runs = write_table(runs, "runs").groupBy("_d").agg(F.collect_list("runs").alias("runs"))
+    runs = write_table(runs, "runs", files_per_core=HEAVY).groupBy("_d").agg(F.collect_list("runs").alias("runs"))
 
     def finish(batches):
         import pyarrow as pa
