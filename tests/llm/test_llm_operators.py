@@ -453,7 +453,7 @@ def test_urls(spark):
         z = model[1] + sum(model[0][zlib.crc32(g.encode()) % urlfilter.BUCKETS] for g in grams) / max(1, len(grams)) ** 0.5
         p = 1 / (1 + np.exp(-z))
         assert r["score"] == pytest.approx(p)
-        assert r["verdict"] == (best[1] if best else "block" if p >= 0.6 else "allow")
+        assert r["verdict"] == (best[1] if best else "block" if p >= urlfilter.THRESHOLD else "allow")
 
 
 def test_url_model_fits_its_table(spark):
