@@ -19,7 +19,7 @@ MIN_CLASS_CHARS = 200
 MIN_COMMON_WORDS = 100
 #: Jensen-Shannon distances (base 2, 0 to 1) beyond which a document fails.
 MAX_CLASS_DISTANCE = 0.30
-MAX_WORD_DISTANCE = 0.60
+MAX_WORD_DISTANCE = 0.25
 
 #: Frequent function words by language.
 COMMON_WORDS = {
