@@ -365,7 +365,7 @@ def _offline(prompt: str) -> str:
 
 
 _LEVEL1 = "level1 as (select contact, chunk, count(*) as message_count, contact || ': ' || count(*) as analysis from placed group by contact, chunk)"
-_LEVEL2 = "level2 as (select contact, count(*) as analysis_count, cast(sum(message_count) as bigint) as total_messages, '[' || string_agg('"' || analysis || '"', ',' order by chunk) || ']' as analyses from level1 group by contact)"
+_LEVEL2 = """level2 as (select contact, count(*) as analysis_count, cast(sum(message_count) as bigint) as total_messages, '[' || string_agg('"' || analysis || '"', ',' order by chunk) || ']' as analyses from level1 group by contact)"""
 
 
 @query(_sql("select * from level1", _RELATED, _CHUNKS, _LEVEL1))
