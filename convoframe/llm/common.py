@@ -15,8 +15,9 @@ from convoframe.sources.scratch import materialised as write_table  # noqa: F401
 SEPARATOR_CLASS = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
 
-#: Files a core for tables that take much work to make.
+#: Files a core for tables that take much work to make; for those that built-in functions make from whole texts.
 HEAVY = 2
+SCANNED = 8
 
 #: Rows in an Arrow batch; texts can be long, so batches are short.
 ARROW_ROWS = 500

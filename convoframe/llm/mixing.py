@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from convoframe.llm.common import HEAVY, WORD, cut_into, write_table
+from convoframe.llm.common import SCANNED, WORD, cut_into, write_table
 
 NEWTON_STEPS = 60
 #: Documents a running sum handles in one piece.
@@ -91,7 +91,7 @@ def mix_to_targets(
             F.monotonically_increasing_id().alias("_row"),
         ),
         "mix-slim",
-        files_per_core=HEAVY,
+        files_per_core=SCANNED,
     )
     n_pieces = max(64, min(MAX_PIECES, slim.count() // PIECE_ROWS))
     slim = slim.withColumn("_piece", cut_into(F.col("_key"), n_pieces).cast("int"))

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from convoframe.llm.common import HEAVY, SEPARATOR_CLASS, let, lower_ascii, write_table
+from convoframe.llm.common import SCANNED, SEPARATOR_CLASS, let, lower_ascii, write_table
 
 WINDOW = 5
 MIN_WORDS = 10
@@ -125,7 +125,7 @@ def judge_quality(records: DataFrame, id_col: str = "doc_id", text_col: str = "t
     texts have no words and fail the base rule.  Repeated rows are judged alike;
     an empty table gives an empty result; further columns are ignored.
     """
-    rows = write_table(features(records, id_col, text_col, lang_col), "quality-features", files_per_core=HEAVY)
+    rows = write_table(features(records, id_col, text_col, lang_col), "quality-features", files_per_core=SCANNED)
     sums = [F.sum(F.col("_classes")[i]).alias(f"c{i}") for i in range(6)] + [F.sum(F.col("_common")[i]).alias(f"w{i}") for i in range(_WIDTH + 1)]
     by_lang = rows.groupBy("_lang").agg(*sums)  # a row for each language of COMMON_WORDS, and one
     pooled = by_lang.agg(*[F.sum(c).alias(c) for c in by_lang.columns[1:]]).select(F.lit(POOLED).alias("_lang"), "*")

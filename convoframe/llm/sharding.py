@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from convoframe.llm.common import HEAVY, count_at_most, write_table
+from convoframe.llm.common import SCANNED, count_at_most, write_table
 
 #: Sampled keys for each range boundary.
 OVERSAMPLE = 8
@@ -44,7 +44,7 @@ def shard_by_size(records: DataFrame, shards: int, id_col: str = "doc_id", text_
             F.monotonically_increasing_id().alias("_row"),
         ),
         "shard-slim",
-        files_per_core=HEAVY,
+        files_per_core=SCANNED,
     )
     total, rows = slim.agg(F.coalesce(F.sum("_size"), F.lit(0)), F.count(F.lit(1))).first()
     n_ranges = max(4 * shards, min(MAX_RANGES, rows // RANGE_ROWS))
