@@ -101,12 +101,11 @@ class Model:
         """All bits' logistic regressions at once, by Adam over the full sample; bits are balanced by class."""
         n, bits = y.shape
         share = np.where(y > 0, 1.0 / np.maximum(1, (y > 0).sum(axis=0)), 1.0 / np.maximum(1, (y < 0).sum(axis=0))).astype(np.float32) / 2
-        w, b = np.zeros((x.shape[1] + 1, bits), dtype=np.float32), None
-        x1 = np.hstack([x, np.ones((n, 1), np.float32)])
-        m, v = np.zeros_like(w), np.zeros_like(w)
+        w = np.zeros((x.shape[1] + 1, bits), dtype=np.float32)  # the bias last
+        m, v, grad = np.zeros_like(w), np.zeros_like(w), np.zeros_like(w)
         for step in range(1, STEPS + 1):
-            z = np.clip(y * (x1 @ w), -30, 30)
-            grad = x1.T @ (-y * share / (1 + np.exp(z))) + 1e-5 * w
+            pull = -y * share / (1 + np.exp(np.clip(y * (x @ w[:-1] + w[-1]), -30, 30)))
+            grad[:-1], grad[-1] = x.T @ pull + 1e-5 * w[:-1], pull.sum(axis=0)
             m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
             w -= 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
         return w[:-1].copy(), w[-1].copy()
@@ -125,7 +124,7 @@ def train(records: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     """Fits a model from labelled rows: of each language the ``per_language`` (``rows`` in all) least by a hash of id and text.
 
     Only non-null labels and texts with a letter count; None if there are none.
-    The sample is bounded, so its features (``BUCKETS`` floats a row) fit the driver.
+    The sample is bounded, so its features (``BUCKETS`` half-precision numbers a row) fit the driver.
     """
     arrow_batches(records.sparkSession)
     labelled = records.filter(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}")).select(
@@ -144,16 +143,23 @@ def train(records: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
 
         for batch in batches:
             found = [ngram_features(x) for x in batch.column(2).to_pylist()]
-            data = [x.tobytes() if x is not None else None for x in found]
+            data = [x.astype(np.float16).tobytes() if x is not None else None for x in found]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(data, type=pa.binary())], names=["_lang", "_key", "_x"])
 
     got = near.mapInArrow(lean(featured), "_lang string, _key long, _x binary").filter(F.col("_x").isNotNull()).collect()
-    sample, seen = [], {}
+    taken, seen = [], {}
     for r in sorted(got, key=lambda r: (r["_lang"], r["_key"])):
-        if seen.setdefault(r["_lang"], 0) < each:
-            seen[r["_lang"]] += 1
-            sample.append(r)
-    return Model(np.stack([np.frombuffer(r["_x"], dtype=np.float32) for r in sample]), [r["_lang"] for r in sample]) if sample else None
+        seen[r["_lang"]] = seen.get(r["_lang"], 0) + 1
+        if seen[r["_lang"]] <= each:
+            taken.append(r)
+    if not taken:
+        return None
+    features = np.empty((len(taken), BUCKETS), dtype=np.float32)
+    for i, r in enumerate(taken):
+        features[i] = np.frombuffer(r["_x"], dtype=np.float16)
+    labels = [r["_lang"] for r in taken]
+    del got, taken
+    return Model(features, labels)
 
 
 def identify(records: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
