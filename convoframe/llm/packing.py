@@ -16,14 +16,16 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from convoframe.llm.common import arrow_batches, cut_into, lean, write_table
+from convoframe.llm.common import HEAVY, arrow_batches, cut_into, lean, write_table
 
 SEQUENCE = 2048
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 1
 #: Distinct white-space-free strings whose ids a worker remembers, in each of two generations.
-CACHE = 250_000
-PIECE_ROWS = 20_000
+CACHE = 300_000
+#: Pieces of a length that one bucket ranks; with more than ``MAX_BUCKETS`` times as many pieces, buckets grow.
+PIECE_ROWS = 500
+MAX_BUCKETS = 1_000_000
 
 
 class _Ids:
@@ -210,10 +212,11 @@ def place_pieces(pieces: DataFrame, sequence: int = SEQUENCE, key_cols: tuple[st
     ranges = pattern_ranges(pack_histogram(counts, sequence))
     schema = "length long, _r0 long, _r1 long, _base long, offset long"
     table = spark.createDataFrame(ranges, schema)  # by lengths and patterns, not by pieces
-    hot = {k: -(-n // PIECE_ROWS) for k, n in counts.items() if n > PIECE_ROWS}
-    buckets = F.coalesce(F.try_element_at(F.create_map(*[F.lit(int(x)) for kv in sorted(hot.items()) for x in kv]), F.col("length").cast("int")), F.lit(1)) if hot else F.lit(1)
+    most = max(PIECE_ROWS, sum(counts.values()) // MAX_BUCKETS)
+    per_length = [max(1, -(-counts.get(length, 0) // most)) for length in range(1, sequence + 1)]
+    buckets = F.element_at(F.array(*map(F.lit, per_length)), F.col("length").cast("int")) if max(per_length) > 1 else F.lit(1)
     keyed = pieces.withColumn("_key", F.xxhash64(*key_cols))
-    keyed = keyed.withColumn("_bucket", cut_into(F.col("_key"), 1 << 20).cast("int") * buckets / F.lit(1 << 20)).withColumn("_bucket", F.col("_bucket").cast("int"))
+    keyed = keyed.withColumn("_bucket", cut_into(F.col("_key"), 1 << 20).cast("long") * buckets / F.lit(1 << 20)).withColumn("_bucket", F.col("_bucket").cast("int"))
     before = Window.partitionBy("length").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)  # over bucket counts
     starts = keyed.groupBy("length", "_bucket").agg(F.count(F.lit(1)).alias("_n")).select("length", "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
     inside = Window.partitionBy("length", "_bucket").orderBy("_key", *key_cols)
@@ -234,7 +237,7 @@ def pack(
     end id only); repeated rows are packed each; an empty table packs to nothing;
     further columns are ignored.
     """
-    pieces = write_table(tokenize_pieces(records, id_col, text_col, vocabulary, sequence, with_ids), "pack-pieces")
+    pieces = write_table(tokenize_pieces(records, id_col, text_col, vocabulary, sequence, with_ids), "pack-pieces", files_per_core=HEAVY)
     return place_pieces(pieces, sequence, (id_col, "start"))
 
 
