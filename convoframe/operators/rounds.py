@@ -26,15 +26,15 @@ class RoundRules:
     look_ahead: int = 10  # positions after the other's last message
 
 
-def numbered(messages: DataFrame, order: tuple[str, ...] = ("source_file", "file_row")) -> DataFrame:
+def numbered(messages: DataFrame, order: tuple[str, ...] = ("source_file", "file_row"), keep_bucket: bool = False) -> DataFrame:
     """Adds ``t`` (microseconds), ``mine`` and ``ix``, the position in the whole timeline."""
     rows = messages.withColumn("t", micros(F.col("create_time"))).withColumn("mine", mine(F.col("is_sender")))
-    return running(rows, ["t", *order], sums={"ix": F.lit(1).cast("long")})
+    return running(rows, ["t", *order], sums={"ix": F.lit(1).cast("long")}, keep_bucket=keep_bucket)
 
 
 def with_runs(timeline: DataFrame, rules: RoundRules = RoundRules()) -> DataFrame:
     """Adds ``run``, the position where a message's run starts."""
-    seen = running(timeline, ["t", "ix"], lasts={"_prev": F.struct("t", "mine", "talker")})
+    seen = running(timeline, ["t", "ix"], lasts={"_prev": F.struct("t", "mine", "talker")}, keep_bucket=True)
     prev = F.col("_prev")
     starts = prev.isNull() | (prev["mine"] != F.col("mine")) | (~F.col("mine") & ~prev["talker"].eqNullSafe(F.col("talker"))) | (F.col("t") - prev["t"] > rules.max_gap * SECOND)
     seen = seen.withColumn("_start", starts).drop("_prev")
@@ -71,7 +71,7 @@ def round_texts(rounds: DataFrame, runs: DataFrame) -> DataFrame:
 
 def islands(timeline: DataFrame, barrier: int) -> DataFrame:
     """Adds ``island``, the position where a stretch without a gap over ``barrier`` seconds starts."""
-    seen = running(timeline, ["t", "ix"], lasts={"_prev": F.col("t")})
+    seen = running(timeline, ["t", "ix"], lasts={"_prev": F.col("t")}, keep_bucket=True)
     starts = F.col("_prev").isNull() | (F.col("t") - F.col("_prev") > barrier * SECOND)
     seen = seen.withColumn("_start", starts).drop("_prev")
     seen = running(seen, ["t", "ix"], lasts={"_island": F.when(F.col("_start"), F.col("ix"))})

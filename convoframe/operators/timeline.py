@@ -24,15 +24,18 @@ def running(
     sums: Mapping[str, Column] | None = None,
     lasts: Mapping[str, Column] | None = None,
     nexts: Mapping[str, Column] | None = None,
+    keep_bucket: bool = False,
 ) -> DataFrame:
     """Adds exclusive running values in the order of ``order`` (its first column is in microseconds), for each of ``keys``.
 
     ``sums``: of all rows before; ``lasts``: the last non-null before; ``nexts``:
-    the first non-null after.  ``order`` must tell all rows of a key apart.
+    the first non-null after.  ``order`` must tell all rows of a key apart.  With
+    ``keep_bucket`` the buckets stay in a column ``_bucket``, and a further pass over
+    the same order finds its rows dealt by it already.
     """
     sums, lasts, nexts = sums or {}, lasts or {}, nexts or {}
     place = F.struct(*order)
-    rows = df.withColumn("_bucket", F.floor(F.col(order[0]) / width).cast("long"))
+    rows = df if "_bucket" in df.columns else df.withColumn("_bucket", F.floor(F.col(order[0]) / width).cast("long"))
     for name, c in {**sums, **lasts, **nexts}.items():
         rows = rows.withColumn(f"_v_{name}", c)
     by = [*keys, "_bucket"]
@@ -49,7 +52,7 @@ def running(
     rows = rows.join(buckets.select(*by, *carried), by)
     ahead = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     behind = Window.partitionBy(*by).orderBy(*[F.desc(o) for o in order]).rowsBetween(Window.unboundedPreceding, -1)
-    out = [F.col(c) for c in df.columns]
+    out = [F.col(c) for c in df.columns if c != "_bucket"] + [F.col("_bucket")] * keep_bucket
     out += [(F.col(f"_c_{n}") + F.coalesce(F.sum(v(n)).over(ahead), F.lit(0))).alias(n) for n in sums]
     out += [F.coalesce(F.last(v(n), ignorenulls=True).over(ahead), F.col(f"_c_{n}")).alias(n) for n in lasts]
     out += [F.coalesce(F.last(v(n), ignorenulls=True).over(behind), F.col(f"_c_{n}")).alias(n) for n in nexts]

@@ -51,13 +51,13 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clean_messages(raw.withColumn("source_file", F.lit("events")).withColumn("file_row", F.col("id")))
 
 
-def timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return numbered(messages(spark, sf_dir))
+def timeline(spark: SparkSession, sf_dir: str, keep_bucket: bool = False) -> DataFrame:
+    return numbered(messages(spark, sf_dir), keep_bucket=keep_bucket)
 
 
 def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Messages with positions and runs, as the stage table that later operators share."""
-    return materialised(with_runs(timeline(spark, sf_dir)), "runs")
+    return materialised(with_runs(timeline(spark, sf_dir, keep_bucket=True)), "runs")
 
 
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -57,7 +57,7 @@ def stage1(spark: SparkSession, o: Options) -> Stage1:
     contacts = export.save_table(contacts, o.output_dir, "contacts")
 
     rules = R.RoundRules(o.max_gap, o.max_delay)
-    runs = export.save_table(R.with_runs(R.numbered(known), rules), o.output_dir, "timeline")
+    runs = export.save_table(R.with_runs(R.numbered(known, keep_bucket=True), rules), o.output_dir, "timeline")
     rounds = export.save_table(R.extract_rounds(runs, rules), o.output_dir, "rounds")
     me = users.filter(F.col("contact_id") == o.my_id) if o.my_id else None
     name = C.my_name_of(contacts_source.last_records(me), o.my_id, o.my_name) if me is not None else o.my_name
