@@ -3,7 +3,8 @@
 Texts are tokenized and cut into pieces of at most one sequence.  The histogram
 of piece lengths (one count a length, however many pieces) is packed on the
 driver: lengths are placed longest first, each into the shortest open packing
-pattern, and patterns carry counts.  A pattern and a
+pattern, and patterns carry counts; a pattern opened for a length takes as many
+of its pieces as fit, so a hot length fills sequences too.  A pattern and a
 length then own a range of ranks; pieces, ranked within their length, find their
 sequence and offset in those ranges.
 """
@@ -153,7 +154,10 @@ def tokenize_pieces(
 
 
 def pack_histogram(counts: dict[int, int], size: int) -> list[tuple[tuple[int, ...], int]]:
-    """Packing patterns and their counts: lengths longest first, each into the open pattern with the most room (the shortest pack)."""
+    """Packing patterns and their counts: lengths longest first, each into the open pattern with the most room (the shortest pack).
+
+    Pieces that no open pattern has room for open new ones, each stacked with as many of them as fit.
+    """
     open_by_room: dict[int, list[tuple[int, tuple[int, ...]]]] = {}
     done: list[tuple[tuple[int, ...], int]] = []
 
@@ -164,11 +168,16 @@ def pack_histogram(counts: dict[int, int], size: int) -> list[tuple[tuple[int, .
             done.append((pattern, n))
 
     for length in sorted(counts, reverse=True):
-        left, made = counts[length], []
+        left = counts[length]
         while left:
             room = max((r for r in open_by_room if r >= length), default=None)
             if room is None:
-                made.append(((length,), left, size - length))
+                fit = size // length
+                full, rest = divmod(left, fit)
+                if full:
+                    put((length,) * fit, full, size - fit * length)
+                if rest:
+                    put((length,) * rest, 1, size - rest * length)
                 break
             n, pattern = open_by_room[room].pop()
             if not open_by_room[room]:
@@ -178,8 +187,6 @@ def pack_histogram(counts: dict[int, int], size: int) -> list[tuple[tuple[int, .
                 put(pattern, n - used, room)
             left -= used
             put((*pattern, length), used, room - length)
-        for x in made:
-            put(*x)
     for room in sorted(open_by_room):
         done += [(pattern, n) for n, pattern in open_by_room[room]]
     return done

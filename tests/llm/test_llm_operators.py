@@ -107,6 +107,22 @@ def test_packing_histogram(seed):
         assert sorted(x for a, b in found for x in range(a, b)) == list(range(counts[length]))
 
 
+@pytest.mark.parametrize("hot", [5, 400, 700, 1000])
+def test_hot_length_pads_little(hot):
+    rng = random.Random(hot)
+    counts = Counter(rng.randint(1, 2048) if rng.random() < 0.1 else rng.randint(20, 500) for _ in range(20_000))
+    counts[hot] += 10_000
+    patterns = packing.pack_histogram(counts, packing.SEQUENCE)
+    placed = Counter()
+    for pattern, n in patterns:
+        assert sum(pattern) <= packing.SEQUENCE
+        for length in pattern:
+            placed[length] += n
+    assert placed == counts
+    ids = sum(length * n for length, n in counts.items())
+    assert 1 - ids / (packing.SEQUENCE * sum(n for _, n in patterns)) < 0.02
+
+
 def test_hot_length_is_ranked_in_buckets(spark, monkeypatch):
     monkeypatch.setattr(packing, "PIECE_ROWS", 10)
     pieces = spark.range(200).select(F.col("id").alias("doc_id"), F.lit(0).cast("long").alias("start"), F.when(F.col("id") < 150, 700).otherwise(F.col("id")).cast("long").alias("length"))
