@@ -247,10 +247,8 @@ from texts t left join history h on h.round_id = t.round_id"""
 
 @query(_sql(_SAMPLES_BODY, _RUNS, _ROUNDS, _TEXTS, _CONTEXT, _HISTORY))
 def q_training_samples(spark, sf_dir):
-    # The fixture's talkers 0 to 4 are no customers but for 1 to 4; the dimension starts above them here.
-    contacts = A.contacts(spark, sf_dir).filter("contact_id > 'wxid_00000009'")
     runs = A.runs(spark, sf_dir)
-    return S.training_samples(R.extract_rounds(runs), runs, contacts)
+    return S.training_samples(R.extract_rounds(runs), runs, A.contacts(spark, sf_dir))
 
 
 @query(_sql("select ix, abs(t - lag(t) over (order by ix)) <= 86400000000 and (talker = lag(talker) over (order by ix) or mine or lag(mine) over (order by ix)) as same_context from clean qualify ix > 0"))
