@@ -7,8 +7,8 @@ and the fingerprint lists them all.  Two fingerprints are alike as far as their
 filled signatures agree.  An edit spares the sub-lexicons it has no terms of, so
 similarity falls gradually, where one hash over the whole lexicon would break.
 
-Document frequencies are counted over all documents in a table of fixed size
-(``TERM_SLOTS`` hashed terms), so the lexicon never outgrows a broadcast.
+Document frequencies are counted over all documents by 64-bit term hash, and the
+lexicon lists the hashes in the band exactly: 8 bytes a term, sent to all tasks.
 """
 
 from __future__ import annotations
@@ -19,9 +19,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from convoframe.llm.common import arrow_batches, arrow_texts, count_at_most, lean
+from convoframe.llm.common import arrow_batches, arrow_ints, arrow_texts, count_at_most, lean
 
-TERM_SLOTS = 1 << 18
 #: The idf band, as document frequencies: at least so many documents, at most this share of all.
 MIN_DOCUMENTS = 2
 MAX_SHARE = 0.10
@@ -30,7 +29,8 @@ RESOLUTIONS = ((32, 32), (128, 32), (512, 32), (2048, 32))
 _SIGNATURES = sum(n for _, n in RESOLUTIONS)
 #: A resolution counts if the two fingerprints fill so many of its signatures.
 MIN_FILLED = 6
-_CHUNK = 1 << 13
+#: Term hashes of whole documents that a task gathers before it counts them.
+_GATHERED = 1 << 21
 #: Ids are cut into ranges of about so many rows; beyond the most ranges made, ranges grow.
 RANGE_ROWS = 50_000
 MAX_RANGES = 4_096
@@ -41,15 +41,10 @@ def _terms(hasher, data: np.ndarray) -> np.ndarray:
     return np.unique(hasher.text(data))
 
 
-def _slots(terms: np.ndarray) -> np.ndarray:
-    return (terms >> np.uint64(64 - TERM_SLOTS.bit_length() + 1)).astype(np.int64)
+def document_frequencies(records: DataFrame, text_col: str = "text") -> DataFrame:
+    """``term, n``: how many documents have each term (its 64-bit hash), over every text, whole.
 
-
-def document_frequencies(records: DataFrame, text_col: str = "text") -> tuple[np.ndarray, int]:
-    """How many documents have a term of each slot, and how many documents there are: every text, whole.
-
-    Each task counts into one fixed-size table; tables are summed chunk by chunk
-    on the executors, and the sum (``TERM_SLOTS`` numbers) goes to the driver.
+    Tasks count many documents at a time before terms are shuffled.
     """
     arrow_batches(records.sparkSession)
 
@@ -58,37 +53,41 @@ def document_frequencies(records: DataFrame, text_col: str = "text") -> tuple[np
 
         from convoframe.llm.wordhash import WordHasher
 
-        hasher, table, n = WordHasher(), np.zeros(TERM_SLOTS, dtype=np.int64), 0
+        def counted():
+            terms, n = np.unique(np.concatenate(gathered), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(terms.view(np.int64)), pa.array(n.astype(np.int64))], names=["term", "n"])
+
+        hasher, gathered, size = WordHasher(), [], 0
         for batch in batches:
             offsets, data = arrow_texts(batch.column(0))
-            n += len(offsets) - 1
             for a, b in zip(offsets[:-1], offsets[1:], strict=True):
                 if b > a:
-                    table[np.unique(_slots(_terms(hasher, data[a:b])))] += 1
-        rows = [(at // _CHUNK, table[at : at + _CHUNK].astype("<i4").tobytes(), n if at == 0 else 0) for at in range(0, TERM_SLOTS, _CHUNK)] if n else []
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.int64())], names=["chunk", "counts", "n"])
+                    gathered.append(_terms(hasher, data[a:b]))
+                    size += len(gathered[-1])
+                if size >= _GATHERED:
+                    yield counted()
+                    gathered, size = [], 0
+        if size:
+            yield counted()
 
-    def add(key, table):
-        import pyarrow as pa
+    counts = records.select(F.col(text_col).cast("string").alias("_text")).mapInArrow(lean(count), "term long, n long")
+    return counts.groupBy("term").agg(F.sum("n").alias("n"))
 
-        total = np.zeros(_CHUNK, dtype=np.int64)
-        for x in table.column("counts").to_pylist():
-            total += np.frombuffer(x, dtype="<i4")
-        n = sum(table.column("n").to_pylist())
-        return pa.table({"chunk": pa.array([key[0].as_py()], pa.int64()), "counts": pa.array([total.tobytes()], pa.binary()), "n": pa.array([n], pa.int64())})
 
-    counted = records.select(F.col(text_col).cast("string").alias("_text")).mapInArrow(lean(count), "chunk long, counts binary, n long")
-    out, n = np.zeros(TERM_SLOTS, dtype=np.int64), 0
-    for r in counted.groupBy("chunk").applyInArrow(add, "chunk long, counts binary, n long").collect():  # TERM_SLOTS / _CHUNK rows
-        out[r["chunk"] * _CHUNK : (r["chunk"] + 1) * _CHUNK] = np.frombuffer(r["counts"], dtype=np.int64)
-        n += r["n"]
-    return out, n
+def lexicon(records: DataFrame, text_col: str = "text", min_documents: int = MIN_DOCUMENTS, max_share: float = MAX_SHARE) -> np.ndarray:
+    """The sorted hashes of all terms inside the idf band."""
+    most = max(min_documents, max_share * records.count())
+
+    def pack(batches):
+        import pyarrow as pa
 
+        terms = [arrow_ints(batch.column(0)) for batch in batches]
+        if terms:
+            yield pa.RecordBatch.from_arrays([pa.array([np.concatenate(terms).tobytes()], pa.binary())], names=["terms"])
 
-def lexicon(records: DataFrame, text_col: str = "text", min_documents: int = MIN_DOCUMENTS, max_share: float = MAX_SHARE) -> np.ndarray:
-    """A mark for each term slot inside the idf band, packed to bits."""
-    counts, n = document_frequencies(records, text_col)
-    return np.packbits((counts >= min_documents) & (counts <= max(min_documents, max_share * n)))
+    inside = document_frequencies(records, text_col).filter((F.col("n") >= min_documents) & (F.col("n") <= F.lit(most))).select("term")
+    packed = inside.mapInArrow(lean(pack), "terms binary").collect()  # 8 bytes a term of the lexicon
+    return np.sort(np.frombuffer(b"".join(r["terms"] for r in packed), dtype=np.uint64))
 
 
 class Fingerprinter:
@@ -96,12 +95,14 @@ class Fingerprinter:
         from convoframe.llm.wordhash import WordHasher, mix64
 
         self.hasher, self.mix = WordHasher(), mix64
-        self.marks = np.unpackbits(marks).astype(bool)
+        self.marks = marks
 
     def of(self, data: np.ndarray) -> bytes:
         """The fingerprint: 16 bits a signature (0: no terms), all resolutions in turn; one signature of all terms where none is in the band."""
         every = _terms(self.hasher, data)
-        terms = every[self.marks[_slots(every)]]
+        at = np.searchsorted(self.marks, every)
+        at[at == len(self.marks)] = 0
+        terms = every[self.marks[at] == every] if len(self.marks) else every[:0]
         out = np.zeros(_SIGNATURES, dtype=np.uint64)
         at = 0
         for r, (parts, used) in enumerate(RESOLUTIONS):

@@ -375,6 +375,14 @@ def test_next_document_across_ranges(spark, monkeypatch):
         assert got[i] == hashlib.sha256((text[: len(text) - k] + after[:k]).encode()).hexdigest()
 
 
+def test_words_of_one_document_stay_out_of_the_lexicon(spark):
+    pairs, shared, own = 160, 20, 1000
+    text = lambda d: " ".join([f"both{d // 2}x{i}" for i in range(shared)] + [f"only{d}x{i}" for i in range(own)])
+    rows = spark.createDataFrame([(d, text(d)) for d in range(2 * pairs)], "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r["fingerprint"] for r in fingerprints.fingerprint(rows).collect()}
+    assert all(got[2 * i] == got[2 * i + 1] for i in range(pairs)) and len(set(got.values())) == pairs
+
+
 # --- mixing
 
 
