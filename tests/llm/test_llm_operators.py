@@ -486,6 +486,16 @@ def test_url_model_fits_its_table(spark):
     assert np.mean([(r["verdict"] == "block") == bool(r["y"]) for r in got]) > 0.9
 
 
+def test_urls_of_hosts_outside_the_table(spark):
+    bad = ("blog.adult-x.example.net", "m.casino-win.example.org", "www.casino-win.example.net", "m.ads-track.example.net")
+    good = ("www.history-club.example.org", "kitchen.example.net", "heads.example.org", "m.trackfield.example.org", "city-maps.example.net")
+    assert not {*bad, *good} & {h for h, _, _ in urlfilter.LABELLED}
+    urls = {f"https://{h}{p}": "block" if h in bad else "allow" for h in bad + good for p in ("/", "/en/5", "/de/77")} | {"": "allow", "no scheme": "allow", None: "allow"}
+    rows = spark.createDataFrame(list(enumerate(urls)), "page_id int, url string").join(spark.createDataFrame(list(enumerate(urls.values())), "page_id int, expected string"), "page_id")
+    got = urlfilter.judge_urls(rows).join(rows, "page_id").collect()
+    assert [r["url"] for r in got if r["verdict"] != r["expected"]] == []
+
+
 # --- repeated strings
 
 
