@@ -3,7 +3,8 @@
 Rows are cut into time buckets.  A value over all rows before (or after) a row is
 its value inside the bucket, completed from a table with one row a bucket.  Only
 that table is ordered as a whole; rows move once, by bucket, and every frame is
-one that Spark extends row by row.
+one that Spark extends row by row.  A pass reads its input twice, so an input
+that takes work is written first: passes in a row cost a sum, not a product.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from convoframe.functions.text import HOUR
+from convoframe.sources.scratch import settled
 
 
 def running(
@@ -36,8 +38,7 @@ def running(
     sums, lasts, nexts = sums or {}, lasts or {}, nexts or {}
     place = F.struct(*order)
     rows = df if "_bucket" in df.columns else df.withColumn("_bucket", F.floor(F.col(order[0]) / width).cast("long"))
-    for name, c in {**sums, **lasts, **nexts}.items():
-        rows = rows.withColumn(f"_v_{name}", c)
+    rows = settled(rows.select("*", *[c.alias(f"_v_{name}") for name, c in {**sums, **lasts, **nexts}.items()]), "running")
     by = [*keys, "_bucket"]
     v = lambda name: F.col(f"_v_{name}")
     per_bucket = [F.sum(v(n)).alias(f"_b_{n}") for n in sums]

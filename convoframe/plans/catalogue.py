@@ -20,6 +20,7 @@ from convoframe.operators import rounds as R
 from convoframe.operators import samples as S
 from convoframe.operators import scoring as E
 from convoframe.plans import fixtures as A
+from convoframe.sources.scratch import materialised
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -239,13 +240,18 @@ def q_history_text(spark, sf_dir):
     return X.history_lines(_named_rounds(runs), runs, F.lit("我"))
 
 
+_NAMED = """named as (
+  select s.talker, coalesce(case when trim(remark) <> '' then remark end, case when trim(nickname) <> '' then nickname end, right(s.talker, 8)) as other_name,
+    case when contact_id is null then '朋友' else relationship end as relationship
+  from (select distinct talker from raw) s left join contacts on contact_id = s.talker)"""
+_NAMED_HISTORY = _HISTORY.replace("right(talker, 8)", "(select other_name from named n where n.talker = dated.talker)")
 _SAMPLES_BODY = """select t.round_id, t.talker, t.reply_t,
-  '你是我，正在和' || right(t.talker, 8) || '聊天。 对方是你的朋友。 现在是' || strftime(make_timestamp(t.reply_t), '%Y年%m月%d日 %H:%M') || '。 """ + S.CLOSING + """' as instruction,
+  '你是我，正在和' || n.other_name || '聊天。 对方是你的' || n.relationship || '。 现在是' || strftime(make_timestamp(t.reply_t), '%Y年%m月%d日 %H:%M') || '。 """ + S.CLOSING + """' as instruction,
   '历史记录:' || chr(10) || coalesce(h.history, '') || chr(10) || chr(10) || '对方最新消息:' || chr(10) || t.other_text as input, t.my_text as output
-from texts t left join history h on h.round_id = t.round_id"""
+from texts t join named n on n.talker = t.talker left join history h on h.round_id = t.round_id"""
 
 
-@query(_sql(_SAMPLES_BODY, _RUNS, _ROUNDS, _TEXTS, _CONTEXT, _HISTORY))
+@query(_sql(_SAMPLES_BODY, _contacts_sql("").removeprefix("with ").rstrip(), _NAMED, _RUNS, _ROUNDS, _TEXTS, _CONTEXT, _NAMED_HISTORY))
 def q_training_samples(spark, sf_dir):
     runs = A.runs(spark, sf_dir)
     return S.training_samples(R.extract_rounds(runs), runs, A.contacts(spark, sf_dir))
@@ -314,10 +320,11 @@ def q_sample_cache_key(spark, sf_dir):
     return E.keyed(A.samples(spark, sf_dir)).select("conv_id", "turn", "key")
 
 
-@query(_samples_sql("select k.key, count(*) as n from k where k.key not in (select key from k where conv_id % 2 = 0) group by k.key", "k as (select conv_id, md5(instruction || '|' || input || '|' || output) as key from samples)"))
+@query(_samples_sql("select k.key, count(*) as n from k where k.key not in (select key from k where score >= 6.0) group by k.key", "k as (select score, md5(instruction || '|' || input || '|' || output) as key from samples)"))
 def q_cache_misses(spark, sf_dir):
+    """Keys that a cache of the samples that passed lacks."""
     keyed = E.keyed(A.samples(spark, sf_dir))
-    missing = E.cache_misses(keyed, keyed.filter("conv_id % 2 = 0").select("key").distinct()).select("key")
+    missing = E.cache_misses(keyed, E.passing(keyed, 6.0).select("key").distinct()).select("key")
     return keyed.join(missing, "key").groupBy("key").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -370,6 +377,7 @@ _LEVEL2 = """level2 as (select contact, count(*) as analysis_count, cast(sum(mes
 def q_level1(spark, sf_dir):
     bodies = V.chunk_bodies(_chunks(spark, sf_dir)).withColumn("key", V.chunk_key(F.col("contact"), F.lit(""), F.concat_ws(":", "chunk", "body")))
     prompts = bodies.withColumn("prompt", render("{contact}: {n}\n{body}", contact=F.col("contact"), n=F.col("message_count"), body=F.col("body")))
+    prompts = materialised(prompts.select("contact", "chunk", "message_count", "key", "prompt"), "prompts")  # asked, and joined to the replies
     replies = P.complete(prompts, _offline).filter("error is null")
     return prompts.join(replies, "key").select("contact", "chunk", "message_count", F.col("response").alias("analysis"))
 
@@ -379,24 +387,31 @@ def q_level2(spark, sf_dir):
     return V.merge_by_contact(q_level1(spark, sf_dir))
 
 
-@query(_sql("select count(*) as total_contacts, cast(sum(total_messages) as bigint) as total_messages from level2", _RELATED, _CHUNKS, _LEVEL1, _LEVEL2))
+_FINAL = """select count(*) as total_contacts, cast(sum(total_messages) as bigint) as total_messages,
+  '[' || string_agg('{"contact":"' || contact || '","analysis":' || to_json(analyses) || '}', ',' order by contact) || ']' as contact_analyses from level2"""
+
+
+@query(_sql(_FINAL, _RELATED, _CHUNKS, _LEVEL1, _LEVEL2))
 def q_final(spark, sf_dir):
-    return V.final_summary(q_level2(spark, sf_dir))
+    return V.merge_all(q_level2(spark, sf_dir).withColumnRenamed("analyses", "analysis"))
 
 
-@query()
+@query(_sql("""select contact, chunk, '[' || string_agg('{"sender":' || to_json(case when mine then '我' else contact end) || ',"content":' || to_json(content) || ',"create_time":"' || strftime(make_timestamp(t), '%Y-%m-%dT%H:%M:%S') || '"}', ',' order by t, rank, ix) || ']' as body from placed group by contact, chunk""", _RELATED, _CHUNKS))
 def q_conversation_json(spark, sf_dir):
     rows = _chunks(spark, sf_dir)
     return rows.groupBy("contact", "chunk").agg(V.conversation_json(rows).alias("body"))
 
 
-@query("select event_id, user_id from events where event_id % 3 <> 0")
+@query("""with files as (select regexp_extract(coalesce(url, ''), '^[a-z]*://[^/]*', 0) as path, md5(coalesce(html, '')) as fingerprint from pages),
+known as (select path, min(fingerprint) as fingerprint from files group by path)
+select path, fingerprint, count(*) as copies from files f where not exists (select 1 from known k where k.path = f.path and k.fingerprint = f.fingerprint) group by path, fingerprint""")
 def q_manifest_diff(spark, sf_dir):
-    """Files a manifest lacks: the anti-join on path and fingerprint, on events for files."""
+    """Files a manifest lacks or has with another fingerprint; hosts stand for paths and pages for their versions, of which the manifest knows one each."""
     from convoframe.sources.manifest import unprocessed
 
-    files = A.table(spark, sf_dir, "events").select(F.col("event_id").cast("string").alias("path"), F.md5(F.col("user_id").cast("string")).alias("fingerprint"), "event_id", "user_id")
-    return unprocessed(files, files.filter("event_id % 3 = 0").select("path", "fingerprint")).select("event_id", "user_id")
+    files = A.table(spark, sf_dir, "pages").select(F.regexp_extract(F.coalesce("url", F.lit("")), "^[a-z]*://[^/]*", 0).alias("path"), F.md5(F.coalesce("html", F.lit(""))).alias("fingerprint"))
+    known = files.groupBy("path").agg(F.min("fingerprint").alias("fingerprint"))
+    return unprocessed(files, known).groupBy("path", "fingerprint").agg(F.count(F.lit(1)).alias("copies"))
 
 
 @query(_sql("select ix, cast(coalesce(sum(case when mine then 1 else 0 end) over w, 0) as bigint) as mine_72h, count(*) over w as all_72h from clean window w as (order by t range between 259200000000 preceding and 1 preceding)"))
