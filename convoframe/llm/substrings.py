@@ -6,13 +6,18 @@ suffixes that can repeat are sorted:
 1. Every ``LENGTH``-byte string holds an anchor, the ``GRAM``-byte gram with the
    least hash in it, chosen by content alone; so equal strings meet at equal
    anchors, and a text has one anchor for some 40 bytes.
-2. Anchors are dealt by hash.  An anchor whose whole context (all strings around
-   it) also occurs earlier is settled at once; anchors met in one context only
-   are dropped.
-3. What is left, contexts that share an anchor but differ, is suffix-sorted
-   forwards and backwards by hash comparison (see ``suffixsort``).  Two contexts
-   share a string at an offset if their common extensions to both sides reach
-   far enough; classes of equal extensions give the earliest start of each string.
+2. Anchors are dealt by hash; an anchor met once is dropped, of the others the
+   contexts (all strings around them) are fetched.
+3. Contexts that share an anchor are suffix-sorted forwards and backwards by hash
+   comparison (see ``suffixsort``).  Equal contexts are one entry of the sort: the
+   earliest stands for all that agree with it byte by byte.  Two contexts share a
+   string at an offset if their common extensions to both sides reach far enough;
+   classes of equal extensions give the earliest start of each string.
+
+Hashes only bring contexts together.  Every byte that goes was compared: with an
+equal context's, or in the sort's verified extensions.  A task that reads texts
+already lets one context stand for those equal to it among what it holds, so a
+passage that occurs everywhere does not send all its contexts to one place.
 
 Runs of removed strings go back to their documents by id.
 """
@@ -26,6 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from convoframe.llm.common import HEAVY, arrow_batches, arrow_texts, count_at_most, lean, write_table
+from convoframe.sources.scratch import input_bytes
 
 LENGTH = 100
 GRAM = 24
@@ -36,8 +42,10 @@ PIECE = 1 << 17
 FLUSH = 400_000
 #: Bytes of contexts sorted at a time.
 SLICE = 1 << 19
-#: An anchor with more contexts is dealt on by its single strings.
+#: An anchor met more often is dealt on: equal contexts by themselves, and if many are left, by single strings.
 HOT_CONTEXTS = 20_000
+#: Stored bytes of texts behind one bucket.
+BUCKET_BYTES = 8 << 20
 #: Up to so many ids (16 bytes each) are sent to the scan of the texts; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 
@@ -45,7 +53,12 @@ BROADCAST_IDS = 1_000_000
 RANGE_ROWS = 50_000
 MAX_RANGES = 4_096
 
-SETTLED, OPEN, HOT = 0, 1, 2
+#: What is known of an anchor, in the lowest bits of its code: place << 18 | salt << 2 | state.
+SETTLED, OPEN, HOT, COPY = 0, 1, 2, 3
+
+
+def _code(place, state, salt=0):
+    return place << 18 | salt << 2 | state
 
 
 def _least(h: np.ndarray, width: int, op) -> np.ndarray:
@@ -91,6 +104,19 @@ def anchors(data: np.ndarray):
     return place, gram, mark
 
 
+def hashes_at(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(gram hash, context hash) of the anchors at sorted places ``at``, piece by piece."""
+    from convoframe.llm.suffixsort import Prefix
+
+    n, out = len(data), []
+    for part in np.split(at, np.flatnonzero(np.diff(at // PIECE)) + 1):
+        lo, hi = max(0, int(part[0]) - OFFSETS), min(n, int(part[-1]) + LENGTH)
+        prefix = Prefix(data[lo:hi])
+        left, right = np.minimum(OFFSETS - 1, part), np.minimum(OFFSETS - 1, n - part - GRAM)
+        out.append((prefix.grams(GRAM)[part - lo], _context_marks(prefix, part - lo, left, right)))
+    return np.concatenate([x[0] for x in out]), np.concatenate([x[1] for x in out])
+
+
 def _shift(x: np.ndarray) -> np.ndarray:
     """The upper 48 bits as six bytes a value; buckets are made from the lower ones."""
     return np.ascontiguousarray(x.astype("<u8")).view(np.uint8).reshape(-1, 8)[:, 2:]
@@ -146,52 +172,66 @@ def _first_of(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _gather(batches, buckets: int):
-    """Step 1: each text's anchors, by bucket.  Of equal contexts in what a task gathers, one stands for all."""
+    """Step 1: each text's anchors, by bucket of the anchor.
+
+    Of the contexts a task holds at a time, the earliest stands for those equal to
+    it byte by byte; these are settled and go by bucket of the document, from
+    ``buckets`` on.
+    """
     import pyarrow as pa
     import zstandard
 
+    from convoframe.llm.suffixsort import differ
+
     pressed = zstandard.ZstdCompressor(level=1)
 
-    def flush(docs, places, grams, marks):
-        d, p, g, m = (np.concatenate(x) for x in (docs, places, grams, marks))
+    def flush(docs, places, grams, marks, sizes, texts):
+        d, p, g, m, n = (np.concatenate(x) for x in (docs, places, grams, marks, sizes))
+        base = np.repeat(np.r_[0, np.cumsum([len(x) for x in texts])[:-1]], [len(x) for x in places])
         by_place = np.lexsort((p, d))
-        d, p, g, m = d[by_place], p[by_place], g[by_place], m[by_place]
+        d, p, g, m, n, base = (x[by_place] for x in (d, p, g, m, n, base))
         order, first = _first_of(g, m)
-        lead = np.zeros(len(d), dtype=bool)
-        lead[order[first]] = True
-        bucket = (g & np.uint64(0xFFFF)).astype(np.int64) % buckets
+        leader = np.empty(len(d), dtype=np.int64)
+        leader[order] = order[np.maximum.accumulate(np.where(first, np.arange(len(d)), 0))]
+        left, right = np.minimum(OFFSETS - 1, p), np.minimum(OFFSETS - 1, n - p - GRAM)
+        lead = (leader == np.arange(len(d))) | (left != left[leader]) | (right != right[leader])
+        rest = np.flatnonzero(~lead)
+        begin = base + p - left
+        lead[rest[differ(np.concatenate(texts), begin[rest], begin[leader[rest]], (left + GRAM + right)[rest])]] = True
+        bucket = np.where(lead, (g & np.uint64(0xFFFFFF)).astype(np.int64) % buckets, buckets + d % buckets)
         by_bucket = np.argsort(bucket, kind="stable")
-        ends = np.searchsorted(bucket[by_bucket], np.arange(buckets + 1))
+        ends = np.flatnonzero(np.r_[True, np.diff(bucket[by_bucket]) != 0, True])
         rows = []
-        for b in np.flatnonzero(np.diff(ends)):
-            i = by_bucket[ends[b] : ends[b + 1]]
-            a, c = i[lead[i]], i[~lead[i]]
-            rows.append((int(b), pressed.compress(_frame([_shift(g[a]).tobytes(), _shift(m[a]).tobytes(), _deltas(d[a]), _planes(p[a], 4), _deltas(d[c]), _planes(p[c], 4)]))))
+        for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+            i = by_bucket[a:b]
+            at = int(bucket[i[0]])
+            hashes = [_shift(g[i]).tobytes(), m[i].tobytes()] if at < buckets else [b"", b""]
+            rows.append((at, pressed.compress(_frame([*hashes, _deltas(d[i]), _planes(p[i], 4)]))))
         return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["bucket", "blob"])
 
-    held, total = ([], [], [], []), 0
+    held, total, size = ([], [], [], [], [], []), 0, 0
     for batch in batches:
         offsets, data = arrow_texts(batch.column(1))
         for doc, a, b in zip(batch.column(0).to_pylist(), offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
             if b - a < LENGTH:
                 continue
             place, gram, mark = anchors(data[a:b])
-            for x, y in zip(held, (np.full(len(place), doc, np.int64), place, gram, mark), strict=True):
+            for x, y in zip(held, (np.full(len(place), doc, np.int64), place, gram, mark, np.full(len(place), b - a, np.int64), data[a:b].copy()), strict=True):
                 x.append(y)
-            total += len(place)
-            if total >= FLUSH:
+            total, size = total + len(place), size + b - a
+            if total >= FLUSH or size >= 64 * FLUSH:
                 yield flush(*held)
-                held, total = ([], [], [], []), 0
+                held, total, size = ([], [], [], [], [], []), 0, 0
     if total:
         yield flush(*held)
 
 
-def _by_bucket(batches):
-    """Blobs of a bucket together, from a stream sorted by bucket."""
+def _by_bucket(batches, buckets: int):
+    """Blobs of a bucket together, from a stream sorted by bucket; those from ``buckets`` on one by one."""
     now, held = None, []
     for batch in batches:
         for bucket, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            if bucket != now and held:
+            if (bucket != now or bucket >= buckets) and held:
                 yield now, held
                 held = []
             now = bucket
@@ -200,28 +240,38 @@ def _by_bucket(batches):
         yield now, held
 
 
-def _settle(batches, hot: int):
-    """Step 2: which occurrences of a bucket's anchors are settled or stay open; as lists by document."""
+def _meet(batches, buckets: int, hot: int):
+    """Step 2: the places of anchors met more than once, and what is to be done with each; as lists by document."""
     import pyarrow as pa
     import zstandard
 
     plain = zstandard.ZstdDecompressor()
-    for _, blobs in _by_bucket(batches):
+    for bucket, blobs in _by_bucket(batches, buckets):
         parts = [_unframe(plain.decompress(x)) for x in blobs]
-        g = np.concatenate([_unshift(np.frombuffer(x[0], np.uint8).reshape(-1, 6)) for x in parts])
-        m = np.concatenate([_unshift(np.frombuffer(x[1], np.uint8).reshape(-1, 6)) for x in parts])
         d, p = np.concatenate([_undeltas(x[2]) for x in parts]), np.concatenate([_unplanes(x[3], 4) for x in parts])
+        if bucket >= buckets:
+            yield from _by_document(pa, d, _code(p, SETTLED), "codes")
+            continue
+        g = np.concatenate([_unshift(np.frombuffer(x[0], np.uint8).reshape(-1, 6)) for x in parts])
+        m = np.concatenate([np.frombuffer(x[1], np.uint64) for x in parts])
         by_place = np.lexsort((p, d))
         g, m, d, p = g[by_place], m[by_place], d[by_place], p[by_place]
         order, first = _first_of(g, m)
-        heads = np.r_[True, g[order][1:] != g[order][:-1]] if len(order) else np.zeros(0, bool)
-        group = np.cumsum(heads) - 1
-        contexts = np.bincount(group, weights=first).astype(np.int64)[group] if len(order) else np.zeros(0, np.int64)
-        state = np.where(~first, SETTLED, np.where(contexts > hot, HOT, OPEN))
-        keep = ~first | (contexts > 1)
-        dd = np.concatenate([d[order][keep], *[_undeltas(x[4]) for x in parts]])
-        code = np.concatenate([p[order][keep] * 4 + state[keep], *[_unplanes(x[5], 4) * 4 + SETTLED for x in parts]])
-        yield from _by_document(pa, dd, code, "codes")
+        g, d, p = g[order], d[order], p[order]
+        group = np.cumsum(np.r_[True, g[1:] != g[:-1]]) - 1
+        met, contexts = np.bincount(group)[group], np.bincount(group, weights=first).astype(np.int64)[group]
+        # Where an anchor is hot, copies of a context meet its first occurrence apart from the other contexts.
+        apart = met > hot
+        head = np.maximum.accumulate(np.where(first, np.arange(len(first)), 0))
+        salt = (np.arange(len(first)) - head - 1) // hot
+        copy = apart & ~first
+        state = np.where(copy, COPY, np.where(apart & (contexts > hot), HOT, OPEN))
+        keep = (met > 1) & (copy | (contexts > 1) | ~apart)
+        dd, code = [d[keep]], [_code(p, state, np.where(copy, salt, 0))[keep]]
+        salted = np.flatnonzero(copy & ((salt != np.r_[-1, salt[:-1]]) | np.r_[True, ~copy[:-1]]))  # the first copy of each salt: its leader goes there too
+        dd.append(d[head[salted]])
+        code.append(_code(p[head[salted]], COPY, salt[salted]))
+        yield from _by_document(pa, np.concatenate(dd), np.concatenate(code), "codes")
 
 
 def _by_document(pa, docs: np.ndarray, codes: np.ndarray, name: str):
@@ -242,7 +292,6 @@ def _contexts(batches, buckets: int):
     import pyarrow as pa
     import zstandard
 
-    from convoframe.llm.suffixsort import Prefix
     from convoframe.llm.wordhash import mix64
 
     plain, pressed = zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(level=1)
@@ -252,7 +301,7 @@ def _contexts(batches, buckets: int):
         key, doc, place, left, size = (np.concatenate(x) for x in (key, doc, place, left, size))
         data = b"".join(seen)
         start = np.r_[0, np.cumsum(size)[:-1]]
-        bucket = (key & np.uint64(0xFFFF)).astype(np.int64) % buckets
+        bucket = (key & np.uint64(0xFFFFFF)).astype(np.int64) % buckets
         order = np.argsort(bucket, kind="stable")
         ends = np.searchsorted(bucket[order], np.arange(buckets + 1))
         view = np.frombuffer(data, np.uint8)
@@ -267,14 +316,16 @@ def _contexts(batches, buckets: int):
     for batch in batches:
         for doc, z, lists in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
             codes = np.concatenate([np.asarray(x, dtype=np.int64) for x in lists])
-            codes = codes[codes % 4 != SETTLED]
+            codes = np.sort(codes[codes % 4 != SETTLED])
             if not len(codes):
                 continue
             data = np.frombuffer(plain.decompress(z), np.uint8)
             n = len(data)
-            at, hot = codes // 4, codes % 4 == HOT
+            at, hot, copy = codes >> 18, codes % 4 == HOT, codes % 4 == COPY
             left, right = np.minimum(OFFSETS - 1, at), np.minimum(OFFSETS - 1, n - at - GRAM)
-            grams = np.concatenate([Prefix(data[a : a + GRAM]).grams(GRAM) for a in at.tolist()]) if n > PIECE else Prefix(data).grams(GRAM)[at]
+            grams, marks = hashes_at(data, at)
+            salt = (codes >> 2 & 0xFFFF).astype(np.uint64) + np.uint64(1)
+            grams = np.where(copy, mix64(grams ^ mix64(marks + salt)), grams)
             for mark in (False, True):
                 i = np.flatnonzero(hot == mark)
                 if not len(i):
@@ -307,6 +358,8 @@ def repeated_strings(data: np.ndarray, group: np.ndarray, start: np.ndarray, lef
     from convoframe.llm.suffixsort import Prefix, sort_suffixes
 
     n = len(group)
+    if len(np.unique(group)) == n:
+        return []
     right = size - left - GRAM
     # Forwards: what follows from the anchor on.  Backwards: what precedes it, read leftwards.
     phase = (np.arange(len(data)) - np.repeat(start, size)).astype(np.uint8)
@@ -332,13 +385,29 @@ def repeated_strings(data: np.ndarray, group: np.ndarray, start: np.ndarray, lef
     return out
 
 
+def copies_of_earlier(data: np.ndarray, group: np.ndarray, start: np.ndarray, left: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Marks contexts that equal an earlier one of their group, byte by byte (as in ``repeated_strings``)."""
+    from convoframe.llm.suffixsort import Prefix, differ
+    from convoframe.llm.wordhash import mix64
+
+    phase = (np.arange(len(data)) - np.repeat(start, size)).astype(np.uint8)
+    whole = mix64(Prefix(data, phase).of(start, size) ^ (left * 256 + size).astype(np.uint64))
+    order, first = _first_of(group, whole)
+    leader = np.empty(len(group), dtype=np.int64)
+    leader[order] = order[np.maximum.accumulate(np.where(first, np.arange(len(order)), 0))]
+    same = (leader != np.arange(len(group))) & (left == left[leader]) & (size == size[leader])
+    i = np.flatnonzero(same)
+    same[i[differ(data, start[i], start[leader[i]], size[i])]] = False
+    return same
+
+
 def _sort_contexts(batches):
     """Step 3, in a bucket: suffix-sorts its contexts and returns the runs of repeated strings by document."""
     import pyarrow as pa
     import zstandard
 
     plain = zstandard.ZstdDecompressor()
-    for _, blobs in _by_bucket(batches):
+    for _, blobs in _by_bucket(batches, 1 << 31):
         parts = [_unframe(plain.decompress(x)) for x in blobs]
         key = np.concatenate([np.frombuffer(x[0], "<u8") for x in parts])
         doc = np.concatenate([np.frombuffer(x[1], "<i8") for x in parts])
@@ -354,28 +423,45 @@ def _sort_contexts(batches):
         before = np.r_[0, np.cumsum(size)]
         part = before[heads] // SLICE
         cuts = np.r_[heads[np.r_[True, part[1:] != part[:-1]]], len(key)]
-        found = []
+        rows, begins, lengths = [], [], []
         for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-            take = np.repeat(start[a:b] - (before[a:b] - before[a]), size[a:b]) + np.arange(before[b] - before[a])
+            i = np.arange(a, b)
             group = np.cumsum(np.r_[True, key[a + 1 : b] != key[a : b - 1]])
-            found += [(hit + a, back) for hit, back in repeated_strings(data[take], group, before[a:b] - before[a], left[a:b], size[a:b])]
-        if not found:
+            stretch = lambda i: data[np.repeat(start[i] - np.r_[0, np.cumsum(size[i])[:-1]], size[i]) + np.arange(int(size[i].sum()))]  # noqa: E731, B023
+            same = copies_of_earlier(stretch(i), group, before[a:b] - before[a], left[a:b], size[a:b])
+            known = i[same & (size[a:b] >= LENGTH)]
+            rows.append(known)
+            begins.append(place[known] - left[known])
+            lengths.append(size[known])
+            i, group = i[~same], group[~same]
+            # A context left alone in its group has nothing to be compared with.
+            alone = np.r_[True, group[1:] != group[:-1]] & np.r_[group[1:] != group[:-1], True]
+            i, group = i[~alone], group[~alone]
+            if not len(i):
+                continue
+            for hit, back in repeated_strings(stretch(i), group, np.r_[0, np.cumsum(size[i])[:-1]], left[i], size[i]):
+                rows.append(i[hit])
+                begins.append(place[i[hit]] - back.astype(np.int64))
+                lengths.append(np.full(len(hit), LENGTH, np.int64))
+        row, s, n = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (rows, begins, lengths))
+        if not len(row):
             continue
-        hit, back = np.concatenate([x[0] for x in found]), np.concatenate([x[1] for x in found])
-        begin = place[hit] - back.astype(np.int64)
-        order = np.lexsort((begin, doc[hit]))
-        d, s = doc[hit][order], begin[order]
+        d = doc[row]
+        order = np.lexsort((s, d))
+        d, s, n = d[order], s[order], n[order]
         # Runs of neighbouring strings, as (start, length) in one number.
-        head = np.r_[True, (d[1:] != d[:-1]) | (s[1:] > s[:-1] + LENGTH)]
+        number = np.cumsum(np.r_[False, d[1:] != d[:-1]]) << 33
+        end = np.maximum.accumulate(number + s + n)
+        head = np.r_[True, (number + s)[1:] > end[:-1]]
         first = np.flatnonzero(head)
         last = np.r_[first[1:], len(s)] - 1
-        yield from _by_document(pa, d[first], s[first] << 32 | (s[last] - s[first] + LENGTH), "runs")
+        yield from _by_document(pa, d[first], s[first] << 32 | (end[last] - number[last] - s[first]), "runs")
 
 
 def removed_runs(n: int, codes: list, runs: list) -> np.ndarray:
     """Maximal removed runs (start, end) of a text of ``n`` bytes."""
     at = np.concatenate([np.asarray(x, np.int64) for x in codes]) if codes else np.zeros(0, np.int64)
-    at = at[at % 4 == SETTLED] // 4
+    at = at[at % 4 == SETTLED] >> 18
     lo, hi = np.maximum(0, at - OFFSETS + 1), np.minimum(n, at + LENGTH)
     whole = hi - lo >= LENGTH
     lo, hi = lo[whole], hi[whole]
@@ -425,7 +511,7 @@ def remove_repeats(records: DataFrame, id_col: str = "doc_id", text_col: str = "
     n_bytes, n_removed, n_spans, kept_sha256``, and ``kept`` (the bytes left)
     ``with_text``.
 
-    Null texts are empty.  Rows that share an id are ordered by a hash of their
+    Texts of any length are handled in pieces.  Null texts are empty.  Rows that share an id are ordered by a hash of their
     texts; equal rows are one document, and each gets its result.  An empty table
     gives an empty result; further columns are ignored.
     """
@@ -435,10 +521,10 @@ def remove_repeats(records: DataFrame, id_col: str = "doc_id", text_col: str = "
     docs, numbers = _numbered(records, id_col, text_col)
     if numbers is not None:
         docs = write_table(docs, "numbered-texts", files_per_core=HEAVY)
-    buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), input_bytes(docs) // BUCKET_BYTES)
 
     blobs = docs.mapInArrow(lean(lambda x: _gather(x, buckets)), "bucket int, blob binary")
-    settled = blobs.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(lean(lambda x: _settle(x, hot_contexts)), "_d long, codes array<long>")
+    settled = blobs.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(lean(lambda x: _meet(x, buckets, hot_contexts)), "_d long, codes array<long>")
     settled = write_table(settled, "settled", files_per_core=HEAVY)
     ids = write_table(settled.select("_d").distinct(), "touched")
     few = ids.count() <= BROADCAST_IDS

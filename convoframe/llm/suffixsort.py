@@ -130,14 +130,20 @@ def sort_suffixes(p: Prefix, start: np.ndarray, length: np.ndarray, group: np.nd
     return order, extension
 
 
-def _unverified(p: Prefix, start, length, a, b, ext) -> np.ndarray:
-    """Which neighbours differ inside their extension, agree beyond it, or stand in the wrong order."""
+def differ(data: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Which of the stretches at ``a`` and ``b``, ``size`` bytes long, are not equal byte by byte."""
     bad = np.zeros(len(a), dtype=bool)
     for lo in range(0, len(a), 2048):
-        i, e = slice(lo, lo + 2048), ext[lo : lo + 2048]
+        i, e = slice(lo, lo + 2048), size[lo : lo + 2048]
         step = np.arange(int(e.sum())) - np.repeat(np.r_[0, np.cumsum(e)[:-1]], e)
-        x, y = p.data[np.repeat(start[a[i]], e) + step], p.data[np.repeat(start[b[i]], e) + step]
+        x, y = data[np.repeat(a[i], e) + step], data[np.repeat(b[i], e) + step]
         bad[lo + np.repeat(np.arange(len(e)), e)[x != y]] = True
+    return bad
+
+
+def _unverified(p: Prefix, start, length, a, b, ext) -> np.ndarray:
+    """Which neighbours differ inside their extension, agree beyond it, or stand in the wrong order."""
+    bad = differ(p.data, start[a], start[b], ext)
     most = np.minimum(length[a], length[b])
     inner = ext < most
     size = len(p.data)

@@ -522,6 +522,55 @@ def passages(seed, n):
     return [(i, "".join(rng.choice(parts)() for _ in range(rng.randint(0, 9)))) for i in range(n)] + [(1000, None), (1001, ""), (1002, "x" * 99), (1003, "x" * 100), (1004, "x" * 101)]
 
 
+def removed_in_process(docs, hot, buckets=3, tasks=3):
+    """The operator's steps as Spark chains them, in this process."""
+    import pyarrow as pa
+    import zstandard
+
+    def dealt(blobs):
+        rows = sorted(((r["bucket"], r["blob"]) for b in blobs for r in b.to_pylist()), key=lambda r: r[0])
+        return [pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["bucket", "blob"])] if rows else []
+
+    texts = {d: (t or "").encode() for d, t in docs}
+    batch = lambda part: pa.RecordBatch.from_arrays([pa.array([d for d, _ in part], pa.int64()), pa.array([t for _, t in part], pa.string())], names=["_d", "_text"])
+    blobs = [b for k in range(tasks) for b in substrings._gather(iter([batch(docs[k::tasks])]), buckets)]
+    lists, runs = defaultdict(list), defaultdict(list)
+    for b in substrings._meet(dealt(blobs), buckets, hot):
+        for r in b.to_pylist():
+            lists[r["_d"]].append(r["codes"])
+    press = zstandard.ZstdCompressor().compress
+    found = pa.RecordBatch.from_arrays([pa.array(list(lists), pa.int64()), pa.array([press(texts[d]) for d in lists], pa.binary()), pa.array(list(lists.values()), pa.list_(pa.list_(pa.int64())))], names=["_d", "_z", "lists"])
+    for b in substrings._sort_contexts(dealt(substrings._contexts([found], buckets))):
+        for r in b.to_pylist():
+            runs[r["_d"]].append(r["runs"])
+    out = {}
+    for d, t in texts.items():
+        gone = substrings.removed_runs(len(t), lists.get(d, []), runs.get(d, []))
+        edges = [0, *gone.reshape(-1).tolist(), len(t)]
+        kept = b"".join(t[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
+        out[d] = (len(t), len(t) - len(kept), len(gone), hashlib.sha256(kept).hexdigest())
+    return out
+
+
+@pytest.mark.parametrize("hot", [10_000, 4, 1])
+@pytest.mark.parametrize("seed", [1, 2])
+def test_repeats_by_steps(seed, hot):
+    """Hot anchors: copies apart by salt, other contexts by single strings."""
+    docs = passages(seed, 60) + [(2000 + i, "blank " + " " * (150 + i % 3) + "line") for i in range(12)]
+    assert removed_in_process(docs, hot) == brute_removal(docs)
+
+
+def test_no_byte_goes_by_its_hash(monkeypatch):
+    """With hashes that tell nothing apart, the comparisons alone decide."""
+    monkeypatch.setattr(suffixsort, "_TABLE", np.ones(256, dtype=np.uint64))
+    monkeypatch.setattr(substrings, "_context_marks", lambda prefix, at, left, right: np.zeros(len(at), np.uint64))
+    rng = random.Random(5)
+    pool = ["".join(rng.choice("abc ") for _ in range(130)) for _ in range(3)]
+    docs = [(i, "".join(rng.choice((rng.choice(pool), rng.choice(pool)[5:115], "".join(rng.choice("xyz") for _ in range(20)))) for _ in range(3))) for i in range(8)]
+    expected = brute_removal(docs)
+    assert removed_in_process(docs, 10**6) == expected and any(x[1] for x in expected.values())
+
+
 @pytest.mark.parametrize("hot", [substrings.HOT_CONTEXTS, 1])
 def test_repeats_equal_brute_force(spark, hot):
     docs = passages(3, 120)
@@ -529,6 +578,12 @@ def test_repeats_equal_brute_force(spark, hot):
     assert {r[0]: tuple(r)[1:] for r in got.collect()} == brute_removal(docs)
 
 
+def test_repeats_beyond_broadcasts(spark, monkeypatch):
+    monkeypatch.setattr(substrings, "BROADCAST_IDS", 0)
+    docs = passages(4, 60)
+    assert {r[0]: tuple(r)[1:] for r in substrings.remove_repeats(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)).collect()} == brute_removal(docs)
+
+
 def test_repeats_in_fixture(documents):
     docs = [(r["doc_id"], r["text"]) for r in documents.collect()]
     assert {r[0]: tuple(r)[1:] for r in substrings.remove_repeats(documents).collect()} == brute_removal(docs)
