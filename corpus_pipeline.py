@@ -23,51 +23,94 @@ from convoframe.sources import scratch
 BROADCAST_ROWS = 1_000_000
 
 
+def _unused(docs: DataFrame, name: str) -> str:
+    """``name``, lengthened until no column of ``docs`` has it."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def _keyed(docs: DataFrame) -> tuple[DataFrame, str]:
-    """``docs`` and a column that names a row: ``doc_id``, or the row's place in the files where ids repeat or are null."""
+    """``docs`` and a column that names a row: ``doc_id``, or a number given once where ids repeat or are null.
+
+    Numbered rows are written, as a number made again may fall on another row.
+    """
     most, nulls = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).agg(F.coalesce(F.max("n"), F.lit(0)), F.max(F.col("doc_id").isNull().cast("int"))).first()
     if most <= 1 and not nulls:
         return docs, "doc_id"
-    return docs.withColumn("_row", F.monotonically_increasing_id()), "_row"
+    row = _unused(docs, "_row")
+    return write_table(docs.withColumn(row, F.monotonically_increasing_id()), "numbered-rows", files_per_core=HEAVY), row
 
 
 def _sized(small: DataFrame) -> DataFrame:
     return F.broadcast(small) if small.count() <= BROADCAST_ROWS else small
 
 
+def _as_before(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of ``docs``, ``n_chars`` (if there is one) counted again."""
+    if "n_chars" in docs.columns:
+        rows = rows.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return rows.select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the documents whose language is found; learns from labelled rows outside the held-out third."""
+    """Keeps the documents whose language is found; learns from labelled rows outside the held-out third.
+
+    Null, empty and letterless texts are rejected.  Rows that repeat fare alike,
+    with null ids too; long texts are read whole; extra columns of any name stay;
+    an empty table stays empty.
+    """
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
     return keep_identified(docs, train_languages(docs.filter(~held_out)))
 
 
 def neardup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays: the one with the least id (the first read where ids repeat)."""
+    """One document of each near-duplicate group stays: the one with the least id (the first read where ids repeat).
+
+    Shingles are five words long, similar is 0.8 or more.  Null and empty texts
+    are in no group and stay; extra columns of any name stay; an empty table stays
+    empty.
+    """
     keyed, key = _keyed(docs)
-    kept = write_table(near_duplicates(keyed, id_col=key, width=5, percent=80).filter("kept").select(F.col(key).alias("_kept")), "kept")
-    return keyed.join(_sized(kept), F.col(key) == F.col("_kept"), "left_semi").select(*docs.columns)
+    name = _unused(keyed, "_kept")
+    kept = write_table(near_duplicates(keyed, id_col=key, width=5, percent=80).filter("kept").select(F.col(key).alias(name)), "kept")
+    return keyed.join(_sized(kept), F.col(key) == F.col(name), "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents stay; secrets in their texts are replaced."""
-    return redact_secrets(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    """All documents stay; secrets in their texts are replaced.
+
+    Null texts stay null; repeated rows are treated alike; long texts are read
+    whole; extra columns of any name stay; an empty table stays empty.
+    """
+    return _as_before(redact_secrets(docs), docs)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it; where it takes a part, that copy has its first words, joined by spaces."""
+    """Each document as often as the mix takes it; where it takes a part, that copy has its first words, joined by spaces.
+
+    Texts without words are not taken.  Repeated rows, also of null ids, are taken
+    each by itself; a null source is one of its own; extra columns of any name are
+    copied; an empty table stays empty.
+    """
     keyed, key = _keyed(docs)
+    name, copies, words, copy = (_unused(keyed, x) for x in ("_taken", "_copies", "_part", "_copy"))
     mixed = mix_to_targets(keyed, weights=(5, 2, 1), share=1.5, cap=2.0, id_col=key)
     part = F.col("taken") - F.col("copies") * F.col("size")
-    taken = write_table(mixed.filter("taken > 0").select(F.col(key).alias("_taken"), F.col("copies").cast("int").alias("_copies"), part.cast("int").alias("_part")), "taken")
-    rows = keyed.join(_sized(taken), F.col(key) == F.col("_taken"))
-    rows = rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies") + F.when(F.col("_part") > 0, 1).otherwise(0))))
-    words = F.array_join(F.slice(F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != ""), F.lit(1), F.col("_part")), " ")
-    text = F.when(F.col("_copy") <= F.col("_copies"), F.col("text")).otherwise(words)
-    return rows.withColumn("text", text).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    taken = write_table(mixed.filter("taken > 0").select(F.col(key).alias(name), F.col("copies").cast("int").alias(copies), part.cast("int").alias(words)), "taken")
+    rows = keyed.join(_sized(taken), F.col(key) == F.col(name))
+    rows = rows.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies) + F.when(F.col(words) > 0, 1).otherwise(0))))
+    first = F.array_join(F.slice(F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != ""), F.lit(1), F.col(words)), " ")
+    return _as_before(rows.withColumn("text", F.when(F.col(copy) <= F.col(copies), F.col("text")).otherwise(first)), docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents with their places in sequences of 2048 ids."""
+    """The pieces of all documents with their places in sequences of 2048 ids.
+
+    A null or empty text is its end id; repeated rows are packed each; extra columns
+    are left out; an empty table packs to nothing.
+    """
     return pack(docs, with_ids=False)
 
 
