@@ -82,6 +82,32 @@ def test_odd_documents_pass_through(spark):
     assert empty.count() == 0
 
 
+CLASHING = ("_taken", "_copies", "_part", "_kept", "_copy", "_row", "_text", "_id", "size", "taken", "kept", "Key with space", "_Row_")
+
+
+@pytest.mark.parametrize("unique", [True, False])
+@pytest.mark.parametrize("broadcast", [P.BROADCAST_ROWS, 0])
+def test_clashing_columns_keep_their_values(spark, unique, broadcast, monkeypatch):
+    monkeypatch.setattr(P, "BROADCAST_ROWS", broadcast)
+    sample = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").drop("n_chars")
+    rows = sample.filter("length(text) < 3000")
+    if not unique:
+        rows = rows.withColumn("doc_id", F.when(F.col("doc_id") % 5 == 0, None).otherwise(F.floor(F.col("doc_id") / 2))).withColumn("doc_id", F.col("doc_id").cast("long"))
+    for name in CLASHING:
+        rows = rows.withColumn(name, F.concat(F.lit(f"{name}:"), F.md5(F.concat_ws("|", "doc_id", "lang", "source"))))
+    docs = P.write_table(rows, "clashing")
+    plain = P.write_table(docs.drop(*CLASHING), "plain")
+    for name, stage in P.STAGES[:-1]:
+        docs, plain = P.write_table(stage(spark, docs, SF), name), P.write_table(stage(spark, plain, SF), name)
+        assert docs.columns == rows.columns
+        for c in CLASHING:
+            assert docs.filter(F.col(f"`{c}`") != F.concat(F.lit(f"{c}:"), F.md5(F.concat_ws("|", "doc_id", "lang", "source")))).count() == 0
+        if unique:
+            assert sorted(docs.select("doc_id", "text").collect()) == sorted(plain.select("doc_id", "text").collect())
+        else:
+            assert docs.count() == plain.count()
+
+
 @pytest.mark.parametrize("name", sorted(Q.QUERIES))
 def test_queries_return_every_row(spark, name):
     out = Q.QUERIES[name](spark, SF)
