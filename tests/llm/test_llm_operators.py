@@ -402,25 +402,72 @@ def water_fill(sizes, weights=(5, 2, 1), share=1.5, cap=2.0):
     return out
 
 
+def balanced(cells, targets, cap=2.0):
+    """Rates by (source, length class) from the primal conditions, by nested bisection."""
+    total = sum(cells.values())
+    middle = sum(n * c for (_, c), n in cells.items()) / total
+
+    def rates(tilt):
+        out = {}
+        for s in targets:
+            mine = {c: n for (t, c), n in cells.items() if t == s}
+            if targets[s] >= cap * sum(mine.values()):
+                out |= {(s, c): cap for c in mine}
+                continue
+            low, high = -60.0, 60.0
+            for _ in range(200):
+                m = (low + high) / 2
+                got = sum(n * min(cap, np.exp(m + tilt * (c - middle))) for c, n in mine.items())
+                low, high = (m, high) if got < targets[s] else (low, m)
+            out |= {(s, c): min(cap, np.exp(low + tilt * (c - middle))) for c in mine}
+        return out
+
+    low, high = -mixing.MAX_TILT, mixing.MAX_TILT
+    for _ in range(100):
+        tilt = (low + high) / 2
+        found = rates(tilt)
+        moment = sum(n * found[k] * (k[1] - middle) for k, n in cells.items())
+        low, high = (tilt, high) if moment < 0 else (low, tilt)
+    return found, moment / total
+
+
 def test_mix(documents):
     rows = documents.withColumn("source", F.when(F.col("doc_id") % 11 == 0, None).when(F.col("doc_id") % 3 == 0, F.lit("hot")).otherwise(F.col("source")))
-    source, sizes, taken, mine = {}, Counter(), Counter(), {}
+    source, sizes, taken, mine, cells = {}, Counter(), Counter(), {}, Counter()
     for r in rows.collect():
         source[r["doc_id"]] = r["source"]
         mine[r["doc_id"]] = len(WORD.findall(r["text"] or ""))
         sizes[r["source"]] += mine[r["doc_id"]]
+        cells[r["source"], max(1, mine[r["doc_id"]]).bit_length() - 1] += mine[r["doc_id"]]
     targets = water_fill(sizes)
+    expected, moment = balanced(cells, targets)
+    assert abs(moment) < 1e-6  # the constraints can be met here
     got = mixing.mix_to_targets(rows).collect()
+    tilted = set()
     for r in got:
-        s = source[r["doc_id"]]
-        assert r["size"] == mine[r["doc_id"]] and r["source_size"] == sizes[s] and r["target"] == pytest.approx(targets[s])
-        assert 0 <= r["taken"] <= 2 * r["size"] and r["rate"] == pytest.approx(targets[s] / sizes[s], rel=1e-6)
+        s, size = source[r["doc_id"]], mine[r["doc_id"]]
+        assert r["size"] == size and r["source_size"] == sizes[s] and r["target"] == pytest.approx(targets[s])
+        assert r["rate"] == pytest.approx(expected[s, max(1, size).bit_length() - 1], rel=1e-4)
+        assert 0 <= r["taken"] <= 2 * size and abs(r["taken"] - r["rate"] * size) <= size
+        tilted.add((s, round(r["rate"], 6)))
         taken[s] += r["taken"]
-    assert all(abs(taken[s] - targets[s]) <= 1 for s in targets)
+    assert len(tilted) > len(sizes) + 3  # documents of one source have different rates
+    assert all(abs(taken[s] - targets[s]) <= 2 for s in targets)
     again = {r["doc_id"]: r["taken"] for r in mixing.mix_to_targets(rows.repartition(3)).collect()}
     assert again == {r["doc_id"]: r["taken"] for r in got}
 
 
+def test_mix_with_a_broken_cap(spark):
+    rows = spark.createDataFrame([(i, "w " * (i % 40 + 1), f"s{i % 7}") for i in range(400)], "doc_id long, text string, source string")
+    got = mixing.mix_to_targets(rows, weights=(9, 1), share=1.2, cap=1.5).collect()
+    taken, target = Counter(), {}
+    for r in got:
+        assert r["taken"] <= 1.5 * r["size"]
+        taken[f"s{r['doc_id'] % 7}"] += r["taken"]
+        target[f"s{r['doc_id'] % 7}"] = r["target"]
+    assert all(abs(taken[s] - target[s]) <= 45 for s in target)
+
+
 # --- quality
 
 
