@@ -18,10 +18,19 @@ OVERSAMPLE = 8
 #: Records a range is meant to hold, and the most ranges made; beyond that ranges grow.
 RANGE_ROWS = 20_000
 MAX_RANGES = 4_096
+#: The greatest key.
+MOST = (1 << 63) - 1
 #: A group of equal texts up to this share of a shard is kept in one shard.
 WHOLE_GROUP = 0.01
 
 
+def _ranged(slim: DataFrame, bounds: list[int], most_rows: int, most_size: int) -> tuple[DataFrame, dict[int, int]]:
+    """Adds ``_range``, and tells into how many parts each overfull range has to go."""
+    ranged = slim.withColumn("_range", count_at_most(F.col("_key"), bounds))
+    found = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("n"), F.sum("_size").alias("s")).collect()  # a row a range
+    return ranged, {r["_range"]: k for r in found if (k := max(-(-r["n"] // most_rows), min(r["n"], -(-r["s"] // most_size)))) > 1}
+
+
 def shard_by_size(records: DataFrame, shards: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Deals every record into ``shards`` shards whose sizes are near equal.
 
@@ -31,7 +40,7 @@ def shard_by_size(records: DataFrame, shards: int, id_col: str = "doc_id", text_
     of one record, at either end.  Returns ``id_col, size, text_crc32, shard, slot``; slots are
     gapless from 0 in each shard.
 
-    Null ids sort first; repeated rows are dealt like any others; an empty table
+    Very long texts count by their bytes; null ids sort first; repeated rows are dealt like any others; an empty table
     gives an empty result; further columns are ignored.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
@@ -53,12 +62,23 @@ def shard_by_size(records: DataFrame, shards: int, id_col: str = "doc_id", text_
     drawn = slim.select("_key", (-F.log(uniform) / F.col("_size")).alias("_p")).orderBy("_p", "_key").limit(OVERSAMPLE * n_ranges).collect()
     keys = sorted(r["_key"] for r in drawn)
     bounds = sorted({keys[i * len(keys) // n_ranges] for i in range(1, n_ranges)}) if keys else []
-    ranged = slim.withColumn("_range", count_at_most(F.col("_key"), bounds))
-
-    # Ranges found overfull (a hot key, or sampling error) are subdivided by a hash of the row.
-    found = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("n"), F.sum("_size").alias("s")).collect()  # at most MAX_RANGES rows
+    # Overfull ranges are subdivided: keys that are hot by themselves get ranges of their own, what is left is cut
+    # evenly (keys are hashes).  Only the rows of a hot key are dealt on by a hash of the row.
     most_rows, most_size = 2 * max(RANGE_ROWS, rows // n_ranges), max(1, 2 * total // n_ranges)
-    split = {r["_range"]: k for r in found if (k := max(-(-r["n"] // most_rows), min(r["n"], -(-r["s"] // most_size)))) > 1}
+    ranged, over = _ranged(slim, bounds, most_rows, most_size)
+    hot = set()
+    if over:
+        by_key = ranged.filter(F.col("_range").isin(list(over))).groupBy("_key").agg(F.count(F.lit(1)).alias("n"), F.sum("_size").alias("s"))
+        hot = {r["_key"] for r in by_key.filter((F.col("n") * 4 > most_rows) | (F.col("s") * 4 > most_size)).collect()}  # at most 4 a range of the mean size
+        bounds = sorted({*bounds, *hot, *(k + 1 for k in hot if k < MOST)})
+        ranged, over = _ranged(slim, bounds, most_rows, most_size)
+    ends = [-MOST - 1, *bounds, MOST]
+    cuts = {ends[r] + (ends[r + 1] - ends[r]) * i // k for r, k in over.items() if ends[r] not in hot for i in range(1, k)}
+    if cuts:
+        bounds = sorted({*bounds, *cuts})
+        ranged, over = _ranged(slim, bounds, most_rows, most_size)
+        ends = [-MOST - 1, *bounds, MOST]
+    split = {r: k for r, k in over.items() if ends[r] in hot}
     if split:
         counts = F.create_map(*[F.lit(x) for kv in sorted(split.items()) for x in kv])
         parts = F.coalesce(F.try_element_at(counts, F.col("_range")), F.lit(1))

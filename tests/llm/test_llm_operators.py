@@ -346,6 +346,20 @@ def test_hot_key_is_subdivided(spark, monkeypatch):
     assert len(sizes) == 8 and max(sizes.values()) - min(sizes.values()) <= 40
 
 
+def test_small_groups_stay_whole_beside_a_hot_text(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "RANGE_ROWS", 20)
+    text = F.when(F.col("id") < 3000, F.lit("one hot text")).otherwise(F.concat(F.lit("group "), F.floor(F.col("id") / 10).cast("string")))
+    rows = spark.range(9000).select(F.col("id").alias("doc_id"), text.alias("text"))
+    got = sharding.shard_by_size(rows, 8).collect()
+    sizes, groups = Counter(), defaultdict(set)
+    for r in got:
+        sizes[r["shard"]] += r["size"]
+        if r["doc_id"] >= 3000:
+            groups[r["doc_id"] // 10].add(r["shard"])
+    assert len(got) == 9000 and all(len(x) == 1 for x in groups.values())
+    assert max(sizes.values()) - min(sizes.values()) <= 0.02 * sum(sizes.values()) / 8 + 100
+
+
 # --- fingerprints
 
 
