@@ -1,14 +1,17 @@
 """I-Match document fingerprints.
 
-Terms within a band of inverse document frequency form the lexicon.  The lexicon
-is divided at random, once for each resolution, into many small sub-lexicons; a
+Terms within a band of inverse document frequency form the lexicon.  Random
+sub-lexicons are drawn from it, overlapping, each term entering each of them by a
+hash: ``DRAWS`` of every share 1/2, 1/4, ... down to 1/2^``RESOLUTIONS``.  A
 document's distinct terms in a sub-lexicon, sorted, are hashed to one signature,
-and the fingerprint lists them all.  Two fingerprints are alike as far as their
-filled signatures agree.  An edit spares the sub-lexicons it has no terms of, so
-similarity falls gradually, where one hash over the whole lexicon would break.
-
-Document frequencies are counted over all documents by 64-bit term hash, and the
-lexicon lists the hashes in the band exactly: 8 bytes a term, sent to all tasks.
+and the fingerprint lists them all.  An edit spares the sub-lexicons that have none
+of the changed terms, so likeness falls gradually, where one hash over the whole
+lexicon would break.
+
+Document frequencies are counted over all documents by 64-bit term hash.  Both ends
+of the band are shares of the documents, so the lexicon's size does not grow with
+the corpus: a document has ``d`` distinct terms on average, frequencies add up to
+``d`` times the documents, and at most ``d / MIN_SHARE`` terms can be that frequent.
 """
 
 from __future__ import annotations
@@ -19,16 +22,21 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from convoframe.llm.common import arrow_batches, arrow_ints, arrow_texts, count_at_most, lean
+from convoframe.llm.common import arrow_batches, arrow_ints, arrow_texts, count_at_most, lean, write_table
 
-#: The idf band, as document frequencies: at least so many documents, at most this share of all.
+#: The idf band, as document frequencies: at least so many documents and this share of all, at most that share of all.
 MIN_DOCUMENTS = 2
+MIN_SHARE = 1e-4
 MAX_SHARE = 0.10
-#: Resolutions: into how many sub-lexicons the lexicon is divided, and how many of those are used.
-RESOLUTIONS = ((32, 32), (128, 32), (512, 32), (2048, 32))
-_SIGNATURES = sum(n for _, n in RESOLUTIONS)
-#: A resolution counts if the two fingerprints fill so many of its signatures.
-MIN_FILLED = 6
+#: The most terms of a lexicon (8 bytes each); with more in the band (documents of over 1,600 distinct terms on average) its lower end rises.
+MAX_TERMS = 1 << 24
+#: Sub-lexicons of each share, and how many shares there are.
+DRAWS, RESOLUTIONS = 16, 10
+_SIGNATURES = DRAWS * RESOLUTIONS
+#: A share counts if the two fingerprints fill so many of its signatures.
+MIN_FILLED = 8
+#: Terms drawn at a time.
+_DRAWN = 1 << 14
 #: Term hashes of whole documents that a task gathers before it counts them.
 _GATHERED = 1 << 21
 #: Ids are cut into ranges of about so many rows; beyond the most ranges made, ranges grow.
@@ -74,9 +82,21 @@ def document_frequencies(records: DataFrame, text_col: str = "text") -> DataFram
     return counts.groupBy("term").agg(F.sum("n").alias("n"))
 
 
-def lexicon(records: DataFrame, text_col: str = "text", min_documents: int = MIN_DOCUMENTS, max_share: float = MAX_SHARE) -> np.ndarray:
-    """The sorted hashes of all terms inside the idf band."""
-    most = max(min_documents, max_share * records.count())
+def lexicon(records: DataFrame, text_col: str = "text", min_documents: int = MIN_DOCUMENTS, max_share: float = MAX_SHARE, min_share: float = MIN_SHARE, max_terms: int = MAX_TERMS) -> np.ndarray:
+    """The sorted hashes of all terms inside the idf band; at most ``max_terms``."""
+    documents = records.count()
+    least, most = max(min_documents, min_share * documents), max(min_documents, max_share * documents)
+    inside = write_table(document_frequencies(records, text_col).filter((F.col("n") >= F.lit(least)) & (F.col("n") <= F.lit(most))), "lexicon")
+    if inside.count() > max_terms:
+        # Few terms are frequent: the frequencies that at most ``max_terms`` reach are few rows.
+        above = inside.groupBy("n").count().orderBy(F.desc("n")).limit(max_terms).toLocalIterator()
+        total, least = 0, most + 1
+        for r in above:
+            total += r["count"]
+            if total > max_terms:
+                break
+            least = r["n"]
+        inside = inside.filter(F.col("n") >= F.lit(least))
 
     def pack(batches):
         import pyarrow as pa
@@ -85,8 +105,7 @@ def lexicon(records: DataFrame, text_col: str = "text", min_documents: int = MIN
         if terms:
             yield pa.RecordBatch.from_arrays([pa.array([np.concatenate(terms).tobytes()], pa.binary())], names=["terms"])
 
-    inside = document_frequencies(records, text_col).filter((F.col("n") >= min_documents) & (F.col("n") <= F.lit(most))).select("term")
-    packed = inside.mapInArrow(lean(pack), "terms binary").collect()  # 8 bytes a term of the lexicon
+    packed = inside.select("term").mapInArrow(lean(pack), "terms binary").collect()  # 8 bytes a term
     return np.sort(np.frombuffer(b"".join(r["terms"] for r in packed), dtype=np.uint64))
 
 
@@ -98,20 +117,20 @@ class Fingerprinter:
         self.marks = marks
 
     def of(self, data: np.ndarray) -> bytes:
-        """The fingerprint: 16 bits a signature (0: no terms), all resolutions in turn; one signature of all terms where none is in the band."""
+        """The fingerprint: 16 bits a signature (0: no terms), share by share; one signature of all terms where none is in the band."""
         every = _terms(self.hasher, data)
         at = np.searchsorted(self.marks, every)
         at[at == len(self.marks)] = 0
         terms = every[self.marks[at] == every] if len(self.marks) else every[:0]
         out = np.zeros(_SIGNATURES, dtype=np.uint64)
-        at = 0
-        for r, (parts, used) in enumerate(RESOLUTIONS):
-            mixed = self.mix(terms ^ np.uint64((r + 1) * 0x5851F42D4C957F2D & (1 << 64) - 1))
-            part = (mixed % np.uint64(parts)).astype(np.int64)
-            mine = part < used
-            # Terms are sorted and distinct, so the running hash of a part depends on its set alone.
-            np.add.at(out, at + part[mine], self.mix(mixed[mine]))
-            at += used
+        for lo in range(0, len(terms), _DRAWN):
+            part = terms[lo : lo + _DRAWN]
+            # A bit for each draw; of share 1/2^k where k such words agree.
+            words = np.stack([self.mix(part ^ np.uint64((r + 1) * 0x5851F42D4C957F2D & (1 << 64) - 1)) for r in range(-(-RESOLUTIONS // 4))], axis=1)
+            words = np.bitwise_and.accumulate(words.view("<u2")[:, :RESOLUTIONS], axis=1)
+            term, signature = np.nonzero(np.unpackbits(np.ascontiguousarray(words).view(np.uint8), axis=1))
+            # Terms are distinct, so a sub-lexicon's running hash depends on its set alone.
+            np.add.at(out, signature, self.mix(part ^ np.uint64(0xA24BAED4963EE407))[term])
         if not len(terms):  # nothing in the band: all its terms stand for it
             out[0] = self.mix(every).sum() | np.uint64(1)  # a sum of no terms is 0
         filled = out != 0
@@ -120,21 +139,20 @@ class Fingerprinter:
 
 
 def likeness(a: bytes, b: bytes) -> float:
-    """Agreement of filled signatures, 0 to 1: the best resolution that fills enough of them, else over all.
+    """Agreement of filled signatures, 0 to 1: at the least share that fills half of them and the next larger one, or over all.
 
+    The fingerprints' fill alone chooses the shares, not how well they agree.
     Texts with no term in the band fill the first signature only.
     """
-    x, y = np.frombuffer(a, "<u2"), np.frombuffer(b, "<u2")
+    x, y = np.frombuffer(a, "<u2").reshape(RESOLUTIONS, DRAWS), np.frombuffer(b, "<u2").reshape(RESOLUTIONS, DRAWS)
     filled, same = (x != 0) | (y != 0), (x == y) & (x != 0)
     if not filled.any():
         return 1.0
-    best, at = None, 0
-    for _, used in RESOLUTIONS:
-        n = int(filled[at : at + used].sum())
-        if n >= MIN_FILLED:
-            best = max(best or 0.0, int(same[at : at + used].sum()) / n)
-        at += used
-    return best if best is not None else int(same.sum()) / int(filled.sum())
+    enough = np.flatnonzero(filled.sum(axis=1) >= MIN_FILLED)
+    if len(enough):
+        used = slice(max(0, enough[-1] - 1), enough[-1] + 1)
+        filled, same = filled[used], same[used]
+    return int(same.sum()) / int(filled.sum())
 
 
 def fingerprint(records: DataFrame, id_col: str = "doc_id", text_col: str = "text", marks: np.ndarray | None = None) -> DataFrame:
@@ -170,7 +188,8 @@ def compare_with_edits(records: DataFrame, id_col: str = "doc_id", text_col: str
     one read before it.
 
     Rows that share an id each stand; the document next to them is the next lower
-    id's row with the least text hash.  Null texts are empty, null ids come last.
+    id's row with the least text hash.  Null texts are empty, null ids come last;
+    long texts are read whole.
     An empty table gives an empty result; further columns are ignored.
     """
     spark = records.sparkSession

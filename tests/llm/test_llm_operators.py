@@ -397,6 +397,35 @@ def test_words_of_one_document_stay_out_of_the_lexicon(spark):
     assert all(got[2 * i] == got[2 * i + 1] for i in range(pairs)) and len(set(got.values())) == pairs
 
 
+def test_lexicon_is_bounded(spark):
+    rows = spark.createDataFrame([(d, " ".join(f"t{i}" for i in range(d, d + 40))) for d in range(400)], "doc_id long, text string")
+    every = fingerprints.lexicon(rows, max_share=1.0)
+    assert len(every) == 437  # terms of one document only are out
+    for most in (437, 400, 100):
+        few = fingerprints.lexicon(rows, max_share=1.0, max_terms=most)
+        assert len(few) <= most and set(few.tolist()) <= set(every.tolist())
+    assert len(fingerprints.lexicon(rows, max_share=1.0, min_share=0.1)) == 361  # in 40 documents of 400
+    assert len(fingerprints.lexicon(rows, max_share=0.05, min_share=0.025)) == 22  # 10 to 20 of 400
+
+
+def test_likeness_follows_the_edit():
+    """Random documents with a share of words changed: likeness falls with the share, and unrelated ones have next to none."""
+    rng = np.random.default_rng(3)
+    vocabulary = [f"w{i}" for i in range(5000)]
+    hasher = wordhash.WordHasher()
+    hashes = lambda words: np.frombuffer(" ".join(words).encode(), np.uint8)
+    f = fingerprints.Fingerprinter(np.unique(hasher.text(hashes(vocabulary))))
+    means = []
+    for share in (0.0, 0.05, 0.2, 0.5, 1.0):
+        found = []
+        for _ in range(60):
+            words = rng.choice(vocabulary, rng.integers(30, 800)).tolist()
+            other = [w if rng.random() >= share else rng.choice(vocabulary) for w in words]
+            found.append(fingerprints.likeness(f.of(hashes(words)), f.of(hashes(other))))
+        means.append(np.mean(found))
+    assert means[0] == 1 and means == sorted(means, reverse=True) and means[1] > 0.8 and means[2] > 0.45 and means[4] < 0.1
+
+
 # --- mixing
 
 
