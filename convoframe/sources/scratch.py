@@ -36,11 +36,11 @@ def input_bytes(df: DataFrame) -> int:
     return sum(s for s in sizes if s < 1 << 60)
 
 
-def materialised(df: DataFrame, tag: str, files_per_core: int = 1) -> DataFrame:
+def materialised(df: DataFrame, tag: str, files_per_core: int = 1, work: int = 1) -> DataFrame:
     """``df`` written to the shared folder and read back: its plan starts at files, and it is computed once.
 
-    Partitions are merged, without a shuffle, to one for each ``TASK_BYTES`` of input,
-    and at least ``files_per_core`` for each core: a file costs its executor more
+    Partitions are merged, without a shuffle, to one for each ``TASK_BYTES`` of input
+    (``work`` times as many where rows are multiplied on the way), and at least ``files_per_core`` for each core: a file costs its executor more
     than a few rows do, and tasks must not grow with the data.  Where executors come
     and go, the cores are not known and nothing is merged.  What is not dropped
     before goes when the application ends.
@@ -49,7 +49,7 @@ def materialised(df: DataFrame, tag: str, files_per_core: int = 1) -> DataFrame:
     path = f"{checkpoint_root(spark)}/{tag}-{uuid.uuid4().hex}"
     if spark.conf.get("spark.dynamicAllocation.enabled", "false") != "true":
         cores = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")) // 8)
-        df = df.coalesce(max(files_per_core * cores, -(-input_bytes(df) // TASK_BYTES)))
+        df = df.coalesce(max(files_per_core * cores, -(-input_bytes(df) * work // TASK_BYTES)))
     df.write.parquet(path)
     WRITTEN.append(path)
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
