@@ -8,17 +8,23 @@ no place.
 
 Bands of the signatures put documents into buckets.  In place of all pairs of a
 bucket, each member is compared with the bucket's leader (the member that most
-others meet), on full shingle sets.  What is still apart inside a leader's group
-is settled from differences to the leader: with A = leader - x, B = x - leader,
-two members share ``|leader| - |A1 u A2| + |B1 n B2|`` shingles, exactly.  So every
-pair that meets in a bucket is either in one component already or has been
-compared, and no group's pairs are listed.
+others meet), on full shingle sets.  Members of a leader's group that are still
+apart may be near each other, and not to the leader (pages of one template, say).
+They meet again by their rarest shingles: with ``n`` shingles each, two sets as
+similar as wanted share one of the rarest ``n / 9 + 1`` (at 0.8) of the smaller and
+one of the rarest ``n / 5 + 1`` of the larger.  What is a group's common text never
+is among these where it matters, so unrelated members do not meet.  Where many do,
+they are compared with one of them first, and then only pairs of different
+components.  So every pair that meets in a bucket is either in one component
+already or has been compared, and no group's pairs are listed.
+
+Equal sets are one: by 128 bits of hash, and their size.
 """
 
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from convoframe.llm.common import HEAVY, arrow_batches, arrow_texts, lean, write_table
@@ -101,12 +107,14 @@ def band_keys(signatures: np.ndarray) -> np.ndarray:
     return keys
 
 
-def set_hashes(sets: list[np.ndarray]) -> np.ndarray:
-    """One hash a set, from its elements' sum and its size (empty set: that of size 0)."""
+def set_hashes(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes a set, from sums over its elements and its size (empty set: that of size 0)."""
     from convoframe.llm.wordhash import mix64
 
-    sums = np.array([mix64(s).sum() for s in sets], dtype=np.uint64)
-    return mix64(sums + np.array([len(s) for s in sets], dtype=np.uint64))
+    n = np.array([len(s) for s in sets], dtype=np.uint64)
+    one = np.array([mix64(s).sum() for s in sets], dtype=np.uint64)
+    two = np.array([mix64(s ^ np.uint64(0xC2B2AE3D27D4EB4F)).sum() for s in sets], dtype=np.uint64)
+    return mix64(one + n), mix64(two ^ mix64(n))
 
 
 def _signed(x: np.ndarray) -> np.ndarray:
@@ -114,12 +122,13 @@ def _signed(x: np.ndarray) -> np.ndarray:
 
 
 def signature_table(records: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """``_id, _n, _set, _bands``: set size, the set's hash (null: empty set) and its band keys."""
+    """``_id, _n, _set, _hash, _check, _bands``: set size, the set's two hashes (null: empty set; ``_set`` is the first), band keys."""
     arrow_batches(records.sparkSession)
     id_type = records.schema[id_col].dataType.simpleString()
 
     def sign(batches):
         import pyarrow as pa
+        import pyarrow.compute  # noqa: F401
 
         from convoframe.llm.wordhash import WordHasher, shingles
 
@@ -127,23 +136,37 @@ def signature_table(records: DataFrame, id_col: str, text_col: str, width: int)
         for batch in batches:
             offsets, data = arrow_texts(batch.column(1))
             sets = [shingles(hasher.text(data[a:b]), width) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-            hashes = set_hashes(sets)
+            hashes, checks = (pa.array(_signed(x), pa.int64()) for x in set_hashes(sets))
             empty = np.array([len(s) == 0 for s in sets], dtype=bool)
             keys = _signed(band_keys(super_minhash(sets))) if sets else np.zeros((0, BANDS), np.int64)
             flat = pa.array(keys.reshape(-1), pa.int64())
             bands = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * BANDS), flat)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(_signed(hashes), pa.int64(), mask=empty), bands], names=["_id", "_n", "_set", "_bands"]
-            )
+            hashes = pa.compute.if_else(pa.array(empty), pa.scalar(None, pa.int64()), hashes)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), hashes, hashes, checks, bands], names=["_id", "_n", "_set", "_hash", "_check", "_bands"])
+
+    return records.select(id_col, F.col(text_col).cast("string").alias("_text")).mapInArrow(lean(sign), f"_id {id_type}, _n long, _set long, _hash long, _check long, _bands array<long>")
+
+
+def _sized(small: DataFrame) -> DataFrame:
+    """A table to be joined: broadcast if it is small, else left to a shuffled join, whose large keys Spark splits."""
+    return F.broadcast(small) if small.count() <= BROADCAST_IDS else small
+
 
-    return records.select(id_col, F.col(text_col).cast("string").alias("_text")).mapInArrow(lean(sign), f"_id {id_type}, _n long, _set long, _bands array<long>")
+def _told_apart(signed: DataFrame) -> DataFrame:
+    """Sets with equal first hashes but other second ones get numbers of their own."""
+    found = signed.filter("_set is not null").groupBy("_set").agg(F.min("_check").alias("lo"), F.max("_check").alias("hi")).filter("lo <> hi")
+    found = write_table(found.select(F.col("_set").alias("_met"), F.lit(True).alias("_twice")), "set-collisions")
+    if found.isEmpty():
+        return signed
+    joined = signed.join(_sized(found), F.col("_set") == F.col("_met"), "left")
+    return joined.withColumn("_set", F.when(F.col("_twice"), F.xxhash64("_set", "_check")).otherwise(F.col("_set"))).select(*signed.columns)
 
 
 def _leader_pairs(signed: DataFrame) -> DataFrame:
     """(``leader``, ``x``, ``x_n``): the other members of each leader's buckets, by set."""
     rows = signed.filter("_set is not null").select(F.explode("_bands").alias("key"), F.col("_set").alias("x"), F.col("_n").alias("x_n"))
     shared = rows.groupBy("key").agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.count(F.lit(1)).alias("met")).filter("lo <> hi").select("key", "met")
-    members = write_table(rows.join(shared, "key").distinct(), "bucket-members")
+    members = write_table(rows.join(shared, "key").distinct(), "bucket-members", work=8)
     drawn = members.groupBy("x").agg(F.sum("met").alias("pull"))
     leaders = members.join(drawn, "x").groupBy("key").agg(F.max(F.struct("pull", "x")).alias("l")).select("key", F.col("l.x").alias("leader"))
     return members.join(leaders, "key").filter("x <> leader").select("leader", "x", "x_n").distinct()
@@ -151,10 +174,8 @@ def _leader_pairs(signed: DataFrame) -> DataFrame:
 
 def _texts_of_sets(records: DataFrame, signed: DataFrame, wanted: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
     """(``_set``, ``_z``): the compressed text of one document of each wanted set."""
-    chosen = signed.join(wanted, "_set", "left_semi").groupBy("_set").agg(F.min("_id").alias("_one"))
-    chosen = write_table(chosen, "wanted-sets")
-    if chosen.count() <= BROADCAST_IDS:
-        chosen = F.broadcast(chosen)
+    chosen = signed.join(wanted, "_set", "left_semi").groupBy("_set").agg(F.min("_id").alias("_one"), F.first("_hash").alias("_hash"), F.first("_check").alias("_check"))
+    chosen = _sized(write_table(chosen, "wanted-sets"))
 
     def shrink(batches):
         import pyarrow as pa
@@ -164,24 +185,38 @@ def _texts_of_sets(records: DataFrame, signed: DataFrame, wanted: DataFrame, id_
 
         hasher, pressed = WordHasher(), zstandard.ZstdCompressor(level=1)
         for batch in batches:
-            offsets, data = arrow_texts(batch.column(1))
+            offsets, data = arrow_texts(batch.column(3))
             marks, out = [], []
-            for a, b, wanted_set in zip(offsets[:-1], offsets[1:], batch.column(0).to_pylist(), strict=True):
+            for a, b, one, two in zip(offsets[:-1], offsets[1:], batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 s = shingles(hasher.text(data[a:b]), width)  # an id may have several texts
-                marks.append(len(s) > 0 and int(_signed(set_hashes([s]))[0]) == wanted_set)
+                marks.append(len(s) > 0 and [int(_signed(x)[0]) for x in set_hashes([s])] == [one, two])
                 out.append(pressed.compress(data[a:b].tobytes()) if marks[-1] else b"")
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["_set", "_z"]).filter(pa.array(marks, pa.bool_()))
 
     typed = records.select(F.col(id_col).alias("_one"), F.col(text_col).cast("string").alias("_text"))
-    found = typed.join(chosen, typed["_one"].eqNullSafe(chosen["_one"])).select("_set", "_text").mapInArrow(lean(shrink), "_set long, _z binary")
+    found = typed.join(chosen, typed["_one"].eqNullSafe(chosen["_one"])).select("_set", "_hash", "_check", "_text").mapInArrow(lean(shrink), "_set long, _z binary")
     return write_table(found, "wanted-texts", files_per_core=HEAVY).dropDuplicates(["_set"])
 
 
-def _compare(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
-    """Adds to (``leader``, ``x``) the sizes, the shared count, and both differences where the group has several members."""
-    sizes = pairs.groupBy("leader").agg(F.count(F.lit(1)).alias("members")).withColumn("salts", F.ceil(F.col("members") / SALT_ROWS).cast("int"))
-    heads = sizes.join(texts, sizes["leader"] == texts["_set"]).select("leader", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(None).cast("long").alias("x"), "_z", "members")
-    rest = pairs.join(sizes, "leader").join(texts, F.col("x") == F.col("_set")).select("leader", F.pmod(F.xxhash64("x"), F.col("salts")).cast("int").alias("salt"), "x", "_z", "members")
+def _lengths(n, percent: int):
+    """How many of a set's rarest elements meet a similar set that is not smaller, and one that is not larger."""
+    return n - (2 * percent * n + 99 + percent) // (100 + percent) + 1, n - (percent * n + 99) // 100 + 1
+
+
+def _compare(pairs: DataFrame, texts: DataFrame, width: int, percent: int, tokens: bool = False) -> DataFrame:
+    """Adds to (``leader``, ``x``) the sizes and the shared count.
+
+    With ``tokens``, where a leader has several members, also the shingles that the
+    leader lacks (``more``) and the first ones by hash that it shares (``common``),
+    as many as may have to meet.  A leader's members are dealt by salt.
+    """
+    several = pairs.groupBy("leader").agg(F.count(F.lit(1)).alias("members")).filter("members > 1").withColumn("salts", F.ceil(F.col("members") / SALT_ROWS).cast("int"))
+    several = _sized(write_table(several, "leader-sizes"))
+    salts = F.coalesce("salts", F.lit(1))
+    heads = pairs.select("leader").distinct().join(several, "leader", "left").join(texts.select(F.col("_set").alias("leader"), "_z"), "leader")
+    heads = heads.select("leader", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"), F.lit(None).cast("long").alias("x"), "_z", F.lit(False).alias("shown"))
+    rest = pairs.join(several, "leader", "left").join(texts, F.col("x") == F.col("_set"))
+    rest = rest.select("leader", F.pmod(F.xxhash64("x"), salts).cast("int").alias("salt"), "x", "_z", (F.col("members").isNotNull() & F.lit(tokens)).alias("shown"))
     dealt = heads.union(rest).repartition("leader", "salt").sortWithinPartitions("leader", "salt", F.asc_nulls_first("x"))
 
     def run(batches):
@@ -195,55 +230,89 @@ def _compare(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
         kind = pa.list_(pa.int64())
         for batch in batches:
             rows = []
-            for a, x, z, members in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True):
+            for a, x, z, shown in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True):
                 s = shingles(hasher.text(np.frombuffer(plain.decompress(z), np.uint8)), width)
                 if x is None:
                     leader, base = a, s
                     continue
                 assert a == leader
-                near = np.minimum(np.searchsorted(base, s), len(base) - 1)
-                hit = base[near] == s
-                shared = int(hit.sum())
-                less = more = None
-                if members > 1:
-                    gone = np.ones(len(base), dtype=bool)
-                    gone[near[hit]] = False
-                    less, more = _signed(base[gone]), _signed(s[~hit])
-                rows.append((a, x, len(base), len(s), shared, less, more))
+                hit = base[np.minimum(np.searchsorted(base, s), len(base) - 1)] == s
+                more = common = None
+                if shown:
+                    more, common = _signed(s[~hit]), _signed(s[hit][: _lengths(len(s), percent)[1]])
+                rows.append((a, x, len(base), len(s), int(hit.sum()), more, common))
             yield pa.RecordBatch.from_arrays(
-                [pa.array([r[k] for r in rows], pa.int64()) for k in range(5)] + [pa.array([r[k] for r in rows], kind) for k in (5, 6)], names=["leader", "x", "leader_n", "x_n", "shared", "less", "more"]
+                [pa.array([r[k] for r in rows], pa.int64()) for k in range(5)] + [pa.array([r[k] for r in rows], kind) for k in (5, 6)], names=["leader", "x", "leader_n", "x_n", "shared", "more", "common"]
             )
 
-    return dealt.mapInArrow(lean(run), "leader long, x long, leader_n long, x_n long, shared long, less array<long>, more array<long>")
+    return dealt.mapInArrow(lean(run), "leader long, x long, leader_n long, x_n long, shared long, more array<long>, common array<long>")
 
 
-def _inside_groups(compared: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """Edges between members of a leader's group that are still in different components, from their differences to the leader."""
-    root = lambda d, c, name: d.join(labels.select(F.col("v").alias(c), F.col("root").alias(f"_{name}")), c, "left").withColumn(name, F.coalesce(f"_{name}", c)).drop(f"_{name}")
-    rows = root(root(compared.filter("less is not null"), "leader", "leader_root"), "x", "root")
-    groups = rows.groupBy("leader").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi")
-    groups = groups.select("leader", F.ceil(F.col("n") / (2 * SALT_ROWS)).cast("int").alias("salts"))
-    rows = write_table(rows.join(groups, "leader"), "open-groups")
-    left = rows.filter("root <> leader_root").select(
-        "leader", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("x").alias("a"), F.col("root").alias("a_root"), F.col("x_n").alias("a_n"), F.col("less").alias("a_less"), F.col("more").alias("a_more")
-    )
-    right = rows.select(
-        "leader", F.pmod(F.xxhash64("x"), F.col("salts")).cast("int").alias("salt"), F.col("x").alias("b"), F.col("root").alias("b_root"), (F.col("root") != F.col("leader_root")).alias("b_out"),
-        F.col("x_n").alias("b_n"), F.col("less").alias("b_less"), F.col("more").alias("b_more"), "leader_n",
+def _linked(compared: DataFrame, percent: int) -> DataFrame:
+    return compared.filter(F.col("shared") * (100 + percent) >= (F.col("leader_n") + F.col("x_n")) * percent).select(F.col("leader").alias("a"), F.col("x").alias("b"))
+
+
+def _rooted(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    return rows.join(labels.select(F.col("v").alias("x"), F.col("root").alias("_r")), "x", "left").withColumn("root", F.coalesce("_r", "x")).drop("_r")
+
+
+def _open_tokens(compared: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """(``leader, token, x, x_n, first``) of groups whose members are in several components: the shingles by which members meet.
+
+    Shingles that the leader lacks come first, the rarest of the group before
+    others; then those it shares, by hash.  ``first`` marks those for larger sets.
+    """
+    rows = _rooted(compared.filter("more is not null").select("leader", "x", "x_n", "more", "common"), labels)
+    apart = rows.groupBy("leader").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("leader")
+    rows = write_table(rows.join(_sized(write_table(apart, "open-leaders")), "leader", "left_semi").drop("root"), "open-groups")
+    met = F.count(F.lit(1)).over(Window.partitionBy("leader", "token"))
+    own = rows.select("leader", "x", F.explode("more").alias("token")).withColumn("met", met)
+    own = own.groupBy("leader", "x").agg(F.array_sort(F.collect_list(F.struct("met", "token"))).alias("own"))
+    rows = rows.drop("more").join(own, ["leader", "x"], "left").withColumn("own", F.coalesce("own", F.array().cast("array<struct<met:bigint,token:bigint>>")))
+    one = lambda token, at: F.struct(token.alias("token"), at.alias("at"))
+    mine = F.transform(F.filter(F.transform("own", lambda t, i: F.struct(t["met"].alias("met"), t["token"].alias("token"), i.alias("at"))), lambda t: t["met"] > 1), lambda t: one(t["token"], t["at"]))
+    every = F.concat(mine, F.transform("common", lambda t, i: one(t, i + F.size("own"))))
+    n = F.col("x_n")
+    short, long = n - F.floor((2 * percent * n + 99 + percent) / (100 + percent)) + 1, n - F.floor((percent * n + 99) / 100) + 1
+    return rows.select("leader", "x", "x_n", short.alias("short"), F.inline(F.filter(every, lambda t: t["at"] < long))).select("leader", "token", "x", "x_n", (F.col("at") < F.col("short")).alias("first"))
+
+
+def _mixed(tokens: DataFrame, by: list[str], head) -> DataFrame:
+    """The tokens' buckets whose members are in several components, with ``head`` of each."""
+    return tokens.groupBy(*by).agg(head.alias("h"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select(*by, "h")
+
+
+def _near_heads(tokens: DataFrame, percent: int) -> DataFrame:
+    """Pairs of a bucket's members with its smallest, size class by size class; twice, with classes shifted by half of one."""
+    parts = []
+    for shift in (0.0, 0.5):
+        rows = tokens.withColumn("class", F.floor(F.log(F.col("x_n").cast("double")) / F.log(F.lit(100.0 / percent)) + shift))
+        heads = _mixed(rows, ["leader", "token", "class"], F.min(F.struct("x_n", "x", "root")))
+        parts.append(rows.join(heads, ["leader", "token", "class"]).filter(F.col("root") != F.col("h.root")).select(F.col("h.x").alias("leader"), "x", "x_n"))
+    return parts[0].union(parts[1]).distinct()
+
+
+def _near_pairs(tokens: DataFrame, percent: int) -> DataFrame:
+    """Pairs that meet and are in different components, the smaller set as ``leader``."""
+    rows = tokens.join(_mixed(tokens, ["leader", "token"], F.lit(0)).drop("h"), ["leader", "token"], "left_semi")
+    small = rows.filter("first").select("leader", "token", F.col("x").alias("a"), F.col("x_n").alias("a_n"), F.col("root").alias("a_root"))
+    found = small.join(rows, ["leader", "token"]).filter(
+        (F.struct("a_n", "a") < F.struct("x_n", "x")) & (F.col("a_root") != F.col("root")) & (F.col("a_n") * 100 >= F.col("x_n") * percent)
     )
-    total = F.col("a_n") + F.col("b_n")
-    enough = lambda shared: shared * (100 + percent) >= total * percent
-    most = F.col("leader_n") - F.greatest(F.size("a_less"), F.size("b_less")) + F.least(F.size("a_more"), F.size("b_more"))
-    more = F.size(F.array_intersect("a_more", "b_more"))
-    bound = F.least(F.col("leader_n") - F.size("a_less"), F.col("leader_n") - F.size("b_less")) + more
-    shared = F.col("leader_n") - F.size("a_less") - F.size("b_less") + F.size(F.array_intersect("a_less", "b_less")) + more
-    condition = (
-        (F.col("a_root") != F.col("b_root")) & (~F.col("b_out") | (F.col("a") < F.col("b")))
-        & enough(F.least("a_n", "b_n")) & enough(most) & enough(bound) & enough(shared)
-    )
-    left, right = left.alias("l"), right.alias("r")
-    found = left.join(right, (F.col("l.leader") == F.col("r.leader")) & (F.col("l.salt") == F.col("r.salt")) & condition)
-    return found.select(F.col("a_root").alias("a"), F.col("b_root").alias("b")).distinct()
+    return found.select(F.col("a").alias("leader"), "x", "x_n").distinct()
+
+
+def _inside_groups(compared: DataFrame, labels: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """The components when members of a leader's group have been compared that are near each other by their rarest shingles."""
+    tokens = write_table(_open_tokens(compared, labels, percent), "open-tokens")
+    for meet in (_near_heads, _near_pairs):
+        pairs = write_table(meet(_rooted(tokens, labels), percent), "near-pairs")
+        if pairs.isEmpty():
+            continue
+        more = write_table(_linked(_compare(pairs, texts, width, percent), percent), "inside-edges")
+        if not more.isEmpty():
+            labels = components(labels.select(F.col("v").alias("a"), F.col("root").alias("b")).union(more))
+    return labels
 
 
 def near_duplicates(records: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
@@ -254,26 +323,20 @@ def near_duplicates(records: DataFrame, id_col: str = "doc_id", text_col: str =
     Records with ``100 * intersection >= percent * union`` are linked; the component
     id is the least ``id_col`` reachable, and the record with that id is kept.
 
-    Null and empty texts have an empty set and no link.  Null ids are passed
+    Null and empty texts have an empty set and no link; long texts are read whole.  Null ids are passed
     through.  Rows that share an id keep or lose it together.  An empty table
     gives an empty result; further columns are ignored.
     """
-    signed = write_table(signature_table(records, id_col, text_col, width), "signatures", files_per_core=HEAVY)
-    slim = signed.select("_id", "_n", "_set")
-    pairs = write_table(_leader_pairs(signed), "leader-pairs")
+    signed = _told_apart(write_table(signature_table(records, id_col, text_col, width), "signatures", files_per_core=HEAVY))
+    slim = signed.select("_id", "_n", "_set", "_hash", "_check")
+    pairs = write_table(_leader_pairs(signed), "leader-pairs", work=8)
     wanted = pairs.select(F.col("leader").alias("_set")).union(pairs.select("x")).distinct()
     texts = _texts_of_sets(records, slim.filter("_set is not null"), wanted, id_col, text_col, width)
-    compared = write_table(_compare(pairs, texts, width), "compared", files_per_core=HEAVY)
-    edges = compared.filter(F.col("shared") * (100 + percent) >= (F.col("leader_n") + F.col("x_n")) * percent).select(F.col("leader").alias("a"), F.col("x").alias("b"))
-    labels = components(edges)
-    more = write_table(_inside_groups(compared, labels, percent), "inside-edges")
-    if not more.isEmpty():
-        merged = components(more).select(F.col("v").alias("root"), F.col("root").alias("top"))
-        every = labels.union(more.select("a", "a")).union(more.select("b", "b")).distinct()
-        labels = every.join(merged, "root", "left").select("v", F.coalesce("top", "root").alias("root")).distinct()
-    placed = slim.join(labels.select(F.col("v").alias("_set"), F.col("root").alias("_root")), "_set", "left").withColumn("_root", F.coalesce("_root", "_set"))
+    compared = write_table(_compare(pairs, texts, width, percent, tokens=True), "compared", files_per_core=HEAVY)
+    labels = _inside_groups(compared, components(_linked(compared, percent)), texts, width, percent)
+    placed = slim.select("_id", "_n", "_set").join(labels.select(F.col("v").alias("_set"), F.col("root").alias("_root")), "_set", "left").withColumn("_root", F.coalesce("_root", "_set"))
     placed = write_table(placed, "placed")
     # Written, so that a large component's rows can be split in the join.
     least = write_table(placed.filter("_root is not null").groupBy("_root").agg(F.min("_id").alias("_least")), "least-ids")
-    out = placed.join(least, "_root", "left").withColumn("component_id", F.when(F.col("_root").isNull(), F.col("_id")).otherwise(F.col("_least")))
+    out = placed.join(_sized(least), "_root", "left").withColumn("component_id", F.when(F.col("_root").isNull(), F.col("_id")).otherwise(F.col("_least")))
     return out.select(F.col("_id").alias(id_col), F.col("_n").alias("n_shingles"), "component_id", F.col("_id").eqNullSafe(F.col("component_id")).alias("kept"))

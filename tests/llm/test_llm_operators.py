@@ -246,6 +246,47 @@ def test_neardup_group_without_a_near_leader(spark, monkeypatch):
     assert got == expected and len({c for _, c in expected.values()}) > 1
 
 
+def near_by_hand(spark, docs, width=4):
+    out = neardup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), width=width).collect()
+    return {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in out}
+
+
+@pytest.mark.parametrize("broadcast", [neardup.BROADCAST_IDS, 0])
+def test_neardup_truncations_and_families(spark, monkeypatch, broadcast):
+    """Members of one leader's group that are not near it: beginnings of one text, and a template's families."""
+    monkeypatch.setattr(neardup, "SALT_ROWS", 4)
+    monkeypatch.setattr(neardup, "BROADCAST_IDS", broadcast)
+    rng = random.Random(7)
+    words = lambda tag, n: [f"{tag}{i}" for i in range(n)]
+    long, docs = words("t", 600), []
+    docs += [(k, " ".join(long[: rng.randint(60, 600)])) for k in range(25)]
+    for k in range(24):  # a common part, one by family, one by document
+        docs.append((100 + k, " ".join(words("c", 140) + words(f"f{k % 6}_", 60) + words(f"d{k}_", rng.choice((4, 10, 40))))))
+    assert near_by_hand(spark, docs) == brute_components(docs, 4)
+
+
+def test_neardup_templates_grow_with_their_number(spark, monkeypatch):
+    """Pages of one template, unrelated otherwise: what is compared grows with the pages, not with their pairs."""
+    counts = {}
+    compare = neardup._compare
+
+    def counted(pairs, *args, **kwargs):
+        counts[n] = counts.get(n, 0) + pairs.count()
+        return compare(pairs, *args, **kwargs)
+
+    monkeypatch.setattr(neardup, "_compare", counted)
+    for n in (100, 400):
+        docs = [(k, " ".join([f"c{i}" for i in range(160)] + [f"d{k}_{i}" for i in range(40)])) for k in range(n)]
+        assert {c for _, c in near_by_hand(spark, docs).values()} == set(range(n))
+    assert counts[400] <= 6 * counts[100] and counts[400] <= neardup.BANDS * 400
+
+
+def test_equal_first_hashes_are_told_apart(spark):
+    rows = spark.createDataFrame([(1, 5, 7, 1), (2, 5, 7, 1), (3, 5, 7, 2), (4, 6, 6, 3), (5, None, None, 0)], "_id long, _set long, _hash long, _check long")
+    got = {r["_id"]: r["_set"] for r in neardup._told_apart(rows).collect()}
+    assert got[1] == got[2] != got[3] and got[4] == 6 and got[5] is None
+
+
 def test_super_minhash_estimates_similarity():
     rng = np.random.default_rng(0)
     errors = []
