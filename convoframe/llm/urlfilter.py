@@ -7,21 +7,25 @@ functions only.
 
 from __future__ import annotations
 
-import math
+import random
 import zlib
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from convoframe.llm.common import lower_ascii
+from convoframe.llm.common import let, lower_ascii
 
-BUCKETS = 2048
+#: Hash buckets of a host's and of a path's n-grams.
+HOST_BUCKETS, PATH_BUCKETS = 4096, 1024
 SIZES = (3, 4)
-EPOCHS = 150
-RATE = 2.0
-PENALTY = 1e-3
-#: Blocked from this probability on: of the few values tried, the least that blocked no allowed host held out from training.
-THRESHOLD = 0.60
+#: Hosts decide; what a path says counts so much less.
+PATH_WEIGHT = 0.3
+EPOCHS = 1500
+RATE = 10.0
+PENALTY = 1e-4
+#: The threshold is the least of 0.01, 0.02, ... that blocks at most this share of the allowed URLs held out from training.
+FALSE_ALARMS = 0.02
 
 #: (host, path prefix, verdict).
 RULES = (
@@ -32,28 +36,51 @@ RULES = (
     ("net", "/fr/", "block"),
 )
 
-#: The labelled table the default model is trained from: hosts by label, each with all paths, so that paths decide little.
-BLOCKED_HOSTS = (
-    "spam-site.example.net", "www.spam-farm.example.org", "link-farm.example.net", "click-farm.example.org", "cheap-meds.example.net", "blog.cheap-pills.example.org",
-    "pills-online.example.org", "casino-royal.example.org", "m.best-casino.example.net", "win-casino.example.net", "free-casino.example.org", "free-bets.example.org",
-    "www.bets-online.example.net", "betting-tips.example.org", "poker-online.example.net", "free-money.example.org", "win-prizes.example.net", "m.adult-cams.example.org",
-    "xxx-videos.example.net", "porn-videos.example.org", "blog.hot-porn.example.net", "viagra-shop.example.net", "payday-loans.example.org", "www.loans-fast.example.net",
-    "malware-host.example.org", "phish-login.example.net",
-    "adult-chat.example.org", "www.adult-films.example.net", "blog.adult-live.example.org", "adult-hub.example.net", "m.adult-pics.example.net", "casino-bonus.example.net",
-    "m.casino-slots.example.org", "www.casino-club.example.net", "live-casino.example.org", "ads-server.example.net", "www.ads-network.example.org", "m.ads-click.example.net",
-    "track-ads.example.org", "ad-tracker.example.net", "pixel-track.example.org", "www.web-tracking.example.net", "blog.track-users.example.org", "popup-ads.example.net",
+#: The words the default table's URLs are made of: what tells blocked and allowed sites, and what both have.
+BLOCKED_WORDS = (
+    "casino", "poker", "betting", "bets", "slots", "jackpot", "lottery", "roulette", "adult", "porn", "xxx", "sex", "cams", "escort", "nude", "hentai",
+    "viagra", "pills", "meds", "payday", "loans", "malware", "virus", "phishing", "trojan", "warez", "cracks", "keygen", "spam", "linkfarm", "clickbait", "popup",
+    "ads", "adserver", "tracker", "tracking", "prizes", "freemoney",
 )
-ALLOWED_HOSTS = (
-    "news.example.org", "blog.reading.example.org", "www.science.example.net", "m.weather.example.net", "library.example.org", "docs.project.example.org", "www.history.example.net",
-    "shop.garden.example.net", "university.example.org", "museum.example.org", "blog.thering.example.net", "m.theand.example.org", "thereth.example.org", "www.anthe.example.net",
-    "www.ofthe.example.org", "thion.example.net", "ouring.example.org", "m.inghat.example.net", "blog.onther.example.org", "ereth.example.org", "www.recipes.example.org",
-    "maps.travel.example.net", "health.example.org", "sports.example.net", "council.example.org", "music.example.net",
-    "blog.thouse.example.net", "m.ththin.example.org", "ththor.example.net", "www.garden-club.example.org", "roads.example.net", "m.beach.example.org", "thetrack.example.net",
-    "blog.water.example.net", "loads.example.org", "www.threads.example.net", "book-shop.example.org", "m.ther-ing.example.net", "film.example.org", "chat.example.net",
-    "www.cluster.example.org", "thth.example.net", "blog.family.example.net", "server.example.org",
+ALLOWED_WORDS = (
+    "roads", "threads", "uploads", "essex", "sussex", "cameras", "racetrack", "alphabets", "apple", "bridge", "candle", "doctor", "engine", "fabric", "glacier", "harbor", "island", "jacket", "kettle", "lantern",
+    "mountain", "needle", "orchard", "planet", "quarter", "river", "saddle", "teacher", "umbrella", "village", "window", "yellow", "zebra", "autumn", "blossom", "copper", "dentist", "eagle", "flower", "granite", "horizon", "ivory",
+    "justice", "kitchen", "lemon", "meadow", "northern", "ocean", "pepper", "quilt", "ribbon", "silver", "timber", "news", "weather", "library", "museum", "university", "school", "science", "history", "music", "cooking", "recipes", "garden", "travel", "maps", "health", "hospital",
+    "council", "sports", "football", "cinema", "books", "reading", "gallery", "photos", "nature", "wildlife", "banking", "insurance", "market", "bakery", "hotel", "railway",
+    "energy", "software", "docs", "project", "forum", "wiki",
 )
-PATHS = ("/", "/en/1", "/en/5782/", "/de/8034", "/fr/290.html", "/es/61")
-LABELLED = tuple((host, path, label) for label, hosts in ((1, BLOCKED_HOSTS), (0, ALLOWED_HOSTS)) for host in hosts for path in PATHS) + (("", "", 0),) * len(PATHS)  # and the empty URL
+NEUTRAL_WORDS = ("site", "online", "club", "hub", "world", "zone", "live", "home", "center", "best", "my", "free")
+#: Of the words of either kind, each so many-th is kept from training: half of them set the threshold, half are for tests.
+HELD_OUT = 5
+#: Hosts of random syllables, allowed: an unknown name is no reason to block.
+SYLLABLE_HOSTS = 400
+
+
+def labelled_urls() -> list[tuple[str, str, int, str]]:
+    """(host, path, 1 to block or 0, part): the table the default model is made from, by rule.
+
+    Parts: ``train``; ``test`` (other hosts of the same words); ``tune`` and
+    ``unseen`` (words not trained on, for the threshold and for tests).
+    """
+    rng = random.Random(11)
+    tail = lambda: rng.choice(("example.org", "example.net", "org", "net", "info.org", "web.net"))
+    start = lambda: rng.choice(("", "", "www.", "m.", "blog.", "shop."))
+    path = lambda: rng.choice(("/", f"/{rng.randint(1, 9999)}", f"/{rng.choice(('en', 'de', 'fr', 'es', 'it', 'nl'))}/{rng.randint(1, 9999)}", f"/{rng.choice(('en', 'de', 'fr', 'es', 'it', 'nl'))}/", f"/{rng.choice('abcdefgh')}{rng.choice('aeiou')}/{rng.randint(1, 9999)}", f"/page{rng.randint(1, 99)}.html", f"/20{rng.randint(10, 26)}/{rng.randint(1, 12)}/"))
+    rows = [("", "", 0, part) for part in ("train", "train", "train", "tune", "unseen")]
+    for label, words in ((1, BLOCKED_WORDS), (0, ALLOWED_WORDS)):
+        for i, w in enumerate(words):
+            held = ("tune", "unseen")[i // HELD_OUT % 2] if i % HELD_OUT == HELD_OUT - 1 else None
+            for k in range(24):
+                a, b = rng.choice(NEUTRAL_WORDS), rng.choice(NEUTRAL_WORDS)
+                host = start() + rng.choice((w, f"{w}-{a}", f"{a}-{w}", f"{w}{a}", f"{a}{w}", f"{a}-{w}-{b}")) + "." + tail()
+                part = held or ("train" if k < 20 else "test")
+                rows += [(host, path(), label, part) for _ in range(1 if part == "train" else 3)]
+    syllable = lambda: rng.choice("bcdfghjklmnprstvwz") + rng.choice("aeiou") + rng.choice(("", "", "n", "r", "s", "t", "th", "ng", "on"))
+    for i in range(SYLLABLE_HOSTS):
+        part = ("train", "train", "train", "tune", "unseen")[i % 5]
+        name = "".join(syllable() for _ in range(rng.randint(2, 4)))
+        rows += [(start() + name + "." + tail(), path(), 0, part) for _ in range(1 if part == "train" else 3)]
+    return rows
 
 
 def url_parts(url: Column) -> tuple[Column, Column]:
@@ -73,67 +100,87 @@ def match_rule(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]
     return name, verdict
 
 
-def _framed(host: str, path: str) -> str:
-    return f"^{host}|{path}$"
-
-
 def _grams(text: str, sizes) -> list[str]:
     return [text[i : i + n] for n in sizes for i in range(len(text) - n + 1)]
 
 
-def train(labelled=LABELLED, buckets: int = BUCKETS, sizes=SIZES) -> tuple[list[float], float]:
-    """Weights and bias by full-batch gradient descent with an L2 penalty; deterministic."""
-    rows = []
-    for host, path, label in labelled:
-        counts: dict[int, float] = {}
-        grams = _grams(_framed(host, path), sizes)
+def _features(host: str, path: str, sizes=SIZES) -> dict[int, float]:
+    """Counts of hashed n-grams, those of the host and those of the path each over the root of their number."""
+    out: dict[int, float] = {}
+    for text, first, buckets, weight in ((f"^{host}|", 0, HOST_BUCKETS, 1.0), (f"{path}$", HOST_BUCKETS, PATH_BUCKETS, PATH_WEIGHT)):
+        grams = _grams(text, sizes)
         for g in grams:
-            k = zlib.crc32(g.encode()) % buckets
-            counts[k] = counts.get(k, 0.0) + 1.0
-        norm = math.sqrt(len(grams)) or 1.0
-        rows.append(({k: v / norm for k, v in counts.items()}, label))
-    w, bias = [0.0] * buckets, 0.0
+            k = first + zlib.crc32(g.encode()) % buckets
+            out[k] = out.get(k, 0.0) + weight / len(grams) ** 0.5
+    return out
+
+
+def fit(rows: list[tuple[str, str, int]], sizes=SIZES) -> tuple[list[float], float]:
+    """Weights and bias by full-batch gradient descent with an L2 penalty, both labels weighing the same; deterministic."""
+    import numpy as np
+
+    x, y = np.zeros((len(rows), HOST_BUCKETS + PATH_BUCKETS), dtype=np.float32), np.array([r[2] for r in rows], dtype=np.float32)
+    for i, (host, path, _) in enumerate(rows):
+        for k, v in _features(host, path, sizes).items():
+            x[i, k] = v
+    share = np.where(y > 0, 0.5 / max(1.0, y.sum()), 0.5 / max(1.0, (1 - y).sum()))
+    w, bias = np.zeros(x.shape[1], dtype=np.float32), np.float32(0)
     for _ in range(EPOCHS):
-        grad, g0 = {}, 0.0
-        for x, y in rows:
-            error = 1 / (1 + math.exp(-(bias + sum(w[k] * v for k, v in x.items())))) - y
-            g0 += error
-            for k, v in x.items():
-                grad[k] = grad.get(k, 0.0) + error * v
-        n = max(1, len(rows))
-        for k, g in grad.items():
-            w[k] -= RATE * 4 * (g / n + PENALTY * w[k])
-        bias -= RATE * g0 / n
-    return w, bias
+        error = (1 / (1 + np.exp(-(x @ w + bias))) - y) * share
+        w -= RATE * (x.T @ error + PENALTY * w)
+        bias -= RATE * error.sum()
+    return w.tolist(), float(bias)
+
+
+def probability(host: str, path: str, model: tuple[list[float], float]) -> float:
+    """The model's probability for one URL, in Python (for the table's rows and tests)."""
+    import math
+
+    return 1 / (1 + math.exp(-(model[1] + sum(model[0][k] * v for k, v in _features(host, path).items()))))
+
+
+@lru_cache(maxsize=1)
+def train() -> tuple[tuple[list[float], float], float]:
+    """The default model and its threshold, from ``labelled_urls``."""
+    rows = labelled_urls()
+    model = fit([r[:3] for r in rows if r[3] == "train"])
+    allowed = [probability(r[0], r[1], model) for r in rows if r[3] == "tune" and not r[2]]
+    fits = (t / 100 for t in range(1, 100) if sum(p >= t / 100 for p in allowed) <= FALSE_ALARMS * len(allowed))
+    return model, next(fits, 1.0)
 
 
 def block_probability(host: Column, path: Column, model: tuple[list[float], float], sizes=SIZES) -> Column:
     """The model's probability that a URL is to be blocked; n-grams by code points, hashed with CRC-32."""
     weights, bias = model
-    table = F.array(*[F.lit(x) for x in weights])
-    text = F.concat(F.lit("^"), host, F.lit("|"), path, F.lit("$"))
 
-    def weight(i: Column, n: int) -> Column:
-        return F.element_at(table, (F.pmod(F.crc32(F.substring(text, i, F.lit(n))), F.lit(len(weights))) + 1).cast("int"))
+    def part(text: Column, first: int, buckets: int) -> Column:
+        table = F.array(*[F.lit(x) for x in weights[first : first + buckets]])
+
+        def scored(t: Column, n: int) -> tuple[Column, Column]:
+            at = F.when(F.length(t) >= n, F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(t) - F.lit(n - 1)))).otherwise(F.array().cast("array<int>"))
+            weight = lambda i: F.element_at(table, (F.pmod(F.crc32(F.substring(t, i, F.lit(n))), F.lit(buckets)) + 1).cast("int"))
+            return F.aggregate(at, F.lit(0.0), lambda acc, i: acc + weight(i)), F.size(at)
+
+        def whole(t: Column) -> Column:
+            found = [scored(t, n) for n in sizes]
+            return sum((f[0] for f in found), F.lit(0.0)) / F.sqrt(F.greatest(sum((f[1] for f in found), F.lit(0)), F.lit(1)).cast("double"))
 
-    def scored(n: int) -> tuple[Column, Column]:
-        at = F.when(F.length(text) >= n, F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(text) - F.lit(n - 1)))).otherwise(F.array().cast("array<int>"))
-        return F.aggregate(at, F.lit(0.0), lambda acc, i: acc + weight(i, n)), F.size(at)
+        return let(text, whole)
 
-    parts = [scored(n) for n in sizes]
-    total, count = sum((p[0] for p in parts), F.lit(0.0)), sum((p[1] for p in parts), F.lit(0))
-    z = F.lit(bias) + total / F.sqrt(F.greatest(count, F.lit(1)).cast("double"))
+    z = F.lit(bias) + part(F.concat(F.lit("^"), host, F.lit("|")), 0, HOST_BUCKETS) + F.lit(PATH_WEIGHT) * part(F.concat(path, F.lit("$")), HOST_BUCKETS, PATH_BUCKETS)
     return F.lit(1.0) / (F.lit(1.0) + F.exp(-z))
 
 
-def judge_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=RULES, model=None, threshold: float = THRESHOLD) -> DataFrame:
+def judge_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=RULES, model=None, threshold: float | None = None) -> DataFrame:
     """``id_col, host, path, rule, verdict, score``: rules first, then the model.
 
-    Null or malformed URLs have empty host and path, no rule, and the model's
-    verdict on the empty URL.  One row out for each row in; further columns are
-    ignored.  Nothing is shuffled.
+    Without ``model`` the default one judges, at its own threshold.  Null or
+    malformed URLs have empty host and path, no rule, and the model's verdict on
+    the empty URL (allowed); very long URLs are read whole.  One row out for each
+    row in; further columns, of any name, are ignored.  Nothing is shuffled.
     """
-    model = model or train()
+    default, limit = train()
+    model, threshold = model or default, limit if threshold is None else threshold
     host, path = url_parts(F.col(url_col))
     parts = pages.select(F.col(id_col).alias(id_col), host.alias("host"), path.alias("path"))
     rule, says = match_rule(F.col("host"), F.col("path"), rules)
