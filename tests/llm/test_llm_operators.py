@@ -582,6 +582,64 @@ def test_symbol_soup_fails(spark, documents):
     assert not got[10**6]["base_failed"] and not got[10**6]["kept"]
 
 
+def js_by_hand(a, b):
+    a, b = np.asarray(a, float), np.asarray(b, float)
+    if not a.sum() or not b.sum():
+        return None
+    p, q = a / a.sum(), b / b.sum()
+    m = (p + q) / 2
+    half = lambda x: sum(v * np.log2(v / w) for v, w in zip(x, m, strict=True) if v > 0)
+    return max(0.0, min(1.0, (half(p) + half(q)) / 2)) ** 0.5
+
+
+def test_quality_divergence(documents):
+    """Histograms, references without the own part, distances and verdicts, by hand."""
+    found, sums, total = {}, {}, np.zeros(6)
+    for r in documents.collect():
+        text, words = r["text"] or "", WORD.findall(r["text"] or "")
+        lower, upper, digit, wide = (sum(bool(re.match(p, c)) for c in text) for p in ("[a-z]", "[A-Z]", "[0-9]", r"[^\x00-\x7F]"))
+        blank = sum(c in " \t\n\x0b\x0c\r" for c in text)
+        classes = np.array([lower, upper, digit, blank, len(text) - lower - upper - digit - wide - blank, wide], float)
+        lang = r["lang"] if r["lang"] in quality.COMMON_WORDS else quality.POOLED
+        common = np.zeros(41)
+        if lang != quality.POOLED:
+            counts = Counter(w.lower() for w in words)
+            common[:40] = [counts[w] for w in quality.COMMON_WORDS[lang]]
+            common[40] = len(words) - common[:40].sum()
+        found[r["doc_id"]] = (lang, classes, common, len(text))
+    got = {r["doc_id"]: r for r in quality.judge_quality(documents).collect()}
+    passing = {d for d, r in got.items() if not r["base_failed"]}
+    for d in passing:
+        lang, classes, common, _ = found[d]
+        a, b = sums.setdefault(lang, (np.zeros(6), np.zeros(41)))
+        sums[lang] = (a + classes, b + common)
+        total += classes
+    for d, r in got.items():
+        lang, classes, common, chars = found[d]
+        rc = (total if lang == quality.POOLED else sums[lang][0]) - classes if d in passing else None
+        c = js_by_hand(classes, rc) if d in passing and chars >= quality.MIN_CLASS_CHARS else None
+        w = js_by_hand(common, sums[lang][1] - common) if d in passing and r["n_words"] >= quality.MIN_COMMON_WORDS and lang != quality.POOLED else None
+        assert (r["class_distance"], r["word_distance"]) == (c if c is None else pytest.approx(c, abs=1e-9), w if w is None else pytest.approx(w, abs=1e-9))
+        bad = (c or 0) > 0.10 + 3.0 / max(1, chars) ** 0.5 or (w or 0) > 0.17 + 1.1 / max(1, r["n_words"]) ** 0.5
+        assert r["kept"] == (d in passing and not bad)
+
+
+def test_quality_of_labelled_documents(spark):
+    """On the two thirds of the labels that the limits were not chosen on (at the middle size)."""
+    sf = "/root/testdata/sf0.01"
+    rows = spark.read.parquet(f"{sf}/documents.parquet")
+    labels = spark.read.parquet(f"{sf}/labels.parquet").filter(F.crc32(F.col("doc_id").cast("string")) % 3 != 0)
+    got = quality.judge_quality(rows).join(labels, "doc_id").filter("not base_failed").groupBy("quality").agg(F.avg(F.col("kept").cast("double")).alias("kept")).collect()
+    kept = {r["quality"]: r["kept"] for r in got}
+    assert kept[1] > 0.98 and kept[0] < 0.2
+
+
+def test_one_document_of_a_language_is_not_held_against_itself(spark):
+    rows = spark.createDataFrame([(1, "un texte tout seul de sa langue, assez long pour que la règle le lise " + " ".join(f"mot{i}" for i in range(60)), "fr")], "doc_id long, text string, lang string")
+    r = quality.judge_quality(rows).first()
+    assert not r["base_failed"] and r["kept"] and r["class_distance"] is None and r["word_distance"] is None
+
+
 # --- URLs
 
 
