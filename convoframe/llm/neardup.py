@@ -10,13 +10,16 @@ Bands of the signatures put documents into buckets.  In place of all pairs of a
 bucket, each member is compared with the bucket's leader (the member that most
 others meet), on full shingle sets.  Members of a leader's group that are still
 apart may be near each other, and not to the leader (pages of one template, say).
-They meet again by their rarest shingles: with ``n`` shingles each, two sets as
-similar as wanted share one of the rarest ``n / 9 + 1`` (at 0.8) of the smaller and
-one of the rarest ``n / 5 + 1`` of the larger.  What is a group's common text never
-is among these where it matters, so unrelated members do not meet.  Where many do,
-they are compared with one of them first, and then only pairs of different
-components.  So every pair that meets in a bucket is either in one component
-already or has been compared, and no group's pairs are listed.
+They meet again by their differences to the leader, the shingles that only one of
+the two has: two members differ from each other where one's difference lacks what
+the other's has, so similar members far from the leader must share a part of their
+differences, and that part follows from their sizes.  Sorted from the rarest
+in the group, two lists that share ``k`` elements meet in the first ``size - k + 1``
+of each.  What a template's pages have in common is in no difference, and what is a
+page's own comes first in its list and meets nobody.  Where many members meet, they
+are compared with one of them first, and then only pairs of different components.
+So every pair that meets in a bucket is either in one component already or has been
+compared, and no group's pairs are listed.
 
 Equal sets are one: by 128 bits of hash, and their size.
 """
@@ -198,17 +201,11 @@ def _texts_of_sets(records: DataFrame, signed: DataFrame, wanted: DataFrame, id_
     return write_table(found, "wanted-texts", files_per_core=HEAVY).dropDuplicates(["_set"])
 
 
-def _lengths(n, percent: int):
-    """How many of a set's rarest elements meet a similar set that is not smaller, and one that is not larger."""
-    return n - (2 * percent * n + 99 + percent) // (100 + percent) + 1, n - (percent * n + 99) // 100 + 1
-
-
-def _compare(pairs: DataFrame, texts: DataFrame, width: int, percent: int, tokens: bool = False) -> DataFrame:
+def _compare(pairs: DataFrame, texts: DataFrame, width: int, differences: bool = False) -> DataFrame:
     """Adds to (``leader``, ``x``) the sizes and the shared count.
 
-    With ``tokens``, where a leader has several members, also the shingles that the
-    leader lacks (``more``) and the first ones by hash that it shares (``common``),
-    as many as may have to meet.  A leader's members are dealt by salt.
+    With ``differences``, where a leader has several members, also the shingles
+    that only one of the two has.  A leader's members are dealt by salt.
     """
     several = pairs.groupBy("leader").agg(F.count(F.lit(1)).alias("members")).filter("members > 1").withColumn("salts", F.ceil(F.col("members") / SALT_ROWS).cast("int"))
     several = _sized(write_table(several, "leader-sizes"))
@@ -216,7 +213,7 @@ def _compare(pairs: DataFrame, texts: DataFrame, width: int, percent: int, token
     heads = pairs.select("leader").distinct().join(several, "leader", "left").join(texts.select(F.col("_set").alias("leader"), "_z"), "leader")
     heads = heads.select("leader", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"), F.lit(None).cast("long").alias("x"), "_z", F.lit(False).alias("shown"))
     rest = pairs.join(several, "leader", "left").join(texts, F.col("x") == F.col("_set"))
-    rest = rest.select("leader", F.pmod(F.xxhash64("x"), salts).cast("int").alias("salt"), "x", "_z", (F.col("members").isNotNull() & F.lit(tokens)).alias("shown"))
+    rest = rest.select("leader", F.pmod(F.xxhash64("x"), salts).cast("int").alias("salt"), "x", "_z", (F.col("members").isNotNull() & F.lit(differences)).alias("shown"))
     dealt = heads.union(rest).repartition("leader", "salt").sortWithinPartitions("leader", "salt", F.asc_nulls_first("x"))
 
     def run(batches):
@@ -236,16 +233,19 @@ def _compare(pairs: DataFrame, texts: DataFrame, width: int, percent: int, token
                     leader, base = a, s
                     continue
                 assert a == leader
-                hit = base[np.minimum(np.searchsorted(base, s), len(base) - 1)] == s
-                more = common = None
+                near = np.minimum(np.searchsorted(base, s), len(base) - 1)
+                hit = base[near] == s
+                apart = None
                 if shown:
-                    more, common = _signed(s[~hit]), _signed(s[hit][: _lengths(len(s), percent)[1]])
-                rows.append((a, x, len(base), len(s), int(hit.sum()), more, common))
+                    gone = np.ones(len(base), dtype=bool)
+                    gone[near[hit]] = False
+                    apart = _signed(np.concatenate([base[gone], s[~hit]]))
+                rows.append((a, x, len(base), len(s), int(hit.sum()), apart))
             yield pa.RecordBatch.from_arrays(
-                [pa.array([r[k] for r in rows], pa.int64()) for k in range(5)] + [pa.array([r[k] for r in rows], kind) for k in (5, 6)], names=["leader", "x", "leader_n", "x_n", "shared", "more", "common"]
+                [pa.array([r[k] for r in rows], pa.int64()) for k in range(5)] + [pa.array([r[5] for r in rows], kind)], names=["leader", "x", "leader_n", "x_n", "shared", "apart"]
             )
 
-    return dealt.mapInArrow(lean(run), "leader long, x long, leader_n long, x_n long, shared long, more array<long>, common array<long>")
+    return dealt.mapInArrow(lean(run), "leader long, x long, leader_n long, x_n long, shared long, apart array<long>")
 
 
 def _linked(compared: DataFrame, percent: int) -> DataFrame:
@@ -257,24 +257,33 @@ def _rooted(rows: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def _open_tokens(compared: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """(``leader, token, x, x_n, first``) of groups whose members are in several components: the shingles by which members meet.
-
-    Shingles that the leader lacks come first, the rarest of the group before
-    others; then those it shares, by hash.  ``first`` marks those for larger sets.
+    """(``leader, token, low, high, x, x_n``) of groups whose members are in several components: by what members meet.
+
+    With ``d`` shingles in its difference and ``n`` in all, a member has the excess
+    ``(100 + percent) * d - (100 - percent) * n``; two are similar if what their
+    differences share is at least their excesses' sum over ``2 * (100 + percent)``.
+    Excesses are cut into classes, and a member shows, for each class (``low`` and
+    ``high``: its own and that one, sorted) that may hold members similar to it, as
+    many of its rarest shingles as then must meet.
     """
-    rows = _rooted(compared.filter("more is not null").select("leader", "x", "x_n", "more", "common"), labels)
-    apart = rows.groupBy("leader").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("leader")
-    rows = write_table(rows.join(_sized(write_table(apart, "open-leaders")), "leader", "left_semi").drop("root"), "open-groups")
+    rows = _rooted(compared.filter("apart is not null").select("leader", "leader_n", "x", "x_n", "apart"), labels)
+    groups = rows.groupBy("leader").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("leader")
+    rows = write_table(rows.join(_sized(write_table(groups, "open-leaders")), "leader", "left_semi").drop("root"), "open-groups")
     met = F.count(F.lit(1)).over(Window.partitionBy("leader", "token"))
-    own = rows.select("leader", "x", F.explode("more").alias("token")).withColumn("met", met)
-    own = own.groupBy("leader", "x").agg(F.array_sort(F.collect_list(F.struct("met", "token"))).alias("own"))
-    rows = rows.drop("more").join(own, ["leader", "x"], "left").withColumn("own", F.coalesce("own", F.array().cast("array<struct<met:bigint,token:bigint>>")))
-    one = lambda token, at: F.struct(token.alias("token"), at.alias("at"))
-    mine = F.transform(F.filter(F.transform("own", lambda t, i: F.struct(t["met"].alias("met"), t["token"].alias("token"), i.alias("at"))), lambda t: t["met"] > 1), lambda t: one(t["token"], t["at"]))
-    every = F.concat(mine, F.transform("common", lambda t, i: one(t, i + F.size("own"))))
-    n = F.col("x_n")
-    short, long = n - F.floor((2 * percent * n + 99 + percent) / (100 + percent)) + 1, n - F.floor((percent * n + 99) / 100) + 1
-    return rows.select("leader", "x", "x_n", short.alias("short"), F.inline(F.filter(every, lambda t: t["at"] < long))).select("leader", "token", "x", "x_n", (F.col("at") < F.col("short")).alias("first"))
+    each = rows.select("leader", "leader_n", "x", "x_n", F.explode("apart").alias("token")).withColumn("met", met)
+    rows = each.groupBy("leader", "leader_n", "x", "x_n").agg(F.array_sort(F.collect_list(F.struct("met", "token"))).alias("apart"))
+    up, down, d, n = 100 + percent, 100 - percent, F.size("apart").cast("long"), F.col("x_n")
+    rows = rows.withColumn("width", F.greatest(F.lit(1), F.floor(F.col("leader_n") * down / 12))).withColumn("excess", up * d - down * n)
+    rows = rows.withColumn("class", F.floor(F.col("excess") / F.col("width")))
+    least, most = F.col("excess") - 2 * down * F.ceil(n * 100 / percent), F.col("excess") + 2 * down * n
+    rows = rows.withColumn("other", F.explode(F.sequence(F.floor(least / F.col("width")), F.floor(most / F.col("width")))))
+    # Members with an excess up to the leader's part are linked to it: two classes of such members need not meet.
+    near = lambda c: (F.col(c) + 1) * F.col("width") <= F.col("leader_n") * down
+    rows = rows.filter(~(near("class") & near("other")))
+    share = F.greatest(F.lit(1), F.ceil((F.col("excess") + F.col("other") * F.col("width")) / (2 * up)))
+    first = F.slice("apart", F.lit(1), F.greatest(F.lit(0), d - share + 1).cast("int"))
+    shown = F.transform(F.filter(first, lambda t: t["met"] > 1), lambda t: t["token"])
+    return rows.select("leader", F.least("class", "other").alias("low"), F.greatest("class", "other").alias("high"), "x", "x_n", F.explode(shown).alias("token"))
 
 
 def _mixed(tokens: DataFrame, by: list[str], head) -> DataFrame:
@@ -286,7 +295,7 @@ def _near_heads(tokens: DataFrame, percent: int) -> DataFrame:
     """Pairs of a bucket's members with its smallest, size class by size class; twice, with classes shifted by half of one."""
     parts = []
     for shift in (0.0, 0.5):
-        rows = tokens.withColumn("class", F.floor(F.log(F.col("x_n").cast("double")) / F.log(F.lit(100.0 / percent)) + shift))
+        rows = tokens.select("leader", "token", "x", "x_n", "root").distinct().withColumn("class", F.floor(F.log(F.col("x_n").cast("double")) / F.log(F.lit(100.0 / percent)) + shift))
         heads = _mixed(rows, ["leader", "token", "class"], F.min(F.struct("x_n", "x", "root")))
         parts.append(rows.join(heads, ["leader", "token", "class"]).filter(F.col("root") != F.col("h.root")).select(F.col("h.x").alias("leader"), "x", "x_n"))
     return parts[0].union(parts[1]).distinct()
@@ -294,22 +303,21 @@ def _near_heads(tokens: DataFrame, percent: int) -> DataFrame:
 
 def _near_pairs(tokens: DataFrame, percent: int) -> DataFrame:
     """Pairs that meet and are in different components, the smaller set as ``leader``."""
-    rows = tokens.join(_mixed(tokens, ["leader", "token"], F.lit(0)).drop("h"), ["leader", "token"], "left_semi")
-    small = rows.filter("first").select("leader", "token", F.col("x").alias("a"), F.col("x_n").alias("a_n"), F.col("root").alias("a_root"))
-    found = small.join(rows, ["leader", "token"]).filter(
-        (F.struct("a_n", "a") < F.struct("x_n", "x")) & (F.col("a_root") != F.col("root")) & (F.col("a_n") * 100 >= F.col("x_n") * percent)
-    )
+    by = ["leader", "low", "high", "token"]
+    rows = tokens.join(_mixed(tokens, by, F.lit(0)).drop("h"), by, "left_semi")
+    small = rows.select(*by, F.col("x").alias("a"), F.col("x_n").alias("a_n"), F.col("root").alias("a_root"))
+    found = small.join(rows, by).filter((F.struct("a_n", "a") < F.struct("x_n", "x")) & (F.col("a_root") != F.col("root")) & (F.col("a_n") * 100 >= F.col("x_n") * percent))
     return found.select(F.col("a").alias("leader"), "x", "x_n").distinct()
 
 
 def _inside_groups(compared: DataFrame, labels: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """The components when members of a leader's group have been compared that are near each other by their rarest shingles."""
+    """The components when members of a leader's group have been compared that may be near each other by their differences to it."""
     tokens = write_table(_open_tokens(compared, labels, percent), "open-tokens")
     for meet in (_near_heads, _near_pairs):
         pairs = write_table(meet(_rooted(tokens, labels), percent), "near-pairs")
         if pairs.isEmpty():
             continue
-        more = write_table(_linked(_compare(pairs, texts, width, percent), percent), "inside-edges")
+        more = write_table(_linked(_compare(pairs, texts, width), percent), "inside-edges")
         if not more.isEmpty():
             labels = components(labels.select(F.col("v").alias("a"), F.col("root").alias("b")).union(more))
     return labels
@@ -332,7 +340,7 @@ def near_duplicates(records: DataFrame, id_col: str = "doc_id", text_col: str =
     pairs = write_table(_leader_pairs(signed), "leader-pairs", work=8)
     wanted = pairs.select(F.col("leader").alias("_set")).union(pairs.select("x")).distinct()
     texts = _texts_of_sets(records, slim.filter("_set is not null"), wanted, id_col, text_col, width)
-    compared = write_table(_compare(pairs, texts, width, percent, tokens=True), "compared", files_per_core=HEAVY)
+    compared = write_table(_compare(pairs, texts, width, differences=True), "compared", files_per_core=HEAVY)
     labels = _inside_groups(compared, components(_linked(compared, percent)), texts, width, percent)
     placed = slim.select("_id", "_n", "_set").join(labels.select(F.col("v").alias("_set"), F.col("root").alias("_root")), "_set", "left").withColumn("_root", F.coalesce("_root", "_set"))
     placed = write_table(placed, "placed")
