@@ -257,14 +257,13 @@ def _rooted(rows: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def _open_tokens(compared: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """(``leader, token, low, high, x, x_n``) of groups whose members are in several components: by what members meet.
+    """(``leader, token, class, other, x, x_n``) of groups whose members are in several components: by what members meet.
 
     With ``d`` shingles in its difference and ``n`` in all, a member has the excess
     ``(100 + percent) * d - (100 - percent) * n``; two are similar if what their
     differences share is at least their excesses' sum over ``2 * (100 + percent)``.
-    Excesses are cut into classes, and a member shows, for each class (``low`` and
-    ``high``: its own and that one, sorted) that may hold members similar to it, as
-    many of its rarest shingles as then must meet.
+    Excesses are cut into classes, and a member shows, for each class (``other``) that
+    may hold members similar to it, as many of its rarest shingles as then must meet.
     """
     rows = _rooted(compared.filter("apart is not null").select("leader", "leader_n", "x", "x_n", "apart"), labels)
     groups = rows.groupBy("leader").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("leader")
@@ -283,7 +282,7 @@ def _open_tokens(compared: DataFrame, labels: DataFrame, percent: int) -> DataFr
     share = F.greatest(F.lit(1), F.ceil((F.col("excess") + F.col("other") * F.col("width")) / (2 * up)))
     first = F.slice("apart", F.lit(1), F.greatest(F.lit(0), d - share + 1).cast("int"))
     shown = F.transform(F.filter(first, lambda t: t["met"] > 1), lambda t: t["token"])
-    return rows.select("leader", F.least("class", "other").alias("low"), F.greatest("class", "other").alias("high"), "x", "x_n", F.explode(shown).alias("token"))
+    return rows.select("leader", "class", "other", "x", "x_n", F.explode(shown).alias("token"))
 
 
 def _mixed(tokens: DataFrame, by: list[str], head) -> DataFrame:
@@ -295,18 +294,16 @@ def _near_heads(tokens: DataFrame, percent: int) -> DataFrame:
     """Pairs of a bucket's members with its smallest, size class by size class; twice, with classes shifted by half of one."""
     parts = []
     for shift in (0.0, 0.5):
-        rows = tokens.select("leader", "token", "x", "x_n", "root").distinct().withColumn("class", F.floor(F.log(F.col("x_n").cast("double")) / F.log(F.lit(100.0 / percent)) + shift))
-        heads = _mixed(rows, ["leader", "token", "class"], F.min(F.struct("x_n", "x", "root")))
-        parts.append(rows.join(heads, ["leader", "token", "class"]).filter(F.col("root") != F.col("h.root")).select(F.col("h.x").alias("leader"), "x", "x_n"))
+        rows = tokens.select("leader", "token", "x", "x_n", "root").distinct().withColumn("size", F.floor(F.log(F.col("x_n").cast("double")) / F.log(F.lit(100.0 / percent)) + shift))
+        heads = _mixed(rows, ["leader", "token", "size"], F.min(F.struct("x_n", "x", "root")))
+        parts.append(rows.join(heads, ["leader", "token", "size"]).filter(F.col("root") != F.col("h.root")).select(F.col("h.x").alias("leader"), "x", "x_n"))
     return parts[0].union(parts[1]).distinct()
 
 
 def _near_pairs(tokens: DataFrame, percent: int) -> DataFrame:
     """Pairs that meet and are in different components, the smaller set as ``leader``."""
-    by = ["leader", "low", "high", "token"]
-    rows = tokens.join(_mixed(tokens, by, F.lit(0)).drop("h"), by, "left_semi")
-    small = rows.select(*by, F.col("x").alias("a"), F.col("x_n").alias("a_n"), F.col("root").alias("a_root"))
-    found = small.join(rows, by).filter((F.struct("a_n", "a") < F.struct("x_n", "x")) & (F.col("a_root") != F.col("root")) & (F.col("a_n") * 100 >= F.col("x_n") * percent))
+    small = tokens.select("leader", "token", F.col("class").alias("other"), F.col("other").alias("class"), F.col("x").alias("a"), F.col("x_n").alias("a_n"), F.col("root").alias("a_root"))
+    found = small.join(tokens, ["leader", "token", "class", "other"]).filter((F.struct("a_n", "a") < F.struct("x_n", "x")) & (F.col("a_root") != F.col("root")) & (F.col("a_n") * 100 >= F.col("x_n") * percent))
     return found.select(F.col("a").alias("leader"), "x", "x_n").distinct()
 
 
