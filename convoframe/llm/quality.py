@@ -93,8 +93,9 @@ def features(records: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     lines = F.filter(F.split(F.col("_text"), "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]"))
     dup_lines = let(lines, lambda a: F.size(a) - F.size(F.array_distinct(a)))
     own = F.create_map(*[x for lang, ws in COMMON_WORDS.items() for x in (F.lit(lang), F.array(*map(F.lit, ws)))])
-    # Words two blanks apart, so that each is a stretch of its own with a blank at either end.
-    spaced = F.lower(F.concat(F.lit(" "), F.array_join("_words", "  "), F.lit(" ")))
+    # The common words two blanks apart, so that each is a stretch of its own with a blank at either end.
+    every = sorted({w for ws in COMMON_WORDS.values() for w in ws})
+    spaced = F.lower(F.concat(F.lit(" "), F.array_join(F.filter("_words", lambda w: F.lower(w).isin(every)), "  "), F.lit(" ")))
 
     def histogram(args: Column) -> Column:
         size = F.octet_length(args["text"])
