@@ -5,11 +5,13 @@ from __future__ import annotations
 import argparse
 import dataclasses
 import sys
+from collections.abc import Callable
 
 from pyspark.sql import SparkSession
 
-from convoframe.config import Options, Settings
+from convoframe.config import Api, Options, Settings
 from convoframe.operators import contacts as C
+from convoframe.operators.chat import ANALYSIS, SCORING, chat
 from convoframe.plans import stages
 from convoframe.sources import csv_source, export
 
@@ -40,6 +42,10 @@ def parser() -> argparse.ArgumentParser:
     return p
 
 
+def client(api: Api | None, extra: dict) -> Callable[[str], str] | None:
+    return chat(api.url, api.key, api.model, api.timeout, extra) if api else None
+
+
 def main(argv: list[str] | None = None, complete=None) -> int:
     p = parser()
     args = p.parse_args(argv)
@@ -56,9 +62,10 @@ def main(argv: list[str] | None = None, complete=None) -> int:
             print(name)
             df.show(20, False)
     if args.verb in (None, "stage2", "full"):
-        for name, df in stages.stage2(spark, o, complete).items():
+        done = stages.stage2(spark, o, complete or client(o.score_api, SCORING))
+        for name, df in done.items():
             print(name, df.count())
-        export.export_json_lines(export.load_table(spark, o.output_dir, "final").select("instruction", "input", "output"), f"{o.output_dir}/training_only.json")
+        stages.save_final(spark, o, done)
     if args.verb == "filter":
         for name, df in stages.filter_cache(spark, o, args.min_score).items():
             export.export_json_lines(df, f"{o.output_dir}/filtered_{args.min_score:g}_{name}.json")
@@ -77,8 +84,12 @@ def main(argv: list[str] | None = None, complete=None) -> int:
         if args.list:
             print("\n".join(csv_source.folders(spark, o.data_dir)))
             return 0
-        done = stages.analyse(spark, o, complete or (lambda prompt: prompt.split("\n")[0]), args.contact)
-        export.export_json_lines(done["level2"], f"{o.output_dir}/analysis_report_{args.contact or 'all'}.json")
+        call = complete or client(o.analysis_api, ANALYSIS)
+        if call is None:
+            print("to analyse, enable pattern_analysis in the settings and give it api_url, api_key and model")
+            return 1
+        done = stages.analyse(spark, o, call, args.contact)
+        print(stages.save_analysis(spark, o, done, args.contact))
         done["final"].select("total_contacts", "total_messages", "analysis").show(1, False)
         print(stages.analysis_cache_stats(spark, o))
     return 0

@@ -49,6 +49,24 @@ class Settings:
         return self.path is not None and self.path.exists()
 
 
+@dataclass(frozen=True)
+class Api:
+    """Where completions are asked for."""
+
+    url: str
+    key: str
+    model: str
+    timeout: float
+
+    @classmethod
+    def of(cls, s: Settings, part: str, timeout: float) -> Api | None:
+        """The endpoint of a part of the settings; None unless enabled, with an address and a real key."""
+        key, url = s.get(f"{part}.api_key"), s.get(f"{part}.api_url")
+        if not (s.exists() and s.get(f"{part}.enabled") and url and key and key != "your_api_key_here"):
+            return None
+        return cls(url, key, s.get(f"{part}.model") or "", s.get(f"{part}.timeout", timeout))
+
+
 @dataclass(frozen=True)
 class Options:
     """What the stages need to know."""
@@ -65,6 +83,10 @@ class Options:
     attempts: int = 3
     threads: int = 3
     chunk: int = 1000
+    analysis_threads: int = 3
+    analysis_attempts: int = 3
+    score_api: Api | None = None
+    analysis_api: Api | None = None
     prompt: str = "{instruction}\n{input}\n{output}\n"
     first_prompt: str = "{contact_name} ({relationship}), {conversation_count} messages:\n{conversations}"
     second_prompt: str = "{contact_name} ({relationship}), {total_messages} messages in {analysis_count} parts:\n{analyses}"
@@ -72,8 +94,7 @@ class Options:
 
     @classmethod
     def of(cls, s: Settings) -> Options:
-        key = s.get("llm_evaluation.api_key")
-        ready = bool(s.exists() and s.get("llm_evaluation.enabled") and key and key != "your_api_key_here" and s.get("llm_evaluation.api_url"))
+        score_api = Api.of(s, "llm_evaluation", 30)
         d = cls()
         return cls(
             data_dir=s.get("data_processing.data_dir", d.data_dir),
@@ -81,11 +102,15 @@ class Options:
             my_id=s.get("data_processing.my_wxid", d.my_id),
             max_gap=s.get("data_processing.max_inter_message_gap", d.max_gap),
             max_delay=s.get("data_processing.max_reply_delay", d.max_delay),
-            scoring=ready,
+            scoring=score_api is not None,
             min_score=s.get("llm_evaluation.min_score", d.min_score),
             attempts=s.get("llm_evaluation.retry_attempts", d.attempts),
             threads=s.get("llm_evaluation.max_workers", d.threads),
             chunk=s.get("pattern_analysis.chunk_size", d.chunk),
+            analysis_threads=s.get("pattern_analysis.max_workers", d.analysis_threads),
+            analysis_attempts=s.get("pattern_analysis.retry_attempts", d.analysis_attempts),
+            score_api=score_api,
+            analysis_api=Api.of(s, "pattern_analysis", 60),
             prompt=s.get("llm_evaluation.evaluation_prompt", d.prompt),
             first_prompt=s.get("pattern_analysis.first_level_prompt", d.first_prompt),
             second_prompt=s.get("pattern_analysis.second_level_prompt", d.second_prompt),

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from convoframe.config import Options
-from convoframe.functions.text import micros, render
+from convoframe.functions.text import render
 from convoframe.operators import completions as P
 from convoframe.operators import contacts as C
 from convoframe.operators import conversations as V
@@ -41,6 +41,9 @@ def stage1(spark: SparkSession, o: Options) -> Stage1:
     manifest_path = f"{o.output_dir}/manifest.parquet"
     files, rows = csv_source.new_files(spark, o.data_dir, manifest_path)
     known = export.load_table(spark, o.output_dir, "messages")
+    if known is None and manifest.exists(spark, manifest_path):  # without messages, no file counts as read
+        export.set_aside(spark, manifest_path)
+        files, rows = csv_source.new_files(spark, o.data_dir, manifest_path)
     if files:
         fresh = clean_messages(csv_source.raw_messages(spark, files), o.epoch_unit)
         if known is not None:  # a file that changed replaces what it gave before
@@ -50,8 +53,7 @@ def stage1(spark: SparkSession, o: Options) -> Stage1:
         manifest.record(rows, manifest_path)
     if known is None:
         known = export.save_table(clean_messages(csv_source.raw_messages(spark, [])), o.output_dir, "messages")
-    contacts = export.load_table(spark, o.output_dir, "contacts")
-    contacts = contacts if contacts is not None else spark.createDataFrame([], CONTACTS)
+    contacts = export.load_state(spark, o.output_dir, "contacts", CONTACTS)
     users = contacts_source.user_rows(spark, o.data_dir)
     contacts = C.upsert_stats(C.upsert_users(contacts, contacts_source.first_names(users)), C.message_stats(known))
     contacts = export.save_table(contacts, o.output_dir, "contacts")
@@ -79,8 +81,7 @@ def stage2(spark: SparkSession, o: Options, complete: Callable[[str], str] | Non
     if not o.scoring or complete is None:
         return {"final": export.save_table(samples, o.output_dir, "final")}
     keyed = E.keyed(samples)
-    cache = export.load_table(spark, o.output_dir, "eval_cache")
-    cache = cache if cache is not None else spark.createDataFrame([], CACHE)
+    cache = export.load_state(spark, o.output_dir, "eval_cache", CACHE)
     prompt = render(o.prompt, instruction=F.col("instruction"), input=F.col("input"), output=F.col("output"))
     misses = E.cache_misses(keyed, cache).withColumn("prompt", prompt)
     replies = export.save_table(E.scored(P.complete(misses, complete, o.attempts, threads=o.threads)), o.output_dir, "last_replies")
@@ -94,17 +95,14 @@ def stage2(spark: SparkSession, o: Options, complete: Callable[[str], str] | Non
 
 def filter_cache(spark: SparkSession, o: Options, min_score: float) -> dict[str, DataFrame]:
     """Passing samples of the score cache with their statistics; nothing is scored."""
-    cache = export.load_table(spark, o.output_dir, "eval_cache")
-    if cache is None:
-        cache = spark.createDataFrame([], CACHE)
+    cache = export.load_state(spark, o.output_dir, "eval_cache", CACHE)
     kept = E.passing(cache.filter("output is not null"), min_score)
     named = kept.withColumn("ix", F.xxhash64("key"))
     return {"samples": kept, "report": E.report(cache, min_score), "histogram": E.histogram(cache), "words": L.word_frequency(named, "output", top=20), "emoji": L.emoji_frequency(named, "output"), "profile": L.message_profile(kept, "output")}
 
 
 def cache_size(spark: SparkSession, o: Options) -> int:
-    cache = export.load_table(spark, o.output_dir, "eval_cache")
-    return cache.count() if cache is not None else 0
+    return export.load_state(spark, o.output_dir, "eval_cache", CACHE).count()
 
 
 def clear_cache(spark: SparkSession, o: Options) -> None:
@@ -114,10 +112,9 @@ def clear_cache(spark: SparkSession, o: Options) -> None:
 def _cached(spark: SparkSession, o: Options, rows: DataFrame, kind: str, call: Callable[[str], str]) -> DataFrame:
     """Adds ``analysis`` to rows with ``key`` and ``prompt``: cached, or called for, cached and logged; failed rows are left out."""
     rows = export.save_table(rows, o.output_dir, f"analysis_{kind}_prompts")
-    cache = export.load_table(spark, o.output_dir, "analysis_cache")
-    cache = cache if cache is not None else spark.createDataFrame([], P.CACHE)
+    cache = export.load_state(spark, o.output_dir, "analysis_cache", P.CACHE)
     todo = P.missing(rows, cache)
-    replies = export.save_table(P.complete(todo, call, o.attempts, threads=o.threads), o.output_dir, f"analysis_{kind}_replies")
+    replies = export.save_table(P.complete(todo, call, o.analysis_attempts, wait=2.0, threads=o.analysis_threads), o.output_dir, f"analysis_{kind}_replies")
     export.save_table(P.log_rows(todo, replies, kind), o.output_dir, "api_log", mode="append")
     fresh = replies.filter("error is null").select("key", "response")
     known = cache.select("key", "response").join(rows.select("key").distinct(), "key", "left_semi").unionByName(fresh)
@@ -135,8 +132,7 @@ def analyse(spark: SparkSession, o: Options, call: Callable[[str], str], folder:
     found = C.infer_me(rows).first()
     if found is None:
         raise ValueError("there are no messages to analyse")
-    contacts = export.load_table(spark, o.output_dir, "contacts")
-    contacts = contacts if contacts is not None else spark.createDataFrame([], CONTACTS)
+    contacts = export.load_state(spark, o.output_dir, "contacts", CONTACTS)
 
     def named(df: DataFrame) -> DataFrame:
         return C.with_contact(df, contacts, "contact").withColumn("contact_name", C.display_name(F.col("remark"), F.col("nickname"), F.col("contact"))).drop("nickname", "remark", "relationship_detail", "first_contact_date")
@@ -159,5 +155,34 @@ def analysis_cache_stats(spark: SparkSession, o: Options) -> dict[str, int]:
     return {name: df.count() if df is not None else 0 for name, df in tables.items()}
 
 
-def span(timeline: DataFrame) -> DataFrame:
-    return timeline.agg(F.min(micros(F.col("create_time"))).alias("first_t"), F.max(micros(F.col("create_time"))).alias("last_t"))
+def save_final(spark: SparkSession, o: Options, done: dict[str, DataFrame]) -> None:
+    """Stage 2's files: final samples, contacts summary and parameters; with scores also the filtered samples and the report."""
+    samples = done["final"].select("instruction", "input", "output")
+    export.export_json_lines(samples, f"{o.output_dir}/training_only.json")
+    contacts = export.load_state(spark, o.output_dir, "contacts", CONTACTS)
+    kinds = contacts.groupBy("relationship").count().orderBy(F.desc("count"), "relationship").limit(1000)
+    summary = {
+        "metadata": {"stage": 2, "total_samples": samples.count(), "max_inter_message_gap": o.max_gap, "max_reply_delay": o.max_delay, "scored": "report" in done},
+        "contacts_summary": {**export.as_dicts(contacts.agg(F.count(F.lit(1)).alias("total_contacts"), F.coalesce(F.sum("message_count"), F.lit(0)).alias("total_messages")))[0], "relationships": export.as_dicts(kinds), "most_active": export.as_dicts(C.most_active(contacts, 5))},
+    }
+    if "report" in done:
+        export.export_json_lines(samples, f"{o.output_dir}/training_filtered.json")
+        report = export.as_dicts(done["report"])[0] | {"histogram": export.as_dicts(done["histogram"])}
+        export.export_json(spark, report, f"{o.output_dir}/evaluation_report.json")
+        summary["evaluation_results"] = report
+    export.export_json(spark, summary, f"{o.output_dir}/results_summary.json")
+
+
+def save_analysis(spark: SparkSession, o: Options, done: dict[str, DataFrame], folder: str | None = None) -> str:
+    """Each level's analyses as JSON lines, the final one and the cache's statistics as JSON; the report's path."""
+    place = f"{o.output_dir}/pattern_analysis"
+    export.export_json_lines(done["level1"].select("contact", "chunk", "message_count", "analysis"), f"{place}/first_level_analysis.json")
+    export.export_json_lines(done["level2"].select("contact", "analysis_count", "total_messages", "analysis"), f"{place}/second_level_analysis.json")
+    final = export.as_dicts(done["final"].select("total_contacts", "total_messages", F.col("analysis").alias("final_analysis")))
+    final, stats = (final[0] if final else None), analysis_cache_stats(spark, o)
+    export.export_json(spark, final, f"{place}/final_analysis.json")
+    export.export_json(spark, stats, f"{place}/cache_statistics.json")
+    path = f"{o.output_dir}/analysis_report_{folder or 'all'}.json"
+    now = export.as_dicts(spark.range(1).select(F.localtimestamp().alias("now")))[0]["now"]
+    export.export_json(spark, {"analysis_time": now, "analyzed_contact": folder, "analysis_type": "single_contact" if folder else "all_contacts", "results": final, "cache": stats, "levels": place}, path)
+    return path

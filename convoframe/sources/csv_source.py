@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import csv
 from collections import defaultdict
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,6 +18,8 @@ from convoframe.sources.files import FileInfo, first_line, listed
 #: Other spellings of the analysis path's columns.
 RENAMED = {"talkerId": "talker", "msg": "content", "createTime": "timestamp", "CreateTime": "timestamp", "isSender": "is_sender", "localId": "local_id"}
 REQUIRED = ("talker", "content", "timestamp", "is_sender")
+#: Headers read at a time.
+OPENERS = 32
 RAW = ("id", "CreateTime", "is_sender", "talker", "room_name", "type_name", "msg", "src")
 
 
@@ -32,8 +35,10 @@ def read_csv(spark: SparkSession, files: list[FileInfo]) -> list[tuple[list[str]
     headers are equal.  Rows carry their file, folder and order.
     """
     groups: dict[tuple[str, ...], list[str]] = defaultdict(list)
-    for f in files:
-        header = next(csv.reader([first_line(spark, f.path)]), [])
+    with ThreadPoolExecutor(OPENERS) as pool:
+        lines = list(pool.map(lambda f: first_line(spark, f.path), files))
+    for f, line in zip(files, lines, strict=True):
+        header = next(csv.reader([line]), [])
         if header:
             groups[tuple(h.strip() for h in header)].append(f.path)
     out = []

@@ -8,7 +8,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from convoframe.functions.text import iso
-from convoframe.sources.manifest import exists
+from convoframe.sources.manifest import exists, set_aside, unreadable
+
+
+def _rename(spark: SparkSession, source: str, target: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    if not path(source).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).rename(path(source), path(target)):
+        raise OSError(f"could not move {source} to {target}")
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
 def save_table(df: DataFrame, output_dir: str, name: str, mode: str = "overwrite") -> DataFrame:
@@ -16,22 +27,51 @@ def save_table(df: DataFrame, output_dir: str, name: str, mode: str = "overwrite
     spark, path = df.sparkSession, f"{output_dir}/{name}.parquet"
     if mode == "overwrite" and exists(spark, path):
         df.write.mode("overwrite").parquet(path + ".new")
-        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-        old, new = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(path + ".new")
-        fs = old.getFileSystem(conf)
-        fs.delete(old, True)
-        fs.rename(new, old)
+        _delete(spark, path + ".old")
+        _rename(spark, path, path + ".old")
+        _rename(spark, path + ".new", path)
+        _delete(spark, path + ".old")
     else:
         df.write.mode(mode).parquet(path)
     return spark.read.parquet(path)
 
 
 def load_table(spark: SparkSession, output_dir: str, name: str) -> DataFrame | None:
-    """A stage table, or None if there is none."""
+    """A stage table, or None if there is none; a replacement that was cut short is finished first."""
     path = f"{output_dir}/{name}.parquet"
+    if not exists(spark, path) and exists(spark, path + ".old"):  # the old one is moved only when the new one is whole
+        _rename(spark, path + ".new", path)
+        _delete(spark, path + ".old")
     return spark.read.parquet(path) if exists(spark, path) else None
 
 
+def load_state(spark: SparkSession, output_dir: str, name: str, schema: str) -> DataFrame:
+    """A table of state; empty if there is none, and if Spark finds no Parquet in it, which is then set aside."""
+    try:
+        found = load_table(spark, output_dir, name)
+    except Exception as e:  # noqa: BLE001  the classes differ by Spark version
+        if not unreadable(e):
+            raise
+        set_aside(spark, f"{output_dir}/{name}.parquet")
+        found = None
+    return found if found is not None else spark.createDataFrame([], schema)
+
+
+def as_dicts(df: DataFrame) -> list[dict]:
+    """The rows of a small result, times as text."""
+    return [json.loads(row) for row in timestamps_as_text(df).select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"})).toPandas().iloc[:, 0]]
+
+
+def export_json(spark: SparkSession, value, path: str) -> None:
+    """One small JSON document, on any file system Spark knows."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    out = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(hadoop, True)
+    try:
+        out.write(bytearray(json.dumps(value, ensure_ascii=False, indent=2).encode()))
+    finally:
+        out.close()
+
+
 def timestamps_as_text(df: DataFrame) -> DataFrame:
     """All time columns as ISO text."""
     return df.select(*[iso(F.col(f"`{f.name}`")).alias(f.name) if f.dataType.typeName().startswith("timestamp") else F.col(f"`{f.name}`") for f in df.schema])

@@ -2,20 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+import uuid
 
-SCHEMA = "path string, fingerprint string"
-
-
-def fingerprint() -> Column:
-    """md5 of path, modification time and size of the file a row was read from."""
-    return F.md5(F.concat_ws("|", F.col("_metadata.file_path"), F.col("_metadata.file_modification_time").cast("string"), F.col("_metadata.file_size").cast("string")))
+from pyspark.sql import DataFrame, SparkSession
 
-
-def files(df: DataFrame) -> DataFrame:
-    """The files behind a file scan, with fingerprints."""
-    return df.select(F.col("_metadata.file_path").alias("path"), fingerprint().alias("fingerprint")).distinct()
+SCHEMA = "path string, fingerprint string"
 
 
 def unprocessed(found: DataFrame, manifest: DataFrame) -> DataFrame:
@@ -28,10 +19,28 @@ def exists(spark: SparkSession, path: str) -> bool:
     return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
 
 
+def unreadable(error: Exception) -> bool:
+    """Whether an error says that a table's files are no Parquet (and not that storage or cluster failed)."""
+    return any(sign in str(error) for sign in ("is not a Parquet file", "CANNOT_READ_FILE_FOOTER", "UNABLE_TO_INFER_SCHEMA"))
+
+
+def set_aside(spark: SparkSession, path: str) -> None:
+    """Moves a table out of the way; nothing of it is deleted."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = hadoop(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.rename(hadoop(path), hadoop(f"{path}.unreadable-{uuid.uuid4().hex}")):
+        raise OSError(f"could not move {path}")
+
+
 def load(spark: SparkSession, path: str) -> DataFrame:
-    """The manifest; empty if there is none or it can't be read."""
+    """The manifest; empty if there is none, and if Spark finds no Parquet in it, which is then set aside."""
     if exists(spark, path):
-        return spark.read.schema(SCHEMA).parquet(path)
+        try:
+            return spark.read.parquet(path)
+        except Exception as e:  # noqa: BLE001  the classes differ by Spark version
+            if not unreadable(e):
+                raise
+            set_aside(spark, path)
     return spark.createDataFrame([], SCHEMA)
 
 

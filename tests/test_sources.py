@@ -124,3 +124,89 @@ def test_empty_input(spark, tmp_path):
     done = stages.stage1(spark, options(tmp_path))
     assert done.samples.count() == 0
     assert stages.language_patterns(done.messages)["profile"].first()["average_length"] == 0.0
+
+
+@pytest.fixture
+def server():
+    import threading
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+
+    asked = []
+
+    class Handler(BaseHTTPRequestHandler):
+        def do_POST(self):
+            body = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            asked.append((self.headers["Authorization"], body))
+            failing = body["model"] == "down" or len(asked) == 1
+            self.send_response(500 if failing else 200)
+            self.end_headers()
+            if not failing:
+                self.wfile.write(json.dumps({"choices": [{"message": {"content": " reasons\nScore: 8 \n"}}]}).encode())
+
+        def log_message(self, *_):
+            pass
+
+    at = HTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=at.serve_forever, daemon=True).start()
+    yield f"http://127.0.0.1:{at.server_port}/v1/chat/completions", asked
+    at.shutdown()
+
+
+def test_chat_client(server):
+    from urllib.error import HTTPError
+
+    from convoframe.operators.chat import SCORING, chat
+
+    url, asked = server
+    call = chat(url, "k", "m", 5, SCORING)
+    with pytest.raises(HTTPError):  # the server's first answer is an error
+        call("one")
+    assert call("two") == "reasons\nScore: 8"
+    key, body = asked[-1]
+    assert key == "Bearer k" and body == {"model": "m", "messages": [{"role": "user", "content": "two"}], **SCORING}
+
+
+def test_cli_scores_and_analyses_over_http(spark, data, server, capsys, monkeypatch):
+    from convoframe import cli
+
+    monkeypatch.setattr(cli, "session", lambda: spark)
+    url, asked = server
+    api = {"enabled": True, "api_url": url, "api_key": "k", "model": "m", "timeout": 5}
+    settings = {"data_processing": {"data_dir": str(data / "data"), "output_dir": str(data / "out"), "my_wxid": "wxid_me"}}
+    config = data / "config.json"
+    config.write_text(json.dumps(settings))
+    base = ["--config", str(config)]
+    assert cli.main([*base, "analyze"]) == 1 and not asked and "pattern_analysis" in capsys.readouterr().out
+    config.write_text(json.dumps(settings | {"llm_evaluation": api, "pattern_analysis": api}))
+    assert cli.main([*base, "full"]) == 0
+    out = data / "out"
+    report = json.loads((out / "evaluation_report.json").read_text(encoding="utf-8"))
+    assert sum(h["samples"] for h in report["histogram"]) == 2
+    assert spark.read.json(str(out / "training_filtered.json")).count() == 2
+    summary = json.loads((out / "results_summary.json").read_text(encoding="utf-8"))
+    assert summary["metadata"]["total_samples"] == 2 and summary["contacts_summary"]["total_contacts"] >= 1
+    assert cli.main([*base, "analyze", "--contact", "bob"]) == 0
+    found = json.loads((out / "analysis_report_bob.json").read_text(encoding="utf-8"))
+    assert found["analysis_type"] == "single_contact" and found["results"]["final_analysis"] == "reasons\nScore: 8"
+    assert json.loads((out / "pattern_analysis" / "cache_statistics.json").read_text())["analysis_cache"] >= 3
+
+
+def test_unreadable_state_is_empty(spark, data):
+    o = options(data)
+    stages.stage1(spark, o)
+    for name in ("manifest", "contacts"):
+        for part in (data / "out" / f"{name}.parquet").glob("*.parquet"):
+            part.write_bytes(b"no parquet")
+            (part.parent / f".{part.name}.crc").unlink(missing_ok=True)
+    again = stages.stage1(spark, o)
+    assert again.new_files == 2 and again.samples.count() == 2 and again.contacts.count() >= 2
+    assert list((data / "out").glob("contacts.parquet.unreadable-*"))
+
+
+def test_replacement_cut_short_is_finished(spark, tmp_path):
+    place = str(tmp_path)
+    export.save_table(spark.range(3), place, "t")
+    spark.range(5).write.parquet(f"{place}/t.parquet.new")
+    (tmp_path / "t.parquet").rename(tmp_path / "t.parquet.old")
+    assert export.load_table(spark, place, "t").count() == 5
+    assert not (tmp_path / "t.parquet.old").exists()
