@@ -85,4 +85,21 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 #: DuckDB SQL by query, where SQL can express it.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    # Equal sets are one class; classes are joined on their shingles, and links followed to the smallest id.
+    "op3_neardup": r"""with recursive worded as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as ws from documents),
+sets as (
+  select doc_id, list_sort(case when len(ws) = 0 then [] when len(ws) < 4 then [array_to_string(ws, ' ')]
+    else list_distinct([array_to_string(ws[i:i + 3], ' ') for i in range(1, len(ws) - 2)]) end) as shingles from worded),
+classes as (select min(doc_id) as rep, shingles, len(shingles) as n from sets where len(shingles) > 0 group by shingles),
+postings as (select rep, n, unnest(shingles) as shingle from classes),
+links as (
+  select a.rep as a, b.rep as b from postings a join postings b on a.shingle = b.shingle and a.rep < b.rep and 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)
+  group by a.rep, b.rep, a.n, b.n having 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+both_ways as (select a, b from links union all select b, a from links),
+reached as (select rep as a, rep as b from classes union select r.a, e.b from reached r join both_ways e on e.a = r.b),
+roots as (select a as rep, min(b) as root from reached group by a)
+select s.doc_id, cast(len(s.shingles) as bigint) as n_shingles, coalesce(r.root, s.doc_id) as component_id, s.doc_id = coalesce(r.root, s.doc_id) as kept
+from sets s left join classes c on c.shingles = s.shingles left join roots r on r.rep = c.rep""",
+}

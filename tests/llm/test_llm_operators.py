@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -826,3 +827,12 @@ def test_word_hashes():
     assert len(hashes) == len(words) and len(set(hashes.tolist())) == len(set(words))
     pieces = np.concatenate([hasher.words(p)[2] for p in hasher.pieces(data, 16)])
     assert (pieces == hashes).all()
+
+
+@pytest.mark.parametrize("name", sorted(Q.ORACLES))
+def test_query_equals_its_sql(spark, name):
+    con = duckdb.connect()
+    con.sql("create view documents as select * from '/root/testdata/sf0.001/documents.parquet'")
+    expected = con.sql(Q.ORACLES[name])
+    got = Q.QUERIES[name](spark, "/root/testdata/sf0.001").select(*expected.columns)
+    assert sorted(tuple(r) for r in got.collect()) == sorted(expected.fetchall())
