@@ -86,6 +86,30 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 #: DuckDB SQL by query, where SQL can express it.
 ORACLES: dict[str, str] = {
+    # What lies between a rule's matches and the matches themselves add up to their places.
+    "op2_secrets": r"""with rules(rank, kind, least, pattern) as (values
+  (0, 'assign', 8, '([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)'),
+  (1, 'access', 16, '()(AKIA[A-Z0-9]+)'),
+  (2, 'hex', 32, '()([0-9a-f]+)'),
+  (3, 'private_key', 0, '()(-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----)'),
+  (4, 'github', 0, '()(gh[pousr]_[A-Za-z0-9]{36,})'),
+  (5, 'slack', 0, '()(xox[abprs]-[A-Za-z0-9-]{10,})'),
+  (6, 'jwt', 0, '()(eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]*)'),
+  (7, 'google', 0, '()(AIza[0-9A-Za-z_-]{35})'),
+  (8, 'stripe', 0, '()(sk_live_[0-9A-Za-z]{16,})')),
+matches as (
+  select doc_id, rank, kind, least, regexp_extract_all(coalesce(text, ''), pattern) as ms, regexp_extract_all(coalesce(text, ''), pattern, 2) as gs, string_split_regex(coalesce(text, ''), pattern) as ps
+  from documents cross join rules),
+one_by_one as (
+  select doc_id, rank, kind, least, unnest(ms) as m, unnest(gs) as g, unnest(ps[1:len(ms)]) as p, generate_subscripts(ms, 1) as i from matches where len(ms) > 0),
+placed as (
+  select doc_id, rank, kind, least, length(g) as n, length(m) as m, cast(sum(length(p) + length(m)) over (partition by doc_id, rank order by i) as bigint) as e from one_by_one),
+spans as (select doc_id, rank, kind, e - m as s, kind || ':' || (e - m) || ':' || e as span from placed where n >= least),
+found as (
+  select doc_id, count(*) filter (kind = 'assign') as n_assign, count(*) filter (kind = 'access') as n_access, count(*) filter (kind = 'hex') as n_hex,
+    string_agg(span, ',' order by s, rank) filter (rank <= 2) as base, string_agg(span, ',' order by s, rank) as spans from spans group by doc_id)
+select d.doc_id, coalesce(n_assign, 0) as n_assign, coalesce(n_access, 0) as n_access, coalesce(n_hex, 0) as n_hex, sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans
+from documents d left join found f on f.doc_id = d.doc_id""",
     # Equal sets are one class; classes are joined on their shingles, and links followed to the smallest id.
     "op3_neardup": r"""with recursive worded as (
   select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as ws from documents),

@@ -22,6 +22,8 @@ from convoframe.llm.common import arrow_batches, arrow_texts, lean
 
 #: Most alternative strings kept while a query is derived.
 MAX_STRINGS = 64
+#: The ASCII letters that Python's expressions, ignoring case, also find in letters outside ASCII.
+WIDE_LETTERS = frozenset("iks")
 REPLACEMENT = "[SECRET]"
 #: Bytes of text indexed at a time.
 SEGMENT = 1 << 21
@@ -67,17 +69,17 @@ def _join(op: str, parts: list):
     return parts[0] if len(parts) == 1 else (op, tuple(parts))
 
 
-
-
 def _of_strings(strings: set[str]):
     """The condition that one of ``strings`` occurs."""
     return _join("or", [_join("and", [("tri", s[i : i + 3]) for i in range(len(s) - 2)]) for s in sorted(strings)])
 
 
-def _node(op, arg):
+def _node(op, arg, flags: int):
     """(finite set of lower-case strings the node can match, or None; query beside it)."""
+    # Without regard to case, and beyond ASCII, these letters also match letters outside ASCII.
+    wide = WIDE_LETTERS if flags & re.I and not flags & re.A else frozenset()
     if op is sre.LITERAL:
-        return {chr(arg).lower()} if arg < 128 else None, True
+        return {chr(arg).lower()} if arg < 128 and chr(arg).lower() not in wide else None, True
     if op is sre.IN:
         chars: set[str] = set()
         for kind, value in arg:
@@ -87,17 +89,18 @@ def _node(op, arg):
                 chars |= {chr(c).lower() for c in range(value[0], value[1] + 1)}
             else:
                 return None, True
-        return (chars if len(chars) <= 8 else None), True
+        return (chars if len(chars) <= 8 and not chars & wide else None), True
     if op is sre.SUBPATTERN:
-        return _sequence(arg[-1])
+        _, added, removed, body = arg
+        return _sequence(body, (flags | added) & ~removed)
     if op is sre.BRANCH:
-        found = [_sequence(x) for x in arg[1]]
+        found = [_sequence(x, flags) for x in arg[1]]
         if all(e is not None for e, _ in found) and sum(len(e) for e, _ in found) <= MAX_STRINGS:
             return set().union(*(e for e, _ in found)), True
         return None, _join("or", [q if e is None else _of_strings(e) for e, q in found])
     if op in (sre.MAX_REPEAT, sre.MIN_REPEAT, sre.POSSESSIVE_REPEAT):
         least, most, body = arg
-        exact, query = _sequence(body)
+        exact, query = _sequence(body, flags)
         if exact is not None and most == 1 and least == 0:
             return exact | {""}, True
         if exact is not None and least == most and len(exact) ** least <= MAX_STRINGS and least <= 16:
@@ -113,10 +116,10 @@ def _node(op, arg):
     return None, True
 
 
-def _sequence(nodes):
+def _sequence(nodes, flags: int):
     current, query, exact = {""}, [], True
     for op, arg in nodes:
-        strings, beside = _node(op, arg)
+        strings, beside = _node(op, arg, flags)
         if strings is not None and len(current) * len(strings) <= MAX_STRINGS:
             current = {a + b for a in current for b in strings}
             continue
@@ -129,7 +132,8 @@ def _sequence(nodes):
 
 def trigram_query(pattern: str, flags: int = 0):
     """A Boolean query over lower-case trigrams that holds for every text with a match; True if there is none."""
-    exact, query = _sequence(parser.parse(pattern, flags))
+    parsed = parser.parse(pattern, flags)
+    exact, query = _sequence(parsed, parsed.state.flags)
     return query if exact is None else _of_strings(exact)
 
 
@@ -211,8 +215,10 @@ class Scanner:
 def scan_secrets(records: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules=RULES) -> DataFrame:
     """``id_col`` and ``spans``: all spans of every record's whole text, by start and then rule order.
 
-    Places are code points, ends exclusive.  Null and empty texts have no spans;
-    repeated rows are scanned alike; an empty table gives an empty result.
+    Places are code points, ends exclusive.  Null and empty texts have no spans, null
+    ids are passed through, very long texts are scanned whole (their index is made
+    ``SEGMENT`` by segment); repeated rows are scanned alike; an empty table gives an
+    empty result; further columns, of any name, are ignored.
     """
     arrow_batches(records.sparkSession)
     id_type = records.schema[id_col].dataType.simpleString()
@@ -238,7 +244,11 @@ def joined(spans: Column) -> Column:
 
 
 def redact_secrets(records: DataFrame, text_col: str = "text", rules=RULES, replacement: str = REPLACEMENT) -> DataFrame:
-    """``records`` with every span (overlapping ones as one) of ``text_col`` replaced; null texts stay null."""
+    """``records`` with every span (overlapping ones as one) of ``text_col`` replaced.
+
+    Null texts stay null, empty ones empty; very long ones are redacted whole;
+    repeated rows fare alike; other columns, of any name, stay; an empty table stays empty.
+    """
     arrow_batches(records.sparkSession)
 
     def clean(batches):
