@@ -22,8 +22,18 @@ from convoframe.llm.common import HEAVY, arrow_batches, cut_into, lean, write_ta
 SEQUENCE = 2048
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 1
-#: Distinct white-space-free strings whose ids a worker remembers, in each of two generations.
+#: The settings of a vocabulary that drops white space before it splits.
+WORD_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+WORD_SPLITS = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+#: Distinct white-space-free strings whose ids a worker remembers, in each of two generations, and the most bytes of one.
 CACHE = 300_000
+CACHED_BYTES = 64
 #: Pieces of a length that one bucket ranks; with more than ``MAX_BUCKETS`` times as many pieces, buckets grow.
 PIECE_ROWS = 500
 MAX_BUCKETS = 1_000_000
@@ -33,13 +43,16 @@ class _Ids:
     """Ids of texts as little-endian 32-bit bytes, through a bounded cache by word."""
 
     def __init__(self, vocabulary: str):
+        import json
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
-        self.by_words = os.path.basename(vocabulary) == VOCABULARY
+        with open(vocabulary, encoding="utf-8") as f:
+            declared = json.load(f)
+        self.by_words = declared["normalizer"] == WORD_NORMALIZER and declared["pre_tokenizer"] == WORD_SPLITS and declared["model"]["type"] == "BPE"
         self.byte_names = {i: c for i, c in enumerate(_byte_names())}
         self.tails: dict[str, bytes] = {"": b""}
         self.young: dict[bytes, bytes] = {}
@@ -71,7 +84,7 @@ class _Ids:
     def text(self, text: str) -> bytes:
         if not self.by_words:
             return self._whole(text)
-        # This vocabulary drops white space before it splits, so no token spans ASCII white space
+        # Such a vocabulary drops white space before it splits, so no token spans ASCII white space
         # and a text's ids are those of its words, joined.
         words = text.encode("utf-8").split()
         new = set(words).difference(self.young)
@@ -86,8 +99,11 @@ class _Ids:
                     unknown.append(w)
                 else:
                     self.young[w] = ids
+            once: dict[bytes, bytes] = {}
             for w in unknown:
-                self.young[w] = self._word(w.decode("utf-8"))
+                (self.young if len(w) <= CACHED_BYTES else once)[w] = self._word(w.decode("utf-8"))
+            if once:  # long strings are not remembered
+                return b"".join([once[w] if len(w) > CACHED_BYTES else self.young[w] for w in words])
         return b"".join(map(self.young.__getitem__, words))
 
 
@@ -120,7 +136,8 @@ def tokenize_pieces(
 ) -> DataFrame:
     """Pieces of every text: ``id_col, start, length, ids_crc32, doc_tokens`` and, ``with_ids``, the ids themselves.
 
-    A text's ids end with ``END_ID``; a null or empty text has that id only.
+    A text's ids end with ``END_ID``; a null or empty text has that id only.  Very
+    long texts are tokenized whole; null ids are passed through.
     """
     arrow_batches(records.sparkSession)
     id_type = records.schema[id_col].dataType.simpleString()
