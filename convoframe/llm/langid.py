@@ -166,7 +166,8 @@ def identify(records: DataFrame, model: Model | None, id_col: str = "doc_id", te
     """``id_col, lang_pred, score, ambiguous`` for every record, from its whole text.
 
     Null texts, and texts without a letter, are ``und`` with score 0; so is every
-    text if there is no model.  Repeated rows get the same prediction; an empty
+    text if there is no model.  Very long texts are read whole; null ids are passed
+    through.  Repeated rows get the same prediction; an empty
     table gives an empty result; further columns are ignored.
     """
     arrow_batches(records.sparkSession)
@@ -187,7 +188,11 @@ def identify(records: DataFrame, model: Model | None, id_col: str = "doc_id", te
 
 
 def keep_identified(records: DataFrame, model: Model | None, text_col: str = "text", min_score: float = 0.5) -> DataFrame:
-    """The records whose language is found: not ``und``, and not ambiguous with a score under ``min_score``.  Columns stay."""
+    """The records whose language is found: not ``und``, and not ambiguous with a score under ``min_score``.
+
+    Null, empty and letterless texts go; very long ones are read whole; repeated rows
+    fare alike; all columns, of any name, stay; an empty table stays empty.
+    """
     arrow_batches(records.sparkSession)
 
     def keep(batches):

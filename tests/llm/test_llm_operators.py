@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import duckdb
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -61,6 +62,12 @@ def test_odd_rows(odd, name):
         assert ids == Counter(r[0] for r in ODD)
 
 
+@pytest.mark.parametrize("name", ["mixing", "quality", "secrets", "sharding", "urls"])
+def test_clashing_columns_change_nothing(odd, name):
+    plain = OPERATORS[name](odd.select("doc_id", "text", "source", "lang")).collect()
+    assert Counter(map(str, OPERATORS[name](odd).collect())) == Counter(map(str, plain))
+
+
 @pytest.mark.parametrize("name", sorted(OPERATORS))
 def test_empty_table(odd, name):
     assert OPERATORS[name](odd.filter("false")).collect() == []
@@ -90,6 +97,19 @@ def test_packing_round_trip(spark, documents):
         assert at <= packing.SEQUENCE
 
 
+def test_word_cache_is_bounded(monkeypatch):
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(packing, "CACHE", 20)
+    words = packing._Ids(packing.default_vocabulary())
+    plain = Tokenizer.from_file(packing.default_vocabulary())
+    assert words.by_words
+    for n in range(30):
+        text = f"Some wörds {n} of text, {'long' * 30}{n} 日本語{'語' * 40} and more{n}; the end."
+        assert np.frombuffer(words.text(text), "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids
+        assert len(words.young) <= 20 and max(map(len, [*words.young, *words.old])) <= packing.CACHED_BYTES
+
+
 @pytest.mark.parametrize("seed", range(5))
 def test_packing_histogram(seed):
     rng = random.Random(seed)
@@ -185,6 +205,35 @@ def test_trigram_queries_are_necessary(rule):
     assert (query is True) == (rule.kind == "hex")
 
 
+@pytest.mark.parametrize("pattern, flags", [("secret_key", re.I), ("(?i:secret)_key", 0), ("(?i)[rst]ecret_k?ey", 0), ("(?ai:secret)_key", 0)])
+def test_rules_that_ignore_case_match_beyond_ascii(pattern, flags):
+    texts = ["SECRET_KEY", "\u017fecret_key", "\u017fecret_\u212aey", "secret_\u212aey", "tecret_ey", "none"]
+    scanner = secrets.Scanner((secrets.Rule("x", pattern, flags),))
+    _, spans = scanner.spans(pa.array(texts))
+    assert [[(a, b) for a, _, b in x] for x in spans] == [[m.span() for m in re.finditer(pattern, t, flags)] for t in texts]
+
+
+def test_sql_of_secrets_finds_the_same_spans():
+    con = duckdb.connect()
+    con.execute("create table documents (doc_id bigint, text varchar)")
+    con.executemany("insert into documents values (?, ?)", [*enumerate(TEXTS), (100, None), (101, ""), (102, "é" * 3000 + TEXTS[0] + TEXTS[2])])
+    got = {r[0]: r for r in con.sql(Q.ORACLES["op2_secrets"]).fetchall()}
+    texts = dict(con.sql("select * from documents").fetchall())
+    _, spans = secrets.Scanner().spans(pa.array(texts.values(), pa.string()))
+    assert sum(map(len, spans)) > 12
+    for i, found in zip(texts, spans, strict=True):
+        assert got[i][5] == ",".join(f"{secrets.RULES[k].kind}:{a}:{b}" for a, k, b in found)
+        base = base_spans(texts[i] or "")
+        assert got[i][4] == hashlib.sha256(base.encode()).hexdigest() and sum(got[i][1:4]) == (base.count(",") + 1 if base else 0)
+
+
+def test_segments_do_not_change_the_spans(monkeypatch):
+    texts = pa.array([*TEXTS, None, "", "x" * 5000 + " token=abcdefgh12 " + "é" * 5000])
+    whole = secrets.Scanner().spans(texts)
+    monkeypatch.setattr(secrets, "SEGMENT", 7)
+    assert secrets.Scanner().spans(texts) == whole and whole[1][-1] == [(5001, 0, 5017)]
+
+
 def test_redaction(spark):
     df = spark.createDataFrame([(1, "a token=abcdefgh12 b"), (2, None), (3, "clean")], "doc_id long, text string")
     assert [r["text"] for r in secrets.redact_secrets(df).orderBy("doc_id").collect()] == ["a [SECRET] b", None, "clean"]
