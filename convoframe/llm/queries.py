@@ -15,6 +15,7 @@ from convoframe.llm.mixing import mix_to_targets
 from convoframe.llm.neardup import near_duplicates
 from convoframe.llm.packing import pack
 from convoframe.llm.quality import judge_quality
+from convoframe.llm.repair import damaged, repair_report
 from convoframe.llm.secrets import BASE_RULES, joined, scan_secrets
 from convoframe.llm.sharding import shard_by_size
 from convoframe.llm.substrings import remove_repeats
@@ -71,6 +72,10 @@ def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op13_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair_report(damaged(read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")), dropped_col="dropped")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_secrets": op2_secrets,
@@ -82,6 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op8_quality,
     "op9_urlfilter": op9_urlfilter,
     "op10_repeats": op10_repeats,
+    "op13_repair": op13_repair,
 }
 
 #: DuckDB SQL by query, where SQL can express it.
