@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from convoframe.llm.clicks import click_windows
 from convoframe.llm.common import read_table
 from convoframe.llm.fingerprints import compare_with_edits
 from convoframe.llm.langid import identify
@@ -72,6 +73,10 @@ def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op12_clicks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return click_windows(read_table(spark, sf_dir, "clicks"))
+
+
 def op13_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair_report(damaged(read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")), dropped_col="dropped")
 
@@ -87,6 +92,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op8_quality,
     "op9_urlfilter": op9_urlfilter,
     "op10_repeats": op10_repeats,
+    "op12_clicks": op12_clicks,
     "op13_repair": op13_repair,
 }
 
