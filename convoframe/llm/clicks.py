@@ -26,7 +26,7 @@ from contextlib import contextmanager
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor
+from pyspark.sql.streaming.state import GroupStateTimeout
 
 from convoframe.llm.common import _ship_package
 from convoframe.sources.scratch import checkpoint_root
@@ -38,11 +38,8 @@ BUCKET_ROWS, LEAST_BUCKETS = 2048, 64
 #: Rows of one bucket held before equal ones are added up.
 HELD_ROWS = 1 << 16
 
-#: Operators with named states need this store; changes are logged by batch, not whole snapshots.
-STATE_STORE = {
-    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
-    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
-}
+#: Spark plans one operator of this kind only, because of how event time passes through several; these two use none.
+CHAINED = {"spark.sql.streaming.unsupportedOperationCheck": "false"}
 
 ROW = "batch long, key long, hour long, hash binary, crc long, bucket long, seen long, last boolean"
 TAGGED = "bucket long, key long, start long, hash binary, opened boolean, repeats long, conflicts long, crc long, closed long"
@@ -150,16 +147,13 @@ def _column(frame, name: str) -> np.ndarray:
     return frame[name].to_numpy().astype(np.int64)
 
 
-class TagRows(StatefulProcessor):
+class TagRows:
     """First operator: openers and deadlines; rows become tags of their windows, passed deadlines closing events."""
 
     def __init__(self, keep: int, late: int):
         self.keep, self.late = keep, late
 
-    def init(self, handle) -> None:
-        self.open = handle.getValueState("open", OPEN_STATE)
-
-    def handleInputRows(self, key, rows: Iterator, timerValues) -> Iterator:
+    def __call__(self, bucket: tuple, rows: Iterator, state) -> Iterator:
         import pandas as pd
 
         held, controls, n = [], {}, 0
@@ -174,32 +168,26 @@ class TagRows(StatefulProcessor):
             if n > HELD_ROWS:
                 held = [_added_up(tuple(np.concatenate(x) for x in zip(*held, strict=True)))]
                 n = len(held[0][0]) // 2
-        windows = OpenWindows(self.keep, self.late, *(self.open.get() if self.open.exists() else ()))
+        windows = OpenWindows(self.keep, self.late, *(state.get if state.exists else ()))
         none = np.zeros(0, np.int64)
         batch, *columns = _added_up(tuple(np.concatenate(x) for x in zip(*held, strict=True))) if held else (none, none, none, np.zeros((0, 4), np.uint64), none, none)
         for b in sorted({*batch.tolist(), *controls}):
             mine = slice(*np.searchsorted(batch, [b, b + 1]))
             keys, starts, words, opened, repeats, conflicts, crcs, closed = windows.take(b, *(x[mine] for x in columns), *controls.get(b, (None, False)), b in controls)
             if len(keys):
-                yield pd.DataFrame({"bucket": key[0], "key": keys, "start": starts, "hash": _bytes(words), "opened": opened, "repeats": repeats, "conflicts": conflicts, "crc": crcs, "closed": closed})
-        self.open.update(windows.packed())
-
-    def close(self) -> None:
-        pass
+                yield pd.DataFrame({"bucket": bucket[0], "key": keys, "start": starts, "hash": _bytes(words), "opened": opened, "repeats": repeats, "conflicts": conflicts, "crc": crcs, "closed": closed})
+        state.update(windows.packed())
 
 
-class CountWindows(StatefulProcessor):
+class CountWindows:
     """Second operator: the counters of open windows, given out at their closing events."""
 
-    def init(self, handle) -> None:
-        self.counts = handle.getValueState("counts", COUNT_STATE)
-
-    def handleInputRows(self, key, rows: Iterator, timerValues) -> Iterator:
+    def __call__(self, bucket: tuple, rows: Iterator, state) -> Iterator:
         import pandas as pd
 
         parts = []
-        if self.counts.exists():
-            keys, starts, hashes, *counters = self.counts.get()
+        if state.exists:
+            keys, starts, hashes, *counters = state.get
             keys = np.frombuffer(keys, np.int64)
             parts.append((keys, np.frombuffer(starts, np.int64), np.frombuffer(hashes, np.uint64).reshape(-1, 4), *[np.frombuffer(c, np.int64) for c in counters], np.full(len(keys), -1, np.int64)))
         parts += [(_column(f, "key"), _column(f, "start"), _words(f["hash"]), *[_column(f, c) for c in ("repeats", "conflicts", "crc", "closed")]) for f in rows]
@@ -210,28 +198,27 @@ class CountWindows(StatefulProcessor):
         if len(at):
             counters, closed = [np.add.reduceat(c, at) for c in counters], np.maximum.reduceat(closed, at)
         keys, starts, words, out = keys[at], starts[at], words[at], closed >= 0
-        self.counts.update((keys[~out].tobytes(), starts[~out].tobytes(), np.ascontiguousarray(words[~out]).tobytes(), *[c[~out].tobytes() for c in counters]))
+        state.update((keys[~out].tobytes(), starts[~out].tobytes(), np.ascontiguousarray(words[~out]).tobytes(), *[c[~out].tobytes() for c in counters]))
         if out.any():
             repeats, conflicts, crcs = (c[out] for c in counters)
             yield pd.DataFrame({"key": keys[out], "start": starts[out], "closed": closed[out], "repeats": repeats, "conflicts": conflicts, "crc": crcs, "hash": _bytes(words[out])})
 
-    def close(self) -> None:
-        pass
-
 
-def window_stream(rows: DataFrame, keep: int = KEEP_HOURS, late: int = LATE_HOURS) -> DataFrame:
+def window_stream(rows: DataFrame, buckets: int, keep: int = KEEP_HOURS, late: int = LATE_HOURS) -> DataFrame:
     """Closed windows (``CLOSED``) of a stream of rows and control rows (``ROW``, ``bucket`` set in all).
 
     A row has a key, an hour and a 32-byte hash with its CRC.  In a batch a key's rows
     go by hour, then hash.  A control row has a null key: all rows of its ``batch`` are
     there, ``seen`` is the greatest hour so far (null: none) and ``last`` ends the
     stream.  Rows ``late`` hours behind what the batches before had are left out.  A
-    bucket's rows and control rows must have the same ``bucket``.  A replayed batch
-    finds the state of the batch before it.
+    key's rows must have the ``bucket`` of some control row.  Windows are counted in
+    ``buckets`` buckets of their own, so those of one key spread.  The query needs the
+    settings ``CHAINED``.
     """
     _ship_package(rows.sparkSession)
-    tagged = rows.groupBy("bucket").transformWithStateInPandas(TagRows(keep, late), TAGGED, "Append", "None")
-    return tagged.groupBy("bucket").transformWithStateInPandas(CountWindows(), CLOSED, "Append", "None")
+    tagged = rows.groupBy("bucket").applyInPandasWithState(TagRows(keep, late).__call__, TAGGED, OPEN_STATE, "append", GroupStateTimeout.NoTimeout)
+    tagged = tagged.withColumn("bucket", F.pmod(F.xxhash64("key", "start"), F.lit(buckets)))
+    return tagged.groupBy("bucket").applyInPandasWithState(CountWindows().__call__, CLOSED, COUNT_STATE, "append", GroupStateTimeout.NoTimeout)
 
 
 def replay_windows(rows: DataFrame, batches: int, shaped, keep: int = KEEP_HOURS, late: int = LATE_HOURS) -> DataFrame:
@@ -268,8 +255,8 @@ def replay_windows(rows: DataFrame, batches: int, shaped, keep: int = KEEP_HOURS
     bucket = F.coalesce(F.col("bucket"), F.pmod(F.xxhash64("key"), F.lit(buckets)))
     stream = shaped(spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(f"{folder}/input"))
     stream = stream.withColumn("bucket", bucket).select(*[c.split()[0] for c in ROW.split(", ")])
-    closed = window_stream(stream, keep, late)
-    with _settings(spark, STATE_STORE):
+    closed = window_stream(stream, buckets, keep, late)
+    with _settings(spark, CHAINED):
         for b in range(batches):
             files.move(f"{folder}/staged/_batch={b}", f"{folder}/input/{b}")
             started = closed.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start(f"{folder}/closed")

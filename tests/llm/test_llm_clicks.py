@@ -65,11 +65,11 @@ COLUMNS = ("click_id", "start_hour", "closed_batch", "n_repeats", "n_conflicts",
 
 def test_query_equals_row_by_row_scan(spark):
     table = spark.read.parquet(f"{SF}/clicks.parquet").select("click_id", "arrived_at", "client_id", "kind", "value", "ts", "props")
-    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    before = spark.conf.get("spark.sql.streaming.unsupportedOperationCheck")
     got = sorted(tuple(r[c] for c in COLUMNS) for r in Q.QUERIES["op12_clicks"](spark, SF).collect())
     assert got == brute_windows(brute_copies(map(tuple, table.collect()), 10), 10)
     assert len({r[2] for r in got}) == 10 and any(r[4] for r in got) and any(r[3] > r[4] for r in got)
-    assert spark.conf.get("spark.sql.streaming.stateStore.providerClass") == before
+    assert spark.conf.get("spark.sql.streaming.unsupportedOperationCheck") == before
 
 
 ODD = [
@@ -128,28 +128,15 @@ def test_rows_are_added_up_while_they_stream(spark, monkeypatch):
     digest = [hashlib.sha256(str(k).encode()).digest() for k in range(4)]
     rows = [(0, draw.choice([1, 1, 2, 3]), draw.randrange(200), draw.choice(digest)) for _ in range(600)]
 
-    class Handle:
-        value = None
-
-        def getValueState(self, name, schema):  # noqa: N802
-            return self
-
-        def exists(self):
-            return self.value is not None
-
-        def get(self):
-            return self.value
+    class State:
+        exists, get = False, None
 
         def update(self, value):
-            self.value = value
+            self.exists, self.get = True, value
 
-    first = clicks.TagRows(48, 24)
-    first.init(Handle())
     frame = pd.DataFrame({"batch": [r[0] for r in rows], "key": [r[1] for r in rows], "hour": [r[2] for r in rows], "hash": [r[3] for r in rows], "crc": [zlib.crc32(r[3].hex().encode()) for r in rows], "seen": None, "last": None})
     control = pd.DataFrame({"batch": [0], "key": [None], "hour": [None], "hash": [None], "crc": [None], "seen": [199], "last": [True]})
-    tags = list(first.handleInputRows((0,), iter([*[frame[i : i + 40] for i in range(0, 600, 40)], control]), None))
-    second = clicks.CountWindows()
-    second.init(Handle())
-    out = pd.concat(second.handleInputRows((0,), iter(tags), None))
+    tags = list(clicks.TagRows(48, 24)((0,), iter([*[frame[i : i + 40] for i in range(0, 600, 40)], control]), State()))
+    out = pd.concat(clicks.CountWindows()((0,), iter(tags), State()))
     got = sorted((int(r.key), int(r.start), int(r.closed), int(r.repeats), int(r.conflicts), int(r.crc), r.hash.hex()) for r in out.itertuples())
     assert got == brute_windows([(b, k, h, d.hex()) for b, k, h, d in rows], 1)
