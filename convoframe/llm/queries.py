@@ -14,6 +14,7 @@ from convoframe.llm.langid import identify
 from convoframe.llm.langid import train as train_languages
 from convoframe.llm.mixing import mix_to_targets
 from convoframe.llm.neardup import near_duplicates
+from convoframe.llm.overlap import overlap_groups
 from convoframe.llm.packing import pack
 from convoframe.llm.quality import judge_quality
 from convoframe.llm.repair import damaged, repair_report
@@ -73,6 +74,10 @@ def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op11_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return overlap_groups(read_table(spark, sf_dir, "documents").select("doc_id", "text"), width=4, percent=85)
+
+
 def op12_clicks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return click_windows(read_table(spark, sf_dir, "clicks"))
 
@@ -92,6 +97,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op8_quality,
     "op9_urlfilter": op9_urlfilter,
     "op10_repeats": op10_repeats,
+    "op11_overlap": op11_overlap,
     "op12_clicks": op12_clicks,
     "op13_repair": op13_repair,
 }
