@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,14 +16,12 @@ SPLIT = r"[\s!-@\[-`{-~]+"
 
 
 def regex_words(text: Column) -> Column:
-    """The default tokeniser: text split at white space and ASCII marks and digits."""
+    """Words of scripts with spaces: text split at white space and ASCII marks and digits (``segment`` cuts the others)."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPLIT), lambda w: w != "")
 
 
 def segmented(df: DataFrame, text_col: str, words_col: str, segment: Callable[[str], list[str]]) -> DataFrame:
     """Adds words by a user's segmenter (text to list), in Arrow batches."""
-    import pandas as pd
-
     @F.pandas_udf("array<string>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:

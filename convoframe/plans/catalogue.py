@@ -18,6 +18,7 @@ from convoframe.operators import conversations as V
 from convoframe.operators import lexicon as L
 from convoframe.operators import rounds as R
 from convoframe.operators import samples as S
+from convoframe.operators import segment as G
 from convoframe.operators import scoring as E
 from convoframe.plans import fixtures as A
 from convoframe.sources.scratch import materialised
@@ -279,6 +280,51 @@ def q_word_frequency(spark, sf_dir):
     return L.word_frequency(A.table(spark, sf_dir, "documents"), "text", "doc_id", 50)
 
 
+#: Syllables of the fixtures' prose with counts: a small dictionary that cuts runs of letters.
+SYLLABLES = {
+    "the": 900, "th": 90, "he": 80, "and": 500, "an": 120, "in": 300, "ing": 250, "tion": 220, "on": 150, "er": 200, "ent": 90, "ment": 60, "that": 160, "of": 140, "re": 110, "ou": 100, "eau": 70, "eaux": 40,
+    "x": 5, "ch": 130, "sch": 75, "ein": 95, "ich": 65, "keit": 30, "en": 260, "ung": 45, "de": 180, "los": 55, "ción": 35, "que": 85, "s": 50, "t": 45, "e": 60, "n": 40, "a": 70, "é": 20,
+}
+
+
+# Costs to go are made from a run's end, a list whose first is the place's own; then the cheapest ends are followed from its start.
+@query("with recursive dict(word, n) as (values " + ", ".join(f"('{w}', {n})" for w, n in SYLLABLES.items()) + r"""),
+costs as (select map(list(word), list(cast(round(1000000 * (ln((select sum(n) from dict)) - ln(n))) as bigint))) as m, cast(round(1000000 * ln((select sum(n) from dict))) as bigint) as unknown, max(length(word)) as longest from dict),
+runs as (select run, count(*) as n from (select unnest(regexp_extract_all(text, '\p{L}+')) as run from documents) x group by run),
+back as (
+  select run, length(run) as i, [cast(0 as bigint)] as to_go, cast([] as bigint[]) as ends from runs
+  union all
+  select run, i - 1, list_prepend(b.c, to_go), list_prepend(-b.k, ends) from (
+    select run, i, to_go, ends, list_min(list_filter([{'c': coalesce(m[substr(run, cast(i as int), cast(k as int))], case when k = 1 then unknown end) + to_go[k], 'k': -k} for k in range(1, least(longest, length(run) - i + 1) + 1)], lambda x: x.c is not null)) as b
+    from back cross join costs where i > 0) y),
+walk as (
+  select run, ends, 1 as p from back where i = 0 union all select run, ends, p + ends[p] from walk where p + ends[p] <= length(run))
+select substr(w.run, cast(p as int), cast(ends[p] as int)) as word, cast(sum(r.n) as bigint) as n from walk w join runs r on r.run = w.run group by word""")
+def q_segmented_words(spark, sf_dir):
+    """How often each word of a fixed dictionary, or character outside it, is on the best paths of all documents."""
+    words = G.segmented_words(F.col("text"), G.Dictionary(SYLLABLES), G.CUT_ALL)
+    return A.table(spark, sf_dir, "documents").select(F.explode(words).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(r"""with runs as (select run, count(*) as n from (select unnest(regexp_extract_all(text, '\p{L}+')) as run from documents) x group by run),
+places as (select run, n, unnest(range(1, length(run) + 1)) as i from runs),
+grams as (select gram, cast(sum(n) as bigint) as n from (select substr(run, cast(i as int), cast(k as int)) as gram, n from (select run, n, i, unnest(range(1, least(5, length(run) - i + 1) + 1)) as k from places) x) y group by gram),
+total as (select sum(n) as t from grams where length(gram) = 1),
+words as (select gram as word, n from grams where length(gram) between 2 and 4 and n >= 20),
+cuts as (select word, n, unnest(range(1, length(word))) as p from words),
+together as (
+  select c.word, c.n, min(c.n * cast(t as double) / h.n / l.n) as cohesion from cuts c join grams h on h.gram = substr(c.word, 1, cast(p as int)) join grams l on l.gram = substr(c.word, cast(p + 1 as int)) cross join total group by c.word, c.n),
+ends as (select substr(gram, 1, length(gram) - 1) as word, sum(n * ln(n)) as s from grams where length(gram) >= 2 group by 1),
+starts as (select substr(gram, 2) as word, sum(n * ln(n)) as s from grams where length(gram) >= 2 group by 1),
+found as (select t.word, t.n, cohesion, ln(n) - coalesce(a.s, 0) / n as left_entropy, ln(n) - coalesce(b.s, 0) / n as right_entropy from together t left join starts a using (word) left join ends b using (word))
+select word, n, round(cohesion, 4) as cohesion, round(left_entropy, 4) as left_entropy, round(right_entropy, 4) as right_entropy from found where cohesion >= 3 and least(left_entropy, right_entropy) >= 1""")
+def q_learnt_words(spark, sf_dir):
+    """Strings of the documents' letters that hold together and whose neighbours vary."""
+    counts = materialised(G.gram_counts(A.table(spark, sf_dir, "documents"), "text", r"\p{L}+", 5), "grams", work=4)
+    found = G.learn_words(counts, 4, min_count=20, min_cohesion=3.0, min_entropy=1.0)
+    return found.select("word", "n", *[F.round(c, 4).alias(c) for c in ("cohesion", "left_entropy", "right_entropy")])
+
+
 @query(_sql("select emoji, count(*) as n from (select ix, unnest(regexp_extract_all(content, '\\[([^\\]]+)\\]', 1)) as emoji from clean) x group by emoji order by n desc, min(ix) limit 10"))
 def q_placeholder_frequency(spark, sf_dir):
     return L.emoji_frequency(A.timeline(spark, sf_dir), top=10)

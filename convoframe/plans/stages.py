@@ -19,6 +19,7 @@ from convoframe.operators import conversations as V
 from convoframe.operators import lexicon as L
 from convoframe.operators import rounds as R
 from convoframe.operators import scoring as E
+from convoframe.operators import segment as G
 from convoframe.operators.messages import clean_messages
 from convoframe.operators.samples import training_samples
 from convoframe.sources import contacts_source, csv_source, export, manifest
@@ -68,9 +69,12 @@ def stage1(spark: SparkSession, o: Options) -> Stage1:
 
 
 def language_patterns(timeline: DataFrame) -> dict[str, DataFrame]:
-    """The user's words, marks and message profile, and the contact statistics."""
-    own = timeline.filter("mine")
-    return {"words": L.word_frequency(own, top=20), "emoji": L.emoji_frequency(own, top=10), "profile": L.message_profile(own), "contacts": C.contact_statistics(timeline, 10)}
+    """The user's words, marks and message profile, and the contact statistics.
+
+    Text without spaces is cut by a dictionary learnt from all messages.
+    """
+    own, dictionary = timeline.filter("mine"), G.learn_dictionary(timeline, "content")
+    return {"words": L.word_frequency(own, top=20, words=G.segmented_words(F.col("content"), dictionary)), "emoji": L.emoji_frequency(own, top=10), "profile": L.message_profile(own), "contacts": C.contact_statistics(timeline, 10)}
 
 
 def stage2(spark: SparkSession, o: Options, complete: Callable[[str], str] | None = None) -> dict[str, DataFrame]:
@@ -97,8 +101,8 @@ def filter_cache(spark: SparkSession, o: Options, min_score: float) -> dict[str,
     """Passing samples of the score cache with their statistics; nothing is scored."""
     cache = export.load_state(spark, o.output_dir, "eval_cache", CACHE)
     kept = E.passing(cache.filter("output is not null"), min_score)
-    named = kept.withColumn("ix", F.xxhash64("key"))
-    return {"samples": kept, "report": E.report(cache, min_score), "histogram": E.histogram(cache), "words": L.word_frequency(named, "output", top=20), "emoji": L.emoji_frequency(named, "output"), "profile": L.message_profile(kept, "output")}
+    named, dictionary = kept.withColumn("ix", F.xxhash64("key")), G.learn_dictionary(cache, "output")
+    return {"samples": kept, "report": E.report(cache, min_score), "histogram": E.histogram(cache), "words": L.word_frequency(named, "output", top=20, words=G.segmented_words(F.col("output"), dictionary)), "emoji": L.emoji_frequency(named, "output"), "profile": L.message_profile(kept, "output")}
 
 
 def cache_size(spark: SparkSession, o: Options) -> int:
