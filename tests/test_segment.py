@@ -105,7 +105,7 @@ def test_learnt_dictionary_cuts_its_language(spark):
 def test_language_patterns_cut_chinese(spark):
     from convoframe.plans.stages import language_patterns
 
-    texts, _ = sentences(1500, others=20)
+    texts, _ = sentences(1500, others=10)
     rows = spark.createDataFrame([(i, t, i % 2 == 0, "a", 1, i) for i, t in enumerate(texts)], "ix long, content string, mine boolean, talker string, is_sender int, t long")
     words = {r["word"]: r["n"] for r in language_patterns(rows)["words"].collect()}
     assert {"我们", "今天", "图书馆"} <= set(words) and all(len(w) >= 2 for w in words)
