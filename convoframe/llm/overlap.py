@@ -9,8 +9,8 @@ long lists, and probes the long lists for the documents left by binary search.
 One index of everything would be in one place.  So shingles have one order for all
 documents, from rare to frequent (by a count table of fixed size over all documents; any
 order is exact), and linked documents share one of the first ``n - T + 1`` of each.
-Documents that share such a shingle form a bucket, buckets are joined by their leader
-(the member most others meet), and each leader's group is a search of its own: indexed
+Documents of like sizes that share such a shingle form a bucket, buckets are joined by
+their leader (the member most others meet), and each leader's group is a search of its own: indexed
 in blocks of bounded size, all with the leader in them.  Members that are in one
 component need not find each other, so a group of copies takes one search.
 
@@ -22,17 +22,17 @@ largest component indexed, and all members search them, block by block.
 
 from __future__ import annotations
 
+import math
 from bisect import bisect_left
 from heapq import heapify, heappop, heappush
-from math import log2
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from convoframe.llm.common import HEAVY, arrow_batches, arrow_texts, lean, write_table
 from convoframe.llm.components import components
-from convoframe.llm.neardup import _leader_pairs, _rooted, _signed, _sized, _texts_of_sets, _told_apart, set_hashes
+from convoframe.llm.neardup import _rooted, _signed, _sized, _texts_of_sets, _told_apart, set_hashes
 
 #: Slots of the count table that orders shingles (a byte each where it is sent); parts it is added up in.
 SLOTS, PARTS = 1 << 20, 64
@@ -78,7 +78,7 @@ def divide_skip(lists: list[tuple[int, int]], post: list[int], least: int, wante
     """(document, number of lists) of ``wanted`` documents in at least ``needed(document)`` lists, which is ``least`` or more."""
     lists = sorted(lists, key=lambda x: x[0] - x[1])
     longest = lists[0][1] - lists[0][0]
-    k = min(least - 1, int(least / (MU * log2(longest + 1) + 1)))
+    k = min(least - 1, int(least / (MU * math.log2(longest + 1) + 1)))
     for doc, n in merge_skip(lists[k:], post, least - k):
         if not wanted(doc):
             continue
@@ -237,6 +237,25 @@ def prefix_table(records: DataFrame, id_col: str, text_col: str, width: int, per
     return records.select(id_col, F.col(text_col).cast("string").alias("_text")).mapInArrow(lean(sign), f"_id {id_type}, _n long, _set long, _hash long, _check long, _bands array<long>")
 
 
+def _leader_pairs(signed: DataFrame, percent: int) -> DataFrame:
+    """(``leader``, ``x``, ``x_n``): the other members of each leader's buckets, by set.
+
+    A bucket holds the sets that share a key of ``_bands`` and may be linked by their
+    sizes: sizes are cut into classes as wide as linked sizes can differ, and a set is in its
+    own class and the next.
+    """
+    rows = signed.filter("_set is not null").select(F.explode("_bands").alias("key"), F.col("_set").alias("x"), F.col("_n").alias("x_n"))
+    several = lambda df, *by: df.groupBy(*by).agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.count(F.lit(1)).alias("met")).filter("lo <> hi").select(*by, "met")
+    rows = rows.join(several(rows, "key").drop("met"), "key").distinct()
+    # A little wider, so that no rounding tells linked sizes two classes apart.
+    size = F.floor(F.log(F.col("x_n").cast("double")) / (math.log(100 / percent) * (1 + 1e-9) if percent < 100 else 1.0)).cast("int")
+    rows = write_table(rows.withColumn("class", size), "bucket-members", work=4).withColumn("class", F.explode(F.array(F.col("class"), F.col("class") + 1)))
+    members = write_table(rows.join(several(rows, "key", "class"), ["key", "class"]), "classed-members", work=4)
+    drawn = members.groupBy("x").agg(F.sum("met").alias("pull"))
+    leaders = members.join(drawn, "x").groupBy("key", "class").agg(F.max(F.struct("pull", "x")).alias("l")).select("key", "class", F.col("l.x").alias("leader"))
+    return members.join(leaders, ["key", "class"]).filter("x <> leader").select("leader", "x", "x_n").distinct()
+
+
 def _grouped(pairs: DataFrame, sizes: DataFrame) -> DataFrame:
     """``leader, x, x_n, blocks``: the leaders' groups with their leaders, and how many blocks each takes."""
     leaders = pairs.select("leader").distinct().join(sizes, F.col("leader") == F.col("_set")).select("leader", F.col("leader").alias("x"), F.col("_n").alias("x_n"))
@@ -316,7 +335,7 @@ def _routed_again(groups: DataFrame, texts: DataFrame, width: int, percent: int)
     ordered = each.join(met, ["leader", "token"]).groupBy("leader", "x", "x_n").agg(F.array_sort(F.collect_list(F.struct("met", "token"))).alias("tokens"))
     first = F.slice("tokens", F.lit(1), (F.col("x_n") - F.ceil(F.col("x_n") * percent / 100) + 1).cast("int"))
     keys = F.transform(F.filter(first, lambda t: t["met"] > 1), lambda t: F.xxhash64(F.col("leader"), t["token"]))
-    return _leader_pairs(ordered.select(F.col("x").alias("_set"), F.col("x_n").alias("_n"), keys.alias("_bands")))
+    return _leader_pairs(ordered.select(F.col("x").alias("_set"), F.col("x_n").alias("_n"), keys.alias("_bands")), percent)
 
 
 def _across_blocks(groups: DataFrame) -> DataFrame:
@@ -349,7 +368,7 @@ def overlap_groups(records: DataFrame, id_col: str = "doc_id", text_col: str = "
     signed = _told_apart(write_table(prefix_table(records, id_col, text_col, width, percent), "prefixes", files_per_core=HEAVY))
     slim = signed.select("_id", "_n", "_set", "_hash", "_check")
     filled = slim.filter("_set is not null")
-    pairs = write_table(_leader_pairs(signed), "leader-pairs", work=8)
+    pairs = write_table(_leader_pairs(signed, percent), "leader-pairs", work=8)
     wanted = pairs.select(F.col("leader").alias("_set")).union(pairs.select("x")).distinct()
     texts = _texts_of_sets(records, filled, wanted, id_col, text_col, width)
     sizes = filled.groupBy("_set").agg(F.first("_n").alias("_n"))

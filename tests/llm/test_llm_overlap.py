@@ -113,7 +113,7 @@ def test_links_between_blocks_are_found(spark, monkeypatch):
     rows = spark.createDataFrame(docs, "doc_id long, text string")
     monkeypatch.setattr(overlap, "BLOCK_SHINGLES", 1500)
     monkeypatch.setattr(overlap, "_in_blocks", lambda groups, f=overlap._in_blocks: f(groups).filter("x = leader"))
-    monkeypatch.setattr(overlap, "_leader_pairs", lambda signed: signed.filter("_set is not null").select(F.lit(min_set(signed)).alias("leader"), F.col("_set").alias("x"), F.col("_n").alias("x_n")).filter("x <> leader").distinct())
+    monkeypatch.setattr(overlap, "_leader_pairs", lambda signed, percent: signed.filter("_set is not null").select(F.lit(min_set(signed)).alias("leader"), F.col("_set").alias("x"), F.col("_n").alias("x_n")).filter("x <> leader").distinct())
     assert groups_of(overlap.overlap_groups(rows, width=2, percent=85)) == brute_components(docs, 2, 85)
 
 
