@@ -210,9 +210,13 @@ class Incremental:
         commit.stale = sorted(set(reached) | {b + i for b in touched for i in range(ahead + 1)})
         return commit
 
+    def written(self, commit: Commit) -> Snapshot:
+        """A commit's tables, for its own writer to read before it is published."""
+        return Snapshot(self.store, commit.version, commit.tables)
+
     def render(self, commit: Commit, contacts: DataFrame) -> Snapshot:
         """Publishes a commit with the samples that its rounds and the contacts change."""
-        base, now = commit.base, Snapshot(self.store, commit.version, commit.tables)
+        base, now = commit.base, self.written(commit)
         shown = contacts.select("contact_id", "nickname", "remark", "relationship", "relationship_detail", "first_contact_date", F.lit(self.me).alias("me"))
         shown = materialised(shown, "shown-contacts")
         old = base.read("shown", schema=SHOWN)

@@ -1,6 +1,7 @@
 """The engine's stages over exports: extract, evaluate, filter, analyse.
 
-Stage tables are Parquet in the output folder, so a stage can run by itself later.
+Timeline, rounds and samples are in a snapshot store, state and results in Parquet
+tables of the output folder, so a stage can run by itself later.
 """
 
 from __future__ import annotations
@@ -21,8 +22,9 @@ from convoframe.operators import rounds as R
 from convoframe.operators import scoring as E
 from convoframe.operators import segment as G
 from convoframe.operators.messages import clean_messages
-from convoframe.operators.samples import training_samples
+from convoframe.plans.incremental import Incremental
 from convoframe.sources import contacts_source, csv_source, export, manifest
+from convoframe.sources.snapshots import Store
 
 CONTACTS = "contact_id string, nickname string, remark string, relationship string, relationship_detail string, message_count long, first_contact_date timestamp_ntz, last_contact_date timestamp_ntz"
 CACHE = "key string, score double, response string, instruction string, input string, output string, cached_at timestamp"
@@ -38,34 +40,35 @@ class Stage1:
 
 
 def stage1(spark: SparkSession, o: Options) -> Stage1:
-    """Ingests new files, then rebuilds rounds and samples over all messages."""
+    """Ingests new and changed files; timeline, rounds and samples follow as far as they are changed.
+
+    All of them change in one commit.  A run that dies before leaves its files unread; one
+    that dies after it, before the manifest knows, reads them again, which changes nothing.
+    """
     manifest_path = f"{o.output_dir}/manifest.parquet"
     files, rows = csv_source.new_files(spark, o.data_dir, manifest_path)
-    known = export.load_table(spark, o.output_dir, "messages")
-    if known is None and manifest.exists(spark, manifest_path):  # without messages, no file counts as read
+    users = contacts_source.user_rows(spark, o.data_dir)
+    me = users.filter(F.col("contact_id") == o.my_id) if o.my_id else None
+    name = C.my_name_of(contacts_source.last_records(me), o.my_id, o.my_name) if me is not None else o.my_name
+    kept = stored(spark, o, name)
+    if "timeline" not in kept.store.current() and manifest.exists(spark, manifest_path):  # without messages, no file counts as read
         export.set_aside(spark, manifest_path)
         files, rows = csv_source.new_files(spark, o.data_dir, manifest_path)
-    if files:
-        fresh = clean_messages(csv_source.raw_messages(spark, files), o.epoch_unit)
-        if known is not None:  # a file that changed replaces what it gave before
-            changed = spark.createDataFrame([(f.path,) for f in files], "source_file string")
-            fresh = known.join(F.broadcast(changed), "source_file", "left_anti").unionByName(fresh)
-        known = export.save_table(fresh, o.output_dir, "messages")
-        manifest.record(rows, manifest_path)
-    if known is None:
-        known = export.save_table(clean_messages(csv_source.raw_messages(spark, [])), o.output_dir, "messages")
+    commit = kept.add(clean_messages(csv_source.raw_messages(spark, files), o.epoch_unit), files)
     contacts = export.load_state(spark, o.output_dir, "contacts", CONTACTS)
-    users = contacts_source.user_rows(spark, o.data_dir)
-    contacts = C.upsert_stats(C.upsert_users(contacts, contacts_source.first_names(users)), C.message_stats(known))
+    stats = kept.message_stats(kept.written(commit))
+    contacts = C.upsert_stats(C.upsert_users(contacts, contacts_source.first_names(users)), stats)
     contacts = export.save_table(contacts, o.output_dir, "contacts")
+    at = kept.render(commit, contacts)
+    if files:
+        manifest.record(rows, manifest_path)
+    kept.store.collect_garbage()
+    return Stage1(kept.timeline(at), contacts, kept.rounds(at), kept.samples(at), len(files))
 
-    rules = R.RoundRules(o.max_gap, o.max_delay)
-    runs = export.save_table(R.with_runs(R.numbered(known, keep_bucket=True), rules), o.output_dir, "timeline")
-    rounds = export.save_table(R.extract_rounds(runs, rules), o.output_dir, "rounds")
-    me = users.filter(F.col("contact_id") == o.my_id) if o.my_id else None
-    name = C.my_name_of(contacts_source.last_records(me), o.my_id, o.my_name) if me is not None else o.my_name
-    samples = export.save_table(training_samples(rounds, runs, contacts, name), o.output_dir, "samples")
-    return Stage1(runs, contacts, rounds, samples, len(files))
+
+def stored(spark: SparkSession, o: Options, me: str = "我") -> Incremental:
+    """The timeline, rounds and samples of an output folder."""
+    return Incremental(Store(spark, f"{o.output_dir}/store"), R.RoundRules(o.max_gap, o.max_delay), me)
 
 
 def language_patterns(timeline: DataFrame) -> dict[str, DataFrame]:
@@ -79,9 +82,11 @@ def language_patterns(timeline: DataFrame) -> dict[str, DataFrame]:
 
 def stage2(spark: SparkSession, o: Options, complete: Callable[[str], str] | None = None) -> dict[str, DataFrame]:
     """Scores samples (cached ones are not scored again) and keeps those that pass; without a scorer all pass."""
-    samples = export.load_table(spark, o.output_dir, "samples")
-    if samples is None:
+    kept = stored(spark, o)
+    at = kept.store.current()  # one version for all that follows
+    if "samples" not in at:
         raise FileNotFoundError("run stage1 first: there are no samples")
+    samples = kept.samples(at)
     if not o.scoring or complete is None:
         return {"final": export.save_table(samples, o.output_dir, "final")}
     keyed = E.keyed(samples)

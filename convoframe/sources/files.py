@@ -1,4 +1,4 @@
-"""Listing and opening files through Spark's own file systems."""
+"""Listing files through Spark's own file systems."""
 
 from __future__ import annotations
 
@@ -22,13 +22,3 @@ def listed(spark: SparkSession, pattern: str) -> list[FileInfo]:
     found = path.getFileSystem(conf).globStatus(path) or []
     out = [FileInfo(str(s.getPath().toString()), s.getPath().getParent().getName(), s.getModificationTime(), s.getLen()) for s in found if s.isFile()]
     return sorted((f for f in out if not f.folder.startswith(".")), key=lambda f: f.path)
-
-
-def first_line(spark: SparkSession, path: str) -> str:
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(p.getFileSystem(conf).open(p), "UTF-8"))
-    try:
-        return (reader.readLine() or "").lstrip("﻿")
-    finally:
-        reader.close()
