@@ -83,6 +83,8 @@ class Options:
     attempts: int = 3
     threads: int = 3
     chunk: int = 1000
+    fan: int = 8
+    prompt_limit: int = 60_000
     analysis_threads: int = 3
     analysis_attempts: int = 3
     score_api: Api | None = None
@@ -107,6 +109,8 @@ class Options:
             attempts=s.get("llm_evaluation.retry_attempts", d.attempts),
             threads=s.get("llm_evaluation.max_workers", d.threads),
             chunk=s.get("pattern_analysis.chunk_size", d.chunk),
+            fan=s.get("pattern_analysis.merge_fan", d.fan),
+            prompt_limit=s.get("pattern_analysis.prompt_limit", d.prompt_limit),
             analysis_threads=s.get("pattern_analysis.max_workers", d.analysis_threads),
             analysis_attempts=s.get("pattern_analysis.retry_attempts", d.analysis_attempts),
             score_api=score_api,

@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from convoframe.config import Options
@@ -18,6 +18,7 @@ from convoframe.operators import completions as P
 from convoframe.operators import contacts as C
 from convoframe.operators import conversations as V
 from convoframe.operators import lexicon as L
+from convoframe.operators import reduction as T
 from convoframe.operators import rounds as R
 from convoframe.operators import scoring as E
 from convoframe.operators import segment as G
@@ -133,7 +134,11 @@ def _cached(spark: SparkSession, o: Options, rows: DataFrame, kind: str, call: C
 
 
 def analyse(spark: SparkSession, o: Options, call: Callable[[str], str], folder: str | None = None) -> dict[str, DataFrame]:
-    """Conversations of one folder or all, analysed by chunk, merged by contact, and summed up; what the cache has is not asked again."""
+    """Conversations of one folder or all, analysed by chunk, merged by contact, and summed up; what the cache has is not asked again.
+
+    Merges are trees (``reduction``): no prompt holds more than ``prompt_limit`` characters of
+    analyses, and a changed chunk asks its path to the top again.
+    """
     if folder is not None and folder not in csv_source.folders(spark, o.data_dir):
         raise ValueError(f"there is no folder {folder!r} with messages")
     rows = csv_source.analysis_messages(spark, o.data_dir, folder, o.epoch_unit)
@@ -150,11 +155,30 @@ def analyse(spark: SparkSession, o: Options, call: Callable[[str], str], folder:
     bodies = named(V.chunk_bodies(V.chunked(V.conversations(rows, found["talker"]), o.chunk), o.my_name))
     first = bodies.select("contact", "chunk", "message_count", V.chunk_key(F.col("contact"), F.col("relationship"), F.regexp_replace("body", r',"create_time":"[^"]*"', "")).alias("key"), render(o.first_prompt, **who, conversation_count=F.col("message_count"), conversations=F.col("body")).alias("prompt"))
     level1 = _cached(spark, o, first, "level1", call)
-    merged = named(V.merge_by_contact(level1))
-    second = merged.select("contact", "analysis_count", "total_messages", V.chunk_key(F.col("contact"), F.col("relationship"), F.col("analyses")).alias("key"), render(o.second_prompt, **who, total_messages=F.col("total_messages"), analysis_count=F.col("analysis_count"), analyses=F.col("analyses")).alias("prompt"))
-    level2 = _cached(spark, o, second, "level2", call)
-    last = V.merge_all(level2).select("total_contacts", "total_messages", F.md5("contact_analyses").alias("key"), render(o.final_prompt, contact_count=F.col("total_contacts"), total_messages=F.col("total_messages"), contact_analyses=F.col("contact_analyses")).alias("prompt"))
-    final = _cached(spark, o, last, "final", call)
+    keep = lambda part: lambda df, name: export.save_table(df, o.output_dir, f"analysis_{part}_{name}")
+
+    def merge_one(groups: DataFrame, number: int) -> DataFrame:
+        rows = named(groups.withColumnRenamed("owner", "contact")).withColumn("analyses", F.to_json("texts"))
+        prompt = render(o.second_prompt, **who, total_messages=F.col("weight"), analysis_count=F.col("parts"), analyses=F.col("analyses"))
+        rows = rows.select("contact", "block", "grp", "leaves", "weight", V.chunk_key(F.col("contact"), F.col("relationship"), F.col("analyses")).alias("key"), prompt.alias("prompt"))
+        return _cached(spark, o, rows, f"level2_{number}", call).select(F.col("contact").alias("owner"), "block", "grp", "leaves", "weight", F.col("analysis").alias("text"))
+
+    parts = level1.select(F.col("contact").alias("owner"), F.col("chunk").alias("pos"), F.lit(0).alias("sub"), F.col("message_count").alias("weight"), F.col("analysis").alias("text"))
+    level2 = T.reduce_tree(parts, merge_one, keep("level2"), o.fan, o.prompt_limit)
+    level2 = export.save_table(level2.select(F.col("owner").alias("contact"), F.col("leaves").alias("analysis_count"), F.col("weight").alias("total_messages"), F.col("text").alias("analysis")), o.output_dir, "analysis_level2")
+
+    def merge_all(groups: DataFrame, number: int) -> DataFrame:
+        texts = F.concat(F.lit("["), F.array_join("texts", ","), F.lit("]")) if number == 1 else F.to_json("texts")
+        rows = groups.withColumn("contact_analyses", texts)
+        prompt = render(o.final_prompt, contact_count=F.col("leaves"), total_messages=F.col("weight"), contact_analyses=F.col("contact_analyses"))
+        rows = rows.select("owner", "block", "grp", "leaves", "weight", F.md5("contact_analyses").alias("key"), prompt.alias("prompt"))
+        return _cached(spark, o, rows, f"final_{number}", call).withColumnRenamed("analysis", "text")
+
+    shown = T.spread(level2, "contact", level2.count(), o.fan)
+    shown = shown.withColumn("sub", F.row_number().over(Window.partitionBy("pos").orderBy("contact")))
+    shown = shown.select(F.lit("all").alias("owner"), "pos", "sub", F.col("total_messages").alias("weight"), F.to_json(F.struct("contact", "analysis")).alias("text"))
+    final = T.reduce_tree(shown, merge_all, keep("final"), o.fan, o.prompt_limit)
+    final = final.select(F.col("leaves").alias("total_contacts"), F.col("weight").alias("total_messages"), F.col("text").alias("analysis"))
     return {"level1": level1, "level2": level2, "final": final}
 
 
