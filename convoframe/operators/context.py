@@ -13,20 +13,40 @@ from pyspark.sql import functions as F
 
 from convoframe.functions.text import HOUR, clock, day
 from convoframe.operators.timeline import running
+from convoframe.sources.scratch import materialised
 
 HOURS = 72
 LINES = 30
 
 
-def _counts_at(messages: DataFrame, probes: DataFrame, keys: tuple[str, ...]) -> DataFrame:
-    """Adds to probes (``_pid``, ``t``, keys) how many messages come before ``t``, the last before and the first not before."""
-    none = F.lit(None).cast("long")
-    both = messages.select(*keys, "t", F.lit(1).alias("_kind"), "ix", none.alias("_pid"), F.lit(None).cast("string").alias("_end")).unionByName(
-        probes.select(*keys, "t", F.lit(0).alias("_kind"), F.col("_pid").alias("ix"), "_pid", "_end")
+#: Whose messages a running count is of.
+MINE, THEIRS = 0, 1
+
+
+def _sided(rows: DataFrame) -> DataFrame:
+    """Probes as two rows, one among my messages and one among those of their talker."""
+    sides = F.array(F.struct(F.lit(MINE).alias("side"), F.lit("").alias("talker")), F.struct(F.lit(THEIRS).alias("side"), F.col("talker")))
+    return rows.withColumn("_side", F.explode(sides)).drop("talker").select("*", "_side.*").drop("_side")
+
+
+def _merged(messages: DataFrame, probes: DataFrame) -> DataFrame:
+    """Messages (``side, talker, t, ix``) and probes (also ``_pid, _end``) in one order for each side and talker.
+
+    Of both: how many messages come ``before``, for a message its ordinal; the last
+    before and the first not before.  ``_kind`` is 1 for messages.
+    """
+    both = messages.select("side", "talker", "t", F.lit(1).alias("_kind"), "ix", F.lit(None).cast("long").alias("_pid"), F.lit(None).cast("string").alias("_end")).unionByName(
+        probes.select("side", "talker", "t", F.lit(0).alias("_kind"), F.col("_pid").alias("ix"), "_pid", "_end")
     )
     is_message = F.col("_kind") == 1
-    both = running(both, ["t", "_kind", "ix"], keys=keys, sums={"before": F.when(is_message, 1).otherwise(0).cast("long")}, lasts={"last_t": F.when(is_message, F.col("t"))}, nexts={"next_t": F.when(is_message, F.col("t"))})
-    return both.filter(~is_message).select("_pid", "_end", "before", "last_t", "next_t")
+    at = F.when(is_message, F.col("t"))
+    return running(both, ["t", "_kind", "ix"], keys=("side", "talker"), sums={"before": F.when(is_message, 1).otherwise(0).cast("long")}, lasts={"last_t": at}, nexts={"next_t": at})
+
+
+def _both_sides(timeline: DataFrame) -> DataFrame:
+    """Messages by side: mine under no talker, theirs under theirs."""
+    own = F.col("is_sender") == 1
+    return timeline.filter(F.col("is_sender").isin(0, 1)).withColumn("side", F.when(own, MINE).otherwise(THEIRS)).withColumn("talker", F.when(own, "").otherwise(F.col("talker")))
 
 
 def _ends(rounds: DataFrame, hours: int) -> DataFrame:
@@ -36,15 +56,12 @@ def _ends(rounds: DataFrame, hours: int) -> DataFrame:
 
 def context_summary(rounds: DataFrame, timeline: DataFrame, hours: int = HOURS) -> DataFrame:
     """Counts of mine and theirs in each round's context, its span in hours, earliest and latest time (microseconds)."""
-    ends = _ends(rounds, hours)
-    mine = _counts_at(timeline.filter(F.col("is_sender") == 1).select("t", "ix"), ends, ())
-    theirs = _counts_at(timeline.filter(F.col("is_sender") == 0).select("talker", "t", "ix"), ends, ("talker",))
-
-    def spread(df: DataFrame, name: str) -> DataFrame:
-        pick = lambda end, c: F.max(F.when(F.col("_end") == end, F.col(c)))
-        return df.groupBy("_pid").agg((pick("high", "before") - pick("low", "before")).alias(name), pick("low", "next_t").alias(f"{name}_first"), pick("high", "last_t").alias(f"{name}_last"))
-
-    both = spread(mine, "mine").join(spread(theirs, "theirs"), "_pid")
+    found = _merged(_both_sides(timeline), _sided(_ends(rounds, hours))).filter("_kind = 0")
+    pick = lambda side, end, c: F.max(F.when((F.col("side") == side) & (F.col("_end") == end), F.col(c)))
+    parts = []
+    for side, name in ((MINE, "mine"), (THEIRS, "theirs")):
+        parts += [(pick(side, "high", "before") - pick(side, "low", "before")).alias(name), pick(side, "low", "next_t").alias(f"{name}_first"), pick(side, "high", "last_t").alias(f"{name}_last")]
+    both = found.groupBy("_pid").agg(*parts)
     there = lambda name, c: F.when(F.col(name) > 0, F.col(c))
     first = F.least(there("mine", "mine_first"), there("theirs", "theirs_first"))
     last = F.greatest(there("mine", "mine_last"), there("theirs", "theirs_last"))
@@ -68,10 +85,6 @@ def context_rows(rounds: DataFrame, timeline: DataFrame, hours: int = HOURS) ->
     return theirs.unionByName(mine)
 
 
-def _ordinal(messages: DataFrame, keys: tuple[str, ...]) -> DataFrame:
-    return running(messages, ["t", "ix"], keys=keys, sums={"o": F.lit(1).cast("long")})
-
-
 def history_lines(rounds: DataFrame, runs: DataFrame, me: Column, hours: int = HOURS, lines: int = LINES) -> DataFrame:
     """(``round_id``, ``history``): the last lines of context and block with headers where the day changes.
 
@@ -82,21 +95,14 @@ def history_lines(rounds: DataFrame, runs: DataFrame, me: Column, hours: int = H
     """
     slim = runs.select("ix", "t", "is_sender", "talker", "run", "create_time", "content")
     ends = rounds.select("round_id", "talker", F.col("reply_t").alias("t"), F.lit("high").alias("_end")).withColumn("_pid", F.col("round_id"))
-
-    def last_of(messages: DataFrame, keys: tuple[str, ...]) -> DataFrame:
-        at = _counts_at(messages.select(*keys, "t", "ix"), ends, keys).select(F.col("_pid").alias("round_id"), "before")
-        wanted = at.filter("before > 0").withColumn("o", F.explode(F.sequence(F.greatest(F.lit(0), F.col("before") - lines), F.col("before") - 1)))
-        wanted = wanted.join(rounds.select("round_id", "talker", "reply_t", "other_name"), "round_id")
-        texts = _ordinal(messages, keys)
-        if not keys:
-            texts = texts.drop("talker")
-        found = wanted.join(texts, [*keys, "o"])
-        return found.filter(F.col("t") >= F.col("reply_t") - hours * HOUR).select("round_id", "other_name", "t", F.lit(0).alias("rank"), "ix", "is_sender", "create_time", "content")
-
-    mine = last_of(slim.filter("is_sender = 1"), ())
-    theirs = last_of(slim.filter("is_sender = 0"), ("talker",))
+    placed = materialised(_merged(_both_sides(slim), _sided(ends)).select("side", "talker", "_kind", "ix", "_pid", "before"), "history-places")
+    wanted = placed.filter("_kind = 0 and before > 0").select("side", "talker", F.col("_pid").alias("round_id"), F.explode(F.sequence(F.greatest(F.lit(0), F.col("before") - lines), F.col("before") - 1)).alias("before"))
+    wanted = wanted.join(placed.filter("_kind = 1").select("side", "talker", "before", "ix"), ["side", "talker", "before"]).select("round_id", "ix")
+    heads = rounds.select("round_id", "reply_t", "other_name")
+    said = slim.select("ix", "t", "is_sender", "create_time", "content")
+    context = wanted.join(heads, "round_id").join(said, "ix").filter(F.col("t") >= F.col("reply_t") - hours * HOUR).select("round_id", "other_name", "t", F.lit(0).alias("rank"), "ix", "is_sender", "create_time", "content")
     block = rounds.select("round_id", "other_name", F.col("other_first_ix").alias("run")).join(slim, "run").select("round_id", "other_name", "t", F.lit(1).alias("rank"), "ix", "is_sender", "create_time", "content")
-    rows = mine.unionByName(theirs).unionByName(block)
+    rows = context.unionByName(block)
     latest = Window.partitionBy("round_id").orderBy(F.desc("t"), F.desc("rank"), F.desc("ix"))
     rows = rows.withColumn("_rn", F.row_number().over(latest)).filter(F.col("_rn") <= lines)
     in_order = Window.partitionBy("round_id").orderBy("t", "rank", "ix")

@@ -26,25 +26,28 @@ class RoundRules:
     look_ahead: int = 10  # positions after the other's last message
 
 
-def numbered(messages: DataFrame, order: tuple[str, ...] = ("source_file", "file_row"), keep_bucket: bool = False) -> DataFrame:
-    """Adds ``t`` (microseconds), ``mine`` and ``ix``, the position in the whole timeline."""
+def numbered(messages: DataFrame, order: tuple[str, ...] = ("source_file", "file_row"), keep_bucket: bool = False, before: bool = False) -> DataFrame:
+    """Adds ``t`` (microseconds), ``mine`` and ``ix``, the position in the whole timeline; with ``before``, also ``_prev``, the message before, for ``with_runs``."""
     rows = messages.withColumn("t", micros(F.col("create_time"))).withColumn("mine", mine(F.col("is_sender")))
-    return running(rows, ["t", *order], sums={"ix": F.lit(1).cast("long")}, keep_bucket=keep_bucket)
+    lasts = {"_prev": F.struct("t", "mine", "talker")} if before else None
+    return running(rows, ["t", *order], sums={"ix": F.lit(1).cast("long")}, lasts=lasts, keep_bucket=keep_bucket)
 
 
 def with_runs(timeline: DataFrame, rules: RoundRules = RoundRules()) -> DataFrame:
-    """Adds ``run``, the position where a message's run starts."""
-    seen = running(timeline, ["t", "ix"], lasts={"_prev": F.struct("t", "mine", "talker")}, keep_bucket=True)
+    """Adds ``run``, the position where a message's run starts, and ``reply``, place and time of the next message of mine."""
+    seen = timeline if "_prev" in timeline.columns else running(timeline, ["t", "ix"], lasts={"_prev": F.struct("t", "mine", "talker")}, keep_bucket=True)
     prev = F.col("_prev")
     starts = prev.isNull() | (prev["mine"] != F.col("mine")) | (~F.col("mine") & ~prev["talker"].eqNullSafe(F.col("talker"))) | (F.col("t") - prev["t"] > rules.max_gap * SECOND)
     seen = seen.withColumn("_start", starts).drop("_prev")
-    seen = running(seen, ["t", "ix"], lasts={"_run": F.when(F.col("_start"), F.col("ix"))})
+    seen = running(seen, ["t", "ix"], lasts={"_run": F.when(F.col("_start"), F.col("ix"))}, nexts={"reply": F.when(F.col("mine"), F.struct("ix", "t"))})
     return seen.withColumn("run", F.when(F.col("_start"), F.col("ix")).otherwise(F.col("_run"))).drop("_start", "_run")
 
 
 def extract_rounds(runs: DataFrame, rules: RoundRules = RoundRules()) -> DataFrame:
     """One row a round from messages with runs; ``round_id`` is the position of the reply's first message."""
-    slim = running(runs.select("ix", "t", "mine", "talker", "run"), ["t", "ix"], nexts={"reply": F.when(F.col("mine"), F.struct("ix", "t"))})
+    slim = runs.select("ix", "t", "mine", "talker", "run", *["reply"] * ("reply" in runs.columns))
+    if "reply" not in slim.columns:
+        slim = running(slim, ["t", "ix"], nexts={"reply": F.when(F.col("mine"), F.struct("ix", "t"))})
     blocks = slim.groupBy("run").agg(
         F.first("mine").alias("mine"), F.first("talker").alias("talker"), F.max("ix").alias("last_ix"), F.max("t").alias("last_t"), F.count(F.lit(1)).alias("n"), F.max_by("reply", "ix").alias("reply")
     )
@@ -63,10 +66,11 @@ def block_text(content: Column, ix: Column) -> Column:
 
 def round_texts(rounds: DataFrame, runs: DataFrame) -> DataFrame:
     """Adds ``other_text`` and ``my_text``; a run's messages meet their round by the run's start."""
-    blocks = runs.select("run", "ix", "content")
-    sides = rounds.select("round_id", F.col("other_first_ix").alias("run")).join(blocks, "run").groupBy("round_id").agg(block_text(F.col("content"), F.col("ix")).alias("other_text"))
-    answers = rounds.select("round_id", F.col("my_first_ix").alias("run")).join(blocks, "run").groupBy("round_id").agg(block_text(F.col("content"), F.col("ix")).alias("my_text"))
-    return rounds.join(sides, "round_id").join(answers, "round_id")
+    ends = F.array(F.struct(F.lit(True).alias("theirs"), F.col("other_first_ix").alias("run")), F.struct(F.lit(False).alias("theirs"), F.col("my_first_ix").alias("run")))
+    sides = rounds.select("round_id", F.explode(ends).alias("_end")).select("round_id", "_end.*")
+    lines = sides.join(runs.select("run", "ix", "content"), "run").groupBy("round_id", "theirs").agg(block_text(F.col("content"), F.col("ix")).alias("_text"))
+    both = lines.groupBy("round_id").agg(F.max(F.when(F.col("theirs"), F.col("_text"))).alias("other_text"), F.max(F.when(~F.col("theirs"), F.col("_text"))).alias("my_text"))
+    return rounds.join(both, "round_id")
 
 
 def islands(timeline: DataFrame, barrier: int) -> DataFrame:

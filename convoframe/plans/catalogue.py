@@ -183,7 +183,7 @@ _TEXTS = """texts as (
 @query(_sql("select round_id, talker, (reply_t - other_last_t) / 1000000.0 as delay_s, other_text, my_text from texts", _RUNS, _ROUNDS, _TEXTS))
 def q_round_texts(spark, sf_dir):
     runs = A.runs(spark, sf_dir)
-    texts = R.round_texts(R.extract_rounds(runs), runs)
+    texts = R.round_texts(A.rounds(runs), runs)
     return texts.select("round_id", "talker", ((F.col("reply_t") - F.col("other_last_t")) / F.lit(float(SECOND))).alias("delay_s"), "other_text", "my_text")
 
 
@@ -209,13 +209,13 @@ counts as (select r.round_id, cast(coalesce(m_hi.c, 0) - coalesce(m_lo.c, 0) as
 @query(_sql("select round_id, context_mine, context_theirs from counts", _RUNS, _ROUNDS, _PREFIX))
 def q_context_counts(spark, sf_dir):
     runs = A.runs(spark, sf_dir)
-    return X.context_summary(R.extract_rounds(runs), runs).select("round_id", "context_mine", "context_theirs")
+    return X.context_summary(A.rounds(runs), runs).select("round_id", "context_mine", "context_theirs")
 
 
 @query(_sql("select r.round_id, count(c.ix) as context_n, count(c.ix) filter (where c.is_sender = 1) as context_mine, count(c.ix) filter (where c.is_sender = 0) as context_theirs, coalesce(round((max(c.t) - min(c.t)) / 3600000000.0, 2), 0.0) as span_hours, min(c.t) as first_t, max(c.t) as last_t from rounds r left join context c on c.round_id = r.round_id group by r.round_id", _RUNS, _ROUNDS, _CONTEXT))
 def q_context_summary(spark, sf_dir):
     runs = A.runs(spark, sf_dir)
-    return X.context_summary(R.extract_rounds(runs), runs)
+    return X.context_summary(A.rounds(runs), runs)
 
 
 _HISTORY = """lines as (
@@ -232,7 +232,7 @@ history as (select round_id, string_agg(line, chr(10) order by back desc) as his
 
 
 def _named_rounds(runs):
-    return R.extract_rounds(runs).withColumn("other_name", F.right(F.col("talker"), F.lit(8)))
+    return A.rounds(runs).withColumn("other_name", F.right(F.col("talker"), F.lit(8)))
 
 
 @query(_sql("select round_id, history from history", _RUNS, _ROUNDS, _CONTEXT, _HISTORY))
@@ -255,7 +255,7 @@ from texts t join named n on n.talker = t.talker left join history h on h.round_
 @query(_sql(_SAMPLES_BODY, _contacts_sql("").removeprefix("with ").rstrip(), _NAMED, _RUNS, _ROUNDS, _TEXTS, _CONTEXT, _NAMED_HISTORY))
 def q_training_samples(spark, sf_dir):
     runs = A.runs(spark, sf_dir)
-    return S.training_samples(R.extract_rounds(runs), runs, A.contacts(spark, sf_dir))
+    return S.training_samples(A.rounds(runs), runs, A.contacts(spark, sf_dir))
 
 
 @query(_sql("select ix, abs(t - lag(t) over (order by ix)) <= 86400000000 and (talker = lag(talker) over (order by ix) or mine or lag(mine) over (order by ix)) as same_context from clean qualify ix > 0"))
@@ -464,11 +464,10 @@ def q_manifest_diff(spark, sf_dir):
 def q_rolling_counts(spark, sf_dir):
     """Messages in the 72 hours before each message, from running counts at both ends."""
     rows = A.timeline(spark, sf_dir)
+    # Counted among mine (side 0), and among all (side 1) under one talker.
+    sides = rows.withColumn("side", F.explode(F.when(F.col("mine"), F.array(F.lit(X.MINE), F.lit(X.THEIRS))).otherwise(F.array(F.lit(X.THEIRS))))).withColumn("talker", F.when(F.col("side") == X.MINE, "").otherwise("*"))
     probes = rows.select(F.col("ix").alias("round_id"), F.lit("*").alias("talker"), F.col("t").alias("reply_t"))
-    ends = X._ends(probes, X.HOURS)
-    pick = lambda end: F.max(F.when(F.col("_end") == end, F.col("before")))
-    count = lambda df: X._counts_at(df.select("t", "ix"), ends, ()).groupBy("_pid").agg((pick("high") - pick("low")).alias("n"))
-    both = count(rows.filter("mine")).withColumnRenamed("n", "mine_72h").join(count(rows).withColumnRenamed("n", "all_72h"), "_pid")
-    return both.select(F.col("_pid").alias("ix"), "mine_72h", "all_72h")
-
-
+    found = X._merged(sides, X._sided(X._ends(probes, X.HOURS))).filter("_kind = 0")
+    pick = lambda side, end: F.max(F.when((F.col("side") == side) & (F.col("_end") == end), F.col("before")))
+    counts = {side: pick(side, "high") - pick(side, "low") for side in (X.MINE, X.THEIRS)}
+    return found.groupBy("_pid").agg(counts[X.MINE].alias("mine_72h"), counts[X.THEIRS].alias("all_72h")).withColumnRenamed("_pid", "ix")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from convoframe.operators.messages import clean_messages
-from convoframe.operators.rounds import numbered, with_runs
+from convoframe.operators.rounds import extract_rounds, numbered, with_runs
 from convoframe.sources.scratch import materialised
 
 MESSAGES = """
@@ -51,13 +51,18 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clean_messages(raw.withColumn("source_file", F.lit("events")).withColumn("file_row", F.col("id")))
 
 
-def timeline(spark: SparkSession, sf_dir: str, keep_bucket: bool = False) -> DataFrame:
-    return numbered(messages(spark, sf_dir), keep_bucket=keep_bucket)
+def timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return numbered(messages(spark, sf_dir))
 
 
 def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Messages with positions and runs, as the stage table that later operators share."""
-    return materialised(with_runs(timeline(spark, sf_dir, keep_bucket=True)), "runs")
+    return materialised(with_runs(numbered(messages(spark, sf_dir), keep_bucket=True, before=True)), "runs")
+
+
+def rounds(runs: DataFrame) -> DataFrame:
+    """The rounds, as the stage table that later operators share."""
+    return materialised(extract_rounds(runs), "rounds")
 
 
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
