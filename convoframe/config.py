@@ -67,6 +67,39 @@ class Api:
         return cls(url, key, s.get(f"{part}.model") or "", s.get(f"{part}.timeout", timeout))
 
 
+#: What is asked where the settings have no prompts.
+SCORE = """{instruction}
+{input}
+{output}
+
+The lines above are a situation in a chat, what was said, and the reply that was given.
+How good is the reply as an example of its writer's own way of talking? Consider whether it
+answers what was said, whether it sounds like one person talking to another, and whether it
+says anything at all. Give one number from 0 (useless) to 10 (very good), alone on the last line.
+"""
+FIRST = """{contact_name} ({relationship}), {conversation_count} messages:
+{conversations}
+
+This is part of a chat; messages of the user are under the user's own name. Describe how the
+user talks to this person: tone and distance, usual words and phrases, length and rhythm of
+messages, use of emoji and punctuation, how questions, jokes and disagreement are handled.
+Quote short examples. Say only what the messages show.
+"""
+SECOND = """{contact_name} ({relationship}), {total_messages} messages in {analysis_count} parts:
+{analyses}
+
+These are descriptions of parts of one chat, in order. Join them into one: keep what comes up
+again, say what changed over time, and drop what only one part shows by chance.
+"""
+FINAL = """{contact_count} contacts, {total_messages} messages:
+{contact_analyses}
+
+These describe how one user talks to different people. Write one description of the user:
+what is the same with everyone, what depends on the relationship, and which words, habits
+and reactions would be missed if they were not there.
+"""
+
+
 @dataclass(frozen=True)
 class Options:
     """What the stages need to know."""
@@ -89,10 +122,10 @@ class Options:
     analysis_attempts: int = 3
     score_api: Api | None = None
     analysis_api: Api | None = None
-    prompt: str = "{instruction}\n{input}\n{output}\n"
-    first_prompt: str = "{contact_name} ({relationship}), {conversation_count} messages:\n{conversations}"
-    second_prompt: str = "{contact_name} ({relationship}), {total_messages} messages in {analysis_count} parts:\n{analyses}"
-    final_prompt: str = "{contact_count} contacts, {total_messages} messages:\n{contact_analyses}"
+    prompt: str = SCORE
+    first_prompt: str = FIRST
+    second_prompt: str = SECOND
+    final_prompt: str = FINAL
 
     @classmethod
     def of(cls, s: Settings) -> Options:

@@ -16,6 +16,7 @@ from convoframe.operators import contacts as C
 from convoframe.operators import context as X
 from convoframe.operators import conversations as V
 from convoframe.operators import lexicon as L
+from convoframe.operators import reduction as M
 from convoframe.operators import rounds as R
 from convoframe.operators import samples as S
 from convoframe.operators import segment as G
@@ -337,13 +338,14 @@ def q_filtered_sample_stats(spark, sf_dir):
 
 # --- scores
 
-_REPLIES = ("评分 8", "8.5", "8/10", "Score: 11", "-3", "a 7\nb 12", "9\nof 10 and 99", "12\n5 of 20", "none", "", "7 8 9", "10.0", "3.25 ok\n\n", "line 4\nlast 11\n")
-
-
-@query("select reply_id, score from (values " + ", ".join(f"({i}, {x})" for i, x in enumerate((8.0, 8.5, 10.0, 0.0, 3.0, 7.0, 9.0, 5.0, 0.0, 0.0, 9.0, 10.0, 3.25, 4.0))) + ") t(reply_id, score)")
+# Letters become one ASCII letter, so that both engines see the same word boundaries.
+@query(r"""with t as (select doc_id, regexp_replace(regexp_replace(coalesce(text, ''), '^\s+|\s+$', '', 'g'), '[\p{L}\p{M}]', 'a', 'g') as s from documents),
+found as (select doc_id, list_transform(list_reverse(string_split(s, chr(10))), lambda x: regexp_extract_all(x, '\b(\d+(?:\.\d+)?)\b', 1)) as per_line, list_reverse(regexp_extract_all(s, '\b(\d+(?:\.\d+)?)\b', 1)) as every from t)
+select doc_id, coalesce(list_filter(list_transform(list_filter(per_line, lambda x: len(x) > 0), lambda x: cast(x[-1] as double)), lambda v: v between 0 and 10)[1],
+  list_filter(list_transform(every, lambda x: cast(x as double)), lambda v: v between 0 and 10)[1], 0.0) as score from found""")
 def q_score_parse(spark, sf_dir):
-    rows = spark.createDataFrame(list(enumerate(_REPLIES)), "reply_id int, reply string")
-    return rows.select("reply_id", parse_score(F.col("reply")).cast("decimal(4,2)").cast("double").alias("score"))
+    """The score that would be read from each document, were it a reply."""
+    return A.table(spark, sf_dir, "documents").select("doc_id", parse_score(F.col("text")).alias("score"))
 
 
 @query(_samples_sql("select count(*) as total_samples, count(*) filter (where score >= 6.0) as passed_samples, count(*) filter (where score < 6.0) as failed_samples, round(avg(score), 6) as average_score, round(100.0 * count(*) filter (where score >= 6.0) / count(*), 6) as passed_percent from samples"))
@@ -433,6 +435,23 @@ def q_level2(spark, sf_dir):
     return V.merge_by_contact(q_level1(spark, sf_dir))
 
 
+_MERGED = """bodies as (select contact, (p) // 50 as pos, count(*) as weight, string_agg(content, chr(10) order by t, rank, ix) as text from (select *, row_number() over (partition by contact order by t, rank, ix) - 1 as p from members) x group by 1, 2),
+pieces as (select contact, pos, pos // 4 as block, weight, unnest(range(0, greatest(cast(ceil(length(text) / 2000.0) as bigint), 1))) as piece, text from bodies),
+cut as (select contact, pos, block, piece, case when piece = 0 then weight else 0 end as weight, case when piece = 0 then 1 else 0 end as leaf, substr(text, cast(piece * 2000 + 1 as int), 2000) as text from pieces),
+sized as (
+  select *, sum(length(text)) over (partition by contact, block) as whole, coalesce(sum(length(text)) over (partition by contact, block order by pos, piece rows between unbounded preceding and 1 preceding), 0) as before from cut)"""
+
+
+@query(_sql("""select contact as owner, block, cast(case when whole <= 4000 then 0 else before // 2000 end as int) as grp, count(*) as parts, cast(sum(leaf) as bigint) as leaves, cast(sum(weight) as bigint) as weight,
+  cast(sum(length(text)) as bigint) as chars, md5(string_agg(text, '|' order by pos, piece)) as texts from sized group by 1, 2, 3""", _RELATED, _MERGED))
+def q_merge_groups(spark, sf_dir):
+    """Which stretches of the contacts' conversations, fifty messages a text, a merge of 4000 characters takes together."""
+    rows = V.chunked(V.conversations(A.timeline(spark, sf_dir), "wxid_me", min_contact=1, min_conversation=1), 50)
+    line = F.array_sort(F.collect_list(F.struct("t", "rank", "ix", "content")))
+    texts = rows.groupBy(F.col("contact").alias("owner"), F.col("chunk").alias("pos")).agg(F.count(F.lit(1)).alias("weight"), F.array_join(F.transform(line, lambda x: x["content"]), "\n").alias("text"))
+    return M.groups(texts.withColumn("sub", F.lit(0)), 4, 4000).withColumn("texts", F.md5(F.array_join("texts", "|")))
+
+
 _FINAL = """select count(*) as total_contacts, cast(sum(total_messages) as bigint) as total_messages,
   '[' || string_agg('{"contact":"' || contact || '","analysis":' || to_json(analyses) || '}', ',' order by contact) || ']' as contact_analyses from level2"""
 

@@ -29,6 +29,8 @@ from convoframe.sources.snapshots import Store
 
 CONTACTS = "contact_id string, nickname string, remark string, relationship string, relationship_detail string, message_count long, first_contact_date timestamp_ntz, last_contact_date timestamp_ntz"
 CACHE = "key string, score double, response string, instruction string, input string, output string, cached_at timestamp"
+#: Relationships named in the summary; the others are in a file of their own.
+SHOWN = 1000
 
 
 @dataclass
@@ -193,10 +195,12 @@ def save_final(spark: SparkSession, o: Options, done: dict[str, DataFrame]) -> N
     samples = done["final"].select("instruction", "input", "output")
     export.export_json_lines(samples, f"{o.output_dir}/training_only.json")
     contacts = export.load_state(spark, o.output_dir, "contacts", CONTACTS)
-    kinds = contacts.groupBy("relationship").count().orderBy(F.desc("count"), "relationship").limit(1000)
+    kinds = export.save_table(contacts.groupBy("relationship").count().orderBy(F.desc("count"), "relationship"), o.output_dir, "relationships")
+    export.export_json_array(kinds.orderBy(F.desc("count"), "relationship"), f"{o.output_dir}/relationships.json")  # all of them
+    most = kinds.orderBy(F.desc("count"), "relationship").limit(SHOWN)
     summary = {
         "metadata": {"stage": 2, "total_samples": samples.count(), "max_inter_message_gap": o.max_gap, "max_reply_delay": o.max_delay, "scored": "report" in done},
-        "contacts_summary": {**export.as_dicts(contacts.agg(F.count(F.lit(1)).alias("total_contacts"), F.coalesce(F.sum("message_count"), F.lit(0)).alias("total_messages")))[0], "relationships": export.as_dicts(kinds), "most_active": export.as_dicts(C.most_active(contacts, 5))},
+        "contacts_summary": {**export.as_dicts(contacts.agg(F.count(F.lit(1)).alias("total_contacts"), F.coalesce(F.sum("message_count"), F.lit(0)).alias("total_messages")))[0], "relationship_kinds": kinds.count(), "relationships": export.as_dicts(most), "most_active": export.as_dicts(C.most_active(contacts, 5))},
     }
     if "report" in done:
         export.export_json_lines(samples, f"{o.output_dir}/training_filtered.json")

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import json
+import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from convoframe.functions.text import iso
 from convoframe.sources.manifest import exists, set_aside, unreadable
@@ -72,21 +74,71 @@ def export_json(spark: SparkSession, value, path: str) -> None:
         out.close()
 
 
+def _as_text(value: Column, kind: T.DataType) -> Column:
+    """A value with all times in it, at any depth, as ISO text; nulls stay nulls."""
+    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
+        return iso(value)
+    if isinstance(kind, T.ArrayType) and _has_time(kind):
+        return F.transform(value, lambda x: _as_text(x, kind.elementType))
+    if isinstance(kind, T.MapType) and _has_time(kind):
+        entries = F.transform(F.map_entries(value), lambda e: F.struct(_as_text(e["key"], kind.keyType).alias("key"), _as_text(e["value"], kind.valueType).alias("value")))
+        return F.map_from_entries(entries)
+    if isinstance(kind, T.StructType) and _has_time(kind):
+        return F.when(value.isNotNull(), F.struct(*[_as_text(value.getField(f.name), f.dataType).alias(f.name) for f in kind]))
+    return value
+
+
+def _has_time(kind: T.DataType) -> bool:
+    if isinstance(kind, T.ArrayType):
+        return _has_time(kind.elementType)
+    if isinstance(kind, T.MapType):
+        return _has_time(kind.keyType) or _has_time(kind.valueType)
+    if isinstance(kind, T.StructType):
+        return any(_has_time(f.dataType) for f in kind)
+    return isinstance(kind, (T.TimestampType, T.TimestampNTZType))
+
+
 def timestamps_as_text(df: DataFrame) -> DataFrame:
-    """All time columns as ISO text."""
-    return df.select(*[iso(F.col(f"`{f.name}`")).alias(f.name) if f.dataType.typeName().startswith("timestamp") else F.col(f"`{f.name}`") for f in df.schema])
+    """All times as ISO text, inside structs, arrays and maps too."""
+    return df.select(*[_as_text(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in df.schema])
 
 
 def export_json_lines(df: DataFrame, path: str) -> None:
     timestamps_as_text(df).write.mode("overwrite").json(path)
 
 
-def export_json_array(df: DataFrame, path: str) -> int:
-    """One JSON array in a local file, streamed row by row; for results of a size a person reads."""
-    n = 0
-    with open(path, "w", encoding="utf-8") as out:
-        out.write("[")
-        for n, row in enumerate(timestamps_as_text(df).toJSON().toLocalIterator(), 1):
-            out.write((",\n" if n > 1 else "\n") + json.dumps(json.loads(row), ensure_ascii=False))
-        out.write("\n]\n")
-    return n
+def export_json_array(df: DataFrame, path: str) -> None:
+    """One file with one JSON array, on any file system Spark knows, in the order of the rows.
+
+    Tasks write part files, a row a line with a comma before it.  The parts are then
+    copied, as bytes, behind each other into a file beside the target, without the first
+    comma, and one rename puts it in place: readers see the old file or the new one.
+    """
+    spark = df.sparkSession
+    parts, beside = f"{path}.{uuid.uuid4().hex}.parts", f"{path}.{uuid.uuid4().hex}.tmp"
+    rows = timestamps_as_text(df)
+    rows.select(F.concat(F.lit(","), F.to_json(F.struct(*[F.col(f"`{c}`") for c in rows.columns]), {"ignoreNullFields": "false"}))).write.text(parts)
+    hadoop, conf = spark.sparkContext._jvm.org.apache.hadoop, spark.sparkContext._jsc.hadoopConfiguration()
+    place = hadoop.fs.Path(beside)
+    fs = place.getFileSystem(conf)
+    out = fs.create(place, True)
+    try:
+        out.write(bytearray(b"["))
+        first = True
+        for status in sorted(fs.listStatus(hadoop.fs.Path(parts)), key=lambda s: s.getPath().getName()):
+            if status.getPath().getName().startswith("part-") and status.getLen():
+                part = fs.open(status.getPath())
+                try:
+                    if first:
+                        part.read()
+                        out.write(bytearray(b"\n"))
+                        first = False
+                    hadoop.io.IOUtils.copyBytes(part, out, conf, False)
+                finally:
+                    part.close()
+        out.write(bytearray(b"]\n"))
+    finally:
+        out.close()
+    _delete(spark, parts)
+    _delete(spark, path)
+    _rename(spark, beside, path)

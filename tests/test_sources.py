@@ -102,13 +102,30 @@ def test_contact_files(spark, data):
 
 def test_exports(spark, tmp_path):
     df = spark.sql("select 1 as a, timestamp_ntz'2024-01-02 03:04:05' as t union all select 2, timestamp_ntz'2024-01-02 03:04:05.000120'")
-    assert export.export_json_array(df.orderBy("a"), str(tmp_path / "x.json")) == 2
+    export.export_json_array(df.orderBy("a"), str(tmp_path / "x.json"))
     assert [r["t"] for r in json.loads((tmp_path / "x.json").read_text())] == ["2024-01-02T03:04:05", "2024-01-02T03:04:05.000120"]
     saved = export.save_table(df, str(tmp_path), "tab")
     assert export.save_table(saved.filter("a = 1"), str(tmp_path), "tab").count() == 1
     assert export.load_table(spark, str(tmp_path), "none") is None
 
 
+def test_json_array_of_many_tasks(spark, tmp_path):
+    path = tmp_path / "out" / "x.json"
+    nested = spark.range(500).repartition(7).orderBy("id").selectExpr(
+        "id", "if(id % 5 = 0, null, concat('t\u00fc\"\\n', id)) as text", "timestamp_ntz'2024-01-02 03:04:05' as t",
+        "if(id % 2 = 0, null, struct(timestamp'2024-01-02 03:04:05.5' as a, array(timestamp_ntz'2024-01-01', null) as b, map('k', struct(timestamp_ntz'2024-01-03' as c)) as d)) as s",
+    )
+    for df in (nested, nested.filter("id < 3"), nested.filter("false")):
+        export.export_json_array(df, str(path))
+        found = json.loads(path.read_text(encoding="utf-8"))
+        assert [r["id"] for r in found] == [r["id"] for r in df.collect()]
+    export.export_json_array(nested, str(path))
+    found = json.loads(path.read_text(encoding="utf-8"))
+    assert found[0] == {"id": 0, "text": None, "t": "2024-01-02T03:04:05", "s": None}
+    assert found[1] == {"id": 1, "text": 't\u00fc"\n1', "t": "2024-01-02T03:04:05", "s": {"a": "2024-01-02T03:04:05.500000", "b": ["2024-01-01T00:00:00", None], "d": {"k": {"c": "2024-01-03T00:00:00"}}}}
+    assert sorted(p.name for p in path.parent.iterdir() if not p.name.startswith(".")) == ["x.json"]
+
+
 def test_settings(tmp_path):
     s = Settings(tmp_path / "c.json")
     assert not s.exists() and s.get("a.b", 7) == 7
