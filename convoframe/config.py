@@ -115,6 +115,7 @@ class Options:
     min_score: float = 6.0
     attempts: int = 3
     threads: int = 3
+    per_minute: float | None = None
     chunk: int = 1000
     fan: int = 8
     prompt_limit: int = 60_000
@@ -141,6 +142,7 @@ class Options:
             min_score=s.get("llm_evaluation.min_score", d.min_score),
             attempts=s.get("llm_evaluation.retry_attempts", d.attempts),
             threads=s.get("llm_evaluation.max_workers", d.threads),
+            per_minute=s.get("calls_per_minute", d.per_minute),
             chunk=s.get("pattern_analysis.chunk_size", d.chunk),
             fan=s.get("pattern_analysis.merge_fan", d.fan),
             prompt_limit=s.get("pattern_analysis.prompt_limit", d.prompt_limit),

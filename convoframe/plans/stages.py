@@ -25,6 +25,7 @@ from convoframe.operators import segment as G
 from convoframe.operators.messages import clean_messages
 from convoframe.plans.incremental import Incremental
 from convoframe.sources import contacts_source, csv_source, export, manifest
+from convoframe.sources.keyed import Keyed
 from convoframe.sources.snapshots import Store
 
 CONTACTS = "contact_id string, nickname string, remark string, relationship string, relationship_detail string, message_count long, first_contact_date timestamp_ntz, last_contact_date timestamp_ntz"
@@ -83,6 +84,23 @@ def language_patterns(timeline: DataFrame) -> dict[str, DataFrame]:
     return {"words": L.word_frequency(own, top=20, words=G.segmented_words(F.col("content"), dictionary)), "emoji": L.emoji_frequency(own, top=10), "profile": L.message_profile(own), "contacts": C.contact_statistics(timeline, 10)}
 
 
+def eval_cache(spark: SparkSession, o: Options) -> Keyed:
+    """Scores by the content of samples."""
+    return Keyed(Store(spark, f"{o.output_dir}/eval_cache"), "scores", "key", CACHE)
+
+
+def analysis_cache(spark: SparkSession, o: Options) -> Keyed:
+    """Analyses by the content of prompts."""
+    return Keyed(Store(spark, f"{o.output_dir}/analysis_cache"), "analyses", "key", P.CACHE)
+
+
+def journal(spark: SparkSession, o: Options, kind: str) -> str:
+    """Where replies go as they come, until the cache has them: an address that executors' Python opens."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{o.output_dir}/calls/{kind}")
+    place = str(place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(place))
+    return "file://" + place.removeprefix("file:") if place.startswith("file:/") and not place.startswith("file://") else place
+
+
 def stage2(spark: SparkSession, o: Options, complete: Callable[[str], str] | None = None) -> dict[str, DataFrame]:
     """Scores samples (cached ones are not scored again) and keeps those that pass; without a scorer all pass."""
     kept = stored(spark, o)
@@ -93,12 +111,14 @@ def stage2(spark: SparkSession, o: Options, complete: Callable[[str], str] | Non
     if not o.scoring or complete is None:
         return {"final": export.save_table(samples, o.output_dir, "final")}
     keyed = E.keyed(samples)
-    cache = export.load_state(spark, o.output_dir, "eval_cache", CACHE)
+    scored = eval_cache(spark, o)
+    cache = scored.read()
     prompt = render(o.prompt, instruction=F.col("instruction"), input=F.col("input"), output=F.col("output"))
     misses = E.cache_misses(keyed, cache).withColumn("prompt", prompt)
-    replies = export.save_table(E.scored(P.complete(misses, complete, o.attempts, threads=o.threads)), o.output_dir, "last_replies")
+    replies = export.save_table(E.scored(P.complete(misses, complete, o.attempts, threads=o.threads, journal=journal(spark, o, "scores"), per_minute=o.per_minute)), o.output_dir, "last_replies")
     good = replies.filter("error is null").join(misses, "key").select("key", "score", "response", "instruction", "input", "output", F.current_timestamp().alias("cached_at"))
-    export.save_table(good, o.output_dir, "eval_cache", mode="append")
+    scored.upsert(good)
+    P.Journal(journal(spark, o, "scores")).clear()  # the cache has them now
     scores = keyed.join(cache.select("key", "score", "response").unionByName(replies.select("key", "score", "response")), "key")
     scores = export.save_table(E.judged(scores, o.min_score), o.output_dir, "scores")
     final = export.save_table(E.passing(scores, o.min_score), o.output_dir, "final")
@@ -107,31 +127,33 @@ def stage2(spark: SparkSession, o: Options, complete: Callable[[str], str] | Non
 
 def filter_cache(spark: SparkSession, o: Options, min_score: float) -> dict[str, DataFrame]:
     """Passing samples of the score cache with their statistics; nothing is scored."""
-    cache = export.load_state(spark, o.output_dir, "eval_cache", CACHE)
+    cache = eval_cache(spark, o).read()
     kept = E.passing(cache.filter("output is not null"), min_score)
     named, dictionary = kept.withColumn("ix", F.xxhash64("key")), G.learn_dictionary(cache, "output")
     return {"samples": kept, "report": E.report(cache, min_score), "histogram": E.histogram(cache), "words": L.word_frequency(named, "output", top=20, words=G.segmented_words(F.col("output"), dictionary)), "emoji": L.emoji_frequency(named, "output"), "profile": L.message_profile(kept, "output")}
 
 
 def cache_size(spark: SparkSession, o: Options) -> int:
-    return export.load_state(spark, o.output_dir, "eval_cache", CACHE).count()
+    return eval_cache(spark, o).read().count()
 
 
 def clear_cache(spark: SparkSession, o: Options) -> None:
-    export.save_table(spark.createDataFrame([], CACHE), o.output_dir, "eval_cache")
+    eval_cache(spark, o).clear()
 
 
 def _cached(spark: SparkSession, o: Options, rows: DataFrame, kind: str, call: Callable[[str], str]) -> DataFrame:
     """Adds ``analysis`` to rows with ``key`` and ``prompt``: cached, or called for, cached and logged; failed rows are left out."""
     rows = export.save_table(rows, o.output_dir, f"analysis_{kind}_prompts")
-    cache = export.load_state(spark, o.output_dir, "analysis_cache", P.CACHE)
+    answered = analysis_cache(spark, o)
+    cache = answered.read()
     todo = P.missing(rows, cache)
-    replies = export.save_table(P.complete(todo, call, o.analysis_attempts, wait=2.0, threads=o.analysis_threads), o.output_dir, f"analysis_{kind}_replies")
+    replies = export.save_table(P.complete(todo, call, o.analysis_attempts, wait=2.0, threads=o.analysis_threads, journal=journal(spark, o, kind), per_minute=o.per_minute), o.output_dir, f"analysis_{kind}_replies")
     export.save_table(P.log_rows(todo, replies, kind), o.output_dir, "api_log", mode="append")
     fresh = replies.filter("error is null").select("key", "response")
     known = cache.select("key", "response").join(rows.select("key").distinct(), "key", "left_semi").unionByName(fresh)
     done = export.save_table(rows.join(known.withColumnRenamed("response", "analysis"), "key"), o.output_dir, f"analysis_{kind}")
-    export.save_table(fresh.withColumn("cached_at", F.current_timestamp()), o.output_dir, "analysis_cache", mode="append")
+    answered.upsert(fresh.withColumn("cached_at", F.current_timestamp()))
+    P.Journal(journal(spark, o, kind)).clear()
     return done
 
 
@@ -186,8 +208,8 @@ def analyse(spark: SparkSession, o: Options, call: Callable[[str], str], folder:
 
 def analysis_cache_stats(spark: SparkSession, o: Options) -> dict[str, int]:
     """Entries of the analysis cache and of the log."""
-    tables = {name: export.load_table(spark, o.output_dir, name) for name in ("analysis_cache", "api_log")}
-    return {name: df.count() if df is not None else 0 for name, df in tables.items()}
+    log = export.load_table(spark, o.output_dir, "api_log")
+    return {"analysis_cache": analysis_cache(spark, o).read().count(), "api_log": log.count() if log is not None else 0}
 
 
 def save_final(spark: SparkSession, o: Options, done: dict[str, DataFrame]) -> None:
