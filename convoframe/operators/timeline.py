@@ -5,6 +5,10 @@ its value inside the bucket, completed from a table with one row a bucket.  Only
 that table is ordered as a whole; rows move once, by bucket, and every frame is
 one that Spark extends row by row.  A pass reads its input twice, so an input
 that takes work is written first: passes in a row cost a sum, not a product.
+
+Buckets are stretches of equal length.  Where one of them holds more than ``DENSE`` rows,
+buckets of equal numbers of rows take their place: ranges of the whole order (ties in time
+are told apart by what follows it), with bounds from a sample.
 """
 
 from __future__ import annotations
@@ -15,7 +19,20 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from convoframe.functions.text import HOUR
-from convoframe.sources.scratch import settled
+from convoframe.sources.scratch import materialised, settled
+
+#: The most rows of a bucket of equal length.
+DENSE = 1 << 20
+
+
+def _even(rows: DataFrame, by: list[str], order: list[str], most: int) -> DataFrame:
+    """``rows`` with ``_bucket`` as the number of their range in ``by`` and ``order``, of about ``most`` rows each.
+
+    Written, as ranges drawn again might have other bounds.
+    """
+    n = -(-rows.count() // most)
+    dealt = rows.drop("_bucket").repartitionByRange(n, *by, *order).withColumn("_bucket", F.spark_partition_id().cast("long"))
+    return materialised(dealt, "even-buckets")
 
 
 def running(
@@ -40,6 +57,10 @@ def running(
     rows = df if "_bucket" in df.columns else df.withColumn("_bucket", F.floor(F.col(order[0]) / width).cast("long"))
     rows = settled(rows.select("*", *[c.alias(f"_v_{name}") for name, c in {**sums, **lasts, **nexts}.items()]), "running")
     by = [*keys, "_bucket"]
+    if "_bucket" not in df.columns:
+        fullest = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
+        if (fullest or 0) > DENSE:
+            rows = _even(rows, list(keys), order, DENSE // 2)
     v = lambda name: F.col(f"_v_{name}")
     per_bucket = [F.sum(v(n)).alias(f"_b_{n}") for n in sums]
     per_bucket += [F.max_by(v(n), F.when(v(n).isNotNull(), place)).alias(f"_b_{n}") for n in lasts]

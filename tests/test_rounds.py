@@ -121,3 +121,23 @@ def test_plans_have_no_nested_loops(spark):
     for df in (X.context_rows(rounds, runs), X.context_summary(rounds, runs), X.history_lines(rounds, runs, F.lit("我"))):
         plan = df._jdf.queryExecution().toString()
         assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_a_dense_hour_is_spread(spark, monkeypatch):
+    """Nine tenths of the messages in one hour, most of them at one time: buckets are even, values as before."""
+    from convoframe.operators import timeline as L
+
+    rng = random.Random(8)
+    messages = [(3600 * 40 + rng.choice([7, 7, 7, rng.randrange(3000)]), *rng.choice([("me", 1), ("a", 0), ("b", 0)]), str(i)) for i in range(900)]
+    messages += [(rng.randrange(3600 * 80), *rng.choice([("me", 1), ("a", 0)]), f"x{i}") for i in range(100)]
+    df = frame(spark, messages)
+    plain = sorted(map(tuple, R.with_runs(R.numbered(df)).select("ix", "t", "talker", "run", "content").collect()))
+    monkeypatch.setattr(L, "DENSE", 60)
+    dense = R.numbered(df, keep_bucket=True)
+    counts = [r["count"] for r in dense.groupBy("_bucket").count().collect()]
+    assert max(counts) <= 60 and len(counts) >= 1000 // 60
+    assert sorted(map(tuple, R.with_runs(R.numbered(df)).select("ix", "t", "talker", "run", "content").collect())) == plain
+    assert sorted(map(tuple, R.with_runs(dense).select("ix", "t", "talker", "run", "content").collect())) == plain
+    by_talker = L.running(R.numbered(df).select("ix", "t", "talker"), ["t", "ix"], keys=("talker",), sums={"o": F.lit(1)})
+    for talker in ("me", "a", "b"):
+        assert [r["o"] for r in by_talker.filter(F.col("talker") == talker).orderBy("ix").collect()] == list(range(sum(m[1] == talker for m in messages)))
