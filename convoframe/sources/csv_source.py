@@ -29,8 +29,8 @@ def folders(spark: SparkSession, data_dir: str) -> list[str]:
     return sorted({f.folder for f in listed(spark, f"{data_dir}/*/*.csv")})
 
 
-def read_rows(spark: SparkSession, files: list[str]) -> DataFrame:
-    """``source_file, contact_folder, file_row, fields, problem``: all rows of the files, a map from header to text each.
+def parsed_rows(contents: DataFrame) -> DataFrame:
+    """``source_file, contact_folder, file_row, fields, problem``: all rows of files (``path, content``, at once or as a stream), a map from header to text each.
 
     One plan for files of any headers: each task opens its files, binds values to the
     header it finds there and numbers the rows, so a row keeps its number however files
@@ -54,9 +54,12 @@ def read_rows(spark: SparkSession, files: list[str]) -> DataFrame:
                         out = []
                 yield pa.RecordBatch.from_pylist([dict(zip(kind.names, r, strict=True)) for r in out], schema=kind)
 
-    if not files:
-        return spark.createDataFrame([], ROW)
-    return spark.read.format("binaryFile").load(files).select("path", "content").mapInArrow(parse, ROW)
+    return contents.select("path", "content").mapInArrow(parse, ROW)
+
+
+def read_rows(spark: SparkSession, files: list[str]) -> DataFrame:
+    """``parsed_rows`` of files by their paths."""
+    return parsed_rows(spark.read.format("binaryFile").load(files)) if files else spark.createDataFrame([], ROW)
 
 
 def _parsed(text: str) -> Iterator[tuple[int, dict[str, str | None], str | None]]:
@@ -86,7 +89,11 @@ def rejected_rows(rows: DataFrame) -> DataFrame:
 
 def raw_messages(spark: SparkSession, files: list[str]) -> DataFrame:
     """The export's columns as text; a file that lacks one has nulls there (its rows then fail to type)."""
-    return read_rows(spark, files).select(*[F.col("fields")[c].alias(c) for c in RAW], "source_file", "contact_folder", "file_row")
+    return as_raw(read_rows(spark, files))
+
+
+def as_raw(rows: DataFrame) -> DataFrame:
+    return rows.select(*[F.col("fields")[c].alias(c) for c in RAW], "source_file", "contact_folder", "file_row")
 
 
 def _found(spark: SparkSession, data_dir: str) -> DataFrame:
