@@ -23,9 +23,11 @@ from pyspark.sql import functions as F
 
 from convoframe.llm.common import SCANNED, WORD, cut_into, let, write_table
 
-NEWTON_STEPS = 40
-#: The tilt stays within these bounds; a balance that would need more is met as far as they allow.
-MAX_TILT = 3.0
+NEWTON_STEPS = 200
+#: How far the first step in search of the tilt's bounds goes; further ones go twice as far.
+FIRST_TILT = 3.0
+#: There neighbouring classes' rates differ 10^9-fold: more tilt changes nothing, and all classes together still fit a double.
+LAST_TILT = 22.0
 #: Length classes: documents of 2^k to 2^(k+1) - 1 words; longer ones are in the last.
 CLASSES = 32
 #: Documents a running sum handles in one piece, and the most pieces made of the hash's range.
@@ -89,7 +91,9 @@ def _source_factor(cells: Column, target: Column, cap: float) -> Column:
 
 def _tilted(rows: DataFrame, tilt: float, middle: float, cap: float) -> DataFrame:
     """Adds to sources with ``_cells`` (length class ``c``, tokens ``n``) their rates at a tilt: ``_rates`` (``c, n, z, r``)."""
-    e = lambda c: F.struct(c["c"].alias("c"), c["n"].alias("n"), (c["c"] - F.lit(middle)).alias("z"), F.exp(F.lit(tilt) * (c["c"] - F.lit(middle))).alias("e"))
+    # Against the class with the largest rate, which only changes the source's multiplier, so nothing overflows.
+    top = F.array_max(F.transform("_cells", lambda c: F.lit(tilt) * c["c"]))
+    e = lambda c: F.struct(c["c"].alias("c"), c["n"].alias("n"), (c["c"] - F.lit(middle)).alias("z"), F.exp(F.lit(tilt) * c["c"] - top).alias("e"))
 
     def rates(cells: Column) -> Column:
         full = F.col("target") >= F.col("source_size") * F.lit(cap)
@@ -99,26 +103,39 @@ def _tilted(rows: DataFrame, tilt: float, middle: float, cap: float) -> DataFram
     return rows.withColumn("_rates", let(F.transform("_cells", e), rates))
 
 
-def balancing_tilt(rows: DataFrame, middle: float, cap: float) -> float:
-    """The dual's solution: Newton on the length balance, whose gradient and Hessian each step sums over all sources."""
-    tilt, low, high = 0.0, -MAX_TILT, MAX_TILT
+def balancing_tilt(rows: DataFrame, middle: float, cap: float) -> tuple[float, float]:
+    """The dual's solution, and what it leaves of the length balance: the mix's mean length class less the corpus's.
+
+    Newton on the length balance, whose gradient and Hessian each step sums over all
+    sources.  The gradient rises with the tilt, so bounds follow the solution, and are
+    doubled where it lies beyond them.  A balance that no tilt meets (targets and cap may
+    not allow it) is met as far as possible, and the rest is returned.  An error is raised
+    where the steps don't settle.
+    """
+    tilt, low, high = 0.0, None, None  # tilts known to be too low, too high
     for _ in range(NEWTON_STEPS):
         open_ = F.filter("_rates", lambda c: c["r"] < cap)
         weight = _total(open_, lambda c: c["n"] * c["r"])
         first, second = _total(open_, lambda c: c["n"] * c["r"] * c["z"]), _total(open_, lambda c: c["n"] * c["r"] * c["z"] * c["z"])
         bend = F.when(weight > 0, second - first * first / weight).otherwise(0.0)
-        sums = _tilted(rows, tilt, middle, cap).agg(F.sum(_total(F.col("_rates"), lambda c: c["n"] * c["r"] * c["z"])), F.sum(bend), F.sum("target")).first()
-        gradient, hessian, tokens = (float(x or 0.0) for x in sums)
-        if abs(gradient) <= 1e-10 * tokens or not tokens:
-            break
-        # The gradient rises with the tilt, so each step narrows where the solution is.
+        taken = _total(F.col("_rates"), lambda c: c["n"] * c["r"])
+        sums = _tilted(rows, tilt, middle, cap).agg(F.sum(_total(F.col("_rates"), lambda c: c["n"] * c["r"] * c["z"])), F.sum(bend), F.sum("target"), F.sum(taken)).first()
+        gradient, hessian, tokens, mixed = (float(x or 0.0) for x in sums)
+        gap = gradient / mixed if mixed else 0.0
+        if abs(gradient) <= 1e-10 * tokens or not tokens or abs(tilt) >= LAST_TILT:
+            return tilt, gap
         low, high = (tilt, high) if gradient < 0 else (low, tilt)
-        to = tilt - gradient / hessian if hessian > 1e-12 * tokens else low if gradient > 0 else high
-        to = to if low < to < high else (low + high) / 2
-        if high - low < 1e-12:
-            break
+        to = tilt - gradient / hessian if hessian > 1e-12 * tokens else None
+        if low is not None and high is not None:
+            if high - low < 1e-12:
+                return tilt, gap
+            to = to if to is not None and low < to < high else (low + high) / 2
+        else:  # go on in one direction, not too far at once
+            up = 1 if low is not None else -1
+            far = up * min(LAST_TILT, max(FIRST_TILT, 2 * abs(tilt)))
+            to = to if to is not None and 0 < (to - tilt) * up < (far - tilt) * up else far
         tilt = to
-    return tilt
+    raise RuntimeError(f"the length balance did not settle in {NEWTON_STEPS} steps: {gap} left")
 
 
 def mix_to_targets(
@@ -132,8 +149,9 @@ def mix_to_targets(
 ) -> DataFrame:
     """How many words of each document a mix takes so that each source meets its target.
 
-    Returns ``id_col, size, source_size, target, rate, copies, taken``: the tilted
-    rate, the whole copies it was rounded to, and the words taken.  Rates are
+    Returns ``id_col, size, source_size, target, rate, copies, taken, length_gap``: the
+    tilted rate, the whole copies it was rounded to, the words taken, and, alike in all
+    rows, what is left of the length balance (0 where targets and cap allow it).  Rates are
     rounded class by class of each source in an order by hash: every document gets
     the rate's whole part, and one more copy goes to documents in turn until the
     class's words are used up; the last of them gives its first words only.  The
@@ -169,7 +187,8 @@ def mix_to_targets(
     )
     rows = write_table(source_targets(sources, list(weights), share, cap), "mix-targets")
     middle = cells.agg(F.sum(F.col("n") * F.col("_class")) / F.nullif(F.sum("n"), F.lit(0))).first()[0] or 0.0
-    rows = _tilted(rows, balancing_tilt(rows, middle, cap), middle, cap)
+    tilt, gap = balancing_tilt(rows, middle, cap)
+    rows = _tilted(rows, tilt, middle, cap)
 
     # The words each class takes: the target's running sum, rounded down at each class's end.
     whole = F.transform("_rates", lambda c, i: F.struct(c["c"].cast("int").alias("_class"), c["r"].alias("rate"), c["n"].alias("n"), _total(F.slice("_rates", F.lit(1), i + 1), lambda x: x["n"] * x["r"]).alias("_upto"), _total(F.slice("_rates", F.lit(1), i), lambda x: x["n"] * x["r"]).alias("_from")))
@@ -196,4 +215,5 @@ def mix_to_targets(
         "rate",
         (F.col("_base") + F.when((more == F.col("size")) & (F.col("size") > 0), 1).otherwise(0)).cast("long").alias("copies"),
         (F.col("_base") * F.col("size") + more).cast("long").alias("taken"),
+        F.lit(gap).alias("length_gap"),
     )

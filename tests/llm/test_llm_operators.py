@@ -556,7 +556,7 @@ def balanced(cells, targets, cap=2.0):
             out |= {(s, c): min(cap, np.exp(low + tilt * (c - middle))) for c in mine}
         return out
 
-    low, high = -mixing.MAX_TILT, mixing.MAX_TILT
+    low, high = -mixing.LAST_TILT, mixing.LAST_TILT
     for _ in range(100):
         tilt = (low + high) / 2
         found = rates(tilt)
@@ -591,6 +591,32 @@ def test_mix(documents):
     assert again == {r["doc_id"]: r["taken"] for r in got}
 
 
+def mean_class(rows, weigh):
+    total = sum(weigh(r) for r in rows)
+    return sum(weigh(r) * (max(1, r["size"]).bit_length() - 1) for r in rows) / total
+
+
+@pytest.mark.parametrize("counts", [{"a": (300, 30, 2), "b": (30, 300, 400), "c": (100, 100, 60)}, {"a": (400, 3, 2), "b": (2, 200, 700), "c": (80, 80, 30)}])
+def test_mix_of_sources_that_need_much_tilt(spark, counts):
+    """Sources of short and of long documents: the balance is met, or what is left of it is told."""
+    docs, n = [], 0
+    for s, (short, middle, long) in counts.items():
+        for size, k in ((8, short), (64, middle), (512, long)):
+            docs += [(n + i, "w " * size, s) for i in range(k)]
+            n += k
+    got = mixing.mix_to_targets(spark.createDataFrame(docs, "doc_id long, text string, source string")).collect()
+    cells, sizes = Counter(), Counter()
+    for r, (_, _, s) in zip(sorted(got, key=lambda r: r["doc_id"]), docs, strict=True):
+        cells[s, max(1, r["size"]).bit_length() - 1] += r["size"]
+        sizes[s] += r["size"]
+    expected, moment = balanced(cells, water_fill(sizes))
+    gap = mean_class(got, lambda r: r["size"] * r["rate"]) - mean_class(got, lambda r: r["size"])
+    assert {r["length_gap"] for r in got} == {got[0]["length_gap"]} and got[0]["length_gap"] == pytest.approx(gap, abs=1e-6)
+    print(gap, moment)
+    for r, (_, _, s) in zip(sorted(got, key=lambda r: r["doc_id"]), docs, strict=True):
+        assert r["rate"] == pytest.approx(expected[s, max(1, r["size"]).bit_length() - 1], rel=1e-3, abs=1e-5)
+
+
 def test_mix_with_a_broken_cap(spark):
     rows = spark.createDataFrame([(i, "w " * (i % 40 + 1), f"s{i % 7}") for i in range(400)], "doc_id long, text string, source string")
     got = mixing.mix_to_targets(rows, weights=(9, 1), share=1.2, cap=1.5).collect()
