@@ -21,6 +21,7 @@ import hashlib
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from convoframe.llm.common import arrow_batches, arrow_ints, arrow_texts, count_at_most, lean, write_table
 
@@ -177,6 +178,14 @@ def fingerprint(records: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return records.select(id_col, F.col(text_col).cast("string").alias("_text")).mapInArrow(lean(run), f"`{id_col}` {id_type}, fingerprint string")
 
 
+def _quantiles(ids: DataFrame, k: int) -> list:
+    """Ids that cut a table into about ``k`` even ranges; those of other types than numbers come from a sample of 20 a range by hash."""
+    if isinstance(ids.schema["_id"].dataType, T.NumericType):
+        return ids.agg(F.percentile_approx("_id", [i / k for i in range(1, k)], 10 * k)).first()[0]
+    some = sorted(r["_id"] for r in ids.filter("_id is not null").distinct().orderBy(F.xxhash64("_id")).limit(20 * k).collect())
+    return [some[len(some) * i // k] for i in range(1, k)] if some else []
+
+
 def compare_with_edits(records: DataFrame, id_col: str = "doc_id", text_col: str = "text", level: int = 1) -> DataFrame:
     """Fingerprints of every text and of its edited text, with their likenesses.
 
@@ -187,7 +196,7 @@ def compare_with_edits(records: DataFrame, id_col: str = "doc_id", text_col: str
     gets a copy of the one document below it.  So a document's next is always the
     one read before it.
 
-    Rows that share an id each stand; the document next to them is the next lower
+    Ids may be of any type that Spark orders.  Rows that share an id each stand; the document next to them is the next lower
     id's row with the least text hash.  Null texts are empty, null ids come last;
     long texts are read whole.
     An empty table gives an empty result; further columns are ignored.
@@ -200,7 +209,7 @@ def compare_with_edits(records: DataFrame, id_col: str = "doc_id", text_col: str
     ids = typed.select("_id")
     n = ids.count()
     k = max(1, min(MAX_RANGES, max(n // RANGE_ROWS, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))))
-    bounds = ids.agg(F.percentile_approx("_id", [i / k for i in range(1, k)], 10 * k)).first()[0] if k > 1 and n else []
+    bounds = _quantiles(ids, k) if k > 1 and n else []
     at = F.coalesce(count_at_most(F.col("_id"), sorted(set(bounds or []))), F.lit(-1))
     heads = sorted(((r["_range"], r["_head"]) for r in ids.groupBy(at.alias("_range")).agg(F.max("_id").alias("_head")).collect()), key=lambda x: x[0])  # at most MAX_RANGES + 1 rows
     below = spark.createDataFrame([(heads[i][0], heads[i - 1][1]) for i in range(len(heads))], f"_range int, _head {id_type}")  # the lowest range: the first document
