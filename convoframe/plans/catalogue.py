@@ -5,6 +5,7 @@ Times are microseconds since the epoch, so that both engines give the same value
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,8 +22,13 @@ from convoframe.operators import rounds as R
 from convoframe.operators import samples as S
 from convoframe.operators import segment as G
 from convoframe.operators import scoring as E
+from convoframe.operators.messages import TEXT, clean_messages
 from convoframe.plans import fixtures as A
-from convoframe.sources.scratch import materialised
+from convoframe.plans.incremental import Incremental
+from convoframe.sources import csv_source as C_
+from convoframe.sources.keyed import Keyed
+from convoframe.sources.scratch import checkpoint_root, materialised
+from convoframe.sources.snapshots import Store
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -490,3 +496,58 @@ def q_rolling_counts(spark, sf_dir):
     pick = lambda side, end: F.max(F.when((F.col("side") == side) & (F.col("_end") == end), F.col("before")))
     counts = {side: pick(side, "high") - pick(side, "low") for side in (X.MINE, X.THEIRS)}
     return found.groupBy("_pid").agg(counts[X.MINE].alias("mine_72h"), counts[X.THEIRS].alias("all_72h")).withColumnRenamed("_pid", "ix")
+
+
+# --- sources and stores
+
+
+def _folder(spark, tag: str) -> str:
+    """A new folder of the shared scratch place, gone when the application ends."""
+    path = f"{checkpoint_root(spark)}/{tag}-{uuid.uuid4().hex}"
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
+    return path
+
+
+@query(ORACLES["q_clean_messages"])
+def q_csv_ingest(spark, sf_dir):
+    """The messages written as export files, a folder a talker, and read back by their headers."""
+    place = _folder(spark, "exports")
+    raw = spark.sql(A.MESSAGES, events=A.table(spark, sf_dir, "events"))
+    micro = F.date_format("CreateTime", "yyyy-MM-dd HH:mm:ss.SSSSSS")
+    raw.withColumn("CreateTime", micro).withColumn("folder", F.col("talker")).write.partitionBy("folder").option("header", True).option("escape", '"').csv(place)
+    rows = C_.raw_messages(spark, [f.path for f in C_.listed(spark, f"{place}/*/*.csv")])
+    return clean_messages(rows).select("msg_id", micros(F.col("create_time")).alias("t"), "is_sender", "talker", "type_name", "content", "original_msg")
+
+
+def _arrived(spark, sf_dir):
+    """The timeline's tables after the messages came in two parts: those with text first, the others between them later."""
+    kept = Incremental(Store(spark, _folder(spark, "timeline-store")))
+    rows = A.messages(spark, sf_dir)
+    texts = F.coalesce(F.col("type_name") == TEXT, F.lit(False))
+    contacts = A.contacts(spark, sf_dir)
+    kept.update(rows.filter(texts), contacts)
+    kept.update(rows.filter(~texts), contacts)
+    return kept
+
+
+@query(ORACLES["q_rounds"])
+def q_incremental_rounds(spark, sf_dir):
+    """Rounds kept up to date over two arrivals."""
+    return _arrived(spark, sf_dir).rounds()
+
+
+@query(ORACLES["q_training_samples"])
+def q_incremental_samples(spark, sf_dir):
+    """Samples kept up to date over two arrivals."""
+    return _arrived(spark, sf_dir).samples()
+
+
+@query(_samples_sql("select key, max(score) as score, count(*) filter (where conv_id is not null) as met from k group by key", "k as (select conv_id, score, md5(instruction || '|' || input || '|' || output) as key from samples)"))
+def q_keyed_cache(spark, sf_dir):
+    """Scores by the content of samples, upserted twice over (a retry), found again for every sample."""
+    keyed = E.keyed(A.samples(spark, sf_dir)).select("key", "score")
+    cache = Keyed(Store(spark, _folder(spark, "cache-store")), "scores", "key", "key string, score double")
+    for _ in range(2):
+        cache.upsert(keyed)
+    return keyed.select("key").join(cache.find(keyed), "key").groupBy("key").agg(F.max("score").alias("score"), F.count(F.lit(1)).alias("met"))
