@@ -35,7 +35,7 @@ def parser() -> argparse.ArgumentParser:
     c = verbs.add_parser("contacts", help="list, search, edit or export contacts")
     c.add_argument("--search")
     c.add_argument("--set", nargs=3, metavar=("ID", "RELATIONSHIP", "DETAIL"))
-    c.add_argument("--export")
+    c.add_argument("--export", nargs="?", const="", metavar="FILE", help="as JSON; without FILE to one named by the time in the output folder")
     a = verbs.add_parser("analyze", help="analyse conversations without stage1")
     a.add_argument("--contact")
     a.add_argument("--list", action="store_true")
@@ -58,9 +58,7 @@ def main(argv: list[str] | None = None, complete=None) -> int:
     if args.verb in (None, "stage1", "full"):
         done = stages.stage1(spark, o)
         print(f"new files {done.new_files}, rounds {done.rounds.count()}, samples {done.samples.count()}")
-        for name, df in stages.language_patterns(done.messages).items():
-            print(name)
-            df.show(20, False)
+        print(stages.save_stage1(spark, o, done))
     if args.verb in (None, "stage2", "full"):
         done = stages.stage2(spark, o, complete or client(o.score_api, SCORING))
         for name, df in done.items():
@@ -71,14 +69,14 @@ def main(argv: list[str] | None = None, complete=None) -> int:
             export.export_json_lines(df, f"{o.output_dir}/filtered_{args.min_score:g}_{name}.json")
             df.show(20)
     if args.verb == "contacts":
-        contacts = export.load_table(spark, o.output_dir, "contacts")
-        if contacts is None:
+        contacts = export.load_state(spark, o.output_dir, "contacts", stages.CONTACTS)
+        if contacts.isEmpty():
             print("run stage1 first: there are no contacts")
             return 1
         if args.set:
             contacts = export.save_table(C.update_relationship(contacts, *args.set), o.output_dir, "contacts")
-        if args.export:
-            export.export_json_array(contacts.orderBy(contacts.message_count.desc(), "contact_id"), args.export)
+        if args.export is not None:
+            print(stages.export_contacts(spark, o, args.export or None))
         (C.search(contacts, args.search) if args.search else C.most_active(contacts, 20)).show(20, False)
     if args.verb == "analyze":
         if args.list:

@@ -212,6 +212,34 @@ def analysis_cache_stats(spark: SparkSession, o: Options) -> dict[str, int]:
     return {"analysis_cache": analysis_cache(spark, o).read().count(), "api_log": log.count() if log is not None else 0}
 
 
+def _now(spark: SparkSession) -> str:
+    return export.as_dicts(spark.range(1).select(F.localtimestamp().alias("now")))[0]["now"]
+
+
+def save_stage1(spark: SparkSession, o: Options, done: Stage1) -> str:
+    """Stage 1 as JSON: messages, rounds and samples as arrays, and one document with counts, words and parameters that names them; its path."""
+    place = f"{o.output_dir}/stage1"
+    found = language_patterns(done.messages)
+    samples = done.samples.orderBy("round_id")
+    export.export_json_array(done.messages.drop("t", "mine").orderBy("ix"), f"{place}/messages.json")
+    export.export_json_array(done.rounds.orderBy("round_id"), f"{place}/rounds.json")
+    export.export_json_array(samples, f"{place}/samples.json")
+    export.export_json_array(samples.select("instruction", "input", "output"), f"{o.output_dir}/stage1_training_data.json")
+    metadata = {"stage": 1, "total_samples": done.samples.count(), "processing_time": _now(spark), "parameters": {"max_inter_message_gap": o.max_gap, "max_reply_delay": o.max_delay}}
+    patterns = {name: export.as_dicts(df) for name, df in found.items()}  # top lists, and one row
+    export.export_json(spark, {"metadata": metadata, "language_patterns": patterns, "files": {name: f"{place}/{name}.json" for name in ("messages", "rounds", "samples")}}, f"{o.output_dir}/stage1_results.json")
+    return f"{o.output_dir}/stage1_results.json"
+
+
+def export_contacts(spark: SparkSession, o: Options, path: str | None = None) -> str:
+    """All contacts, the most active first, with their summary and the time, as one JSON document; its path, which names the time unless it is given."""
+    contacts, now = export.load_state(spark, o.output_dir, "contacts", CONTACTS), _now(spark)
+    path = path or f"{o.output_dir}/contacts_export_{now[:19].replace('-', '').replace(':', '').replace('T', '_')}.json"
+    head = {"export_time": now, "summary": export.as_dicts(C.summary(contacts))[0]}
+    export.export_json_array(contacts.orderBy(F.desc("message_count"), "contact_id"), path, head, "contacts")
+    return path
+
+
 def save_final(spark: SparkSession, o: Options, done: dict[str, DataFrame]) -> None:
     """Stage 2's files: final samples, contacts summary and parameters; with scores also the filtered samples and the report."""
     samples = done["final"].select("instruction", "input", "output")
@@ -242,6 +270,5 @@ def save_analysis(spark: SparkSession, o: Options, done: dict[str, DataFrame], f
     export.export_json(spark, final, f"{place}/final_analysis.json")
     export.export_json(spark, stats, f"{place}/cache_statistics.json")
     path = f"{o.output_dir}/analysis_report_{folder or 'all'}.json"
-    now = export.as_dicts(spark.range(1).select(F.localtimestamp().alias("now")))[0]["now"]
-    export.export_json(spark, {"analysis_time": now, "analyzed_contact": folder, "analysis_type": "single_contact" if folder else "all_contacts", "results": final, "cache": stats, "levels": place}, path)
+    export.export_json(spark, {"analysis_time": _now(spark), "analyzed_contact": folder, "analysis_type": "single_contact" if folder else "all_contacts", "results": final, "cache": stats, "levels": place}, path)
     return path

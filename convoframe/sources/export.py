@@ -107,9 +107,11 @@ def export_json_lines(df: DataFrame, path: str) -> None:
     timestamps_as_text(df).write.mode("overwrite").json(path)
 
 
-def export_json_array(df: DataFrame, path: str) -> None:
+def export_json_array(df: DataFrame, path: str, head: dict | None = None, name: str = "rows") -> None:
     """One file with one JSON array, on any file system Spark knows, in the order of the rows.
 
+    With ``head`` it is an object: what ``head`` has, and the array as ``name``.
+
     Tasks write part files, a row a line with a comma before it.  The parts are then
     copied, as bytes, behind each other into a file beside the target, without the first
     comma, and one rename puts it in place: readers see the old file or the new one.
@@ -123,7 +125,8 @@ def export_json_array(df: DataFrame, path: str) -> None:
     fs = place.getFileSystem(conf)
     out = fs.create(place, True)
     try:
-        out.write(bytearray(b"["))
+        opening = "" if head is None else "{" + "".join(f"{json.dumps(k)}: {json.dumps(v, ensure_ascii=False)},\n" for k, v in head.items()) + f"{json.dumps(name)}: "
+        out.write(bytearray((opening + "[").encode()))
         first = True
         for status in sorted(fs.listStatus(hadoop.fs.Path(parts)), key=lambda s: s.getPath().getName()):
             if status.getPath().getName().startswith("part-") and status.getLen():
@@ -136,7 +139,7 @@ def export_json_array(df: DataFrame, path: str) -> None:
                     hadoop.io.IOUtils.copyBytes(part, out, conf, False)
                 finally:
                     part.close()
-        out.write(bytearray(b"]\n"))
+        out.write(bytearray(b"]\n" if head is None else b"]}\n"))
     finally:
         out.close()
     _delete(spark, parts)

@@ -5,11 +5,14 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: The scratch tables this process has written and not dropped.
-WRITTEN: list[str] = []
+#: Where the tables written by the run at hand are noted, if it asked for that.
+_RUN: ContextVar[list[str] | None] = ContextVar("scratch_run", default=None)
 #: Input bytes (as stored) behind one file of a scratch table.
 TASK_BYTES = 32 << 20
 #: What makes a plan more than a scan.
@@ -51,7 +54,8 @@ def materialised(df: DataFrame, tag: str, files_per_core: int = 1, work: int = 1
         cores = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")) // 8)
         df = df.coalesce(max(files_per_core * cores, -(-input_bytes(df) * work // TASK_BYTES)))
     df.write.parquet(path)
-    WRITTEN.append(path)
+    if _RUN.get() is not None:
+        _RUN.get().append(path)
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
     return spark.read.schema(df.schema).parquet(path)
@@ -63,11 +67,19 @@ def settled(df: DataFrame, tag: str) -> DataFrame:
     return materialised(df, tag) if _WORK.search(plan) else df
 
 
+@contextmanager
+def noted() -> Iterator[list[str]]:
+    """Notes the scratch tables that are written meanwhile, by this thread, to be dropped when they have served."""
+    before = _RUN.set([])
+    try:
+        yield _RUN.get()
+    finally:
+        _RUN.reset(before)
+
+
 def drop(spark: SparkSession, paths: list[str]) -> None:
     """Deletes scratch tables; results that still read them must be written before."""
     conf = spark.sparkContext._jsc.hadoopConfiguration()
     for path in paths:
         hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         hadoop.getFileSystem(conf).delete(hadoop, True)
-        if path in WRITTEN:
-            WRITTEN.remove(path)

@@ -122,8 +122,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The packed pieces of ``documents``; what a stage left in the shared folder goes when its result is written."""
-    docs, before = read_table(spark, sf_dir, "documents"), list(scratch.WRITTEN)
+    docs, last = read_table(spark, sf_dir, "documents"), []
     for name, stage in STAGES[:-1]:
-        docs = write_table(stage(spark, docs, sf_dir), f"stage-{name}", files_per_core=HEAVY)
-        scratch.drop(spark, [p for p in scratch.WRITTEN[:-1] if p not in before])
+        with scratch.noted() as mine:
+            docs = write_table(stage(spark, docs, sf_dir), f"stage-{name}", files_per_core=HEAVY)
+        scratch.drop(spark, last + mine[:-1])
+        last = mine[-1:]
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -202,6 +202,18 @@ def test_cli_scores_and_analyses_over_http(spark, data, server, capsys, monkeypa
     assert spark.read.json(str(out / "training_filtered.json")).count() == 2
     summary = json.loads((out / "results_summary.json").read_text(encoding="utf-8"))
     assert summary["metadata"]["total_samples"] == 2 and summary["contacts_summary"]["total_contacts"] >= 1
+    first = json.loads((out / "stage1_results.json").read_text(encoding="utf-8"))
+    assert first["metadata"]["total_samples"] == 2 and set(first["language_patterns"]) == {"words", "emoji", "profile", "contacts"}
+    messages = json.loads((out / "stage1" / "messages.json").read_text(encoding="utf-8"))
+    assert [m["ix"] for m in messages] == list(range(len(messages))) and messages[0]["create_time"] == "2024-03-01T10:00:00"
+    assert len(json.loads((out / "stage1_training_data.json").read_text(encoding="utf-8"))) == 2
+    assert cli.main([*base, "contacts", "--export"]) == 0
+    (exported,) = out.glob("contacts_export_*.json")
+    exported = json.loads(exported.read_text(encoding="utf-8"))
+    assert [c["message_count"] for c in exported["contacts"]] == sorted((c["message_count"] for c in exported["contacts"]), reverse=True)
+    assert exported["summary"]["total_contacts"] == len(exported["contacts"]) >= 2 and exported["export_time"] > "2024"
+    assert cli.main([*base, "contacts", "--search", "ann", "--set", "wxid_ann", "同事", "desk", "--export", str(data / "c.json")]) == 0
+    assert {c["contact_id"]: c["relationship"] for c in json.loads((data / "c.json").read_text(encoding="utf-8"))["contacts"]}["wxid_ann"] == "同事"
     assert cli.main([*base, "analyze", "--contact", "bob"]) == 0
     found = json.loads((out / "analysis_report_bob.json").read_text(encoding="utf-8"))
     assert found["analysis_type"] == "single_contact" and found["results"]["final_analysis"] == "reasons\nScore: 8"
