@@ -160,7 +160,9 @@ def fingerprint(records: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """``id_col, fingerprint`` (hexadecimal) of every whole text; null texts count as empty.
 
     Equal texts have equal fingerprints.  Without ``marks`` the lexicon is made
-    from ``records`` themselves.
+    from ``records`` themselves.  Repeated rows each stand, null ids are passed through,
+    long texts are read whole, an empty table gives an empty result, and further columns,
+    of any name, are ignored.
     """
     marks = lexicon(records, text_col) if marks is None else marks
     arrow_batches(records.sparkSession)

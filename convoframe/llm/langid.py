@@ -123,7 +123,9 @@ class Model:
 def train(records: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = SAMPLE_ROWS, per_language: int = SAMPLE_ROWS_PER_LANGUAGE) -> Model | None:
     """Fits a model from labelled rows: of each language the ``per_language`` (``rows`` in all) least by a hash of id and text.
 
-    Only non-null labels and texts with a letter count; None if there are none.
+    Only non-null labels and texts with a letter count; None if there are none, as for an
+    empty table.  Long texts are read whole; rows that repeat are in the sample together, up
+    to its size; further columns, of any name, are ignored.
     The sample is bounded, so its features (``BUCKETS`` half-precision numbers a row) fit the driver.
     """
     arrow_batches(records.sparkSession)

@@ -19,7 +19,7 @@ of each.  What a template's pages have in common is in no difference, and what i
 page's own comes first in its list and meets nobody.  Where many members meet, they
 are compared with one of them first, and then only pairs of different components.
 So every pair that meets in a bucket is either in one component already or has been
-compared, and no group's pairs are listed.
+compared.  Only pairs that meet again by what their differences share are listed.
 
 Equal sets are one: by 128 bits of hash, and their size.
 """

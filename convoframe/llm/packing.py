@@ -137,7 +137,8 @@ def tokenize_pieces(
     """Pieces of every text: ``id_col, start, length, ids_crc32, doc_tokens`` and, ``with_ids``, the ids themselves.
 
     A text's ids end with ``END_ID``; a null or empty text has that id only.  Very
-    long texts are tokenized whole; null ids are passed through.
+    long texts are tokenized whole; null ids are passed through; repeated rows are cut
+    each; an empty table has no pieces; further columns, of any name, are ignored.
     """
     arrow_batches(records.sparkSession)
     id_type = records.schema[id_col].dataType.simpleString()
