@@ -9,6 +9,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from convoframe.sources.ship import ship_package
+
 CACHE = "key string, response string, cached_at timestamp"
 LOG = "logged_at timestamp, analysis_type string, contact string, chunk long, prompt string, response string, prompt_length int, response_length int"
 
@@ -66,6 +68,7 @@ def complete(prompts: DataFrame, call: Callable[[str], str], attempts: int = 3,
     same prompts asked again, call for what is not there only.  ``per_minute`` bounds the
     calls of all tasks together, each having an equal share of it.
     """
+    ship_package(prompts.sparkSession)
     share = per_minute / prompts.sparkSession.sparkContext.defaultParallelism if per_minute else None
 
     def run(batches):

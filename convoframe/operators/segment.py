@@ -20,9 +20,11 @@ from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from convoframe.sources.ship import ship_package
+
 #: Runs that have to be cut: Han characters.
 HAN = r"\p{IsHan}+"
 #: The same for Python's expressions.
@@ -103,6 +105,7 @@ def segmented_words(text: Column, dictionary: Dictionary, pattern: re.Pattern[st
                 out.append(words)
             yield pd.Series(out, dtype=object)
 
+    ship_package(SparkSession.active())
     return cut(text)
 
 

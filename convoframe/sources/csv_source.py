@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from convoframe.operators.messages import TEXT, typed_time
 from convoframe.sources import manifest
 from convoframe.sources.files import listed
+from convoframe.sources.ship import ship_package
 
 #: Other spellings of the analysis path's columns.
 RENAMED = {"talkerId": "talker", "msg": "content", "createTime": "timestamp", "CreateTime": "timestamp", "isSender": "is_sender", "localId": "local_id"}
@@ -54,6 +55,7 @@ def parsed_rows(contents: DataFrame) -> DataFrame:
                         out = []
                 yield pa.RecordBatch.from_pylist([dict(zip(kind.names, r, strict=True)) for r in out], schema=kind)
 
+    ship_package(contents.sparkSession)
     return contents.select("path", "content").mapInArrow(parse, ROW)
 
 

@@ -20,6 +20,7 @@ from convoframe.operators.messages import clean_messages
 from convoframe.operators.rounds import RoundRules
 from convoframe.plans.incremental import Incremental
 from convoframe.sources.csv_source import as_raw, parsed_rows
+from convoframe.sources.ship import ship_package
 
 ROUND = "owner string, round_id long, talker string, other_first_ix long, other_last_ix long, other_last_t long, reply_t long, other_n long"
 
@@ -82,6 +83,7 @@ def live_rounds(messages: DataFrame, rules: RoundRules = RoundRules()) -> DataFr
         state.update(runs.packed())
         yield pd.DataFrame([(key[0], *r) for r in found if r], columns=_ROUND)
 
+    ship_package(messages.sparkSession)
     return messages.groupBy("owner").applyInPandasWithState(step, ROUND, OPEN, "append", GroupStateTimeout.NoTimeout)
 
 
@@ -142,6 +144,7 @@ def rounds_out_of_order(messages: DataFrame, rules: RoundRules = RoundRules(), l
     is that of the batch operator, positions are counted by the state, and a round is sent
     when its reply's first message has waited.  Needs the RocksDB state store.
     """
+    ship_package(messages.sparkSession)
     timed = messages.select("owner", F.col("create_time").cast("timestamp").alias("at"), "source_file", F.col("file_row").cast("long").alias("file_row"), F.col("is_sender").cast("int").alias("is_sender"), "talker")
     timed = timed.withColumn("t", F.unix_micros("at")).withWatermark("at", late)
     return timed.groupBy("owner").transformWithStateInPandas(_InOrder(rules), ROUND, "Append", "EventTime")
