@@ -28,8 +28,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
-from convoframe.llm.common import _ship_package
 from convoframe.sources.scratch import checkpoint_root
+from convoframe.sources.ship import ship_package
 
 KEEP_HOURS = 48
 LATE_HOURS = 24
@@ -215,7 +215,7 @@ def window_stream(rows: DataFrame, buckets: int, keep: int = KEEP_HOURS, late: i
     ``buckets`` buckets of their own, so those of one key spread.  The query needs the
     settings ``CHAINED``.
     """
-    _ship_package(rows.sparkSession)
+    ship_package(rows.sparkSession)
     tagged = rows.groupBy("bucket").applyInPandasWithState(TagRows(keep, late).__call__, TAGGED, OPEN_STATE, "append", GroupStateTimeout.NoTimeout)
     tagged = tagged.withColumn("bucket", F.pmod(F.xxhash64("key", "start"), F.lit(buckets)))
     return tagged.groupBy("bucket").applyInPandasWithState(CountWindows().__call__, CLOSED, COUNT_STATE, "append", GroupStateTimeout.NoTimeout)

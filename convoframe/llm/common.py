@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import zipfile
-from pathlib import Path
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from convoframe.sources.scratch import materialised as write_table  # noqa: F401  the operators' name for it
+from convoframe.sources.ship import ship_package
 
 #: The separators of the word definition used by all operators here.
 SEPARATOR_CLASS = r"[\x20\x09-\x0D]"
@@ -27,23 +24,9 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _ship_package(spark: SparkSession) -> None:
-    """Sends this package to the Python workers, once for each context."""
-    context = spark.sparkContext
-    if getattr(context, "_convoframe_shipped", False):
-        return
-    root = Path(__file__).resolve().parents[1]
-    archive = Path(tempfile.mkdtemp(prefix="convoframe-")) / "convoframe.zip"
-    with zipfile.ZipFile(archive, "w") as out:
-        for path in sorted(root.rglob("*.py")):
-            out.write(path, path.relative_to(root.parent))
-    context.addPyFile(str(archive))
-    context._convoframe_shipped = True
-
-
 def arrow_batches(spark: SparkSession) -> None:
     """Prepares a session for operators that send whole texts to Python: short batches, and this package on the workers."""
-    _ship_package(spark)
+    ship_package(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
 
 
