@@ -520,21 +520,21 @@ def q_csv_ingest(spark, sf_dir):
     return clean_messages(rows).select("msg_id", micros(F.col("create_time")).alias("t"), "is_sender", "talker", "type_name", "content", "original_msg")
 
 
-def _arrived(spark, sf_dir):
+def _arrived(spark, sf_dir, samples=True):
     """The timeline's tables after the messages came in two parts: those with text first, the others between them later."""
     kept = Incremental(Store(spark, _folder(spark, "timeline-store")))
     rows = A.messages(spark, sf_dir)
     texts = F.coalesce(F.col("type_name") == TEXT, F.lit(False))
-    contacts = A.contacts(spark, sf_dir)
-    kept.update(rows.filter(texts), contacts)
-    kept.update(rows.filter(~texts), contacts)
+    for part in (rows.filter(texts), rows.filter(~texts)):
+        commit = kept.add(part)
+        kept.render(commit, A.contacts(spark, sf_dir)) if samples else commit.publish()
     return kept
 
 
 @query(ORACLES["q_rounds"])
 def q_incremental_rounds(spark, sf_dir):
     """Rounds kept up to date over two arrivals."""
-    return _arrived(spark, sf_dir).rounds()
+    return _arrived(spark, sf_dir, samples=False).rounds()
 
 
 @query(ORACLES["q_training_samples"])
