@@ -8,7 +8,7 @@ interval, and the history fetches the last lines by ordinal.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from convoframe.functions.text import HOUR, clock, day
@@ -17,6 +17,8 @@ from convoframe.sources.scratch import materialised
 
 HOURS = 72
 LINES = 30
+#: The least messages of a block of the history.
+BLOCK = 32
 
 
 #: Whose messages a running count is of.
@@ -29,14 +31,15 @@ def _sided(rows: DataFrame) -> DataFrame:
     return rows.withColumn("_side", F.explode(sides)).drop("talker").select("*", "_side.*").drop("_side")
 
 
-def _merged(messages: DataFrame, probes: DataFrame) -> DataFrame:
+def _merged(messages: DataFrame, probes: DataFrame, carried: tuple[str, ...] = ()) -> DataFrame:
     """Messages (``side, talker, t, ix``) and probes (also ``_pid, _end``) in one order for each side and talker.
 
     Of both: how many messages come ``before``, for a message its ordinal; the last
-    before and the first not before.  ``_kind`` is 1 for messages.
+    before and the first not before.  ``_kind`` is 1 for messages.  ``carried`` columns
+    of the messages are null for probes.
     """
-    both = messages.select("side", "talker", "t", F.lit(1).alias("_kind"), "ix", F.lit(None).cast("long").alias("_pid"), F.lit(None).cast("string").alias("_end")).unionByName(
-        probes.select("side", "talker", "t", F.lit(0).alias("_kind"), F.col("_pid").alias("ix"), "_pid", "_end")
+    both = messages.select("side", "talker", "t", F.lit(1).alias("_kind"), "ix", F.lit(None).cast("long").alias("_pid"), F.lit(None).cast("string").alias("_end"), *carried).unionByName(
+        probes.select("side", "talker", "t", F.lit(0).alias("_kind"), F.col("_pid").alias("ix"), "_pid", "_end"), allowMissingColumns=True
     )
     is_message = F.col("_kind") == 1
     at = F.when(is_message, F.col("t"))
@@ -85,36 +88,64 @@ def context_rows(rounds: DataFrame, timeline: DataFrame, hours: int = HOURS) ->
     return theirs.unionByName(mine)
 
 
-def history_lines(rounds: DataFrame, runs: DataFrame, me: Column, hours: int = HOURS, lines: int = LINES) -> DataFrame:
-    """(``round_id``, ``history``): the last lines of context and block with headers where the day changes.
+def _blocks(placed: DataFrame, size: int) -> DataFrame:
+    """``side, talker, block, start, said``: messages of a side and talker in blocks of ``size`` by ordinal, each row with the block before.
+
+    So a window of up to ``size`` messages lies in the row of the block that it ends in; ``start`` is the row's first ordinal.
+    """
+    block = F.floor(F.col("before") / size)
+    said = F.struct("t", F.lit(0).alias("rank"), "ix", (F.col("side") == MINE).alias("mine"), "day", "text").alias("m")
+    twice = placed.filter("_kind = 1").select("side", "talker", "before", said, F.explode(F.array(block, block + 1)).alias("block"))
+    return twice.groupBy("side", "talker", "block").agg(F.min("before").alias("start"), F.sort_array(F.collect_list("m")).alias("said"))
+
+
+def _window(before: Column, lines: int) -> Column:
+    """The last ``lines`` messages before an ordinal, of the row of ``_blocks`` that holds them; none where there is no row."""
+    low = F.greatest(before - lines, F.col("start"))
+    return F.when(F.col("said").isNotNull(), F.slice("said", (low - F.col("start") + 1).cast("int"), (before - low).cast("int"))).otherwise(F.array())
 
-    Only the last ``lines`` messages can show, and they are fetched by ordinal: the
-    last of mine, the last of the talker's, and the block.  A block message that
-    the context has too shows twice.  ``me`` names the user; the other is named by
-    the rounds' column ``other_name``.
+
+def with_history(rounds: DataFrame, runs: DataFrame, me: Column, hours: int = HOURS, lines: int = LINES, onto: DataFrame | None = None) -> DataFrame:
+    """``rounds`` with ``history``: the last lines of context and block with headers where the day changes.
+
+    Only the last ``lines`` messages can show: of mine, of the talker's, and of the
+    block.  They are fetched as windows of blocks by ordinal, the talker's only from where
+    ``lines`` of mine don't follow.  So a round is one row throughout, and its text is made
+    where it has met the last of them.  A block message that the context has too shows
+    twice.  ``me`` names the user; the other is named by the rounds' column ``other_name``.
+    ``onto`` are the same rounds with further columns, to be read once only.
     """
-    slim = runs.select("ix", "t", "is_sender", "talker", "run", "create_time", "content")
+    onto, size = rounds if onto is None else onto, max(BLOCK, lines)
+    shown = lambda df: df.withColumn("day", F.to_date("create_time")).withColumn("text", F.concat(clock(F.col("create_time")), F.coalesce("content", F.lit(""))))
     ends = rounds.select("round_id", "talker", F.col("reply_t").alias("t"), F.lit("high").alias("_end")).withColumn("_pid", F.col("round_id"))
-    placed = materialised(_merged(_both_sides(slim), _sided(ends)).select("side", "talker", "_kind", "ix", "_pid", "before"), "history-places")
-    wanted = placed.filter("_kind = 0 and before > 0").select("side", "talker", F.col("_pid").alias("round_id"), F.explode(F.sequence(F.greatest(F.lit(0), F.col("before") - lines), F.col("before") - 1)).alias("before"))
-    wanted = wanted.join(placed.filter("_kind = 1").select("side", "talker", "before", "ix"), ["side", "talker", "before"]).select("round_id", "ix")
-    heads = rounds.select("round_id", "reply_t", "other_name")
-    said = slim.select("ix", "t", "is_sender", "create_time", "content")
-    context = wanted.join(heads, "round_id").join(said, "ix").filter(F.col("t") >= F.col("reply_t") - hours * HOUR).select("round_id", "other_name", "t", F.lit(0).alias("rank"), "ix", "is_sender", "create_time", "content")
-    block = rounds.select("round_id", "other_name", F.col("other_first_ix").alias("run")).join(slim, "run").select("round_id", "other_name", "t", F.lit(1).alias("rank"), "ix", "is_sender", "create_time", "content")
-    rows = context.unionByName(block)
-    latest = Window.partitionBy("round_id").orderBy(F.desc("t"), F.desc("rank"), F.desc("ix"))
-    rows = rows.withColumn("_rn", F.row_number().over(latest)).filter(F.col("_rn") <= lines)
-    in_order = Window.partitionBy("round_id").orderBy("t", "rank", "ix")
-    rows = rows.withColumn("_day", F.to_date("create_time")).withColumn("_before", F.lag("_day").over(in_order))
-    speaker = F.when(F.col("is_sender") == 1, me).otherwise(F.col("other_name"))
-    line = F.concat(F.lit("["), clock(F.col("create_time")), F.lit("] "), speaker, F.lit(": "), F.coalesce("content", F.lit("")))
-    header = F.when(~F.col("_day").eqNullSafe(F.col("_before")), F.concat(F.lit("————— "), day(F.col("create_time")), F.lit(" —————")))
-    rows = rows.withColumn("_lines", F.array_compact(F.array(header, line)))
-    sorted_lines = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("t", "rank", "ix", "_lines"))), lambda x: x["_lines"]))
-    shown = rows.groupBy("round_id").agg(sorted_lines.alias("_all"))
-    tail = F.slice("_all", F.greatest(F.size("_all") - F.lit(lines - 1), F.lit(1)), F.lit(lines))
-    return shown.select("round_id", F.array_join(tail, "\n").alias("history"))
+    messages = shown(_both_sides(runs.select("ix", "t", "is_sender", "talker", "create_time", "content")))
+    placed = materialised(_merged(messages, _sided(ends), ("day", "text")).select("side", "talker", "_kind", "t", "ix", "_pid", "before", "day", "text"), "history-places")
+    count = lambda side: F.coalesce(F.max(F.when(F.col("side") == side, F.col("before"))), F.lit(0))
+    counts = placed.filter("_kind = 0").groupBy(F.col("_pid").alias("round_id")).agg(count(MINE).alias("_mine"), count(THEIRS).alias("_theirs"))
+    nth = placed.filter((F.col("_kind") == 1) & (F.col("side") == MINE)).select((F.col("before") + lines).alias("_mine"), F.col("t").alias("_nth"))
+    heads = rounds.select("round_id", "talker", "reply_t").join(counts, "round_id").join(nth, "_mine", "left")
+    heads = heads.select("round_id", "talker", "_mine", "_theirs", F.greatest(F.col("reply_t") - hours * HOUR, "_nth").alias("_since"), F.floor((F.col("_theirs") - 1) / size).alias("block"))
+    blocks = _blocks(placed, size)
+    recent = lambda c: F.filter(c, lambda m: m["t"] >= F.col("_since"))
+    met = heads.join(blocks.filter(F.col("side") == THEIRS).drop("side"), ["talker", "block"], "left").select("round_id", "_mine", "_since", recent(_window(F.col("_theirs"), lines)).alias("_said"))
+    last = rounds.select(F.col("other_first_ix").alias("run"), "other_last_ix").join(runs.select("run", "t", "ix", "create_time", "content"), "run").filter(F.col("ix") > F.col("other_last_ix") - lines)
+    line = F.struct("t", F.lit(1).alias("rank"), "ix", F.lit(False).alias("mine"), "day", "text")
+    last = shown(last).groupBy(F.col("run").alias("other_first_ix")).agg(F.collect_list(line).alias("_last"))
+    full = onto.join(last, "other_first_ix").join(met, "round_id").withColumn("block", F.floor((F.col("_mine") - 1) / size))
+    full = full.join(blocks.filter(F.col("side") == MINE).select("block", "start", "said"), "block", "left")
+    rows = F.sort_array(F.concat("_said", "_last", recent(_window(F.col("_mine"), lines))))
+    tail = lambda c: F.slice(c, F.greatest(F.size(c) - F.lit(lines - 1), F.lit(1)), F.lit(lines))
+    full = full.select(*onto.columns, rows.alias("_rows")).withColumn("_rows", tail(F.col("_rows")))
+    speaker = lambda m: F.when(m["mine"], me).otherwise(F.col("other_name"))
+    said = lambda m: F.concat(F.lit("["), F.substr(m["text"], F.lit(1), F.lit(8)), F.lit("] "), speaker(m), F.lit(": "), F.substr(m["text"], F.lit(9)))
+    header = lambda m, i: F.when(~m["day"].eqNullSafe(F.get(F.col("_rows"), i - 1)["day"]), F.concat(F.lit("————— "), day(m["day"]), F.lit(" —————")))
+    full = full.withColumn("_lines", F.flatten(F.transform("_rows", lambda m, i: F.array_compact(F.array(header(m, i), said(m))))))
+    return full.select(*onto.columns, F.array_join(tail(F.col("_lines")), "\n").alias("history"))
+
+
+def history_lines(rounds: DataFrame, runs: DataFrame, me: Column, hours: int = HOURS, lines: int = LINES) -> DataFrame:
+    """(``round_id``, ``history``) of ``with_history``."""
+    return with_history(rounds, runs, me, hours, lines).select("round_id", "history")
 
 
 def same_context(t_a: Column, t_b: Column, talker_a: Column, talker_b: Column, mine_a: Column, mine_b: Column, max_gap_hours: int = 24) -> Column:

@@ -141,3 +141,26 @@ def test_a_dense_hour_is_spread(spark, monkeypatch):
     by_talker = L.running(R.numbered(df).select("ix", "t", "talker"), ["t", "ix"], keys=("talker",), sums={"o": F.lit(1)})
     for talker in ("me", "a", "b"):
         assert [r["o"] for r in by_talker.filter(F.col("talker") == talker).orderBy("ix").collect()] == list(range(sum(m[1] == talker for m in messages)))
+
+
+def shuffled(spark, run):
+    """Rows that the shuffles of ``run()`` write."""
+    store = spark.sparkContext._jsc.sc().statusStore()
+    stages = lambda: {s.stageId(): s.shuffleWriteRecords() for s in (lambda seq: [seq.apply(i) for i in range(seq.size())])(store.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None))}
+    before = set(stages())
+    run()
+    return sum(n for k, n in stages().items() if k not in before)
+
+
+def test_history_moves_rounds_and_no_lines(spark):
+    """Sixty lines may show in each round; what is shuffled stays a few rows a message."""
+    from convoframe.sources.scratch import materialised
+
+    messages = [(20 * i, "am"[i % 2].replace("m", "me"), i % 2, str(i)) for i in range(1200)]
+    runs = materialised(R.with_runs(R.numbered(frame(spark, messages))), "runs")
+    rounds = materialised(R.extract_rounds(runs).withColumn("other_name", F.col("talker")), "rounds")
+    assert rounds.count() == 600
+    found = []
+    rows = shuffled(spark, lambda: found.extend(X.history_lines(rounds, runs, F.lit("我")).collect()))
+    assert len(found) == 600 and max(r.history.count("\n") for r in found) == X.LINES - 1
+    assert rows < 15 * len(messages)
