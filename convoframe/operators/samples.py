@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from convoframe.functions.text import day, day_minute, not_blank
 from convoframe.operators.contacts import display_name, with_contact
-from convoframe.operators.context import history_lines
+from convoframe.operators.context import with_history
 from convoframe.operators.rounds import round_texts
 
 #: Fixed value: how every instruction ends.
@@ -31,10 +31,9 @@ def training_samples(rounds: DataFrame, runs: DataFrame, contacts: DataFrame, me
     """``round_id, talker, reply_t, instruction, input, output`` of every round."""
     named = with_contact(rounds, contacts, "talker").withColumn("other_name", display_name(F.col("remark"), F.col("nickname"), F.col("talker")))
     texts = round_texts(named, runs)
-    history = history_lines(named, runs, F.lit(me))
     now = F.timestamp_micros("reply_t").cast("timestamp_ntz")
     asked = F.concat(F.lit("历史记录:\n"), F.coalesce("history", F.lit("")), F.lit("\n\n对方最新消息:\n"), F.col("other_text"))
-    return texts.join(history, "round_id", "left").select(
+    return with_history(rounds, runs, F.lit(me), onto=texts).select(
         "round_id", "talker", "reply_t",
         instruction(F.lit(me), F.col("other_name"), F.col("relationship"), F.col("relationship_detail"), F.col("first_contact_date"), now).alias("instruction"),
         asked.alias("input"),

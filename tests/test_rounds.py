@@ -164,3 +164,18 @@ def test_history_moves_rounds_and_no_lines(spark):
     rows = shuffled(spark, lambda: found.extend(X.history_lines(rounds, runs, F.lit("我")).collect()))
     assert len(found) == 600 and max(r.history.count("\n") for r in found) == X.LINES - 1
     assert rows < 15 * len(messages)
+
+
+def test_samples_move_rounds_and_no_lines(spark):
+    """As above for whole samples: the history is made where its round is, and not shuffled to it."""
+    from convoframe.operators.samples import training_samples
+    from convoframe.sources.scratch import materialised
+
+    messages = [(20 * i, "am"[i % 2].replace("m", "me"), i % 2, str(i)) for i in range(1200)]
+    runs = materialised(R.with_runs(R.numbered(frame(spark, messages))), "runs")
+    rounds = materialised(R.extract_rounds(runs), "rounds")
+    contacts = spark.createDataFrame([("a", "nick", "", "friend", "", None)], "contact_id string, nickname string, remark string, relationship string, relationship_detail string, first_contact_date timestamp_ntz")
+    found = []
+    rows = shuffled(spark, lambda: found.extend(training_samples(rounds, runs, contacts).collect()))
+    assert len(found) == 600 and all("] nick: " in r.input for r in found)
+    assert rows < 18 * len(messages)
