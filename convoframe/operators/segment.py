@@ -19,7 +19,7 @@ import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,6 +35,8 @@ CUT_ALL = re.compile(r"([^\W\d_]+)|(?!)()")
 SCALE = 1_000_000
 #: Runs whose words a task remembers.
 REMEMBERED = 1 << 16
+#: Texts turned into words at once, whatever an Arrow batch holds.
+AT_ONCE = 128
 
 
 @dataclass(frozen=True)
@@ -82,28 +84,33 @@ class Dictionary:
 
 
 def segmented_words(text: Column, dictionary: Dictionary, pattern: re.Pattern[str] = CUT_HAN) -> Column:
-    """A text's words as an array, in Arrow batches; null texts have none."""
-    @F.pandas_udf("array<string>")
-    def cut(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """A text's words as an array, in Arrow batches; null texts have none.
+
+    A batch's texts are cut ``AT_ONCE`` at a time, so that a worker holds one batch and the words of few texts.
+    """
+    @F.arrow_udf("array<string>")
+    def cut(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         known: dict[str, list[str]] = {}
+
+        def words_of(text: str | None) -> list[str]:
+            words: list[str] = []
+            for run, kept in pattern.findall(text) if text else ():
+                if run:
+                    parts = known.get(run)
+                    if parts is None:
+                        if len(known) >= REMEMBERED:
+                            known.clear()
+                        parts = dictionary.cut(run)
+                        if len(run) <= 32:
+                            known[run] = parts
+                    words += parts
+                else:
+                    words.append(kept)
+            return words
+
         for texts in batches:
-            out = []
-            for t in texts:
-                words: list[str] = []
-                for run, kept in pattern.findall(t) if t else ():
-                    if run:
-                        parts = known.get(run)
-                        if parts is None:
-                            if len(known) >= REMEMBERED:
-                                known.clear()
-                            parts = dictionary.cut(run)
-                            if len(run) <= 32:
-                                known[run] = parts
-                        words += parts
-                    else:
-                        words.append(kept)
-                out.append(words)
-            yield pd.Series(out, dtype=object)
+            for start in range(0, len(texts), AT_ONCE):
+                yield pa.array([words_of(t) for t in texts.slice(start, AT_ONCE).to_pylist()], pa.list_(pa.string()))
 
     ship_package(SparkSession.active())
     return cut(text)

@@ -109,3 +109,15 @@ def test_language_patterns_cut_chinese(spark):
     rows = spark.createDataFrame([(i, t, i % 2 == 0, "a", 1, i) for i, t in enumerate(texts)], "ix long, content string, mine boolean, talker string, is_sender int, t long")
     words = {r["word"]: r["n"] for r in language_patterns(rows)["words"].collect()}
     assert {"我们", "今天", "图书馆"} <= set(words) and all(len(w) >= 2 for w in words)
+
+
+def test_a_large_batch_is_cut_in_parts(spark, monkeypatch):
+    """However many texts an Arrow batch holds, a worker has the words of few at a time."""
+    import pyarrow as pa
+
+    found = []
+    monkeypatch.setattr(G.F, "arrow_udf", lambda kind: lambda f: found.append(f) or (lambda c: c))
+    G.segmented_words(G.F.lit("x"), G.Dictionary({"ab": 3}), G.CUT_ALL)
+    parts = list(found[0](iter([pa.array(["abab", None, "a1b"] * 200)])))
+    assert max(map(len, parts)) == G.AT_ONCE
+    assert pa.chunked_array(parts).to_pylist() == [["ab", "ab"], [], ["a", "b"]] * 200
