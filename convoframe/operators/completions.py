@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from convoframe.sources.ship import ship_package
 
 CACHE = "key string, response string, cached_at timestamp"
+#: Prompts turned into Python texts at once, whatever an Arrow batch holds.
+AT_ONCE = 64
 LOG = "logged_at timestamp, analysis_type string, contact string, chunk long, prompt string, response string, prompt_length int, response_length int"
 
 
@@ -66,7 +68,8 @@ def complete(prompts: DataFrame, call: Callable[[str], str], attempts: int = 3,
     After the last attempt the error is kept.  With ``journal``, a folder that all executors
     share, a reply is written there before anything else: a task that runs again, or the
     same prompts asked again, call for what is not there only.  ``per_minute`` bounds the
-    calls of all tasks together, each having an equal share of it.
+    calls of all tasks together, each having an equal share of it.  A batch's prompts are
+    taken ``AT_ONCE`` at a time, so that a worker holds one batch and few texts besides.
     """
     ship_package(prompts.sparkSession)
     share = per_minute / prompts.sparkSession.sparkContext.defaultParallelism if per_minute else None
@@ -76,7 +79,7 @@ def complete(prompts: DataFrame, call: Callable[[str], str], attempts: int = 3,
         import time
         from concurrent.futures import ThreadPoolExecutor
 
-        import pandas as pd
+        import pyarrow as pa
 
         known, lock, free = Journal(journal) if journal else None, threading.Lock(), [time.monotonic()]
 
@@ -110,11 +113,13 @@ def complete(prompts: DataFrame, call: Callable[[str], str], attempts: int = 3,
             return None, error
 
         with ThreadPoolExecutor(threads) as pool:
-            for pdf in batches:
-                replies = list(pool.map(one, zip(pdf["key"], pdf["prompt"], strict=True)))
-                yield pd.DataFrame({"key": pdf["key"], "response": [r[0] for r in replies], "error": [r[1] for r in replies]})
+            for batch in batches:
+                for start in range(0, batch.num_rows, AT_ONCE):
+                    part = batch.slice(start, AT_ONCE)
+                    replies = list(pool.map(one, zip(*[c.to_pylist() for c in part.columns], strict=True)))
+                    yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array([r[i] for r in replies], pa.string()) for i in range(2)]], names=["key", "response", "error"])
 
-    return prompts.select("key", "prompt").mapInPandas(run, "key string, response string, error string")
+    return prompts.select("key", "prompt").mapInArrow(run, "key string, response string, error string")
 
 
 def missing(prompts: DataFrame, cache: DataFrame) -> DataFrame:

@@ -77,3 +77,26 @@ def test_rate_is_held(spark, prompts):
     began = time.time()
     P.complete(prompts.limit(5), lambda p: p, threads=5, per_minute=240 * tasks).collect()
     assert time.time() - began >= 1.0  # five calls of a share of four a second
+
+
+def test_a_large_batch_is_asked_in_parts(spark):
+    """However many prompts an Arrow batch holds, few are texts of the worker at a time."""
+    import pyarrow as pa
+
+    class Frame:
+        sparkSession = spark
+
+        def select(self, *columns):
+            return self
+
+        def mapInArrow(self, run, schema):
+            return run
+
+    asked = []
+    run = P.complete(Frame(), lambda p: asked.append(p) or p.upper(), threads=2)
+    batch = pa.RecordBatch.from_pydict({"key": [f"k{i}" for i in range(300)], "prompt": [f"p{i}" for i in range(300)]})
+    parts = run(iter([batch]))
+    first = next(parts)
+    assert first.num_rows == len(asked) == P.AT_ONCE
+    rows = pa.Table.from_batches([first, *parts]).to_pylist()
+    assert rows == [{"key": f"k{i}", "response": f"P{i}", "error": None} for i in range(300)]
