@@ -157,6 +157,7 @@ class Incremental:
         """
         commit = self.store.commit()
         base, width = commit.base, F.lit(self.width)
+        changed_files = list(changed_files)
         changed = self.spark.createDataFrame([(f,) for f in changed_files], "source_file string")
         t = micros(F.col("create_time"))
         kind = {c.split()[0]: c.split()[1] for c in MESSAGE.split(", ")}
@@ -167,9 +168,11 @@ class Incremental:
         touched = sorted({r["bucket"] for r in fresh.select("bucket").union(gone).distinct().collect()})
         if not touched:
             return commit
-        kept = base.read("timeline", touched, TIMELINE).join(F.broadcast(changed), "source_file", "left_anti")
+        kept = base.read("timeline", touched, TIMELINE)
+        if changed_files:
+            kept = kept.join(F.broadcast(changed), "source_file", "left_anti")
         order = ["t", "source_file", "file_row"]
-        rows = materialised(kept.select(*fresh.columns).unionByName(fresh), "touched-messages")
+        rows = kept.select(*fresh.columns).unionByName(fresh)  # written by ``running`` if it is more than two scans
         rows = running(rows, order, keys=("bucket",), sums={"pos": F.lit(1).cast("long")}, lasts={"_prev": F.col("t")})
         rows = materialised(rows, "touched-timeline")
         start = F.when(F.col("t") - F.col("_prev") > self.barrier, F.col("t"))
@@ -187,9 +190,10 @@ class Incremental:
         whole = rows.drop("_prev").withColumn("run_back", F.lit(None).cast("long")).unionByName(base.read("timeline", [b for b in reached if b not in touched], TIMELINE))
         met = F.exists("_spans", lambda s: (F.col("t") >= s["lo"]) & (F.col("t") < s["hi"]))
         by_bucket = inside.groupBy("bucket").agg(F.collect_list(F.struct("lo", "hi")).alias("_spans"))  # two or three a bucket
-        whole = materialised(whole.join(F.broadcast(by_bucket), "bucket").withColumn("_in", met).drop("_spans"), "reached-timeline")
-        again = self._placed(whole.filter("_in"), offsets).withColumn("ix", F.col("offset") + F.col("pos"))
-        runs = materialised(with_runs(again.drop("offset", "_in", "run_back"), self.rules), "reached-runs")
+        whole = self._placed(whole.join(F.broadcast(by_bucket), "bucket"), offsets).withColumn("ix", F.col("offset") + F.col("pos"))
+        whole = materialised(whole.withColumn("_in", met).drop("_spans", "offset"), "reached-timeline")
+        again = whole.filter("_in").drop("_in", "run_back")  # a scan, so that ``running`` writes it no second time
+        runs = materialised(with_runs(again, self.rules), "reached-runs")
         columns = [c.split()[0] for c in TIMELINE.split(", ")]
         timeline = runs.withColumn("run_back", F.col("ix") - F.col("run")).select(*columns).unionByName(whole.filter("not _in").select(*columns))
         commit.write_buckets("timeline", timeline, "bucket", reached)

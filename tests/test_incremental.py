@@ -131,3 +131,17 @@ def test_islands_around_end_at_gaps(seed):
         for x, y in zip(ts, ts[1:]):
             if y - x <= barrier:
                 assert all((lo <= x < hi) == (lo <= y < hi) for lo, hi in spans)
+
+
+def test_a_commit_writes_its_messages_few_times(spark, tmp_path):
+    """Passes over the timeline read what is written already."""
+    from convoframe.plans import fixtures as A
+    from convoframe.plans.incremental import Incremental
+    from convoframe.sources.scratch import noted
+    from convoframe.sources.snapshots import Store
+
+    kept = Incremental(Store(spark, f"file://{tmp_path}/few-writes"))
+    with noted() as made:
+        kept.add(A.messages(spark, "/root/testdata/sf0.001")).publish()
+    assert kept.rounds().count() > 0
+    assert len(made) <= 5
