@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 from convoframe.llm.common import HEAVY, arrow_batches, arrow_texts, lean, write_table
 from convoframe.llm.components import components
 from convoframe.llm.neardup import _rooted, _signed, _sized, _texts_of_sets, _told_apart, set_hashes
+from convoframe.sources.scratch import last_only
 
 #: Slots of the count table that orders shingles (a byte each where it is sent); parts it is added up in.
 SLOTS, PARTS = 1 << 20, 64
@@ -368,7 +369,7 @@ def overlap_groups(records: DataFrame, id_col: str = "doc_id", text_col: str = "
     signed = _told_apart(write_table(prefix_table(records, id_col, text_col, width, percent), "prefixes", files_per_core=HEAVY))
     slim = signed.select("_id", "_n", "_set", "_hash", "_check")
     filled = slim.filter("_set is not null")
-    pairs = write_table(_leader_pairs(signed, percent), "leader-pairs", work=8)
+    pairs = last_only(records.sparkSession, lambda: write_table(_leader_pairs(signed, percent), "leader-pairs", work=8))
     wanted = pairs.select(F.col("leader").alias("_set")).union(pairs.select("x")).distinct()
     texts = _texts_of_sets(records, filled, wanted, id_col, text_col, width)
     sizes = filled.groupBy("_set").agg(F.first("_n").alias("_n"))
@@ -381,7 +382,7 @@ def overlap_groups(records: DataFrame, id_col: str = "doc_id", text_col: str = "
         if last:
             dealt = _across_blocks(open_groups)
         else:
-            again = write_table(_routed_again(open_groups, texts, width, percent), "leader-pairs", work=8)
+            again = last_only(records.sparkSession, lambda: write_table(_routed_again(open_groups, texts, width, percent), "leader-pairs", work=8))  # noqa: B023
             groups = write_table(_rooted(_grouped(again, sizes), labels), "groups")
             dealt = _in_blocks(groups)
         links = write_table(_found(dealt, texts, width, percent), "links", files_per_core=HEAVY)

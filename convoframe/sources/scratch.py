@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
 
@@ -83,3 +83,13 @@ def drop(spark: SparkSession, paths: list[str]) -> None:
     for path in paths:
         hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         hadoop.getFileSystem(conf).delete(hadoop, True)
+
+
+def last_only(spark: SparkSession, make: Callable[[], DataFrame]) -> DataFrame:
+    """The table that ``make`` writes last; those it wrote on the way are dropped."""
+    with noted() as made:
+        out = make()
+    drop(spark, made[:-1])
+    if _RUN.get() is not None:
+        _RUN.get().append(made[-1])
+    return out

@@ -239,3 +239,15 @@ def test_replacement_cut_short_is_finished(spark, tmp_path):
     (tmp_path / "t.parquet").rename(tmp_path / "t.parquet.old")
     assert export.load_table(spark, place, "t").count() == 5
     assert not (tmp_path / "t.parquet.old").exists()
+
+
+def test_tables_on_the_way_to_another_are_dropped(spark):
+    import os
+
+    from convoframe.sources.scratch import last_only, materialised, noted
+
+    with noted() as made, noted() as inner:
+        out = last_only(spark, lambda: materialised(materialised(spark.range(7), "first"), "second"))
+    assert out.count() == 7 and made == [] and len(inner) == 1 and "/second-" in inner[0]
+    there = os.listdir(os.path.dirname(inner[0].removeprefix("file:")))
+    assert not any(name.startswith("first-") for name in there)
