@@ -27,18 +27,20 @@ from bisect import bisect_left
 from heapq import heapify, heappop, heappush
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from convoframe.llm.common import HEAVY, arrow_batches, arrow_texts, lean, write_table
 from convoframe.llm.components import components
 from convoframe.llm.neardup import _rooted, _signed, _sized, _texts_of_sets, _told_apart, set_hashes
-from convoframe.sources.scratch import last_only
+from convoframe.sources.scratch import drop, last_only, noted
 
 #: Slots of the count table that orders shingles (a byte each where it is sent); parts it is added up in.
 SLOTS, PARTS = 1 << 20, 64
 #: Shingles of one block, on average.
 BLOCK_SHINGLES = 1 << 19
+#: The most sets whose copies a task knows again.
+SEEN = 1 << 17
 #: DivideSkip's weight of a long list's probe against a merge.
 MU = 0.1
 
@@ -214,7 +216,10 @@ def frequency_ranks(records: DataFrame, text_col: str, width: int) -> np.ndarray
 
 
 def prefix_table(records: DataFrame, id_col: str, text_col: str, width: int, percent: int) -> DataFrame:
-    """``_id, _n, _set, _hash, _check, _bands``: size, the set's two hashes (null: empty), its first shingles from the rarest."""
+    """``_id, _n, _set, _hash, _check, _bands``: size, the set's two hashes (null: empty), its first shingles from the rarest.
+
+    Of equal sets in one task the first has the shingles, so copies are no rows by key (``SEEN`` sets are remembered at most).
+    """
     spark = records.sparkSession
     ranks = spark.sparkContext.broadcast(frequency_ranks(records, text_col, width))
     id_type = records.schema[id_col].dataType.simpleString()
@@ -225,11 +230,16 @@ def prefix_table(records: DataFrame, id_col: str, text_col: str, width: int, per
 
         from convoframe.llm.wordhash import WordHasher
 
-        hasher = WordHasher()
+        hasher, seen = WordHasher(), set()
         for batch in batches:
             sets = _sets_of(batch.column(1), width, hasher)
-            firsts = [s[np.argsort(ranks.value[_slots(s)], kind="stable")[: len(s) - -(-percent * len(s) // 100) + 1]] for s in sets]
-            hashes, checks = (pa.array(_signed(x), pa.int64()) for x in set_hashes(sets))
+            hashes, checks = (_signed(x) for x in set_hashes(sets))
+            firsts = []
+            for s, known in zip(sets, zip(hashes.tolist(), checks.tolist(), strict=True), strict=True):
+                firsts.append(s[:0] if known in seen else s[np.argsort(ranks.value[_slots(s)], kind="stable")[: len(s) - -(-percent * len(s) // 100) + 1]])
+                if len(seen) < SEEN:
+                    seen.add(known)
+            hashes, checks = pa.array(hashes, pa.int64()), pa.array(checks, pa.int64())
             hashes = pa.compute.if_else(pa.array(np.array([len(s) == 0 for s in sets], dtype=bool)), pa.scalar(None, pa.int64()), hashes)
             offsets = np.concatenate(([0], np.cumsum([len(f) for f in firsts]))).astype(np.int32)
             bands = pa.ListArray.from_arrays(pa.array(offsets), pa.array(_signed(np.concatenate([np.zeros(0, np.uint64), *firsts])), pa.int64()))
@@ -243,18 +253,26 @@ def _leader_pairs(signed: DataFrame, percent: int) -> DataFrame:
 
     A bucket holds the sets that share a key of ``_bands`` and may be linked by their
     sizes: sizes are cut into classes as wide as linked sizes can differ, and a set is in its
-    own class and the next.
+    own class and the next.  The first key that linked sets share lies in both where
+    enough shingles follow, so a key's place says how large the other may be (``reach``), and
+    members that no other's size and reach allow are left out.  Rows move once by key; all windows lie in that.
     """
-    rows = signed.filter("_set is not null").select(F.explode("_bands").alias("key"), F.col("_set").alias("x"), F.col("_n").alias("x_n"))
-    several = lambda df, *by: df.groupBy(*by).agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.count(F.lit(1)).alias("met")).filter("lo <> hi").select(*by, "met")
-    rows = rows.join(several(rows, "key").drop("met"), "key").distinct()
+    ranked = signed.filter("_set is not null").select(F.posexplode("_bands").alias("at", "key"), F.col("_set").alias("x"), F.col("_n").alias("x_n")).filter("key is not null")
+    reach = F.expr(f"(({100 + percent} * (x_n - at) - {percent} * x_n) div {percent})").alias("reach")
+    rows = ranked.select("key", "x", "x_n", reach).repartition("key")
+    several = lambda df, *by: df.withColumn("_lo", F.min("x").over(Window.partitionBy(*by))).withColumn("_hi", F.max("x").over(Window.partitionBy(*by))).filter("_lo <> _hi").drop("_lo", "_hi")
+    rows = several(rows, "key").groupBy("key", "x").agg(F.first("x_n").alias("x_n"), F.max("reach").alias("reach"))
     # A little wider, so that no rounding tells linked sizes two classes apart.
     size = F.floor(F.log(F.col("x_n").cast("double")) / (math.log(100 / percent) * (1 + 1e-9) if percent < 100 else 1.0)).cast("int")
-    rows = write_table(rows.withColumn("class", size), "bucket-members", work=4).withColumn("class", F.explode(F.array(F.col("class"), F.col("class") + 1)))
-    members = write_table(rows.join(several(rows, "key", "class"), ["key", "class"]), "classed-members", work=4)
+    rows = rows.withColumn("class", size).withColumn("class", F.explode(F.array(F.col("class"), F.col("class") + 1)))
+    bucket = Window.partitionBy("key", "class")
+    by_size = bucket.orderBy("x_n", "x")
+    rows = rows.withColumn("_next", F.lead("x_n").over(by_size)).withColumn("_reached", F.max("reach").over(by_size.rowsBetween(Window.unboundedPreceding, -1))).withColumn("_least", F.min("x_n").over(bucket))
+    rows = rows.filter("_next <= reach or (_reached >= x_n and _least <= reach)").select("key", "class", "x", "x_n")
+    members = write_table(several(rows, "key", "class").withColumn("met", F.count(F.lit(1)).over(bucket)), "classed-members", work=4)
     drawn = members.groupBy("x").agg(F.sum("met").alias("pull"))
-    leaders = members.join(drawn, "x").groupBy("key", "class").agg(F.max(F.struct("pull", "x")).alias("l")).select("key", "class", F.col("l.x").alias("leader"))
-    return members.join(leaders, ["key", "class"]).filter("x <> leader").select("leader", "x", "x_n").distinct()
+    led = members.join(drawn, "x").select("key", "class", "x", "x_n", "pull").withColumn("leader", F.max(F.struct("pull", "x")).over(bucket)["x"])
+    return led.filter("x <> leader").select("leader", "x", "x_n").distinct()
 
 
 def _grouped(pairs: DataFrame, sizes: DataFrame) -> DataFrame:
@@ -335,7 +353,7 @@ def _routed_again(groups: DataFrame, texts: DataFrame, width: int, percent: int)
     met = each.groupBy("leader", "token").agg(F.count(F.lit(1)).alias("met"))
     ordered = each.join(met, ["leader", "token"]).groupBy("leader", "x", "x_n").agg(F.array_sort(F.collect_list(F.struct("met", "token"))).alias("tokens"))
     first = F.slice("tokens", F.lit(1), (F.col("x_n") - F.ceil(F.col("x_n") * percent / 100) + 1).cast("int"))
-    keys = F.transform(F.filter(first, lambda t: t["met"] > 1), lambda t: F.xxhash64(F.col("leader"), t["token"]))
+    keys = F.transform(first, lambda t: F.when(t["met"] > 1, F.xxhash64(F.col("leader"), t["token"])))
     return _leader_pairs(ordered.select(F.col("x").alias("_set"), F.col("x_n").alias("_n"), keys.alias("_bands")), percent)
 
 
@@ -366,10 +384,12 @@ def overlap_groups(records: DataFrame, id_col: str = "doc_id", text_col: str = "
     Null ids are passed through; rows that share an id share its links.  An empty
     table gives an empty result; further columns are ignored.
     """
-    signed = _told_apart(write_table(prefix_table(records, id_col, text_col, width, percent), "prefixes", files_per_core=HEAVY))
-    slim = signed.select("_id", "_n", "_set", "_hash", "_check")
+    with noted() as prefixes:
+        signed = _told_apart(write_table(prefix_table(records, id_col, text_col, width, percent), "prefixes", files_per_core=HEAVY))
+    slim = write_table(signed.select("_id", "_n", "_set", "_hash", "_check"), "sets")
     filled = slim.filter("_set is not null")
     pairs = last_only(records.sparkSession, lambda: write_table(_leader_pairs(signed, percent), "leader-pairs", work=8))
+    drop(records.sparkSession, prefixes)
     wanted = pairs.select(F.col("leader").alias("_set")).union(pairs.select("x")).distinct()
     texts = _texts_of_sets(records, filled, wanted, id_col, text_col, width)
     sizes = filled.groupBy("_set").agg(F.first("_n").alias("_n"))

@@ -147,3 +147,25 @@ def test_odd_rows_clashing_columns_and_empty_table(spark):
     assert overlap.overlap_groups(rows.filter("false")).collect() == []
     by_text = overlap.overlap_groups(rows.withColumn("doc_id", F.concat(F.lit("d"), "doc_id"))).collect()
     assert {r["doc_id"]: r["component_id"] for r in by_text}["d5"] == "d4"
+
+
+def test_members_that_nobody_can_be_linked_to_are_left_out(spark):
+    """A shared shingle with too few behind it makes no pair; every linked pair still meets in a group."""
+    kind = "_set long, _n long, _bands array<long>"
+    late = [(1, 100, [*range(1, 15), 99]), (2, 100, [*range(21, 35), 99]), (3, 100, [50]), (4, 86, [50]), (5, 60, [70]), (6, 100, [70])]
+    assert {(r["leader"], r["x"]) for r in overlap._leader_pairs(spark.createDataFrame(late, kind), 85).collect()} == {(4, 3)}
+    for seed, percent in ((1, 85), (2, 60), (3, 100)):
+        draw = random.Random(seed)
+        sets = []
+        for _ in range(25):
+            base = draw.sample(range(400), draw.randrange(1, 60))
+            sets += [set(base)] + [set(draw.sample(base, max(1, len(base) - draw.randrange(5)))) | set(draw.sample(range(400), draw.randrange(4))) for _ in range(4)]
+        sets = list({tuple(sorted(s)) for s in sets})
+        rows = [(i, len(s), list(s[: len(s) - -(-percent * len(s) // 100) + 1])) for i, s in enumerate(sets)]
+        groups = {}
+        for r in overlap._leader_pairs(spark.createDataFrame(rows, kind), percent).collect():
+            groups.setdefault(r["leader"], {r["leader"]}).add(r["x"])
+        for i, a in enumerate(sets):
+            for j, b in enumerate(sets[:i]):
+                if 100 * len({*a} & {*b}) >= percent * len({*a} | {*b}):
+                    assert any({i, j} <= g for g in groups.values()), (percent, a, b)
