@@ -191,11 +191,11 @@ class Incremental:
         met = F.exists("_spans", lambda s: (F.col("t") >= s["lo"]) & (F.col("t") < s["hi"]))
         by_bucket = inside.groupBy("bucket").agg(F.collect_list(F.struct("lo", "hi")).alias("_spans"))  # two or three a bucket
         whole = self._placed(whole.join(F.broadcast(by_bucket), "bucket"), offsets).withColumn("ix", F.col("offset") + F.col("pos"))
-        whole = materialised(whole.withColumn("_in", met).drop("_spans", "offset"), "reached-timeline")
-        again = whole.filter("_in").drop("_in", "run_back")  # a scan, so that ``running`` writes it no second time
-        runs = materialised(with_runs(again, self.rules), "reached-runs")
+        whole = whole.withColumn("_in", met).drop("_spans", "offset")
+        # The passes carry no texts; a message meets its run again when it is written.
+        runs = materialised(with_runs(whole.filter("_in").select("ix", "t", "mine", "talker"), self.rules), "reached-runs")
         columns = [c.split()[0] for c in TIMELINE.split(", ")]
-        timeline = runs.withColumn("run_back", F.col("ix") - F.col("run")).select(*columns).unionByName(whole.filter("not _in").select(*columns))
+        timeline = whole.join(runs.select("ix", "run"), "ix", "left").withColumn("run_back", F.coalesce(F.col("ix") - F.col("run"), "run_back")).select(*columns)
         commit.write_buckets("timeline", timeline, "bucket", reached)
 
         found = extract_rounds(runs, self.rules)
@@ -246,7 +246,7 @@ class Incremental:
             needed |= {r["b"] for r in spans.collect()}
             offsets = self._offsets(now.read("edges"))
             lines = self._placed(now.read("timeline", needed, TIMELINE), offsets).withColumn("ix", F.col("offset") + F.col("pos")).withColumn("run", F.col("ix") - F.col("run_back"))
-            lines = materialised(lines.drop("offset", "bucket", "pos", "run_back"), "sample-lines")
+            lines = lines.drop("offset", "bucket", "pos", "run_back")  # read from the store by each that needs some of it
             numbered = materialised(self._numbered(mine_, offsets), "sample-rounds")
             samples = training_samples(numbered, lines, contacts, self.me).withColumn("bucket", F.floor(F.col("reply_t") / self.width).cast("long"))
             samples = self._placed(samples, offsets).select("bucket", (F.col("round_id") - F.col("offset")).alias("pos"), "talker", "reply_t", "instruction", "input", "output")

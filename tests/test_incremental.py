@@ -145,3 +145,15 @@ def test_a_commit_writes_its_messages_few_times(spark, tmp_path):
         kept.add(A.messages(spark, "/root/testdata/sf0.001")).publish()
     assert kept.rounds().count() > 0
     assert len(made) <= 5
+
+
+def test_texts_are_written_few_times_on_the_way_to_samples(spark, tmp_path):
+    """Passes over the timeline carry no texts, and samples read them from the store."""
+    from convoframe.plans import fixtures as A
+    from convoframe.sources.scratch import noted
+
+    kept = Incremental(Store(spark, f"file://{tmp_path}/few-texts"))
+    with noted() as made:
+        kept.update(A.messages(spark, "/root/testdata/sf0.001"), A.contacts(spark, "/root/testdata/sf0.001"))
+    assert kept.samples().count() > 0
+    assert sum(bool({"content", "text"} & set(spark.read.parquet(path).columns)) for path in made) <= 5
